@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+from gridloom.llm.packing import op5_packing
+from gridloom.llm.quality_rules import OP7_SQL, op7_quality_rules
+from gridloom.llm.sharding import op10_sharding
 from gridloom.llm.simhash import op1_simhash
+from gridloom.llm.token_files import op2_token_output
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_token_output": op2_token_output,
+    "op5_packing": op5_packing,
+    "op7_quality_rules": op7_quality_rules,
+    "op10_sharding": op10_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_quality_rules": OP7_SQL,
+}

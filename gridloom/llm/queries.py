@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
+from gridloom.llm.decontaminate import op3_decontamination
+from gridloom.llm.importance import op6_quality_classifier
 from gridloom.llm.packing import op5_packing
 from gridloom.llm.quality_rules import OP7_SQL, op7_quality_rules
 from gridloom.llm.sharding import op10_sharding
 from gridloom.llm.simhash import op1_simhash
 from gridloom.llm.token_files import op2_token_output
+from gridloom.llm.url_filter import OP4_SQL, op4_url_filter
 
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_token_output": op2_token_output,
+    "op3_decontamination": op3_decontamination,
+    "op4_url_filter": op4_url_filter,
     "op5_packing": op5_packing,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_quality_rules": op7_quality_rules,
     "op10_sharding": op10_sharding,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_url_filter": OP4_SQL,
     "op7_quality_rules": OP7_SQL,
 }

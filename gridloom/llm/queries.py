@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from gridloom.llm.decontaminate import op3_decontamination
+from gridloom.llm.html_text import op8_html_text
 from gridloom.llm.importance import op6_quality_classifier
+from gridloom.llm.lm_score import op9_lm_score
 from gridloom.llm.packing import op5_packing
 from gridloom.llm.quality_rules import OP7_SQL, op7_quality_rules
 from gridloom.llm.sharding import op10_sharding
@@ -19,6 +21,8 @@ QUERIES = {
     "op5_packing": op5_packing,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_quality_rules": op7_quality_rules,
+    "op8_html_text": op8_html_text,
+    "op9_lm_score": op9_lm_score,
     "op10_sharding": op10_sharding,
 }
 

@@ -17,10 +17,12 @@ import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -131,37 +133,48 @@ class Items:
                 out[item] = (similarity, first + int(w))
 
 
+def _parts(benchmark: DataFrame) -> Iterator[Broadcast]:
+    """The benchmark in parts of about PART_BYTES, each shared with all tasks."""
+    items = rows_of(benchmark, item_id="item_id", text="text").where("text is not null and item_id is not null")
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
+    parts = max(1, -(-size // PART_BYTES))
+    for part in range(parts):
+        held = items.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == part).select("item_id", "text").collect()  # about PART_BYTES
+        yield benchmark.sparkSession.sparkContext.broadcast(sorted((int(r.item_id), r.text) for r in held))
+
+
+def _found(shared: Broadcast, text: F.Column | str) -> F.Column:
+    """array<struct>: the benchmark items in each whole text, by item_id."""
+
+    @F.pandas_udf("array<struct<item_id: long, similarity: double, start_word: long, n_words: long>>")
+    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known = Items(shared.value)
+        for texts in batches:
+            found = [known.search(words_of(t)) for t in texts]
+            yield pd.Series([[{"item_id": known.ids[i], "similarity": s, "start_word": at, "n_words": int(known.lengths[i])} for i, (s, at) in sorted(f.items())] for f in found])
+
+    return find(text)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, similarity, start_word, n_words): the best window of every document and item
     with similarity 0.8 or more.
 
     The benchmark is held in each task in parts of about PART_BYTES, one pass over the documents a
-    part. Null and wordless texts on either side match nothing. Rows of repeated doc_ids are judged
-    each by itself; repeated item_ids too. Other input columns are ignored.
+    part. Null and wordless texts on either side match nothing, nor do items without an id. Rows of
+    repeated doc_ids are judged each by itself; repeated item_ids too. Other input columns are
+    ignored.
     """
-    spark = docs.sparkSession
-    items = rows_of(benchmark, item_id="item_id", text="text").where("text is not null")
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
-    parts = max(1, -(-size // PART_BYTES))
     rows = rows_of(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), "text")
-    out = None
-    for part in range(parts):
-        held = items.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == part).select("item_id", "text").collect()  # about PART_BYTES
-        shared = spark.sparkContext.broadcast(sorted((int(r.item_id), r.text) for r in held if r.item_id is not None))
-
-        def find(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            known = Items(shared.value)
-            for batch in batches:
-                rows = [
-                    (None if pd.isna(doc_id) else int(doc_id), known.ids[i], s, at, int(known.lengths[i]))
-                    for doc_id, text in zip(batch.doc_id, batch.text, strict=True)
-                    for i, (s, at) in known.search(words_of(text)).items()
-                ]
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "similarity", "start_word", "n_words"]).astype({"doc_id": "Int64"})
-
-        found = rows.mapInPandas(find, "doc_id long, item_id long, similarity double, start_word long, n_words long")
-        out = found if out is None else out.unionAll(found)
-    return out
+    out = [rows.select("doc_id", F.inline(_found(shared, "text"))) for shared in _parts(benchmark)]
+    return reduce(DataFrame.unionAll, out)
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (text and any other columns) whose text holds no benchmark item."""
+    for shared in _parts(benchmark):
+        docs = docs.where(F.size(_found(shared, "text")) == 0)
+    return docs
 
 
 def op3_decontamination(spark, sf_dir: str) -> DataFrame:

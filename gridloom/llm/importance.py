@@ -107,6 +107,44 @@ def kth_largest(rows: DataFrame, key: str, k: int, bins: int = 4096) -> float:
             return high
 
 
+class Sampler:
+    """The fitted weights and the k-th largest key; ``key`` and ``kept`` are columns of (doc_id, text)."""
+
+    def __init__(self, docs: DataFrame, labels: DataFrame, label_rows: int = LABEL_ROWS, temperature: float = 1.0, seed: int = 7):
+        self.temperature, self.seed = temperature, seed
+        sample = F.broadcast(_sampled(labels, label_rows))  # at most label_rows rows of (long, two booleans)
+        rows = docs.select("doc_id", "text").join(sample, "doc_id", "left")
+        raw, target = counts(rows)
+        ratio = np.log((target + SMOOTH) / (target.sum() + SMOOTH * BUCKETS)) - np.log((raw + SMOOTH) / (raw.sum() + SMOOTH * BUCKETS))
+        self.ratio = docs.sparkSession.sparkContext.broadcast(ratio)  # BUCKETS doubles
+        weighed = rows.select("doc_id", "good", "fit", self.weigh("text").alias("w"))
+        weighed = weighed.select("doc_id", "good", "fit", F.col("w.n_features").alias("n_features"), F.col("w.log_weight").alias("log_weight"))
+        self.weights = work_table(weighed.withColumn("gumbel_key", self.key("log_weight")), "weights")
+        labelled = self.weights.where("not fit and good is not null").select("log_weight", "good").toPandas()  # at most label_rows
+        self.level = _level(labelled)
+        self.k = self.weights.where(F.col("log_weight") >= self.level).count()
+        self.least = kth_largest(self.weights, "gumbel_key", self.k)
+
+    def weigh(self, text_col: str) -> F.Column:
+        shared = self.ratio
+
+        @F.pandas_udf("n_features long, log_weight double")
+        def weight(texts: pd.Series) -> pd.DataFrame:
+            found = [features(t) for t in texts]
+            table = shared.value
+            return pd.DataFrame({"n_features": [len(x) for x in found], "log_weight": [REFERENCE * float(table[x].sum()) / (len(x) + SHRINK) for x in found]})
+
+        return weight(text_col)
+
+    def key(self, log_weight: str | F.Column) -> F.Column:
+        uniform = (F.pmod(F.xxhash64("doc_id", F.lit(self.seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+        return (F.col(log_weight) if isinstance(log_weight, str) else log_weight) / self.temperature - F.log(-F.log(uniform))
+
+    def kept(self) -> F.Column:
+        """For filtering (doc_id, text) rows in place: the same keys again, no join."""
+        return self.key(self.weigh("text")["log_weight"]) >= F.lit(float(self.least))
+
+
 def resample(docs: DataFrame, labels: DataFrame, label_rows: int = LABEL_ROWS, temperature: float = 1.0, seed: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_features, log_weight, gumbel_key, kept), one row per input row.
 
@@ -114,30 +152,9 @@ def resample(docs: DataFrame, labels: DataFrame, label_rows: int = LABEL_ROWS, t
     and share their fate, so ties at the k-th key are all kept. Without labels of both kinds every
     document is kept. Other input columns are ignored.
     """
-    sample = F.broadcast(_sampled(labels, label_rows))  # at most label_rows rows of (long, two booleans)
-    rows = rows_of(docs, doc_id=id_col, text=text_col).join(sample, "doc_id", "left")
-    raw, target = counts(rows)
-    ratio = np.log((target + SMOOTH) / (target.sum() + SMOOTH * BUCKETS)) - np.log((raw + SMOOTH) / (raw.sum() + SMOOTH * BUCKETS))
-    shared = docs.sparkSession.sparkContext.broadcast(ratio)  # BUCKETS doubles
-
-    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = shared.value
-        for batch in batches:
-            found = [features(t) for t in batch.pop("text")]
-            batch["n_features"] = [len(x) for x in found]
-            batch["log_weight"] = [REFERENCE * float(table[x].sum()) / (len(x) + SHRINK) for x in found]
-            yield batch
-
-    kind = "doc_id long, good boolean, fit boolean, n_features long, log_weight double"
-    weighed = rows.select(F.col("doc_id").cast("long"), "good", "fit", "text").mapInPandas(weigh, kind)
-    uniform = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    weighed = work_table(weighed.withColumn("gumbel_key", F.col("log_weight") / temperature - F.log(-F.log(uniform))), "weights")
-
-    labelled = weighed.where("not fit and good is not null").select("log_weight", "good").toPandas()  # at most label_rows
-    level = _level(labelled)
-    k = weighed.where(F.col("log_weight") >= level).count()
-    least = kth_largest(weighed, "gumbel_key", k)
-    return weighed.select("doc_id", "n_features", "log_weight", "gumbel_key", (F.col("gumbel_key") >= least).alias("kept"))
+    rows = rows_of(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), "text")
+    found = Sampler(rows, labels, label_rows, temperature, seed)
+    return found.weights.select("doc_id", "n_features", "log_weight", "gumbel_key", (F.col("gumbel_key") >= F.lit(float(found.least))).alias("kept"))
 
 
 def op6_quality_classifier(spark, sf_dir: str) -> DataFrame:

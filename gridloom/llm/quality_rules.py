@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.work import rows_of, table, work_table
+from gridloom.llm.work import table, work_table
 
 WHITE = r"[\x20\x09-\x0D]+"
 WORD_CHAR = r"[^\x20\x09-\x0D]"
@@ -49,9 +49,10 @@ def _repeat_words() -> Column:
 
 
 def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines), one row
-    per input row. A null text has no words and no lines; other input columns are ignored."""
-    rows = rows_of(docs, doc_id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
+    """(doc_id, text, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, row, uid),
+    one row per input row; ``row`` is the input row as a struct, whatever its columns are called.
+    A null text has no words and no lines."""
+    rows = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     rows = rows.withColumn("words", F.array_remove(F.split("text", WHITE), ""))
     rows = rows.withColumn("lines", F.filter(F.split("text", "\n"), lambda line: line.rlike(WORD_CHAR)))
     windows = f"CASE WHEN size(words) < {WINDOW} THEN array() ELSE transform(sequence(1, size(words) - {WINDOW - 1}), i -> xxhash64(slice(words, i, {WINDOW}))) END"
@@ -65,6 +66,8 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         _repeat_words().alias("n_repeat_words"),
         F.size("lines").cast("long").alias("n_lines"),
+        "row",
+        F.monotonically_increasing_id().alias("uid"),
     )
 
 
@@ -106,13 +109,22 @@ def cascade(measured: DataFrame, rules: tuple[Rule, ...] = RULES, first: Rule =
     ``sample_rows`` only bounds the sample from which the order of rules is estimated. Predicates
     that are null count as not rejecting. An empty table gives an empty result.
     """
-    sample = work_table(measured.limit(sample_rows), "rule-sample")
+    sample = work_table(measured.drop("row").limit(sample_rows), "rule-sample")
     failed = F.when(F.expr(first.rejects), F.lit(first.name))
     for rule in ordered(rules, sample):
         failed = failed.when(F.expr(rule.rejects), F.lit(rule.name))
     return measured.withColumn("failed", failed)
 
 
+def passing(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that no rule rejects, for filtering a corpus.
+
+    The filter also reads the non-deterministic ``uid``, so Catalyst keeps it above the measures
+    instead of computing them again inside the predicate.
+    """
+    return cascade(measures(docs), first=STAGE_BASE).where("failed is null and uid >= 0").select("row.*")
+
+
 def op7_quality_rules(spark, sf_dir: str) -> DataFrame:
     found = cascade(measures(table(spark, sf_dir, "documents")))
     base = F.expr(BASE.rejects)

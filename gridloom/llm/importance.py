@@ -30,7 +30,7 @@ SMOOTH = 1.0
 REFERENCE = 256
 SHRINK = 20
 #: A good document lost counts as much as so many bad ones kept.
-LOSS_OF_GOOD = 10.0
+LOSS_OF_GOOD = 50.0
 
 
 def features(text: str | None) -> np.ndarray:
@@ -79,9 +79,9 @@ def _level(labelled: pd.DataFrame) -> float:
     # cutting before row i loses the good rows below i and keeps the bad ones from i on
     lost = np.concatenate([[0], np.cumsum(good)])
     kept = (~good).sum() - np.concatenate([[0], np.cumsum(~good)])
-    cut = int(np.argmin(LOSS_OF_GOOD * lost + kept))
+    cut = int(np.argmin((LOSS_OF_GOOD * lost + kept)[:-1]))
     weight = labelled.log_weight.to_numpy()
-    return float(weight[cut]) if cut < len(weight) else float(np.nextafter(weight[-1], np.inf))
+    return float(weight[cut] + weight[cut - 1]) / 2 if cut else -np.inf  # halfway to the best that goes
 
 
 def kth_largest(rows: DataFrame, key: str, k: int, bins: int = 4096) -> float:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from gridloom.operators import cleaning, edges, joins, kernels, profile, sessions
+from gridloom.operators import cleaning, devices, edges, joins, kernels, profile, sessions
 from gridloom.plans.disaggregate import disaggregate, edge_pairs
 from gridloom.sources import ingest
 from gridloom.sources.tables import GRID_SQL, HOLES_SQL, SERIES_SQL, dense_grid, power_series, read
@@ -429,4 +429,111 @@ def recurring_patterns(spark, sf_dir):
     return kernels.recurring(stats, ("avg_magnitude", "avg_duration", "n_events", "magnitude_cv")).select("house_id", "phase", "session", "cluster")
 
 
+# ---------------------------------------------------------------- devices and reports
+
+
+@query(f"""WITH {GRID_SQL}, b AS (SELECT house_id, phase, quantile_cont(watts, 0.05) AS base FROM g GROUP BY ALL),
+o AS (SELECT g.house_id, g.phase, m, watts - base AS above, m - row_number() OVER (PARTITION BY g.house_id, g.phase ORDER BY m) AS region FROM g JOIN b ON g.house_id = b.house_id AND g.phase = b.phase WHERE watts - base >= 300),
+d AS (SELECT *, quantile_cont(above, 0.5) OVER (PARTITION BY house_id, phase, region) AS md FROM o),
+x AS (SELECT *, CASE WHEN sign(above - md) <> lag(sign(above - md)) OVER (PARTITION BY house_id, phase, region ORDER BY m) THEN 1 ELSE 0 END AS crossed FROM d),
+r AS (SELECT house_id, phase, min(m) AS s, max(m) AS e, count(*) AS minutes, avg(above) AS a, max(above) AS mx, sum(above) / 60 AS wh, sum(crossed) AS crossings, stddev_pop(above) / avg(above) AS cv FROM x GROUP BY house_id, phase, region)
+SELECT house_id, phase, CAST(s AS BIGINT) AS "start", CAST(e AS BIGINT) AS "end", minutes, round(a, 4) AS avg_above, round(mx, 4) AS max_above, round(wh, 4) AS watt_hours, CAST(crossings AS BIGINT) AS crossings,
+  CASE WHEN minutes < 5 THEN 'spike' WHEN crossings >= 6 THEN 'cycling' WHEN cv < 0.15 THEN 'flat' ELSE 'gradual' END AS shape FROM r WHERE minutes BETWEEN 3 AND 1440""")
+def remaining_events(spark, sf_dir):
+    return rounded(devices.remaining_events(dense_grid(spark, sf_dir)))
+
+
+@query(USAGE_SQL + """ SELECT id, magnitude + 0.0 AS magnitude FROM (SELECT id, round(magnitude, 4) AS magnitude FROM u a WHERE duration >= 15 AND magnitude >= 1500 AND NOT EXISTS (
+  SELECT 1 FROM u b WHERE b.house_id = a.house_id AND b.phase = a.phase AND b.duration BETWEEN 3 AND 30 AND NOT (b.duration >= 15 AND b.magnitude >= 1500) AND abs(b.s - a.s) <= 1800))""")
+def isolated_boilers(spark, sf_dir):
+    return rounded(devices.boiler_candidates(usage(spark, sf_dir)).select("id", "magnitude"))
+
+
+BY_TYPE = USAGE_SQL.replace("'w' || CAST(user_id % 3 + 1 AS VARCHAR) AS phase", "event_type AS phase")
+
+
+def by_type(spark, sf_dir) -> DataFrame:
+    return usage(spark, sf_dir).withColumn("phase", F.col("event_type"))
+
+
+@query(BY_TYPE + """ SELECT a.id AS l_id, b.id AS r_id, least(a.e, b.e) - greatest(a.s, b.s) AS overlap FROM u a JOIN u b ON a.house_id = b.house_id AND a.phase < b.phase AND a.duration >= 15 AND b.duration >= 15
+  AND greatest(a.duration, b.duration) <= 2 * least(a.duration, b.duration) AND least(a.e, b.e) - greatest(a.s, b.s) >= 0.5 * least(a.duration, b.duration) * 60""")
+def simultaneous_runs(spark, sf_dir):
+    return devices.simultaneous(by_type(spark, sf_dir))
+
+
+@query(USAGE_SQL + """, t AS (SELECT *, event_type AS device_type, e AS fin, s // 86400 AS day FROM u), l AS (SELECT *, CASE WHEN lead(s) OVER (PARTITION BY house_id, device_type ORDER BY s, id) < fin THEN 1 ELSE 0 END AS o FROM t),
+p AS (SELECT device_type, max(n) / sum(n) AS share FROM (SELECT device_type, phase, count(*) AS n FROM t GROUP BY ALL) GROUP BY device_type)
+SELECT l.device_type, count(*) AS n_events, round(stddev_pop(magnitude) / avg(magnitude), 4) AS magnitude_cv, quantile_cont(duration, 0.25) AS q1, quantile_cont(duration, 0.75) AS q3, CAST(sum(o) AS BIGINT) AS n_overlaps, round(any_value(share), 4) AS main_phase_share,
+  round(count(DISTINCT day) / (SELECT count(DISTINCT day) FROM t), 4) AS temporal FROM l JOIN p ON l.device_type = p.device_type GROUP BY l.device_type""")
+def device_quality(spark, sf_dir):
+    found = devices.device_quality(usage(spark, sf_dir).withColumn("device_type", F.col("event_type")))
+    return found.select("device_type", "n_events", "q1", "q3", "n_overlaps", *[F.round(F.col(c) + NUDGE, 4).alias(c) for c in ("magnitude_cv", "main_phase_share", "temporal")])
+
+
+@query(f"""WITH {GRID_SQL}, a AS (SELECT house_id, phase, m, watts - lag(watts) OVER (PARTITION BY house_id, phase ORDER BY m) AS d FROM g),
+x AS (SELECT a.house_id, a.phase, k.lag, a.d, b.d AS past FROM a CROSS JOIN (SELECT CAST(range AS BIGINT) AS lag FROM range(3, 8)) k LEFT JOIN a b ON b.house_id = a.house_id AND b.phase = a.phase AND b.m = a.m - k.lag)
+SELECT house_id, phase, lag, round(corr(d, past), 4) AS correlation FROM x GROUP BY house_id, phase, lag""")
+def wave_autocorrelation(spark, sf_dir):
+    return rounded(devices.autocorrelation(dense_grid(spark, sf_dir), range(3, 8)))
+
+
+@query(f"""WITH {SERIES_SQL} SELECT house_id, {EPOCH.format("time_bucket(INTERVAL 12 HOUR, ts, TIMESTAMP '2024-01-01 06:00:00')")} AS segment, count(*) AS n, round(avg(watts), 4) AS avg_watts FROM s GROUP BY ALL""")
+def day_night_segments(spark, sf_dir):
+    slot = F.window("ts", "12 hours", "12 hours", "6 hours")
+    found = power_series(spark, sf_dir).groupBy("house_id", slot.alias("w")).agg(F.count("*").alias("n"), F.avg("watts").alias("avg_watts"))
+    return rounded(found.select("house_id", SEC("w.start").alias("segment"), "n", "avg_watts"))
+
+
+@query("""WITH d AS (SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY ALL)
+SELECT user_id, round(avg(n), 4) AS per_day, min(n) AS least, max(n) AS most, round(stddev_samp(n), 4) AS spread FROM d GROUP BY user_id""")
+def daily_stats(spark, sf_dir):
+    days = read(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
+    return rounded(days.groupBy("user_id").agg(F.avg("n").alias("per_day"), F.min("n").alias("least"), F.max("n").alias("most"), F.stddev_samp("n").alias("spread")))
+
+
+@query(USAGE_SQL + """, b AS (SELECT phase, CAST(floor(magnitude / 100) AS BIGINT) AS bucket, CAST((s // 3600) % 24 AS BIGINT) AS hour, s // 86400 AS day FROM u)
+SELECT phase, bucket, hour, count(*) AS n, count(DISTINCT day) AS days FROM b GROUP BY ALL HAVING count(DISTINCT day) >= 3""")
+def recurring_hours(spark, sf_dir):
+    at = F.col("start")
+    found = usage(spark, sf_dir).groupBy("phase", F.floor(F.col("magnitude") / 100).alias("bucket"), (F.floor(at / 3600) % 24).alias("hour")).agg(F.count("*").alias("n"), F.count_distinct(F.floor(at / 86_400)).alias("days"))
+    return found.where("days >= 3")
+
+
+@query(USAGE_SQL + """, c AS (SELECT iteration, count(*) AS n, sum(magnitude * duration / 60000) AS kwh FROM u GROUP BY iteration)
+SELECT iteration, n, round(kwh, 4) AS kwh, round(sum(kwh) OVER (ORDER BY iteration), 4) AS kwh_so_far, n - lag(n) OVER (ORDER BY iteration) AS n_more FROM c""")
+def iteration_progress(spark, sf_dir):
+    rounds = usage(spark, sf_dir).groupBy("iteration").agg(F.count("*").alias("n"), F.sum(F.col("magnitude") * F.col("duration") / 60_000).alias("kwh"))
+    w = W.orderBy("iteration")  # a row per iteration
+    return rounded(rounds.withColumn("kwh_so_far", F.sum("kwh").over(w)).withColumn("n_more", F.col("n") - F.lag("n").over(w)))
+
+
+@query(CANDIDATES_SQL + """ SELECT o.house_id, o.on_id FROM o WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.house_id = o.house_id AND v.phase = o.phase AND v.on_id = o.on_id)""")
+def unmatched_on(spark, sf_dir):
+    grid = dense_grid(spark, sf_dir)
+    on = edges.sharp_edges(grid, 800, order=("m",)).where("event = 'on'").select("house_id", "phase", F.concat_ws("-", "event", F.col("start").cast("string")).alias("on_id"))
+    return on.join(edge_pairs(grid, 800), ["house_id", "phase", "on_id"], "left_anti").select("house_id", "on_id")
+
+
+@query()
+def extended_tails(spark, sf_dir):
+    grid = dense_grid(spark, sf_dir)
+    return rounded(devices.extend_tails(edges.sharp_edges(grid, 800, order=("m",)).where("event = 'off'").drop("event", "n_rows"), grid))
+
+
+@query()
+def classified_runs(spark, sf_dir):
+    events = by_type(spark, sf_dir)
+    pairs = devices.simultaneous(events.where("magnitude >= 1500"))
+    three = pairs.select(F.explode(F.array("l_id", "r_id")).alias("id"))
+    minutes = events.withColumns({"start": F.col("start") / 60, "end": F.col("end") / 60}).select("house_id", "phase", "id", "start", "end", "magnitude")
+    cycling = kernels.cycling(minutes).where("sequence >= 0")
+    return devices.classify(events, devices.boiler_candidates(events), three, cycling).groupBy("device_type").agg(F.count("*").alias("n"))
+
+
+@query()
+def session_documents(spark, sf_dir):
+    return devices.session_documents(sessions.session_stats(sessioned(spark, sf_dir), ["house_id", "phase"]))
+
+
 FLAGSHIP = session_stats

@@ -21,7 +21,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-#: Added before rounding, so that halves, which two engines may reach from either side, go up in both.
+#: Added before rounding, so that halves, which two engines may reach from either side, go up in both
+#: (and 0.0 after it, for there is a negative zero).
 NUDGE = 1e-7
 
 
@@ -29,14 +30,14 @@ def query(sql: str | None = None):
     def register(f):
         QUERIES[f.__name__] = f
         if sql:
-            ORACLE_SQL[f.__name__] = sql.replace(", 4)", f" + {NUDGE}, 4)")  # all of them are of round()
+            ORACLE_SQL[f.__name__] = sql.replace(", 4)", f" + {NUDGE}, 4) + 0.0")  # all of them are of round()
         return f
 
     return register
 
 
 def rounded(df: DataFrame) -> DataFrame:
-    return df.select(*[F.round(F.col(n) + NUDGE, 4).alias(n) if t == "double" else F.col(n).cast("long").alias(n) if t == "int" else F.col(n) for n, t in df.dtypes])
+    return df.select(*[(F.round(F.col(n) + NUDGE, 4) + 0.0).alias(n) if t == "double" else F.col(n).cast("long").alias(n) if t == "int" else F.col(n) for n, t in df.dtypes])
 
 
 SEC = lambda c: F.unix_timestamp(c)
@@ -468,7 +469,7 @@ SELECT l.device_type, count(*) AS n_events, round(stddev_pop(magnitude) / avg(ma
   round(count(DISTINCT day) / (SELECT count(DISTINCT day) FROM t), 4) AS temporal FROM l JOIN p ON l.device_type = p.device_type GROUP BY l.device_type""")
 def device_quality(spark, sf_dir):
     found = devices.device_quality(usage(spark, sf_dir).withColumn("device_type", F.col("event_type")))
-    return found.select("device_type", "n_events", "q1", "q3", "n_overlaps", *[F.round(F.col(c) + NUDGE, 4).alias(c) for c in ("magnitude_cv", "main_phase_share", "temporal")])
+    return found.select("device_type", "n_events", "q1", "q3", "n_overlaps", *[(F.round(F.col(c) + NUDGE, 4) + 0.0).alias(c) for c in ("magnitude_cv", "main_phase_share", "temporal")])
 
 
 @query(f"""WITH {GRID_SQL}, a AS (SELECT house_id, phase, m, watts - lag(watts) OVER (PARTITION BY house_id, phase ORDER BY m) AS d FROM g),

@@ -106,31 +106,33 @@ class Items:
     def search(self, words: list[str]) -> dict[int, tuple[float, int]]:
         """Item -> (best similarity, first such window's start)."""
         out: dict[int, tuple[float, int]] = {}
-        found = self.shared(words)
-        for n, (own, near) in self.by_length.items() if found else ():
-            width, size = min(WIDTH, n), min(n, len(words))  # a text shorter than the item is one window
-            places, last = found.get(width), len(words) - size
-            if not places:
-                continue
-            starts = sorted({s for p in places for s in range(max(0, p - (size - width)), min(p, last) + 1)})
-            for run in np.split(np.array(starts), np.flatnonzero(np.diff(starts) > 1) + 1):
-                self._windows(words, size, width, own, near, run, out)
+        longest = int(self.lengths.max(initial=0))
+        for width, places in self.shared(words).items():
+            for run in np.split(np.array(places), np.flatnonzero(np.diff(places) > longest) + 1):
+                self._region(words, width, int(run[0]), int(run[-1]), longest, out)
         return out
 
-    def _windows(self, words, n, width, own, near, run, out) -> None:
-        first, count = int(run[0]), n - width + 1
-        pieces = shingles(words[first : int(run[-1]) + n], width)
+    def _region(self, words, width, first, last, longest, out) -> None:
+        """All windows that hold one of the shared shingles at the places first..last."""
+        low = max(0, first - longest)
+        pieces = shingles(words[low : last + longest + width], width)
         weights = np.array([[self.weight(s)] for s in pieces])
         sums = np.concatenate([np.zeros((1, 64)), np.cumsum(_bits(pieces) * weights, axis=0)])
-        marks = _pack(sums[count : count + len(run)] - sums[: len(run)])
-        hit = near[np.arange(BLOCKS)[None, :], marks].any(axis=1)  # window by item: some block is near
-        for w, i in zip(*np.nonzero(hit), strict=True):
-            item = int(own[i])
-            if np.bitwise_count(marks[w] ^ self.marks[item]).sum() > RADIUS:
+        for n, (own, near) in self.by_length.items():
+            size = min(n, len(words))  # a text shorter than the item is one window
+            if min(WIDTH, n) != width or size < width:
                 continue
-            similarity = self.similarity(Counter(pieces[w : w + count]), item)
-            if similarity >= SIMILARITY and similarity > out.get(item, (0.0, 0))[0]:
-                out[item] = (similarity, first + int(w))
+            count = size - width + 1
+            start, stop = max(0, first - count + 1), min(last, len(words) - size) + 1
+            marks = _pack(sums[start - low + count : stop - low + count] - sums[start - low : stop - low])
+            hit = near[np.arange(BLOCKS)[None, :], marks].any(axis=1)  # window by item: some block is near
+            at, item = np.nonzero(hit)
+            close = np.bitwise_count(marks[at] ^ self.marks[own[item]]).sum(axis=1) <= RADIUS
+            for w, i in zip(at[close].tolist(), own[item[close]].tolist(), strict=True):
+                bag = Counter(pieces[start - low + w : start - low + w + count])
+                similarity = self.similarity(bag, i)
+                if similarity >= SIMILARITY and similarity > out.get(i, (0.0, 0))[0]:
+                    out[i] = (similarity, start + w)
 
 
 def _parts(benchmark: DataFrame) -> Iterator[Broadcast]:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 from functools import lru_cache
 
 import numpy as np
@@ -29,17 +30,30 @@ def public_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level tokenizers write for each byte: printable ones stand for themselves,
+    the others follow in order from U+0100."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
+
+
+BYTE_LETTERS = _byte_letters()
+
+
 class _Memo(dict):
-    """piece -> its ids as little-endian unsigned 32-bit integers; emptied when it holds ``most``."""
+    """piece -> its ids as little-endian unsigned 32-bit integers; emptied when it holds ``most``.
+    A piece goes to the tokenizer's model alone: normalising and splitting are done."""
 
     def __init__(self, tokenizer, most: int):
         super().__init__()
-        self.tokenizer, self.most = tokenizer, most
+        self.model, self.most = tokenizer.model, most
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= self.most:
             self.clear()
-        self[piece] = ids = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+        found = self.model.tokenize(piece.encode().decode("latin-1").translate(BYTE_LETTERS))
+        self[piece] = ids = struct.pack(f"<{len(found)}I", *[t.id for t in found])
         return ids
 
 

@@ -72,3 +72,20 @@ def merge_pairs(events: DataFrame, keys: tuple[str, ...], gap: float = 1) -> Dat
     place = F.row_number().over(W.partitionBy(*keys, "chain").orderBy("at", "id")) - 1
     rows = rows.withColumn("pair", F.floor(place / 2))
     return rows.groupBy(*keys, "kind", "chain", "pair").agg(F.min("at").alias("start"), F.max("at").alias("end"), F.sum("magnitude").alias("magnitude"), F.count("*").alias("n_merged")).drop("chain", "pair")
+
+
+def near_threshold(grid: DataFrame, edges: DataFrame, threshold: float, share: float = 0.85, reach: int = 3) -> DataFrame:
+    """Rises of ``share`` to 1 times the threshold outside of every ON edge that reach the threshold when
+    up to ``reach`` minutes before or after are added: the smallest extension, the earlier of two.
+    (keys, start, end, magnitude) by minute."""
+    w = by(*SERIES, order=("m",))
+    rows = with_diff(grid, order=("m",))
+    net = F.array(*[
+        F.struct(F.lit(b + a).alias("size"), F.lit(a).alias("after"), F.lit(b).alias("before"), (F.lead("watts", a).over(w) - F.lag("watts", b + 1).over(w)).alias("magnitude"))
+        for b in range(reach + 1) for a in range(reach + 1)
+    ])
+    rows = rows.withColumn("net", net).where((F.col("diff") >= share * threshold) & (F.col("diff") < threshold))
+    best = F.array_min(F.filter("net", lambda x: x["magnitude"] >= threshold))
+    on = edges.where("event = 'on'").select(*SERIES, F.explode(F.sequence("start", "end")).alias("m"))
+    found = rows.join(on, [*SERIES, "m"], "left_anti").withColumn("best", best).where("best is not null")
+    return found.select(*SERIES, (F.col("m") - F.col("best.before")).alias("start"), (F.col("m") + F.col("best.after")).alias("end"), F.col("best.magnitude").alias("magnitude"))

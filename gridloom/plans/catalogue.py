@@ -537,4 +537,26 @@ def session_documents(spark, sf_dir):
     return devices.session_documents(sessions.session_stats(sessioned(spark, sf_dir), ["house_id", "phase"]))
 
 
+@query(GRID_EDGES.replace("800", "1700").replace("640", "1360") + """, k AS (SELECT CAST(b.range AS INTEGER) AS b, CAST(a.range AS INTEGER) AS a FROM range(4) b, range(4) a),
+miss AS (SELECT d.*, (SELECT count(*) FROM edges e WHERE e.event = 'on' AND e.house_id = d.house_id AND e.phase = d.phase AND d.m BETWEEN e."start" AND e."end") AS covered FROM d WHERE diff >= 1445 AND diff < 1700),
+x AS (SELECT y.house_id, y.phase, y.m, k.b, k.a, hi.watts - lo.watts AS magnitude, row_number() OVER (PARTITION BY y.house_id, y.phase, y.m ORDER BY k.a + k.b, k.a) AS nth
+  FROM miss y CROSS JOIN k JOIN g hi ON hi.house_id = y.house_id AND hi.phase = y.phase AND hi.m = y.m + k.a JOIN g lo ON lo.house_id = y.house_id AND lo.phase = y.phase AND lo.m = y.m - 1 - k.b WHERE covered = 0 AND hi.watts - lo.watts >= 1700)
+SELECT house_id, phase, CAST(m - b AS BIGINT) AS "start", CAST(m + a AS BIGINT) AS "end", round(magnitude, 4) AS magnitude FROM x WHERE nth = 1""")
+def near_threshold_edges(spark, sf_dir):
+    grid = dense_grid(spark, sf_dir)
+    return rounded(edges.near_threshold(grid, edges.sharp_edges(grid, 1700, order=("m",)), 1700))
+
+
+@query()
+def merged_split_offs(spark, sf_dir):
+    grid = dense_grid(spark, sf_dir)
+    return rounded(kernels.split_offs(grid, edges.sharp_edges(grid, 250, order=("m",)).drop("n_rows")))
+
+
+@query()
+def settled_edges(spark, sf_dir):
+    grid = dense_grid(spark, sf_dir)
+    return rounded(kernels.settled(grid, edges.sharp_edges(grid, 600, order=("m",)).drop("n_rows")))
+
+
 FLAGSHIP = session_stats

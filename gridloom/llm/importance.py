@@ -130,9 +130,12 @@ class Sampler:
 
         @F.pandas_udf("n_features long, log_weight double")
         def weight(texts: pd.Series) -> pd.DataFrame:
-            found = [features(t) for t in texts]
-            table = shared.value
-            return pd.DataFrame({"n_features": [len(x) for x in found], "log_weight": [REFERENCE * float(table[x].sum()) / (len(x) + SHRINK) for x in found]})
+            table, sizes, weights = shared.value, [], []
+            for text in texts:  # one document's features at a time
+                found = features(text)
+                sizes.append(len(found))
+                weights.append(REFERENCE * float(table[found].sum()) / (len(found) + SHRINK))
+            return pd.DataFrame({"n_features": sizes, "log_weight": weights})
 
         return weight(text_col)
 

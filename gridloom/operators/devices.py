@@ -86,13 +86,13 @@ def device_quality(events: DataFrame) -> DataFrame:
     duration quartiles, and runs that start before the one before ends."""
     w = W.partitionBy("house_id", "device_type").orderBy("start", "id")
     rows = events.withColumn("overlaps", (F.lead("start").over(w) < F.col("end")).cast("long")).withColumn("day", F.floor(F.col("start") / 86_400))
-    days = rows.agg(F.count_distinct("day").alias("all_days"))
+    days = rows.agg(F.count_distinct("day")).first()[0]
     phases = rows.groupBy("device_type", "phase").agg(F.count("*").alias("n")).groupBy("device_type").agg((F.max("n") / F.sum("n")).alias("main_phase_share"))
     found = rows.groupBy("device_type").agg(
         F.count("*").alias("n_events"), F.count_distinct("day").alias("days"), (F.stddev_pop("magnitude") / F.avg("magnitude")).alias("magnitude_cv"),
         F.percentile("duration", F.lit(0.25)).alias("q1"), F.percentile("duration", F.lit(0.75)).alias("q3"), F.coalesce(F.sum("overlaps"), F.lit(0)).alias("n_overlaps"),
     )
-    return found.join(phases, "device_type").crossJoin(F.broadcast(days)).withColumn("temporal", F.col("days") / F.col("all_days")).drop("days", "all_days")
+    return found.join(phases, "device_type").withColumn("temporal", F.col("days") / F.lit(float(max(days, 1)))).drop("days")
 
 
 def autocorrelation(grid: DataFrame, lags: range) -> DataFrame:

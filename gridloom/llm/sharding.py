@@ -2,9 +2,10 @@
 
 Rows with equal texts are linked through their group (a hub), so a group costs one row per member,
 not one per pair. Linked rows start on shards by hash. In each round every group counts its members
-by shard; members ask to move to the shard with room that holds most of the group, and a shard
-admits requests with the probability room / requests, so that quotas hold in expectation. After the
-rounds, shards over their exact quota give rows up; these and all unlinked rows fill what is left.
+by shard; the shards that hold most of it, as many as its size needs, are its homes, and members
+elsewhere ask to move to a home with room, or else to the fullest other shard with room. A shard
+admits requests with the probability room / requests, those of large groups first, so that quotas
+hold in expectation. After the rounds, shards over their exact quota give rows up; these and all unlinked rows fill what is left.
 Law ``rows``: row counts of any two shards differ by at most one.
 """
 
@@ -42,25 +43,39 @@ def _by_shard(values: list[float]) -> F.Column:
     return F.element_at(F.array(*[F.lit(float(v)) for v in values]), F.col("to") + 1)
 
 
+def _odds(room: list[float], wanted: dict[int, float]) -> list[float]:
+    return [min(1.0, r / wanted[s]) if wanted.get(s) else 0.0 for s, r in enumerate(room)]
+
+
 def _propagate(linked: DataFrame, quota: list[int], turn: int) -> DataFrame:
     group = ["g1", "g2"]
-    held = work_table(linked.groupBy(*group, "shard").agg(F.count("*").alias("n")), "held")
+    held = work_table(linked.groupBy(*group, "shard").agg(F.count("*").alias("n"), F.first("members").alias("members")), "held")
     load = {r.shard: r.n for r in held.groupBy("shard").agg(F.sum("n").alias("n")).collect()}  # a row per shard
-    room = [max(0, q - load.get(s, 0)) for s, q in enumerate(quota)]
+    room = [float(max(0, q - load.get(s, 0))) for s, q in enumerate(quota)]
     open_ = F.element_at(F.array(*[F.lit(r > 0) for r in room]), F.col("shard") + 1)
-    place = F.struct("n", F.xxhash64("g1", "shard").alias("tie"), "shard")
-    best = held.where(open_).groupBy(*group).agg(F.max(place).alias("best"))
-    asks = work_table(held.join(best, group).where((F.col("shard") != F.col("best.shard")) & (F.col("best") > place)).select(*group, "shard", "n", F.col("best.shard").alias("to")), "asks")
-    wanted = {r.to: r.n for r in asks.groupBy("to").agg(F.sum("n").alias("n")).collect()}
-    odds = _by_shard([min(1.0, r / wanted.get(s, 1)) if r else 0.0 for s, r in enumerate(room)])
-    small = F.col("n") <= max(1, min(quota) // 20)  # such a part of a group moves whole, a larger one row by row
-    asks = asks.select(*group, "shard", "to", odds.alias("odds"), small.alias("whole"))
-    taken = F.when(F.col("whole"), _chance("g1", "shard", F.lit(turn))).otherwise(_chance("uid", F.lit(turn))) < F.col("odds")
-    moved = linked.join(asks, [*group, "shard"], "left").withColumn("shard", F.when(F.coalesce(taken, F.lit(False)), F.col("to")).otherwise(F.col("shard")))
-    return work_table(moved.drop("to", "odds", "whole"), "moved")
-
-
-def balanced_shards(docs: DataFrame, shards: int = 40, rounds: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    order = W.partitionBy(*group).orderBy(F.desc("n"), F.xxhash64("g1", "shard"), "shard")  # at most a row per shard
+    home = F.col("rank") <= F.ceil(F.col("members") / max(1, min(quota)))
+    ranked = held.withColumn("rank", F.row_number().over(order)).withColumn("home", home).withColumn("open", open_)
+    goals = ranked.groupBy(*group).agg(
+        F.sort_array(F.collect_list(F.when(F.col("home") & F.col("open"), F.col("shard")))).alias("homes"),
+        F.min(F.when(~F.col("home") & F.col("open"), F.struct("rank", "shard"))).alias("next"),
+    )
+    spare = F.when(F.col("next.rank") < F.col("rank"), F.array("next.shard")).otherwise(F.array().cast("array<int>"))
+    asks = ranked.where(~F.col("home")).join(goals, group).withColumn("goals", F.when(F.size("homes") > 0, F.col("homes")).otherwise(spare)).where(F.size("goals") > 0)
+    large = F.col("members") > max(1, min(quota) // 20)  # such a group moves row by row, a smaller part of a group whole
+    asks = work_table(asks.select(*group, "shard", "n", "goals", large.alias("large")), "asks")
+    wants = asks.select("large", (F.col("n") / F.size("goals")).alias("n"), F.explode("goals").alias("to")).groupBy("large", "to").agg(F.sum("n").alias("n")).collect()  # two rows per shard
+    wanted = {big: {r.to: r.n for r in wants if r.large == big} for big in (True, False)}
+    first = _odds(room, wanted[True])  # large groups fill shards before small ones
+    second = _odds([max(0.0, r - first[s] * wanted[True].get(s, 0.0)) for s, r in enumerate(room)], wanted[False])
+    goal = F.element_at("goals", F.pmod(F.xxhash64("uid", F.lit(turn)), F.size("goals")).cast("int") + 1)
+    moved = linked.join(asks.drop("n"), [*group, "shard"], "left").withColumn("to", goal)
+    taken = F.when(F.col("large"), _chance("uid", F.lit(turn)) < _by_shard(first)).otherwise(_chance("g1", "shard", F.lit(turn)) < _by_shard(second))
+    moved = moved.withColumn("shard", F.when(F.col("to").isNotNull() & taken, F.col("to")).otherwise(F.col("shard")))
+    return work_table(moved.drop("to", "goals", "large"), "moved")
+
+
+def balanced_shards(docs: DataFrame, shards: int = 40, rounds: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, size, text_crc32, g1, g2, shard, slot), one row per input row.
 
     size: UTF-8 bytes plus 16. A null text counts as empty (size 16, crc 0) and is linked to empty

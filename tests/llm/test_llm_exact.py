@@ -12,7 +12,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from gridloom.llm import decontaminate, html_text, importance, lm_score, near_copies, packing, simhash, token_files, tokens, url_filter
+from gridloom.llm import decontaminate, html_text, importance, lm_score, near_copies, packing, sharding, simhash, token_files, tokens, url_filter
 
 SF = "/root/testdata/sf0.001"
 
@@ -230,3 +230,16 @@ def test_near_copy_groups_against_all_pairs(spark, texts):
                 low, high = sorted((root[i], root[j]))
                 root = {k: low if v == high else v for k, v in root.items()}
     assert left == set(root.values())
+
+
+def test_shards_are_even_and_keep_groups_together(spark):
+    rows = [(i, "hot") for i in range(330)] + [(1000 + i, f"group {i // 5}") for i in range(400)] + [(5000 + i, f"alone {i}") for i in range(275)]
+    got = sharding.balanced_shards(spark.createDataFrame(rows, "doc_id long, text string"), shards=10).toPandas()
+    sizes = got.groupby("shard").size()
+    assert len(sizes) == 10 and sizes.max() - sizes.min() <= 1
+    for _, of in got.groupby("shard"):
+        assert sorted(of.slot) == list(range(len(of)))
+    spans = got.groupby(["g1", "g2"]).shard.nunique()
+    members = got.groupby(["g1", "g2"]).size()
+    assert (spans[members == 5] == 1).mean() > 0.8
+    assert spans[members == 330].iloc[0] <= 5  # four at least

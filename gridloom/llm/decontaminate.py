@@ -31,7 +31,7 @@ from gridloom.llm.work import rows_of, table
 WIDTH = 5
 SIMILARITY = 0.8
 RADIUS = 20
-BLOCKS, BLOCK_BITS = 8, 8
+BLOCKS = 8  # of eight bits each
 #: Text of items held in each task at once; a larger benchmark runs in as many parts as it takes.
 PART_BYTES = 8_000_000
 WORD = re.compile(r"[^\W_]+")

@@ -27,7 +27,10 @@ from pyspark.sql import functions as F
 from gridloom.llm.work import rows_of, table
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg select option object".split())
+#: Elements whose inside is not markup: skipped to their end tag.
+RAW = frozenset("script style noscript textarea title iframe".split())
+#: Elements with markup inside that is never content; they close like any other, with their parent at the latest.
+HOLLOW = frozenset("template svg select option object".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var br wbr img input".split())
 #: Elements whose start ends an open paragraph.
 ENDS_P = frozenset("address article aside blockquote center details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
@@ -50,7 +53,7 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """Block nodes (parents before children) and the page's text as (node, raw text of one block)."""
     nodes, blocks, stack = [Node("html", -1, ())], [], [("html", 0)]
     held: list[str] = []
-    at, links = 0, 0
+    at, links, hollow = 0, 0, 0
 
     def flush() -> None:
         if held:
@@ -61,7 +64,7 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
         return next(n for _, n in reversed(stack) if n >= 0)
 
     def add(text: str) -> None:
-        if text:
+        if text and not hollow:
             held.append(text)
             n = len(text) - text.count(" ")
             node = nodes[stack_node()]
@@ -70,10 +73,18 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 node.links += n
 
     def pop_to(depth: int) -> None:
-        nonlocal links
+        nonlocal links, hollow
         while len(stack) > depth:
             tag, _ = stack.pop()
             links -= tag == "a"
+            hollow -= tag in HOLLOW
+
+    def leave_for(tag: str) -> None:
+        """A block's start closes an open svg (but not inside its foreignObject) and an option outside a select."""
+        first = next(d for d, (t, _) in enumerate(stack) if t in HOLLOW)
+        inside = [t for t, _ in stack[first:]]
+        if tag in ENDS_P and (inside[0] == "option" or (inside[0] == "svg" and "foreignobject" not in inside)):
+            pop_to(first)
 
     while m := TAG.search(html, at):
         add(html[at : m.start()])
@@ -85,21 +96,35 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
             depth = next((d for d in range(len(stack) - 1, 0, -1) if stack[d][0] == tag), 0)
             if depth:
                 if tag not in INLINE:
-                    flush()
+                    if any(n >= 0 for _, n in stack[depth:]):
+                        flush()
                     pop_to(depth)
                 elif all(n < 0 for _, n in stack[depth:]):  # an inline end never closes a block
                     pop_to(depth)
             continue
+        if hollow:
+            leave_for(tag)
+        empty = m[3].endswith("/")
         if tag in RAW:
+            if empty and any(t == "svg" for t, _ in stack):
+                continue
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
             at = end.end() if end else len(html)
             continue
+        if hollow or tag in HOLLOW:
+            if tag == "option" and (d := next((d for d in range(len(stack) - 1, 0, -1) if stack[d][0] in ("option", "select", "datalist")), 0)) and stack[d][0] == "option":
+                pop_to(d)
+            if tag not in VOID and not empty:
+                stack.append((tag, -1))
+                links += tag == "a"
+                hollow += tag in HOLLOW
+            continue
         if tag in INLINE or tag in VOID:
             if tag == "br":
                 held.append(" ")
             elif tag == "hr":
                 flush()
-            elif tag not in VOID and not m[3].endswith("/"):
+            elif tag not in VOID and not empty:
                 stack.append((tag, -1))
                 links += tag == "a"
             continue
@@ -116,7 +141,7 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 break
         names = tuple(dict.fromkeys(p.lower() for g in NAMES.findall(m[3]) for p in PART.findall("".join(g)))) if m[3] else ()
         nodes.append(Node(tag, stack_node(), names))
-        if not m[3].endswith("/"):
+        if not empty:
             stack.append((tag, len(nodes) - 1))
     add(html[at:])
     flush()

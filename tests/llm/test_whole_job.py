@@ -1,8 +1,9 @@
 """Cases that an operator once cut short: long batches, odd pages, large buckets, benchmarks in parts."""
 
 import numpy as np
+import pytest
 
-from gridloom.llm import lm_score
+from gridloom.llm import html_text, lm_score
 
 
 def test_lm_lanes_hold_every_token_once():
@@ -24,3 +25,29 @@ def test_lm_learns_from_the_shortest_document_of_a_long_batch(spark):
         rows = [(d.astype("<u2").tobytes(),) for d in [*docs, last]]
         found.append(lm_score._average(spark, spark.createDataFrame(rows, "ids binary").coalesce(1), start, 0.02))
     assert np.abs(found[0] - found[1]).max() > 0
+
+
+@pytest.mark.parametrize(
+    "before",
+    [
+        '<svg class="icon"/>',
+        "<div><svg><path d='m'></div>",
+        "<svg><title/><path d='m'><p>start</p>",
+        "<div><svg><g><text>drawn</text></g></svg></div>",
+        "<datalist><option value=a><option value=b></datalist>",
+        "<form><select><option>gone<option>gone too</select></form>",
+        "<form><select><optgroup><option>gone</form>",
+        "<option>gone",
+        "<div><object data=x><p>gone</p></div>",
+        "<div><template><p>gone</p></div>",
+    ],
+)
+def test_html_text_after_hollow_elements_is_kept(before):
+    _, blocks = html_text.parse(f"<body>{before}<article><p>kept <b>words</b></p><p>more</p></article></body>")
+    text = " ".join(t for _, t in blocks)
+    assert "kept words" in text and "more" in text and "gone" not in text and "drawn" not in text
+
+
+def test_html_hollow_elements_do_not_split_a_block():
+    _, blocks = html_text.parse("<p>one <svg><g><br><text>no</text></g></svg>two <a href=x><svg></a>three</p><p>four")
+    assert [t for _, t in blocks] == ["one two three", "four"]

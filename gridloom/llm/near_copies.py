@@ -9,8 +9,11 @@ the verified pairs.
 
 A band's bucket of up to ALL_PAIRS different texts gives all its pairs. In a larger bucket every text is
 held against two leaders: the most central one (whose buckets are the largest over all bands: for
-edited copies of one source that is the source) and one by hash. So rows grow with the members, not
-with their pairs; copies of a text are one node from the start.
+edited copies of one source that is the source) and one by hash. Then leaders are elected anew, MORE
+times as many a round, among the members that were none, and held against those that no verified
+link has joined to them, until every bucket's members are one group or each was held against all
+others. So rows grow with the members where copies are alike, and no pair of a bucket is left out that
+could join two groups; copies of a text are one node from the start.
 """
 
 from __future__ import annotations
@@ -29,6 +32,7 @@ from gridloom.llm.work import rows_of, work_table
 
 BANDS, ROWS = 16, 4
 ALL_PAIRS = 8
+MORE = 4
 _rng = np.random.default_rng(5)
 MULTIPLY = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 ADD = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -55,8 +59,13 @@ def jaccard(a: str | None, b: str | None, width: int = 5) -> float:
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
-def _bucket_pairs(nodes: DataFrame) -> DataFrame:
-    """(a, b): pairs of nodes to verify, from their bands."""
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def _bucket_pairs(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a, b): pairs of nodes to verify, from their bands; and (band, key, node): the members of large
+    buckets that were no leaders."""
     member = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     sizes = member.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
     member = work_table(member.join(sizes, ["band", "key"]), "members")
@@ -67,7 +76,26 @@ def _bucket_pairs(nodes: DataFrame) -> DataFrame:
     leaders = large.groupBy("band", "key").agg(F.max(F.struct("weight", "node")).alias("central"), F.min(F.struct(F.xxhash64("node", "band").alias("h"), "node")).alias("chosen"))
     leaders = leaders.select("band", "key", F.explode(F.array("central.node", "chosen.node")).alias("b"))
     led = large.select("band", "key", F.col("node").alias("a")).join(leaders, ["band", "key"]).where("a <> b")
-    return pairs.unionAll(led.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+    left = large.select("band", "key", "node").join(leaders.withColumnRenamed("b", "node"), ["band", "key", "node"], "left_anti")
+    return pairs.unionAll(_ordered(led)).distinct(), work_table(left, "left-members")
+
+
+def _undecided(left: DataFrame, roots: DataFrame) -> DataFrame:
+    """(band, key, node, root, n): the members of buckets that still hold more than one group."""
+    member = left.join(roots, "node", "left").select("band", "key", "node", F.coalesce("root", "node").alias("root"))
+    several = member.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high")
+    return work_table(member.join(several.select("band", "key", "n"), ["band", "key"]), "undecided")
+
+
+def _next_pairs(member: DataFrame, leaders: int, turn: int) -> tuple[DataFrame, DataFrame]:
+    """As _bucket_pairs, for about ``leaders`` members of every bucket; all, if it has no more."""
+    drawn = F.xxhash64("node", "band", F.lit(turn))
+    member = member.withColumn("drawn", F.pmod(drawn, F.ceil(F.col("n") / leaders)) == 0)
+    least = member.groupBy("band", "key").agg(F.min(F.struct(drawn.alias("h"), "node")).alias("k")).select("band", "key", F.col("k.node").alias("node"), F.lit(True).alias("least"))
+    member = work_table(member.join(least, ["band", "key", "node"], "left").withColumn("leads", F.col("drawn") | F.coalesce("least", F.lit(False))), "elected")
+    leader = member.where("leads").select("band", "key", F.col("node").alias("b"), F.col("root").alias("b_root"))
+    held = member.select("band", "key", F.col("node").alias("a"), "root").join(leader, ["band", "key"]).where("root <> b_root")
+    return _ordered(held).distinct(), member.where("not leads").select("band", "key", "node")
 
 
 def _simhash_pairs(nodes: DataFrame) -> DataFrame:
@@ -100,9 +128,10 @@ def near_copy_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, i
     sketched = work_table(rows.select(F.col("doc_id").cast("long"), *keys, "text").mapInPandas(sketch, kind), "sketches")
     nodes = sketched.groupBy("node").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands"))
     nodes = work_table(nodes, "nodes")
-    pairs = work_table(_bucket_pairs(nodes).unionAll(_simhash_pairs(nodes)).distinct(), "pairs")
+    pairs, left = _bucket_pairs(nodes)
+    pairs = work_table(pairs.unionAll(_simhash_pairs(nodes)).distinct(), "pairs")
 
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()  # all members of large buckets among them
     holder = sketched.join(asked, "node", "left_semi").groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("k")).select("node", "k.k1", "k.k2")
     texts = rows.select(*keys, "text").join(holder, ["k1", "k2"]).groupBy("node").agg(F.min("text").alias("text"))
     texts = work_table(texts, "candidate-texts")
@@ -111,9 +140,21 @@ def near_copy_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, i
     def similar(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([jaccard(x, y, width) for x, y in zip(a, b, strict=True)], dtype="float64")
 
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
-    linked = both.where(similar("x", "y") >= similarity).select("a", "b")
+    def verified(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
+        return work_table(both.where(similar("x", "y") >= similarity).select("a", "b"), "verified")
+
+    linked, turn = verified(pairs), 0
     roots = connected_components(linked)
+    while not (open_members := _undecided(left, roots)).isEmpty():
+        turn += 1
+        more, left = _next_pairs(open_members, 2 * MORE**turn, turn)
+        more = work_table(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
+        pairs = pairs.unionAll(more)
+        found = verified(more)
+        if not found.isEmpty():
+            linked = linked.unionAll(found)
+            roots = connected_components(linked)
     return sketched.select("k1", "k2", "doc_id", "node").join(roots, "node", "left").select("k1", "k2", "doc_id", F.coalesce("root", "node").alias("group"))
 
 

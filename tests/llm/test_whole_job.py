@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from gridloom.llm import html_text, lm_score
+from gridloom.llm import html_text, lm_score, near_copies
 
 
 def test_lm_lanes_hold_every_token_once():
@@ -51,3 +51,23 @@ def test_html_text_after_hollow_elements_is_kept(before):
 def test_html_hollow_elements_do_not_split_a_block():
     _, blocks = html_text.parse("<p>one <svg><g><br><text>no</text></g></svg>two <a href=x><svg></a>three</p><p>four")
     assert [t for _, t in blocks] == ["one two three", "four"]
+
+
+def test_near_copies_of_an_absent_source(spark):
+    rng = np.random.default_rng(6)
+    source = [f"w{x}" for x in rng.integers(0, 5000, 300)]
+    texts = {}
+    for i in range(150):
+        words = list(source)
+        for at in rng.choice(300, rng.integers(3, 10), replace=False):
+            words[at] = f"edit{rng.integers(0, 10**9)}"
+        texts[i] = " ".join(words)
+    keys = {i: near_copies.bands(t) for i, t in texts.items()}
+    root = {i: i for i in texts}
+    for i in texts:
+        for j in range(i):  # all pairs of a bucket
+            if root[i] != root[j] and any(x == y for x, y in zip(keys[i], keys[j], strict=True)) and near_copies.jaccard(texts[i], texts[j]) >= 0.8:
+                low, high = sorted((root[i], root[j]))
+                root = {k: low if v == high else v for k, v in root.items()}
+    left = near_copies.one_of_each(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    assert {r.doc_id for r in left.select("doc_id").collect()} == set(root.values())

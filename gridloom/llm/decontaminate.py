@@ -18,6 +18,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -26,7 +27,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.work import rows_of, table
+from gridloom.llm.work import rows_of, table, work_table
 
 WIDTH = 5
 SIMILARITY = 0.8
@@ -48,9 +49,13 @@ def shingles(words: list[str], width: int = WIDTH) -> list[str]:
     return [" ".join(words[i : i + width]) for i in range(len(words) - width + 1)]
 
 
+def hash_of(shingle: str) -> int:
+    return xxhash.xxh64_intdigest(shingle.encode("utf-8", "surrogatepass"), 42)
+
+
 def _bits(of: list[str]) -> np.ndarray:
     """+1 and -1 by bit of each shingle's hash."""
-    hashes = np.array([xxhash.xxh64_intdigest(s.encode("utf-8", "surrogatepass"), 42) for s in of], np.uint64)
+    hashes = np.array([hash_of(s) for s in of], np.uint64)
     return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float64) * 2 - 1
 
 
@@ -58,16 +63,31 @@ def _pack(sums: np.ndarray) -> np.ndarray:
     return np.packbits(sums > 0, axis=-1, bitorder="little")
 
 
+class Spread(NamedTuple):
+    """In how many items of the whole benchmark a shingle is: the number of items, and the sorted hashes and
+    numbers of the shingles in two or more. A shingle in one item weighs what one in none does."""
+
+    items: int
+    hashes: np.ndarray
+    numbers: np.ndarray
+
+    def weight(self, shingle: str) -> float:
+        h = np.uint64(hash_of(shingle))
+        at = np.searchsorted(self.hashes, h)
+        return math.log1p(self.items / (int(self.numbers[at]) if at < len(self.hashes) and self.hashes[at] == h else 1))
+
+
 class Items:
-    """Benchmark items, ready to be searched."""
+    """Benchmark items, ready to be searched. ``whole``: the spread of shingles where these are a part only."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], whole: Spread | None = None):
         known = [(i, w) for i, w in ((i, words_of(t)) for i, t in items) if w]
         self.ids = [i for i, _ in known]
         self.bags = [Counter(shingles(w)) for _, w in known]
         self.lengths = np.array([len(w) for _, w in known], np.int64)
         spread = Counter(s for bag in self.bags for s in bag)
-        self.weights = {s: math.log1p(len(known) / n) for s, n in spread.items()}
+        self.whole = whole
+        self.weights = {s: whole.weight(s) if whole else math.log1p(len(known) / n) for s, n in spread.items()}
         self.other = math.log1p(len(known))  # the weight of a shingle that no item has
         self.starts: dict[str, set[str]] = defaultdict(set)  # first word -> shingles; short items have shorter ones
         for s in self.weights:
@@ -83,7 +103,10 @@ class Items:
             self.by_length[int(n)] = (own, near)  # near[block, value, item]
 
     def weight(self, shingle: str) -> float:
-        return self.weights.get(shingle, self.other)
+        found = self.weights.get(shingle)
+        if found is None:
+            return self.whole.weight(shingle) if self.whole else self.other
+        return found
 
     def similarity(self, bag: Counter, item: int) -> float:
         """Weighted Jaccard of two multisets of shingles."""
@@ -135,14 +158,29 @@ class Items:
                     out[i] = (similarity, start + w)
 
 
+def _spread(items: DataFrame) -> Spread:
+    """Counted by Spark over all ``items``; twelve bytes for every shingle of two or more items are held."""
+
+    @F.pandas_udf("array<long>")
+    def hashes(texts: pd.Series) -> pd.Series:
+        return pd.Series([[h - (1 << 63) for h in {hash_of(s) for s in shingles(words_of(t))}] for t in texts])
+
+    hashed = work_table(items.select(hashes("text").alias("hashes")).where(F.size("hashes") > 0), "item-shingles")
+    shared = hashed.select(F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").cast("int").alias("n")).where("n > 1").toPandas()
+    shared = shared.sort_values("h")
+    return Spread(hashed.count(), shared.h.to_numpy(np.int64).view(np.uint64) ^ np.uint64(1 << 63), shared.n.to_numpy(np.int32))
+
+
 def _parts(benchmark: DataFrame) -> Iterator[Broadcast]:
-    """The benchmark in parts of about PART_BYTES, each shared with all tasks."""
+    """The benchmark in parts of about PART_BYTES, each shared with all tasks; every part comes with the
+    spread of shingles over all of them."""
     items = rows_of(benchmark, item_id="item_id", text="text").where("text is not null and item_id is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
     parts = max(1, -(-size // PART_BYTES))
+    whole = _spread(items) if parts > 1 else None
     for part in range(parts):
         held = items.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == part).select("item_id", "text").collect()  # about PART_BYTES
-        yield benchmark.sparkSession.sparkContext.broadcast(sorted((int(r.item_id), r.text) for r in held))
+        yield benchmark.sparkSession.sparkContext.broadcast((sorted((int(r.item_id), r.text) for r in held), whole))
 
 
 def _found(shared: Broadcast, text: F.Column | str) -> F.Column:
@@ -150,7 +188,7 @@ def _found(shared: Broadcast, text: F.Column | str) -> F.Column:
 
     @F.pandas_udf("array<struct<item_id: long, similarity: double, start_word: long, n_words: long>>")
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known = Items(shared.value)
+        known = Items(*shared.value)
         for texts in batches:
             found = [known.search(words_of(t)) for t in texts]
             yield pd.Series([[{"item_id": known.ids[i], "similarity": s, "start_word": at, "n_words": int(known.lengths[i])} for i, (s, at) in sorted(f.items())] for f in found])

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from gridloom.llm import html_text, lm_score, near_copies
+from gridloom.llm import decontaminate, html_text, lm_score, near_copies
 
 
 def test_lm_lanes_hold_every_token_once():
@@ -71,3 +71,22 @@ def test_near_copies_of_an_absent_source(spark):
                 root = {k: low if v == high else v for k, v in root.items()}
     left = near_copies.one_of_each(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
     assert {r.doc_id for r in left.select("doc_id").collect()} == set(root.values())
+
+
+def test_decontamination_is_the_same_in_parts(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    common = [" ".join(f"c{x}" for x in rng.integers(0, 999, 12)) for _ in range(4)]
+    own = lambda n: " ".join(f"o{x}" for x in rng.integers(0, 10**6, n))
+    items = [(i, f"{own(9)} {common[i % 4]} {own(9)}") for i in range(40)]
+    docs = []
+    for i, text in items:
+        for at in (1, 3, 5, 12, 27):
+            words = text.split()
+            words[at] = "changed"
+            docs.append((len(docs), f"{own(5)} {' '.join(words)} {common[(i + 1) % 4]}"))
+    docs = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    benchmark = spark.createDataFrame(items, "item_id long, text string").coalesce(1)
+    find = lambda: sorted(tuple(r) for r in decontaminate.contaminated(docs, benchmark).collect())
+    whole = find()
+    monkeypatch.setattr(decontaminate, "PART_BYTES", 2500)
+    assert whole and find() == whole

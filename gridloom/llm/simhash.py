@@ -5,18 +5,23 @@ of every segment, kept as a thermometer code (0 -> 00, 1 -> 01, 2 -> 11), so tha
 distance of two embeddings is the number of differing bits of their codes. It never exceeds the
 Hamming distance of the fingerprints.
 
-Range join under Manhattan distance ``radius``: the 32 coordinates form ``radius + 3`` groups. A
-pair within the radius differs in at most ``radius`` groups, so it shares at least three whole ones:
-the cells of the grids over every choice of three groups meet every pair (20 grids for radius 3).
-Inside a cell the Manhattan distance prunes, then the Hamming distance decides.
+Range join under Manhattan distance ``radius``: the 32 coordinates form ``radius + shared`` groups. A
+pair within the radius differs in at most ``radius`` groups, so it shares at least ``shared`` whole
+ones: the cells of the grids over every choice of that many groups meet every pair. More groups mean
+finer cells and more grids (radius 3: 10 grids of some 2**19 cells, 20 of 2**24, 56 of 2**30, 220 of
+2**36); the number follows from the number of distinct fingerprints, so that cells stay small at any
+size, and never changes which pairs are found. Inside a cell the Manhattan distance prunes, then the
+Hamming distance decides.
 
 Cells with more than ``HOT`` distinct fingerprints are dealt into blocks; every pair of blocks is a
-small task row of its own that returns only a spanning forest of its links. So a dense group costs
-no row per pair, and no cell is collected whole. Equal fingerprints are merged before anything else.
+small task row of its own that returns only a spanning forest of its links. So no cell is collected
+whole; a member of a cell of m fingerprints takes part in m / HOT such rows. Equal fingerprints are
+merged before anything else.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -28,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from gridloom.llm.graph import connected_components
-from gridloom.llm.work import rows_of, table, work_table
+from gridloom.llm.work import join_hot, rows_of, table, work_table
 
 SEED = 42
 HOT = 64
@@ -83,10 +88,19 @@ def thermometer(fp: Column) -> Column:
     return one.bitwiseOR(F.shiftleft(two, 1))
 
 
-def grid_masks(radius: int) -> list[int]:
-    """For every choice of three of ``radius + 3`` groups of segments, the bits of their codes."""
-    groups = [sum(0b11 << (2 * int(s)) for s in part) for part in np.array_split(range(32), radius + 3)]
-    return [signed(sum(groups[g] for g in three)) for three in combinations(range(radius + 3), 3)]
+def shared_groups(n: int, radius: int) -> int:
+    """How many groups a cell shares, so that ``n`` fingerprints fill it with about four or fewer: a
+    segment's count tells one and a half bits."""
+    for shared in (2, 3, 5, 9):
+        if 48 * shared / (radius + shared) >= math.log2(max(n, 1)) - 2:
+            return shared
+    return 12
+
+
+def grid_masks(radius: int, shared: int = 3) -> list[int]:
+    """For every choice of ``shared`` of ``radius + shared`` groups of segments, the bits of their codes."""
+    groups = [sum(0b11 << (2 * int(s)) for s in part) for part in np.array_split(range(32), radius + shared)]
+    return [signed(sum(groups[g] for g in some)) for some in combinations(range(radius + shared), shared)]
 
 
 def _forest(block: np.ndarray, radius: int) -> list[tuple[int, int]]:
@@ -110,10 +124,12 @@ def _forest(block: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return out
 
 
-def links(unique: DataFrame, radius: int = 3) -> DataFrame:
+def links(unique: DataFrame, radius: int = 3, shared_of: int | None = None) -> DataFrame:
     """``unique`` (fp, distinct) -> (a, b): links whose components are those of all pairs within
-    ``radius``. Cells of at most HOT fingerprints give all their pairs, larger ones a forest."""
-    cells = F.array(*[F.struct(F.lit(k).alias("grid"), F.col("code").bitwiseAND(F.lit(m)).alias("cell")) for k, m in enumerate(grid_masks(radius))])
+    ``radius``. Cells of at most HOT fingerprints give all their pairs, larger ones a forest.
+    ``shared_of`` sets the number of groups that a cell shares; else shared_groups() does."""
+    masks = grid_masks(radius, shared_of or shared_groups(unique.count(), radius))
+    cells = F.array(*[F.struct(F.lit(k).alias("grid"), F.col("code").bitwiseAND(F.lit(m)).alias("cell")) for k, m in enumerate(masks)])
     keyed = unique.select("fp", thermometer(F.col("fp")).alias("code")).select("fp", "code", F.inline(cells))
     sizes = keyed.groupBy("grid", "cell").agg(F.count("*").alias("n")).where("n > 1")
     shared = work_table(keyed.join(sizes, ["grid", "cell"]), "cells")
@@ -147,13 +163,13 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, id_col: st
     Other columns of the input are ignored.
     """
     prints = work_table(fingerprints(docs, width, id_col, text_col), "fingerprints")
-    unique = work_table(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "unique")
+    unique = work_table(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "unique")
     roots = connected_components(links(unique.select("fp"), radius))
-    linked = roots.select(F.col("node").alias("fp"), "root").join(unique, "fp")
-    tops = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = linked.join(tops, "root").select("fp", "component_id")
-    named = unique.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    linked = work_table(roots.select(F.col("node").alias("fp"), "root").join(unique.drop("n"), "fp"), "linked")
+    tops = work_table(linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")), "tops")
+    named = join_hot(linked, tops, ["root"], linked.count()).select("fp", "component_id")
+    named = unique.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), "n")
+    return join_hot(prints, work_table(named, "named"), ["fp"], prints.count()).select("doc_id", "fp", "component_id")
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:

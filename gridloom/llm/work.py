@@ -52,5 +52,14 @@ def partitions_for(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def to_double(c):
-    return F.col(c).cast("double")
+def join_hot(rows: DataFrame, facts: DataFrame, on: list[str], total: int, n: str = "n") -> DataFrame:
+    """Inner join of ``rows`` (about ``total``) to ``facts``, unique in ``on``, where column ``n`` of
+    ``facts`` is about the number of ``rows`` that have the key.
+
+    Keys of a thousandth of all rows or more, of which there can be about a thousand, are broadcast; the
+    rest is a shuffle join in which no key is large. ``n`` is dropped.
+    """
+    limit = max(1000, total // 1000)
+    hot = F.broadcast(facts.where(F.col(n) >= limit).drop(n))
+    cold = rows.join(F.broadcast(facts.where(F.col(n) >= limit).select(*on)), on, "left_anti")
+    return rows.join(hot, on).unionByName(cold.join(facts.where(F.col(n) < limit).drop(n), on))

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from gridloom.llm import decontaminate, html_text, lm_score, near_copies
+from gridloom.llm import decontaminate, graph, html_text, lm_score, near_copies, simhash
 
 
 def test_lm_lanes_hold_every_token_once():
@@ -90,3 +90,39 @@ def test_decontamination_is_the_same_in_parts(spark, monkeypatch):
     whole = find()
     monkeypatch.setattr(decontaminate, "PART_BYTES", 2500)
     assert whole and find() == whole
+
+
+def shuffled(n):
+    return np.random.default_rng(9).permutation(n).tolist()
+
+
+@pytest.mark.parametrize("order", [range(4000), range(3999, -1, -1), shuffled(4000)], ids=["up", "down", "shuffled"])
+def test_components_of_a_long_path_take_few_rounds(spark, monkeypatch, order):
+    turns, hooks = [], graph._hooks
+    monkeypatch.setattr(graph, "_hooks", lambda pairs, total, turn: turns.append(turn) or hooks(pairs, total, turn))
+    nodes = list(order)
+    found = graph.connected_components(spark.createDataFrame(list(zip(nodes, nodes[1:], strict=False)), "a long, b long").coalesce(1)).collect()
+    assert len(found) == 4000 and {r.root for r in found} == {0} and len(turns) <= 9
+
+
+def test_components_of_stars_and_repeated_pairs(spark, monkeypatch):
+    turns, hooks = [], graph._hooks
+    monkeypatch.setattr(graph, "_hooks", lambda pairs, total, turn: turns.append(turn) or hooks(pairs, total, turn))
+    pairs = [(5000, i) for i in range(3000)] + [(6000, 6000 + i) for i in range(3000)] + [(7, 7), (None, 3), (3, None), (20001, 20000), (20000, 20001)]
+    found = {r.node: r.root for r in graph.connected_components(spark.createDataFrame(pairs, "a long, b long").coalesce(1)).collect()}
+    want = {i: 0 for i in [*range(3000), 5000]} | {6000 + i: 6000 for i in range(3000)} | {20000: 20000, 20001: 20000}
+    assert found == want and len(turns) <= 3
+    assert graph.connected_components(spark.createDataFrame([(None, 1), (2, 2)], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("shared", [2, 3, 5, 9])
+def test_every_grid_meets_every_pair_within_the_radius(shared):
+    rng = np.random.default_rng(shared)
+    masks = simhash.grid_masks(3, shared)
+    code = lambda x: ((x | x >> 1) & simhash.LOW) | ((x & x >> 1 & simhash.LOW) << 1)
+    for _ in range(300):
+        a = int(rng.integers(0, 1 << 63))
+        b = a
+        for bit in rng.choice(64, 3, replace=False):
+            b ^= 1 << int(bit)
+        assert any(code(a) & (m & (1 << 64) - 1) == code(b) & (m & (1 << 64) - 1) for m in masks)

@@ -1,13 +1,16 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions only.
 
-Rules are predicates over measures of a text. On a sample the cascade estimates each rule's cost
-(seconds) and selectivity (share rejected), orders the rules by rejection per cost, and evaluates
-them as one CASE, which stops at the first rule that rejects. The order changes what is computed
-first, never which rows are kept.
+A rule is a predicate over measures of a text; a measure is SQL over the text and its words. On a random
+sample the cascade times every rule on raw texts and counts what it rejects, orders the rules by
+rejection per cost, and evaluates them as one CASE. A measure is written into the branches that ask
+for it and nowhere else, so a rejected text never pays for the rules behind: the repeated 8-word
+windows, by far the dearest measure, are only looked for in texts that every cheaper rule passed.
+The order changes what is computed, never which rows are kept.
 """
 
 from __future__ import annotations
 
+import math
 import time
 from dataclasses import dataclass
 
@@ -16,119 +19,160 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.work import table, work_table
 
-WHITE = r"[\x20\x09-\x0D]+"
-WORD_CHAR = r"[^\x20\x09-\x0D]"
-SYMBOLS = "#*$%&|<>"
 WINDOW = 8
-
-
-def _kept_chars(pattern: str) -> Column:
-    """How many characters of the text are left when ``pattern`` is removed."""
-    return F.char_length(F.regexp_replace("text", pattern, ""))
-
-
-def _repeat_words() -> Column:
-    """Words inside 8-word windows that occur twice or more in the same text.
-
-    Windows compare by the 64-bit hash of their word list. Only a text with an equal pair is
-    sorted: equal neighbours in (hash, place) order are the repeated windows, and one pass over
-    their places adds up the words they cover.
-    """
-    return F.expr(
-        f"""
-        CASE WHEN size(array_distinct(windows)) = size(windows) THEN 0L ELSE element_at(transform(
-          array(sort_array(transform(windows, (h, i) -> struct(h AS h, i AS place)))),
-          s -> aggregate(
-            array_sort(filter(
-              transform(s, (x, i) -> CASE WHEN (i > 0 AND s[i - 1].h = x.h) OR (i < size(s) - 1 AND s[i + 1].h = x.h) THEN x.place END),
-              place -> place IS NOT NULL)),
-            named_struct('words', 0L, 'upto', 0),
-            (sum, place) -> named_struct('words', sum.words + place + {WINDOW} - greatest(place, sum.upto), 'upto', place + {WINDOW}),
-            sum -> sum.words)), 1) END"""
-    ).cast("long")
-
-
-def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, row, uid),
-    one row per input row; ``row`` is the input row as a struct, whatever its columns are called.
-    A null text has no words and no lines."""
-    rows = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    rows = rows.withColumn("words", F.array_remove(F.split("text", WHITE), ""))
-    rows = rows.withColumn("lines", F.filter(F.split("text", "\n"), lambda line: line.rlike(WORD_CHAR)))
-    windows = f"CASE WHEN size(words) < {WINDOW} THEN array() ELSE transform(sequence(1, size(words) - {WINDOW - 1}), i -> xxhash64(slice(words, i, {WINDOW}))) END"
-    rows = rows.withColumn("windows", F.expr(windows).cast("array<long>"))
-    return rows.select(
-        "doc_id",
-        "text",
-        F.size("words").cast("long").alias("n_words"),
-        F.char_length(F.array_join("words", "")).cast("long").alias("word_chars"),
-        _kept_chars(f"[^{SYMBOLS}]+").cast("long").alias("n_symbols"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        _repeat_words().alias("n_repeat_words"),
-        F.size("lines").cast("long").alias("n_lines"),
-        "row",
-        F.monotonically_increasing_id().alias("uid"),
-    )
+SAMPLE_ROWS = 1000
+WORDS = r"array_remove(split({t}, '[\\x20\\x09-\\x0D]+'), '')"
+_lines = r"filter(split({t}, '\n'), line -> line RLIKE '[^\\x20\\x09-\\x0D]')"
+_left = "CAST(char_length(regexp_replace({t}, '{x}', '')) AS BIGINT)"  # characters left when a pattern is removed
+
+#: Words inside 8-word windows that occur twice or more in the same text. Windows compare by the 64-bit
+#: hash of their word list (in a text of a million words two different ones meet with probability 3e-8).
+#: Only a text with an equal pair is sorted: equal neighbours in (hash, place) order are the repeated
+#: windows, and one pass over their places adds up the words they cover.
+_repeats = f"""element_at(transform(
+  array(CASE WHEN size({{w}}) < {WINDOW} THEN CAST(array() AS ARRAY<BIGINT>) ELSE transform(sequence(1, size({{w}}) - {WINDOW - 1}), i -> xxhash64(slice({{w}}, i, {WINDOW}))) END),
+  windows -> CASE WHEN size(array_distinct(windows)) = size(windows) THEN 0L ELSE element_at(transform(
+    array(sort_array(transform(windows, (h, i) -> struct(h AS h, i AS place)))),
+    s -> aggregate(
+      array_sort(filter(
+        transform(s, (x, i) -> CASE WHEN (i > 0 AND s[i - 1].h = x.h) OR (i < size(s) - 1 AND s[i + 1].h = x.h) THEN x.place END),
+        place -> place IS NOT NULL)),
+      named_struct('words', 0L, 'upto', 0),
+      (sum, place) -> named_struct('words', sum.words + place + {WINDOW} - greatest(place, sum.upto), 'upto', place + {WINDOW}),
+      sum -> sum.words)), 1) END), 1)"""
+
+#: Measure -> SQL over {t}, the text, and {w}, the array of its words.
+MEASURES = {
+    "n_words": "CAST(size({w}) AS BIGINT)",
+    "word_chars": "CAST(char_length(array_join({w}, '')) AS BIGINT)",
+    "n_symbols": _left.replace("{x}", "[^#*$%&|<>]+"),
+    "n_lines": f"CAST(size({_lines}) AS BIGINT)",
+    "n_dup_lines": f"element_at(transform(array({_lines}), l -> CAST(size(l) - size(array_distinct(l)) AS BIGINT)), 1)",
+    "n_repeat_words": _repeats,
+    "n_exclamations": _left.replace("{x}", "[^!]+"),
+    "n_upper": _left.replace("{x}", r"[^\\p{Lu}]+"),
+    "n_letters": _left.replace("{x}", r"[^\\p{L}]+"),
+}
+#: What op7's contract returns of every text, rejected or not.
+REPORTED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def measure(name: str, text: str, words: str) -> str:
+    return MEASURES[name].replace("{t}", text).replace("{w}", words)
 
 
 @dataclass(frozen=True)
 class Rule:
-    """``rejects``: SQL predicate over the columns of measures()."""
+    """``rejects``: SQL predicate over measures, written in angle brackets."""
 
     name: str
     rejects: str
 
+    def sql(self, text: str, words: str, known: tuple[str, ...] = ()) -> str:
+        """The predicate, with measures written out; those in ``known`` are columns already."""
+        out = self.rejects
+        for name in MEASURES:
+            out = out.replace(f"<{name}>", name if name in known else f"({measure(name, text, words)})")
+        return out
+
 
 #: Production rules of the method. Shares are of words, lines or letters of the whole text.
 RULES = (
-    Rule("symbols", "n_symbols > 0.1 * n_words"),
-    Rule("long_words", "word_chars > 40 * n_words"),
-    Rule("repeated_lines", "n_dup_lines > 0.4 * n_lines"),
-    Rule("exclamations", "char_length(regexp_replace(text, '[^!]+', '')) > 0.5 * n_words"),
-    Rule("shouting", "char_length(regexp_replace(text, '[^\\\\p{Lu}]+', '')) > 0.5 * char_length(regexp_replace(text, '[^\\\\p{L}]+', '')) AND char_length(regexp_replace(text, '[^\\\\p{L}]+', '')) >= 20"),
+    Rule("symbols", "<n_symbols> > 0.1 * <n_words>"),
+    Rule("long_words", "<word_chars> > 40 * <n_words>"),
+    Rule("repeated_lines", "<n_dup_lines> > 0.4 * <n_lines>"),
+    Rule("exclamations", "<n_exclamations> > 0.5 * <n_words>"),
+    Rule("shouting", "<n_letters> >= 20 AND <n_upper> > 0.5 * <n_letters>"),
 )
-BASE = Rule("base", "n_words < 20 OR 100 * n_repeat_words > 30 * n_words")
-#: For filtering a corpus: as BASE, but a short clean text stays, and a line that a short text repeats.
-STAGE_BASE = Rule("base", "n_words = 0 OR (n_words >= 40 AND 100 * n_repeat_words > 30 * n_words)")
+BASE = (Rule("few_words", "<n_words> < 20"), Rule("repeats", "100 * <n_repeat_words> > 30 * <n_words>"))
+#: For filtering a corpus: a short clean text stays, and so does a line that a text of under 40 words
+#: says twice; a short text that is one sentence over and over goes.
+STAGE_BASE = (Rule("no_words", "<n_words> = 0"), Rule("repeats", "100 * <n_repeat_words> > CASE WHEN <n_words> < 40 THEN 60 ELSE 30 END * <n_words>"))
+
+
+def _cased(rules: list[Rule], text: str, words: str, known: tuple[str, ...] = ()) -> str:
+    """The name of the first rule that rejects the text, else null."""
+    return "CASE " + " ".join(f"WHEN {r.sql(text, words, known)} THEN '{r.name}'" for r in rules) + " END"
+
+
+def first_failed(rules: list[Rule], text: str = "text") -> str:
+    """SQL: the first rule that rejects ``text``, else null. Words are bound once; measures are written
+    out inside the branches."""
+    return f"element_at(transform(array({WORDS.replace('{t}', text)}), words -> {_cased(rules, text, 'words')}), 1)"
+
+
+def _seconds(sample: DataFrame, predicate: Column) -> float:
+    """The least of three runs over the sample."""
+    best = math.inf
+    for _ in range(3):
+        began = time.perf_counter()
+        sample.agg(F.count_if(predicate)).collect()
+        best = min(best, time.perf_counter() - began)
+    return best
 
 
 def ordered(rules: tuple[Rule, ...], sample: DataFrame) -> list[Rule]:
-    """Rules by share rejected per second on ``sample`` (columns of measures()), best first; ties by name."""
-    rates = sample.agg(*[F.avg(F.expr(r.rejects).cast("int")).alias(f"r{i}") for i, r in enumerate(rules)]).first()
+    """Rules by share rejected per cost on ``sample`` (text), best first.
+
+    The cost is the time of the whole rule from raw texts, less that of a rule that does nothing, to
+    the nearest power of two and not under 1/64 s, below which a job's time tells nothing: so the order
+    is the same from run to run unless costs are close to a power's edge. Ties go by cost, then name.
+    """
+    rejected = sample.agg(*[F.avg(F.expr(f"CASE WHEN {first_failed([r])} IS NULL THEN 0 ELSE 1 END")).alias(f"r{i}") for i, r in enumerate(rules)]).first()
+    idle = _seconds(sample, F.expr("char_length(text) < 0"))
     rank = []
     for i, rule in enumerate(rules):
-        began = time.perf_counter()
-        sample.agg(F.count_if(F.expr(rule.rejects))).collect()
-        rank.append((-(rates[i] or 0.0) / max(time.perf_counter() - began, 1e-6), rule.name, rule))
-    return [rule for *_, rule in sorted(rank, key=lambda x: x[:2])]
+        seconds = max(_seconds(sample, F.expr(f"{first_failed([rule])} IS NOT NULL")) - idle, 1 / 64)
+        cost = 2.0 ** round(math.log2(seconds))
+        rank.append((-(rejected[i] or 0.0) / cost, cost, rule.name, rule))
+    return [rule for *_, rule in sorted(rank, key=lambda x: x[:3])]
+
+
+def order_for(docs: DataFrame, rules: tuple[Rule, ...], text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
+    """The order of ``rules`` on a random sample of about ``sample_rows`` rows, which only bounds what the
+    order is estimated from."""
+    texts = docs.select(F.coalesce(docs[text_col], F.lit("")).alias("text"))
+    share = min(1.0, sample_rows / max(docs.count(), 1))
+    return ordered(rules, work_table(texts.sample(share, seed=7).coalesce(1), "rule-sample"))
+
+
+def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text, words, and the REPORTED measures), one row per input row. A null text has no words
+    and no lines. Repeated rows and null ids stay; other columns are ignored."""
+    rows = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
+    rows = rows.withColumn("words", F.expr(WORDS.replace("{t}", "text")))
+    return rows.select("doc_id", "text", "words", *[F.expr(measure(m, "text", "words")).alias(m) for m in REPORTED])
 
 
-def cascade(measured: DataFrame, rules: tuple[Rule, ...] = RULES, first: Rule = BASE, sample_rows: int = 1000) -> DataFrame:
-    """Adds ``failed``: the first rule that rejects the row (``first`` before all others), else null.
+def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: tuple[Rule, ...] = BASE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, the REPORTED measures, base_failed, failed): ``failed`` is the first rule of the cascade
+    that rejects the text (base rules among them), else null.
 
-    ``sample_rows`` only bounds the sample from which the order of rules is estimated. Predicates
-    that are null count as not rejecting. An empty table gives an empty result.
+    The reported measures are computed for every row, as they are returned; those that only rules ask for
+    are computed in their branches. Long texts are judged whole; a null or empty text has no words. An
+    empty table gives no rows.
     """
-    sample = work_table(measured.drop("row").limit(sample_rows), "rule-sample")
-    failed = F.when(F.expr(first.rejects), F.lit(first.name))
-    for rule in ordered(rules, sample):
-        failed = failed.when(F.expr(rule.rejects), F.lit(rule.name))
-    return measured.withColumn("failed", failed)
+    order = order_for(docs, (*base, *rules), text_col)
+    found = measures(docs, id_col, text_col)
+    failed = F.expr(_cased(order, "text", "words", REPORTED))
+    base_failed = F.expr(" OR ".join(r.sql("text", "words", REPORTED) for r in base))
+    return found.select("doc_id", *REPORTED, base_failed.alias("base_failed"), failed.alias("failed"))
 
 
-def passing(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that no rule rejects, for filtering a corpus.
+def passing(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: tuple[Rule, ...] = STAGE_BASE) -> DataFrame:
+    """The rows of ``docs`` (text and any other columns) that no rule rejects, for filtering a corpus.
 
-    The filter also reads the non-deterministic ``uid``, so Catalyst keeps it above the measures
-    instead of computing them again inside the predicate.
+    One predicate over the raw text, in the measured order. Every column returns as it was; null and
+    wordless texts go; repeated rows are judged each by itself.
     """
-    return cascade(measures(docs), first=STAGE_BASE).where("failed is null and uid >= 0").select("row.*")
+    order = order_for(docs, (*base, *rules))
+    text = "coalesce(text, '')"
+    return docs.where(F.expr(f"{first_failed(order, text)} IS NULL"))
 
 
 def op7_quality_rules(spark, sf_dir: str) -> DataFrame:
-    found = cascade(measures(table(spark, sf_dir, "documents")))
-    base = F.expr(BASE.rejects)
-    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), F.col("failed").isNull().alias("kept"))
+    """Base measures and the cascade's verdict of every row of ``documents``."""
+    return judged(table(spark, sf_dir, "documents")).withColumn("kept", F.col("failed").isNull()).drop("failed")
 
 
 OP7_SQL = """

@@ -96,7 +96,7 @@ def test_quality_classifier(docs, none, labels):
 
 
 def test_quality_rules(docs, none):
-    out = counted(docs, none, lambda d: quality_rules.cascade(quality_rules.measures(d)))
+    out = counted(docs, none, quality_rules.judged)
     assert {r.n_words for r in out if r.doc_id in (2, 3, 4, 9)} == {0}
     assert quality_rules.passing(docs).columns == docs.columns
     repeated = [r.n_repeat_words for r in out if r.doc_id == 7]

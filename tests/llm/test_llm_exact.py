@@ -1,12 +1,15 @@
 """Operators against brute force, round trips and held-out accuracy."""
 
 import math
+import re
+import unicodedata
 import zlib
 from collections import Counter
 from functools import cache
 from io import BytesIO
 from itertools import product
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -14,7 +17,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from gridloom.llm import decontaminate, html_text, importance, lm_score, near_copies, packing, sharding, simhash, token_files, tokens, url_filter
+from gridloom.llm import decontaminate, html_text, importance, lm_score, near_copies, packing, quality_rules, queries, sharding, simhash, token_files, tokens, url_filter
 
 SF = "/root/testdata/sf0.001"
 
@@ -274,3 +277,57 @@ def test_shards_cut_little_more_than_they_must(spark, sizes):
     assert sorted(got.groupby("shard").size()) == [6] * 4
     pieces = got.groupby(["g1", "g2"]).shard.nunique().sum()
     assert pieces <= least_cut(sizes, (6, 6, 6, 6)) + 1
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_same_as_sql(spark, name):
+    duck = duckdb.connect()
+    for t in ("documents", "pages"):
+        duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    ours, theirs = queries.QUERIES[name](spark, SF).toPandas(), duck.execute(queries.ORACLE_SQL[name]).df()
+    columns = sorted(ours.columns)
+    assert columns == sorted(theirs.columns)
+    plain = lambda f: sorted(map(repr, f[columns].astype(object).where(f[columns].notna(), None).values.tolist()))
+    assert plain(ours) == plain(theirs)
+
+
+def fails_stage(text):
+    """Rules of the pipeline's stage, plainly."""
+    white = " \t\n\x0b\x0c\r"
+    words = [w for w in re.split(f"[{white}]+", text) if w]
+    windows = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
+    seen = Counter(windows)
+    covered = {i + k for i, w in enumerate(windows) if seen[w] > 1 for k in range(8)}
+    lines = [x for x in text.split("\n") if x.strip(white)]
+    letters = [c for c in text if unicodedata.category(c)[0] == "L"]
+    upper = [c for c in letters if unicodedata.category(c) == "Lu"]
+    n = len(words)
+    return (
+        n == 0 or 100 * len(covered) > (60 if n < 40 else 30) * n or sum(c in "#*$%&|<>" for c in text) > 0.1 * n or sum(map(len, words)) > 40 * n
+        or len(lines) - len(set(lines)) > 0.4 * len(lines) or text.count("!") > 0.5 * n or (len(letters) >= 20 and len(upper) > 0.5 * len(letters))
+    )
+
+
+def test_passing_keeps_what_plain_rules_keep(spark):
+    texts = pd.read_parquet("/root/testdata/sf0.01/documents.parquet").set_index("doc_id").text.to_dict()
+    texts |= {-1: "same eight words in a row come here " * 4, -2: "", -3: "!" * 9, -4: None, -5: "a line\n\na line\nother", -6: "x" * 90}
+    frame = spark.createDataFrame([(i, t, i) for i, t in texts.items()], "doc_id long, text string, words long")
+    got = quality_rules.passing(frame)
+    assert {r.doc_id for r in got.collect()} == {i for i, t in texts.items() if not fails_stage(t or "")}
+    assert got.columns == frame.columns
+
+
+def test_cascade_stops_at_the_first_rule_that_rejects(spark):
+    rules = [quality_rules.Rule("all", "<n_words> >= 0"), quality_rules.Rule("never", "raise_error('reached') IS NULL")]
+    frame = spark.createDataFrame([("some words",), ("",)], "text string")
+    failed = frame.selectExpr(f"{quality_rules.first_failed(rules)} AS f")
+    assert [r.f for r in failed.collect()] == ["all", "all"]
+    with pytest.raises(Exception, match="reached"):
+        frame.selectExpr(f"{quality_rules.first_failed(rules[::-1])} AS f").collect()
+
+
+def test_cascade_computes_windows_in_branches_only(spark):
+    plan = quality_rules.passing(spark.read.parquet(f"{SF}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("xxhash64(slice") <= 2 and "Project" not in plan  # one filter over the scan, no column of windows below it
+    order = quality_rules.order_for(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), (*quality_rules.STAGE_BASE, *quality_rules.RULES))
+    assert len(order) == 7

@@ -2,13 +2,15 @@
 
 Words are runs of letters and digits of the lower-cased text. A window has as many words as the
 item it is held against. Windows and items have 64-bit SimHash fingerprints of their weighted 5-word
-shingles. Items are found by multi-index Hamming blocks: eight blocks of eight bits; a fingerprint
-within RADIUS of an item differs from it in some block by at most RADIUS // 8 bits, so probing the
-blocks within that many bits misses none. What is found is verified by the exact weighted Jaccard
-similarity of the shingle multisets (0.8 or more).
-
-Windows that share no shingle with any item have similarity 0, so only windows around shared
-shingles are fingerprinted; no window that could pass is left out.
+shingles. Items are found by multi-index Hamming blocks: a fingerprint within RADIUS of an item differs
+from it in some of the BLOCKS by at most RADIUS // BLOCKS bits, so probing every block's hash table at
+the values within that many bits of the window's misses none. What is found is verified by the exact
+weighted Jaccard similarity of the shingle multisets (0.8 or more).
+
+An addition to the method, which costs no result: windows that share no shingle with any item have
+similarity 0, so only windows around shared shingles are fingerprinted. A radius of 20 of 64 bits, which
+similarity 0.8 needs, makes the tables probe many values and admit about half of the items of a length;
+the shared shingles keep the number of windows small.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import reduce
+from itertools import combinations
 from typing import NamedTuple
 
 import numpy as np
@@ -32,7 +35,15 @@ from gridloom.llm.work import rows_of, table, work_table
 WIDTH = 5
 SIMILARITY = 0.8
 RADIUS = 20
-BLOCKS = 8  # of eight bits each
+#: Bits of each block: 64 in seven, which are probed within two bits like eight would be, at fewer values.
+BLOCKS = (10, 9, 9, 9, 9, 9, 9)
+#: Words with shared shingles that are looked at together, so that a task's memory is bounded by this and by the
+#: longest item, however long the text. Windows over an edge are judged twice.
+STRETCH = 8192
+#: What to flip in a block to get every value within reach.
+FLIPS = [[sum(some) for n in range(RADIUS // len(BLOCKS) + 1) for some in combinations([1 << b for b in range(bits)], n)] for bits in BLOCKS]
+#: Pairs of a window and an item that are held against each other at once.
+PAIRS = 1 << 19
 #: Text of items held in each task at once; a larger benchmark runs in as many parts as it takes.
 PART_BYTES = 8_000_000
 WORD = re.compile(r"[^\W_]+")
@@ -63,6 +74,46 @@ def _pack(sums: np.ndarray) -> np.ndarray:
     return np.packbits(sums > 0, axis=-1, bitorder="little")
 
 
+def _fold(marks: np.ndarray) -> np.ndarray:
+    """Packed fingerprints (n, 8) as unsigned numbers."""
+    return np.ascontiguousarray(marks).view("<u8").reshape(-1)
+
+
+def _block(prints: np.ndarray, k: int) -> np.ndarray:
+    return (prints >> np.uint64(sum(BLOCKS[:k]))) & np.uint64((1 << BLOCKS[k]) - 1)
+
+
+class Tables:
+    """Fingerprints of some items by block: value -> items, as sorted lists with the place of each value."""
+
+    def __init__(self, prints: np.ndarray):
+        self.prints, self.order, self.starts = prints, [], []
+        for k, bits in enumerate(BLOCKS):
+            values = _block(prints, k)
+            order = np.argsort(values, kind="stable")
+            self.order.append(order)
+            self.starts.append(np.searchsorted(values[order], np.arange((1 << bits) + 1, dtype=np.uint64)))
+
+    def near(self, k: int, value: int) -> np.ndarray:
+        """Items whose block ``k`` differs from ``value`` in at most RADIUS // len(BLOCKS) bits."""
+        starts, order = self.starts[k], self.order[k]
+        return np.concatenate([order[starts[value ^ flip] : starts[(value ^ flip) + 1]] for flip in FLIPS[k]])
+
+    def search(self, prints: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(window, item): places in ``prints`` and items within RADIUS, in batches, each pair once."""
+        batch = max(1, PAIRS // max(len(self.prints), 1))
+        for low in range(0, len(prints), batch):
+            some = prints[low : low + batch]
+            hit = np.zeros((len(some), len(self.prints)), bool)
+            for k in range(len(BLOCKS)):
+                values, back = np.unique(_block(some, k), return_inverse=True)
+                for i, value in enumerate(values.tolist()):
+                    hit[np.ix_(back == i, self.near(k, value))] = True
+            at, item = np.nonzero(hit)
+            close = np.bitwise_count(some[at] ^ self.prints[item]) <= RADIUS
+            yield at[close] + low, item[close]
+
+
 class Spread(NamedTuple):
     """In how many items of the whole benchmark a shingle is: the number of items, and the sorted hashes and
     numbers of the shingles in two or more. A shingle in one item weighs what one in none does."""
@@ -94,13 +145,11 @@ class Items:
             self.starts[s.split(" ", 1)[0]].add(s)
         self.short = sorted({len(w) for _, w in known if len(w) < WIDTH})
         marks = [_pack((_bits(list(bag)) * np.array([[n * self.weights[s]] for s, n in bag.items()])).sum(0)) for bag in self.bags]
-        self.marks = np.array(marks, np.uint8).reshape(-1, BLOCKS)
-        values = np.arange(256, dtype=np.uint8)
+        prints = _fold(np.array(marks, np.uint8).reshape(-1, 8))
         self.by_length = {}
         for n in np.unique(self.lengths):
             own = np.flatnonzero(self.lengths == n)
-            near = np.bitwise_count(values[None, :, None] ^ self.marks[own].T[:, None, :]) <= RADIUS // BLOCKS
-            self.by_length[int(n)] = (own, near)  # near[block, value, item]
+            self.by_length[int(n)] = (own, Tables(prints[own]))
 
     def weight(self, shingle: str) -> float:
         found = self.weights.get(shingle)
@@ -131,7 +180,8 @@ class Items:
         out: dict[int, tuple[float, int]] = {}
         longest = int(self.lengths.max(initial=0))
         for width, places in self.shared(words).items():
-            for run in np.split(np.array(places), np.flatnonzero(np.diff(places) > longest) + 1):
+            at = np.array(places)
+            for run in np.split(at, np.flatnonzero((np.diff(at) > longest) | (np.diff(at // STRETCH) > 0)) + 1):
                 self._region(words, width, int(run[0]), int(run[-1]), longest, out)
         return out
 
@@ -141,21 +191,19 @@ class Items:
         pieces = shingles(words[low : last + longest + width], width)
         weights = np.array([[self.weight(s)] for s in pieces])
         sums = np.concatenate([np.zeros((1, 64)), np.cumsum(_bits(pieces) * weights, axis=0)])
-        for n, (own, near) in self.by_length.items():
+        for n, (own, tables) in self.by_length.items():
             size = min(n, len(words))  # a text shorter than the item is one window
             if min(WIDTH, n) != width or size < width:
                 continue
             count = size - width + 1
             start, stop = max(0, first - count + 1), min(last, len(words) - size) + 1
             marks = _pack(sums[start - low + count : stop - low + count] - sums[start - low : stop - low])
-            hit = near[np.arange(BLOCKS)[None, :], marks].any(axis=1)  # window by item: some block is near
-            at, item = np.nonzero(hit)
-            close = np.bitwise_count(marks[at] ^ self.marks[own[item]]).sum(axis=1) <= RADIUS
-            for w, i in zip(at[close].tolist(), own[item[close]].tolist(), strict=True):
-                bag = Counter(pieces[start - low + w : start - low + w + count])
-                similarity = self.similarity(bag, i)
-                if similarity >= SIMILARITY and similarity > out.get(i, (0.0, 0))[0]:
-                    out[i] = (similarity, start + w)
+            for at, item in tables.search(_fold(marks)):
+                for w, i in zip(at.tolist(), own[item].tolist(), strict=True):
+                    bag = Counter(pieces[start - low + w : start - low + w + count])
+                    similarity = self.similarity(bag, i)
+                    if similarity >= SIMILARITY and similarity > out.get(i, (0.0, 0))[0]:
+                        out[i] = (similarity, start + w)
 
 
 def _spread(items: DataFrame) -> Spread:

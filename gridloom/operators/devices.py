@@ -29,23 +29,23 @@ def remaining_events(grid: DataFrame, threshold: float = 300, shortest: int = 3,
     return found.where(F.col("minutes").between(shortest, longest)).withColumn("shape", shape).drop("region", "cv")
 
 
-def extend_tails(edges: DataFrame, grid: DataFrame, minutes: int = 10, noise: float = 30, least_gain: float = 100, residual: float = 100, share: float = 0.05) -> DataFrame:
-    """Moves the end of OFF edges (KEYS, start, end, magnitude) along falling minutes: each may exceed the
+def extend_tails(edges: DataFrame, grid: DataFrame, minutes: int = 10, noise: float = 30, least_gain: float = 100, residual: float = 100, share: float = 0.05, keys: tuple[str, ...] = ("house_id", "phase")) -> DataFrame:
+    """Moves the end of OFF edges (keys, start, end, magnitude) along falling minutes: each may exceed the
     one before by ``noise``; the walk ends at a gap or under ``residual`` watts. Kept if it gains
     ``least_gain``, starting from a residual of at least ``residual`` and ``share`` of the magnitude.
     A fold over the next minutes of every edge, collected by a frame of fixed length."""
-    ahead = W.partitionBy(*KEYS).orderBy("m").rangeBetween(1, minutes)
-    near = grid.select(*KEYS, F.col("m").alias("end"), F.col("watts").alias("at_end"), F.collect_list(F.struct("m", "watts")).over(ahead).alias("next"))
+    ahead = W.partitionBy(*keys).orderBy("m").rangeBetween(1, minutes)
+    near = grid.select(*keys, F.col("m").alias("end"), F.col("watts").alias("at_end"), F.collect_list(F.struct("m", "watts")).over(ahead).alias("next"))
     walk = F.expr(
         f"""aggregate(next, named_struct('m', `end`, 'watts', at_end, 'live', true),
         (s, x) -> CASE WHEN s.live AND x.m = s.m + 1 AND x.watts <= s.watts + {float(noise)}D
           THEN named_struct('m', x.m, 'watts', x.watts, 'live', x.watts >= {float(residual)}D) ELSE named_struct('m', s.m, 'watts', s.watts, 'live', false) END)"""
     )
-    rows = edges.join(near, [*KEYS, "end"], "left").withColumn("walk", walk)
+    rows = edges.join(near, [*keys, "end"], "left").withColumn("walk", walk)
     gain = F.col("at_end") - F.col("walk.watts")
     taken = F.coalesce((F.col("at_end") >= residual) & (F.col("at_end") >= share * F.abs("magnitude")) & (gain >= least_gain), F.lit(False))
     return rows.select(
-        *KEYS, "start", F.when(taken, F.col("walk.m")).otherwise(F.col("end")).alias("end"),
+        *keys, "start", F.when(taken, F.col("walk.m")).otherwise(F.col("end")).alias("end"),
         F.when(taken, F.col("magnitude") - gain).otherwise(F.col("magnitude")).alias("magnitude"), taken.alias("tail_extended"), F.when(taken, F.col("end")).alias("original_end"),
     )
 

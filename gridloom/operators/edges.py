@@ -28,15 +28,24 @@ def sharp_edges(series: DataFrame, threshold: float, off_factor: float = 0.8, ke
     return rows.where("event is not null").groupBy(*keys, "run", "event").agg(F.min(at).alias("start"), F.max(at).alias("end"), F.count("*").alias("n_rows"), F.sum("diff").alias("magnitude")).drop("run")
 
 
-def expand(edges: DataFrame, series: DataFrame, share: float = 0.05) -> DataFrame:
+def neighbours(series: DataFrame, keys: tuple[str, ...] = SERIES) -> DataFrame:
+    """(keys, m, watts, w_1, w_2, w1, d_1, d1): power one and two minutes before and one after, and the row
+    diffs of those neighbours; null where the minute itself is absent. One window, no self-join."""
+    w = by(*keys, order=("m",))
+    rows = with_diff(series, keys, ("m",))
+    at = lambda value, k: F.when((F.lag("m", k) if k > 0 else F.lead("m", -k)).over(w) == F.col("m") - k, (F.lag(value, k) if k > 0 else F.lead(value, -k)).over(w))
+    second = F.coalesce(at("watts", 2), F.when(F.lag("m", 1).over(w) == F.col("m") - 2, F.lag("watts", 1).over(w)))
+    return rows.select(*keys, "m", "watts", at("watts", 1).alias("w_1"), second.alias("w_2"), at("watts", -1).alias("w1"), at("diff", 1).alias("d_1"), at("diff", -1).alias("d1"))
+
+
+def expand(edges: DataFrame, series: DataFrame, share: float = 0.05, keys: tuple[str, ...] = SERIES) -> DataFrame:
     """Moves start or end by a minute where the neighbouring diff has the edge's sign and exceeds the
     share of its magnitude; magnitude becomes power at the end minus power before the start.
     Both tables by whole minutes ``m`` (start, end are minutes)."""
-    grid = with_diff(series, order=("m",)).select(*SERIES, "m", "watts", "diff")
-    at = lambda name, shift, value: grid.select(*SERIES, (F.col("m") - shift).alias("at"), F.col(value).alias(name))
-    found = edges
-    for name, on, shift, value in (("p_end", "end", 0, "watts"), ("p_pre", "start", -1, "watts"), ("d_pre", "start", -1, "diff"), ("d_post", "end", 1, "diff"), ("p_post", "end", 1, "watts"), ("p_pre2", "start", -2, "watts")):
-        found = found.join(at(name, shift, value).withColumnRenamed("at", on), [*SERIES, on], "left")
+    near = neighbours(series, keys)
+    first = near.select(*keys, F.col("m").alias("start"), F.col("w_1").alias("p_pre"), F.col("w_2").alias("p_pre2"), F.col("d_1").alias("d_pre"))
+    last = near.select(*keys, F.col("m").alias("end"), F.col("watts").alias("p_end"), F.col("w1").alias("p_post"), F.col("d1").alias("d_post"))
+    found = edges.join(first, [*keys, "start"], "left").join(last, [*keys, "end"], "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     size = zero("p_end") - zero("p_pre")
     sign = F.when(F.col("event") == "on", 1).otherwise(-1)
@@ -44,7 +53,7 @@ def expand(edges: DataFrame, series: DataFrame, share: float = 0.05) -> DataFram
     end = F.when(late, F.col("p_post")).otherwise(F.col("p_end"))
     pre = F.when(early, F.col("p_pre2")).otherwise(F.col("p_pre"))
     return found.select(
-        *SERIES, "event",
+        *keys, "event",
         F.when(early, F.col("start") - 1).otherwise(F.col("start")).alias("start"),
         F.when(late, F.col("end") + 1).otherwise(F.col("end")).alias("end"),
         (F.coalesce(end, F.lit(0.0)) - F.coalesce(pre, F.lit(0.0))).alias("magnitude"),
@@ -74,18 +83,19 @@ def merge_pairs(events: DataFrame, keys: tuple[str, ...], gap: float = 1) -> Dat
     return rows.groupBy(*keys, "kind", "chain", "pair").agg(F.min("at").alias("start"), F.max("at").alias("end"), F.sum("magnitude").alias("magnitude"), F.count("*").alias("n_merged")).drop("chain", "pair")
 
 
-def near_threshold(grid: DataFrame, edges: DataFrame, threshold: float, share: float = 0.85, reach: int = 3) -> DataFrame:
-    """Rises of ``share`` to 1 times the threshold outside of every ON edge that reach the threshold when
-    up to ``reach`` minutes before or after are added: the smallest extension, the earlier of two.
-    (keys, start, end, magnitude) by minute."""
-    w = by(*SERIES, order=("m",))
-    rows = with_diff(grid, order=("m",))
+def near_threshold(grid: DataFrame, edges: DataFrame, threshold: float, share: float = 0.85, reach: int = 3, keys: tuple[str, ...] = SERIES, event: str = "on") -> DataFrame:
+    """Rises (falls for ``off``) of ``share`` to 1 times the threshold outside of every such edge that reach
+    the threshold when up to ``reach`` minutes before or after are added: the smallest extension, the
+    earlier of two. (keys, start, end, magnitude) by minute."""
+    w, sign = by(*keys, order=("m",)), 1 if event == "on" else -1
+    rows = with_diff(grid, keys, ("m",))
     net = F.array(*[
         F.struct(F.lit(b + a).alias("size"), F.lit(a).alias("after"), F.lit(b).alias("before"), (F.lead("watts", a).over(w) - F.lag("watts", b + 1).over(w)).alias("magnitude"))
         for b in range(reach + 1) for a in range(reach + 1)
     ])
-    rows = rows.withColumn("net", net).where((F.col("diff") >= share * threshold) & (F.col("diff") < threshold))
-    best = F.array_min(F.filter("net", lambda x: x["magnitude"] >= threshold))
-    on = edges.where("event = 'on'").select(*SERIES, F.explode(F.sequence("start", "end")).alias("m"))
-    found = rows.join(on, [*SERIES, "m"], "left_anti").withColumn("best", best).where("best is not null")
-    return found.select(*SERIES, (F.col("m") - F.col("best.before")).alias("start"), (F.col("m") + F.col("best.after")).alias("end"), F.col("best.magnitude").alias("magnitude"))
+    size = F.col("diff") * sign
+    rows = rows.withColumn("net", net).where((size >= share * threshold) & (size < threshold))
+    best = F.array_min(F.filter("net", lambda x: x["magnitude"] * sign >= threshold))
+    own = edges.where(F.col("event") == event).select(*keys, F.explode(F.sequence("start", "end")).alias("m")).distinct()
+    found = rows.join(own, [*keys, "m"], "left_anti").withColumn("best", best).where("best is not null")
+    return found.select(*keys, (F.col("m") - F.col("best.before")).alias("start"), (F.col("m") + F.col("best.after")).alias("end"), F.col("best.magnitude").alias("magnitude"))

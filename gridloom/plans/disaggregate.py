@@ -1,31 +1,24 @@
-"""Iterative disaggregation: detect, match, subtract, with falling thresholds.
+"""Iterative disaggregation: detect, match, take out, with falling thresholds.
 
-Detection and candidate search are Catalyst plans, consumption and subtraction grouped kernels. Every
-round's remaining signal is a checkpoint, so a lost executor costs a reread.
+Every step's result is a table in the folder that the cluster names, so a lost executor costs a reread.
 """
 
 from __future__ import annotations
 
-import tempfile
-from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.operators.detection import MONTHLY, Features, detect, numbered
 from gridloom.operators.edges import sharp_edges
 from gridloom.operators.joins import match_candidates
-from gridloom.operators.kernels import assign_once, subtract
+from gridloom.operators.matching import extract, match, restored, rounds_of
+from gridloom.sources.work import staged
 
 THRESHOLDS = (2000, 1500, 1100, 800)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:  # the cluster names the folder in spark.checkpoint.dir; only tests come here
-        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="gridloom-checkpoint-"))
-    return df.checkpoint()
-
-
 def edge_pairs(grid: DataFrame, threshold: float) -> DataFrame:
     """Candidate pairs of the grid's sharp edges."""
     edges = sharp_edges(grid, threshold, order=("m",))
@@ -34,11 +27,35 @@ def edge_pairs(grid: DataFrame, threshold: float) -> DataFrame:
     return match_candidates(side("on"), side("off"), ["house_id", "phase"])
 
 
-def disaggregate(grid: DataFrame, thresholds: tuple[int, ...] = THRESHOLDS) -> tuple[DataFrame, DataFrame]:
-    """(matches of all rounds with iteration and threshold, remaining grid)."""
-    left, found = grid.select("house_id", "phase", "m", "watts"), []
+class Result(NamedTuple):
+    """``matches`` of all rounds with iteration and threshold, statuses included; the ``remaining`` grid; and
+    each round's minutes with the power taken out."""
+
+    matches: DataFrame
+    remaining: DataFrame
+    rounds: list[DataFrame]
+
+
+def disaggregate(grid: DataFrame, thresholds: tuple[int, ...] = THRESHOLDS, features: Features = Features(), keys: tuple[str, ...] = MONTHLY) -> Result:
+    """Rounds of detection, matching and extraction over ``grid`` (keys, m, watts), each on what the round
+    before left. Pairs that cannot be taken out are edges again, as unmatched rows."""
+    left, found, rounds = staged(grid.select(*keys, "m", "watts")), [], []
     for turn, threshold in enumerate(thresholds):
-        pairs = checkpointed(assign_once(edge_pairs(left, threshold)))
-        left = checkpointed(subtract(left, pairs))
-        found.append(pairs.withColumn("iteration", F.lit(turn)).withColumn("threshold", F.lit(threshold)))
-    return reduce(DataFrame.unionByName, found), left
+        events = staged(numbered(detect(left, threshold, features, keys=keys), left, turn, keys))
+        pairs = staged(match(left, events, keys))
+        taken = staged(extract(left, pairs, keys))
+        kept, lost = restored(pairs, taken, keys)
+        edge = lambda kind: lost.where(F.col("event") == kind).select(*keys, F.lit(f"unmatched_{kind}").alias("status"), F.lit(0).alias("stage"), F.col("event_id").alias(f"{kind}_id"), F.col("start").alias(f"{kind}_start"), F.col("end").alias(f"{kind}_end"), F.col("magnitude").alias(f"{kind}_magnitude"), F.lit(0.0).alias("correction"))  # noqa: E731, B023
+        found.append(kept.unionByName(edge("on"), allowMissingColumns=True).unionByName(edge("off"), allowMissingColumns=True))
+        rounds.append(taken)
+        left = taken.where("skipped is null").select(*keys, "m", F.col("remaining").alias("watts"))
+    return Result(rounds_of(found, thresholds), left, rounds)
+
+
+def find_previous(runs: DataFrame, run: int) -> DataFrame:
+    """Rows (run, house_id, month, phase, m, remaining, ...) of the run before ``run``, projected to raw
+    readings (keys, m, watts); an error if that run left none."""
+    before = runs.where(F.col("run") == run - 1)
+    if before.isEmpty():
+        raise LookupError(f"no result of run {run - 1}, on which run {run} builds")
+    return before.select(*MONTHLY, "m", F.col("remaining").alias("watts"))

@@ -65,6 +65,7 @@ def dense_grid(spark: SparkSession, sf_dir: str, minutes: int = 1440) -> DataFra
         "m",
         F.timestamp_seconds(F.lit(1704067200) + F.col("m") * 60).alias("ts"),
         F.expr(GRID_WATTS).alias("watts"),
+        F.lit("2024-01").alias("month"),
     )
 
 
@@ -73,5 +74,16 @@ g AS (SELECT u AS house_id, 'w' || CAST(u % 3 + 1 AS VARCHAR) AS phase, m, {GRID
       FROM (SELECT DISTINCT user_id AS u FROM events), (SELECT CAST(range AS INTEGER) AS m FROM range(1440)))"""
 
 
+def reading_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(house_id, month, phase, m, watts): the readings of ``events`` as they are, a minute each: the n-th
+    reading of a house's month is minute n."""
+    w = W.partitionBy("house_id", "month").orderBy("ts", "event_id")
+    return power_series(spark, sf_dir).select("house_id", "month", "phase", (F.row_number().over(w) - 1).alias("m"), "watts")
+
+
+READING_SQL = SERIES_SQL + """,
+g AS (SELECT house_id, month, phase, CAST(row_number() OVER (PARTITION BY house_id, month ORDER BY ts, event_id) - 1 AS INTEGER) AS m, watts FROM s)"""
+
+
 def by(*keys: str, order: tuple[str, ...] = ORDER) -> W:
     return W.partitionBy(*keys).orderBy(*order)

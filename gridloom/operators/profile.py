@@ -77,27 +77,19 @@ def piecewise(value: F.Column, knots: list[tuple[float, float]]) -> F.Column:
     return out.otherwise(knots[-1][1])
 
 
-# Knots of the quality score (fixed values).
-SHARP_KNOTS = [(0.0, 0.0), (0.15, 3.0), (0.25, 8.0), (0.35, 13.0), (0.5, 18.0)]
-VARIATION_KNOTS = [(0.0, 0.0), (0.8, 4.0), (1.1, 8.0), (1.4, 12.0), (2.0, 17.0), (3.0, 20.0)]
-DAYS_KNOTS = [(0.0, 0.0), (30.0, 3.0), (180.0, 7.0), (365.0, 10.0)]
-
-
-def quality_score(series: DataFrame, threshold: float = 1300, keys: tuple[str, ...] = ("house_id",)) -> DataFrame:
-    """Points for sharp entries, variation, days and completeness, summed, with a tier."""
-    w = by(*keys)
-    rows = series.withColumn("crossed", ((F.col("watts") >= threshold) & (F.lag("watts").over(w) < threshold)).cast("double"))
-    found = rows.groupBy(*keys).agg(
-        F.coalesce(F.avg("crossed"), F.lit(0.0)).alias("sharp_rate"), F.when(F.avg("watts") > 0, F.stddev_samp("watts") / F.avg("watts")).alias("variation"),
-        (F.date_diff(F.max("ts"), F.min("ts")) + 1).cast("double").alias("days"), F.avg(F.col("watts").isNull().cast("double")).alias("missing"),
-    )
-    sharp = F.when(F.col("sharp_rate") > 0.5, 20.0).otherwise(piecewise(F.col("sharp_rate"), SHARP_KNOTS))
-    points = sharp + piecewise(F.coalesce("variation", F.lit(0.0)), VARIATION_KNOTS) + piecewise(F.col("days"), DAYS_KNOTS) + F.greatest(10 - 100 * F.col("missing"), F.lit(0.0))
-    found = found.withColumn("score", points)
-    return found.withColumn("tier", F.when(F.col("score") >= 45, "excellent").when(F.col("score") >= 35, "good").when(F.col("score") >= 25, "fair").otherwise("poor"))
-
-
-def upper_median(values: str) -> F.Column:
-    """The element in the middle of the sorted values, the upper one of an even number."""
-    ordered = F.sort_array(F.collect_list(values))
-    return F.element_at(ordered, F.floor(F.size(ordered) / 2).cast("int") + 1)
+def middle_of(values: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """(keys, name): the element in the middle of the sorted values, the upper one of an even number.
+
+    By rank in two levels: values are counted by bucket of their range, the bucket that holds the middle is
+    found from the counts, and only its values are ranked, so no task holds all values of a key."""
+    w = W.partitionBy(*keys)
+    known = values.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("v"))
+    ends = known.groupBy(*keys).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count("*").alias("n"))
+    bucket = F.when(F.col("high") > F.col("low"), F.floor((F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * 1023)).otherwise(0)
+    dealt = known.join(ends, keys).withColumn("bucket", bucket)
+    sizes = dealt.groupBy(*keys, "bucket").agg(F.count("*").alias("size"), F.first("n").alias("n"))  # at most 1024 a key
+    before = F.coalesce(F.sum("size").over(w.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    chosen = sizes.withColumn("before", before).where("before <= n div 2 and n div 2 < before + size").select(*keys, "bucket", (F.expr("n div 2") - F.col("before")).alias("rank"))
+    inside = dealt.join(chosen, [*keys, "bucket"]).groupBy(*keys, "rank", "v").agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(w.orderBy("v"))
+    return inside.withColumn("upto", upto).where("rank < upto").groupBy(*keys).agg(F.min("v").alias(name))

@@ -6,43 +6,16 @@ four places, so that two engines can be compared row by row.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from gridloom.operators import cleaning, devices, edges, joins, kernels, profile, sessions
-from gridloom.plans.disaggregate import disaggregate, edge_pairs
+from gridloom.operators import cleaning, detection, devices, edges, joins, kernels, matching, profile, sessions
+from gridloom.plans.disaggregate import THRESHOLDS, disaggregate, edge_pairs
+from gridloom.plans.registry import EPOCH, NUDGE, ORACLE_SQL, QUERIES, SEC, query, rounded  # noqa: F401
 from gridloom.sources import ingest
-from gridloom.sources.tables import GRID_SQL, HOLES_SQL, SERIES_SQL, dense_grid, power_series, read
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-#: Added before rounding, so that halves, which two engines may reach from either side, go up in both
-#: (and 0.0 after it, for there is a negative zero).
-NUDGE = 1e-7
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql.replace(", 4)", f" + {NUDGE}, 4) + 0.0")  # all of them are of round()
-        return f
-
-    return register
-
-
-def rounded(df: DataFrame) -> DataFrame:
-    return df.select(*[(F.round(F.col(n) + NUDGE, 4) + 0.0).alias(n) if t == "double" else F.col(n).cast("long").alias(n) if t == "int" else F.col(n) for n, t in df.dtypes])
-
-
-SEC = lambda c: F.unix_timestamp(c)
-EPOCH = "epoch_us({}) // 1000000"
-
+from gridloom.sources.tables import GRID_SQL, HOLES_SQL, SERIES_SQL, dense_grid, power_series, read, reading_grid
+from gridloom.sources.work import staged
 
 # ---------------------------------------------------------------- edges
 
@@ -69,12 +42,9 @@ def edge_counts_by_hour(spark, sf_dir):
 
 
 @query(GRID_EDGES + """,
-x AS (SELECT edges.*, pe.watts AS p_end, pp.watts AS p_pre, dp.diff AS d_pre, dn.diff AS d_post, dn.watts AS p_post, p2.watts AS p_pre2
-  FROM edges LEFT JOIN d pe ON pe.house_id = edges.house_id AND pe.phase = edges.phase AND pe.m = "end"
-  LEFT JOIN d pp ON pp.house_id = edges.house_id AND pp.phase = edges.phase AND pp.m = "start" - 1
-  LEFT JOIN d dp ON dp.house_id = edges.house_id AND dp.phase = edges.phase AND dp.m = "start" - 1
-  LEFT JOIN d dn ON dn.house_id = edges.house_id AND dn.phase = edges.phase AND dn.m = "end" + 1
-  LEFT JOIN d p2 ON p2.house_id = edges.house_id AND p2.phase = edges.phase AND p2.m = "start" - 2),
+nb AS MATERIALIZED (SELECT house_id, phase, m, watts, lag(watts) OVER w AS w_1, lag(watts, 2) OVER w AS w_2, lead(watts) OVER w AS w1, lag(diff) OVER w AS d_1, lead(diff) OVER w AS d1 FROM d WINDOW w AS (PARTITION BY house_id, phase ORDER BY m)),
+x AS (SELECT edges.*, b.watts AS p_end, a.w_1 AS p_pre, a.d_1 AS d_pre, b.d1 AS d_post, b.w1 AS p_post, a.w_2 AS p_pre2
+  FROM edges LEFT JOIN nb a ON a.house_id = edges.house_id AND a.phase = edges.phase AND a.m = "start" LEFT JOIN nb b ON b.house_id = edges.house_id AND b.phase = edges.phase AND b.m = "end"),
 y AS (SELECT *, coalesce(p_end, 0) - coalesce(p_pre, 0) AS size, CASE WHEN event = 'on' THEN 1 ELSE -1 END AS sgn FROM x),
 z AS (SELECT *, sgn * coalesce(d_pre, 0) > 0.05 * abs(size) AS early, sgn * coalesce(d_post, 0) > 0.05 * abs(size) AS late FROM y)
 SELECT house_id, phase, event, CAST(CASE WHEN early THEN "start" - 1 ELSE "start" END AS BIGINT) AS "start", CAST(CASE WHEN late THEN "end" + 1 ELSE "end" END AS BIGINT) AS "end",
@@ -206,22 +176,6 @@ def period_rollup(spark, sf_dir):
     return rounded(profile.by_period(power_series(spark, sf_dir)))
 
 
-def _knots(x: str, knots: list[tuple[float, float]]) -> str:
-    out = f"CASE WHEN {x} <= {knots[0][0]} THEN {knots[0][1]}"
-    for (x0, y0), (x1, y1) in zip(knots, knots[1:], strict=False):
-        out += f" WHEN {x} <= {x1} THEN {y0} + ({x} - {x0}) / ({x1} - {x0}) * ({y1} - {y0})"
-    return f"{out} ELSE {knots[-1][1]} END"
-
-
-@query(f"""WITH {HOLES_SQL},
-c AS (SELECT *, CASE WHEN watts >= 1300 AND lag(watts) OVER w < 1300 THEN 1.0 WHEN watts IS NULL THEN CASE WHEN lag(watts) OVER w >= 1300 THEN 0.0 END WHEN watts < 1300 THEN 0.0 WHEN lag(watts) OVER w IS NULL THEN NULL ELSE 0.0 END AS crossed FROM s WINDOW w AS (PARTITION BY house_id ORDER BY ts, event_id)),
-a AS (SELECT house_id, coalesce(avg(crossed), 0) AS sharp_rate, CASE WHEN avg(watts) > 0 THEN stddev_samp(watts) / avg(watts) END AS variation, CAST(date_diff('day', min(ts), max(ts)) + 1 AS DOUBLE) AS days, avg(CASE WHEN watts IS NULL THEN 1.0 ELSE 0.0 END) AS missing FROM c GROUP BY house_id),
-p AS (SELECT *, CASE WHEN sharp_rate > 0.5 THEN 20.0 ELSE {_knots("sharp_rate", profile.SHARP_KNOTS)} END + {_knots("coalesce(variation, 0)", profile.VARIATION_KNOTS)} + {_knots("days", profile.DAYS_KNOTS)} + greatest(10 - 100 * missing, 0) AS score FROM a)
-SELECT house_id, round(sharp_rate, 4) AS sharp_rate, round(variation, 4) AS variation, days, round(missing, 4) AS missing, round(score, 4) AS score, CASE WHEN score >= 45 THEN 'excellent' WHEN score >= 35 THEN 'good' WHEN score >= 25 THEN 'fair' ELSE 'poor' END AS tier FROM p""")
-def quality_scores(spark, sf_dir):
-    return rounded(profile.quality_score(power_series(spark, sf_dir, holes=True)))
-
-
 @query(f"""WITH {GRID_SQL}, b AS (SELECT house_id, phase, quantile_cont(watts, 0.05) AS p5 FROM g GROUP BY house_id, phase),
 r AS (SELECT g.house_id, g.phase, watts AS o, least(watts, 700) AS r, p5, greatest(least(watts, 700) - p5, 0) AS above FROM g JOIN b ON g.house_id = b.house_id AND g.phase = b.phase),
 a AS (SELECT house_id, phase, count(*) AS n, sum(o) AS original, sum(greatest(o - r, 0)) AS explained, min(p5) AS p5, sum(r) AS remaining, coalesce(sum(above) FILTER (WHERE above > 300), 0) AS over, coalesce(sum(above) FILTER (WHERE above <= 300), 0) AS under FROM r GROUP BY house_id, phase)
@@ -387,7 +341,7 @@ def top_houses(spark, sf_dir):
 SELECT month, count(*) AS n_houses, round(min(energy), 4) AS least, round(max(energy), 4) AS most, round(max(CASE WHEN i = n // 2 + 1 THEN energy END), 4) AS upper_median FROM r GROUP BY month""")
 def monthly_rollup(spark, sf_dir):
     houses = power_series(spark, sf_dir).groupBy("month", "house_id").agg(F.sum("watts").alias("energy"))
-    return rounded(houses.groupBy("month").agg(F.count("*").alias("n_houses"), F.min("energy").alias("least"), F.max("energy").alias("most"), profile.upper_median("energy").alias("upper_median")))
+    return rounded(houses.groupBy("month").agg(F.count("*").alias("n_houses"), F.min("energy").alias("least"), F.max("energy").alias("most")).join(profile.middle_of(houses, ["month"], "energy", "upper_median"), "month"))
 
 
 # ---------------------------------------------------------------- order-dependent steps (no SQL)
@@ -400,17 +354,27 @@ def gradual_edges(spark, sf_dir):
 
 @query()
 def greedy_matches(spark, sf_dir):
-    found = kernels.assign_once(edge_pairs(dense_grid(spark, sf_dir), 800))
-    return rounded(found.select("house_id", "phase", "on_id", "off_id", "minutes", "difference"))
+    """All three stages on the grid's edges: pairs, remainders and what is left over."""
+    grid = staged(dense_grid(spark, sf_dir).select(*detection.MONTHLY, "m", "watts"))
+    found = detection.numbered(detection.detect(grid, 800), grid, 0)
+    return rounded(matching.match(grid, found).select("house_id", "phase", "status", "stage", "on_id", "off_id", "minutes", "on_magnitude", "off_magnitude", "correction", "tag"))
 
 
 @query()
 def disaggregated(spark, sf_dir):
     """Matches of all four thresholds by house, phase and iteration, with the energy still left."""
-    matches, left = disaggregate(dense_grid(spark, sf_dir))
-    rest = left.groupBy("house_id", "phase").agg(F.sum("watts").alias("remaining"))
-    counts = matches.groupBy("house_id", "phase").pivot("iteration", [0, 1, 2, 3]).agg(F.count("on_id")).na.fill(0)
-    return rounded(rest.join(counts, ["house_id", "phase"], "left"))
+    out = disaggregate(dense_grid(spark, sf_dir))
+    rest = out.remaining.groupBy("house_id", "phase").agg(F.sum("watts").alias("remaining"))
+    counts = out.matches.where("status = 'matched'").groupBy("house_id", "phase").pivot("iteration", list(range(len(THRESHOLDS)))).agg(F.count("on_id"))
+    return rounded(rest.join(counts, ["house_id", "phase"], "left").na.fill(0))
+
+
+@query()
+def segment_power(spark, sf_dir):
+    """Energy before and after a round on real readings, and taken out by short, medium and long pairs."""
+    grid = staged(reading_grid(spark, sf_dir))
+    found = detection.numbered(detection.detect(grid, 2000), grid, 0)
+    return rounded(matching.summary(matching.extract(grid, matching.match(grid, found))))
 
 
 @query()
@@ -547,16 +511,44 @@ def near_threshold_edges(spark, sf_dir):
     return rounded(edges.near_threshold(grid, edges.sharp_edges(grid, 1700, order=("m",)), 1700))
 
 
-@query()
-def merged_split_offs(spark, sf_dir):
+def _edges(spark, sf_dir, threshold: float) -> tuple[DataFrame, DataFrame]:
     grid = dense_grid(spark, sf_dir)
-    return rounded(kernels.split_offs(grid, edges.sharp_edges(grid, 250, order=("m",)).drop("n_rows")))
+    return grid, edges.sharp_edges(grid, threshold, order=("m",)).drop("n_rows")
+
+
+MERGED_SQL = GRID_EDGES.replace("diff >= 800", "diff >= 250").replace("diff <= -640", "diff <= -200") + """,
+o AS (SELECT *, max("end") OVER (PARTITION BY house_id, phase ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM edges WHERE event = 'off'),
+j AS (SELECT *, CASE WHEN "start" - last BETWEEN 0 AND 2
+    AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.event = 'on' AND e.house_id = o.house_id AND e.phase = o.phase AND e."start" > o.last AND e."start" < o."start")
+    AND (SELECT avg(watts) FROM g WHERE g.house_id = o.house_id AND g.phase = o.phase AND g.m BETWEEN o.last AND o."start") >= 0.5 * abs(magnitude) THEN 0 ELSE 1 END AS fresh2 FROM o),
+i AS (SELECT *, sum(fresh2) OVER (PARTITION BY house_id, phase ORDER BY "start", "end" ROWS UNBOUNDED PRECEDING) AS island FROM j),
+k AS (SELECT house_id, phase, min("start") AS s, max("end") AS e, sum(magnitude) AS total, count(*) AS n_merged FROM i GROUP BY house_id, phase, island)
+SELECT k.house_id, k.phase, CAST(s AS BIGINT) AS "start", CAST(e AS BIGINT) AS "end", round(CASE WHEN n_merged > 1 THEN coalesce(a.watts - b.watts, total) ELSE total END, 4) AS magnitude, n_merged
+FROM k LEFT JOIN g a ON a.house_id = k.house_id AND a.phase = k.phase AND a.m = e LEFT JOIN g b ON b.house_id = k.house_id AND b.phase = k.phase AND b.m = s - 1"""
+
+
+@query(MERGED_SQL)
+def merged_split_offs(spark, sf_dir):
+    grid, found = _edges(spark, sf_dir, 250)
+    return rounded(detection.merge_split_offs(found.where("event = 'off'"), found.where("event = 'on'"), grid, ("house_id", "phase")))
 
 
 @query()
 def settled_edges(spark, sf_dir):
-    grid = dense_grid(spark, sf_dir)
-    return rounded(kernels.settled(grid, edges.sharp_edges(grid, 600, order=("m",)).drop("n_rows")))
+    grid, found = _edges(spark, sf_dir, 600)
+    for kind in ("on", "off"):
+        found = staged(detection.settle(found, grid, kind, ("house_id", "phase")))
+    return rounded(found.select("house_id", "phase", "event", "start", "end", "magnitude", "original_magnitude"))
+
+
+@query()
+def detected_edges(spark, sf_dir):
+    """The whole composition on real readings, numbered, with the power beside every edge."""
+    grid = staged(reading_grid(spark, sf_dir))
+    found = detection.detect(grid, 1500, detection.Features(near_threshold=True))
+    return rounded(detection.numbered(found, grid, 0).select("house_id", "month", "phase", "event", "start", "end", "magnitude", "event_id", "nearby_value"))
 
 
 FLAGSHIP = session_stats
+
+from gridloom.plans import house_queries, pattern_queries  # noqa: E402, F401

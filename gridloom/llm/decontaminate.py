@@ -3,14 +3,14 @@
 Words are runs of letters and digits of the lower-cased text. A window has as many words as the
 item it is held against. Windows and items have 64-bit SimHash fingerprints of their weighted 5-word
 shingles. Items are found by multi-index Hamming blocks: a fingerprint within RADIUS of an item differs
-from it in some of the BLOCKS by at most RADIUS // BLOCKS bits, so probing every block's hash table at
-the values within that many bits of the window's misses none. What is found is verified by the exact
-weighted Jaccard similarity of the shingle multisets (0.8 or more).
+from it in some of the BLOCKS by at most RADIUS // BLOCKS bits, so every block's hash table lists an item
+under all values within that many bits of its own, and looking up the window's values misses none. What
+is found is verified by the exact weighted Jaccard similarity of the shingle multisets (0.8 or more).
 
 An addition to the method, which costs no result: windows that share no shingle with any item have
 similarity 0, so only windows around shared shingles are fingerprinted. A radius of 20 of 64 bits, which
-similarity 0.8 needs, makes the tables probe many values and admit about half of the items of a length;
-the shared shingles keep the number of windows small.
+similarity 0.8 needs, lets the tables admit about half of the items of a length; the shared shingles
+keep the number of windows small.
 """
 
 from __future__ import annotations
@@ -20,7 +20,6 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import reduce
-from itertools import combinations
 from typing import NamedTuple
 
 import numpy as np
@@ -40,8 +39,6 @@ BLOCKS = (10, 9, 9, 9, 9, 9, 9)
 #: Words with shared shingles that are looked at together, so that a task's memory is bounded by this and by the
 #: longest item, however long the text. Windows over an edge are judged twice.
 STRETCH = 8192
-#: What to flip in a block to get every value within reach.
-FLIPS = [[sum(some) for n in range(RADIUS // len(BLOCKS) + 1) for some in combinations([1 << b for b in range(bits)], n)] for bits in BLOCKS]
 #: Pairs of a window and an item that are held against each other at once.
 PAIRS = 1 << 19
 #: Text of items held in each task at once; a larger benchmark runs in as many parts as it takes.
@@ -84,32 +81,25 @@ def _block(prints: np.ndarray, k: int) -> np.ndarray:
 
 
 class Tables:
-    """Fingerprints of some items by block: value -> items, as sorted lists with the place of each value."""
+    """Hash tables of some items' fingerprints, one a block: value -> the items whose block differs from it in
+    at most RADIUS // len(BLOCKS) bits, as a bitmap over the items (some 450 bytes an item in all)."""
 
     def __init__(self, prints: np.ndarray):
-        self.prints, self.order, self.starts = prints, [], []
+        self.prints, self.near = prints, []
         for k, bits in enumerate(BLOCKS):
-            values = _block(prints, k)
-            order = np.argsort(values, kind="stable")
-            self.order.append(order)
-            self.starts.append(np.searchsorted(values[order], np.arange((1 << bits) + 1, dtype=np.uint64)))
-
-    def near(self, k: int, value: int) -> np.ndarray:
-        """Items whose block ``k`` differs from ``value`` in at most RADIUS // len(BLOCKS) bits."""
-        starts, order = self.starts[k], self.order[k]
-        return np.concatenate([order[starts[value ^ flip] : starts[(value ^ flip) + 1]] for flip in FLIPS[k]])
+            own, values = _block(prints, k).astype(np.uint16), np.arange(1 << bits, dtype=np.uint16)
+            self.near.append(np.packbits(np.bitwise_count(values[:, None] ^ own[None, :]) <= RADIUS // len(BLOCKS), axis=1))
 
     def search(self, prints: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(window, item): places in ``prints`` and items within RADIUS, in batches, each pair once."""
-        batch = max(1, PAIRS // max(len(self.prints), 1))
+        n = len(self.prints)
+        batch = max(1, PAIRS // n)
         for low in range(0, len(prints), batch):
             some = prints[low : low + batch]
-            hit = np.zeros((len(some), len(self.prints)), bool)
-            for k in range(len(BLOCKS)):
-                values, back = np.unique(_block(some, k), return_inverse=True)
-                for i, value in enumerate(values.tolist()):
-                    hit[np.ix_(back == i, self.near(k, value))] = True
-            at, item = np.nonzero(hit)
+            hit = self.near[0][_block(some, 0)]
+            for k in range(1, len(BLOCKS)):
+                hit |= self.near[k][_block(some, k)]
+            at, item = np.nonzero(np.unpackbits(hit, axis=1, count=n))
             close = np.bitwise_count(some[at] ^ self.prints[item]) <= RADIUS
             yield at[close] + low, item[close]
 

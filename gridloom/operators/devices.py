@@ -71,16 +71,6 @@ def simultaneous(events: DataFrame, minutes: float = 15, ratio: float = 2.0, sha
     return pairs.withColumn("overlap", shared).where((longer <= ratio * shorter) & (F.col("overlap") >= share * shorter * 60)).select("l_id", "r_id", "overlap")
 
 
-def classify(events: DataFrame, boilers: DataFrame, three_phase: DataFrame, cycling: DataFrame) -> DataFrame:
-    """Adds device_type by priority: three-phase, boiler, AC, unknown; each takes what those before
-    left. The others are tables of ids."""
-    marked = events
-    for name, ids in (("is_three", three_phase), ("is_boiler", boilers), ("is_ac", cycling)):
-        marked = marked.join(ids.select("id").distinct().withColumn(name, F.lit(True)), "id", "left")
-    kind = F.when(F.col("is_three"), "three_phase_device").when(F.col("is_boiler"), "boiler").when(F.col("is_ac"), "regular_ac").otherwise("unknown")
-    return marked.withColumn("device_type", kind).drop("is_three", "is_boiler", "is_ac")
-
-
 def device_quality(events: DataFrame) -> DataFrame:
     """Per device type: share of all days it is seen on, magnitude variation, share of its main phase,
     duration quartiles, and runs that start before the one before ends."""

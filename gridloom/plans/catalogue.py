@@ -486,16 +486,6 @@ def extended_tails(spark, sf_dir):
     return rounded(devices.extend_tails(edges.sharp_edges(grid, 800, order=("m",)).where("event = 'off'").drop("event", "n_rows"), grid))
 
 
-@query()
-def classified_runs(spark, sf_dir):
-    events = by_type(spark, sf_dir)
-    pairs = devices.simultaneous(events.where("magnitude >= 1500"))
-    three = pairs.select(F.explode(F.array("l_id", "r_id")).alias("id"))
-    minutes = events.withColumns({"start": F.col("start") / 60, "end": F.col("end") / 60}).select("house_id", "phase", "id", "start", "end", "magnitude")
-    cycling = kernels.cycling(minutes).where("sequence >= 0")
-    return devices.classify(events, devices.boiler_candidates(events), three, cycling).groupBy("device_type").agg(F.count("*").alias("n"))
-
-
 @query()
 def session_documents(spark, sf_dir):
     return devices.session_documents(sessions.session_stats(sessioned(spark, sf_dir), ["house_id", "phase"]))

@@ -1,0 +1,306 @@
+"""Queries on runs of devices: neighbours, chains, cascades, confidence, recurrence, patterns across houses."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from gridloom.operators import devices, kernels, patterns, recovery, sessions
+from gridloom.operators.edges import sharp_edges
+from gridloom.plans.registry import EPOCH, SEC, query, rounded
+from gridloom.sources.tables import dense_grid, read, reading_grid
+from gridloom.sources.work import staged
+
+#: Every event as a run: three users are a house, a user a phase; minutes follow the id, watts the value.
+RUNS_SQL = f"""WITH r AS (SELECT user_id // 3 AS house_id, 'w' || CAST(user_id % 3 + 1 AS VARCHAR) AS phase, event_id AS id, event_type, {EPOCH.format("ts")} AS s, {EPOCH.format("ts")} + (event_id % 40 + 1) * 60 AS e,
+  value * 10 AS magnitude, CAST(event_id % 40 + 1 AS DOUBLE) AS duration, event_id % 4 AS iteration, CAST(month(ts) AS BIGINT) AS month FROM events)"""
+
+
+def runs(spark, sf_dir) -> DataFrame:
+    start, minutes = SEC("ts"), F.col("event_id") % 40 + 1
+    return read(spark, sf_dir, "events").select(
+        F.floor(F.col("user_id") / 3).alias("house_id"), F.concat(F.lit("w"), (F.col("user_id") % 3 + 1).cast("string")).alias("phase"), F.col("event_id").alias("id"), "event_type", start.alias("start"), (start + minutes * 60).alias("end"),
+        (F.col("value") * 10).alias("magnitude"), minutes.cast("double").alias("duration"), (F.col("event_id") % 4).alias("iteration"), F.month("ts").cast("long").alias("month"),
+    )
+
+
+@query(RUNS_SQL + """,
+b2 AS (SELECT * FROM (SELECT a.id AS i1, a.house_id, a.s AS s1, b.id AS i2, b.s AS s2, row_number() OVER (PARTITION BY a.id ORDER BY abs(b.s - a.s), b.s, b.id) AS n FROM r a JOIN r b ON a.house_id = b.house_id AND a.phase = 'w1' AND b.phase = 'w2' AND abs(b.s - a.s) <= 14400) WHERE n = 1),
+b3 AS (SELECT * FROM (SELECT b2.*, c.id AS i3, c.s AS s3, row_number() OVER (PARTITION BY i1 ORDER BY abs(c.s - s1), c.s, c.id) AS m FROM b2 JOIN r c ON b2.house_id = c.house_id AND c.phase = 'w3' AND abs(c.s - s1) <= 14400) WHERE m = 1),
+u2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY i2 ORDER BY s1, i1) AS k FROM b3) WHERE k = 1), u3 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY i3 ORDER BY s1, i1) AS j FROM u2) WHERE j = 1)
+SELECT house_id, i1 AS id_w1, i2 AS id_w2, i3 AS id_w3 FROM u3""")
+def chained_asof(spark, sf_dir):
+    return patterns.chained_nearest(runs(spark, sf_dir), ["w1", "w2", "w3"], 14_400)
+
+
+NEAR_SQL = RUNS_SQL + """, b AS (SELECT * FROM r WHERE duration >= 15 AND magnitude >= 1500)"""
+
+
+def _large(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    events = runs(spark, sf_dir)
+    return events, events.where("duration >= 15 and abs(magnitude) >= 1500")
+
+
+@query(NEAR_SQL + """, c AS (SELECT b.id, count(o.id) AS n FROM b LEFT JOIN r o ON o.house_id = b.house_id AND o.phase = b.phase AND o.duration BETWEEN 3 AND 24 AND o.magnitude >= 800 AND abs(o.s - b.s) <= 21600 AND o.id <> b.id GROUP BY b.id)
+SELECT id, n AS n_cycles, CASE WHEN n >= 2 THEN 'ac' ELSE 'boiler' END AS kind FROM c""")
+def boilers_and_acs(spark, sf_dir):
+    events, large = _large(spark, sf_dir)
+    return patterns.nearby_cycles(large, events, 21_600).select("id", "n_cycles", F.when(F.col("n_cycles") >= 2, "ac").otherwise("boiler").alias("kind"))
+
+
+@query(NEAR_SQL + """ SELECT id FROM b WHERE (SELECT count(*) FROM r o WHERE o.house_id = b.house_id AND o.phase = b.phase AND o.id <> b.id AND o.duration BETWEEN 3 AND 30 AND o.magnitude >= 800 AND abs(o.s - b.s) <= 21600
+  AND o.magnitude >= 0.5 * b.magnitude AND o.e >= b.s - 300 AND NOT (o.s >= b.s AND o.e <= b.e)) < 2""")
+def compressor_free(spark, sf_dir):
+    events, large = _large(spark, sf_dir)
+    return patterns.compressor_near(large, events, 21_600).select("id")
+
+
+OVERLAP_SQL = RUNS_SQL + """, p AS (SELECT a.id AS l_id, a.s AS ls, a.magnitude AS lm, b.phase, b.id AS r_id, b.s AS rs, b.magnitude AS rm FROM r a JOIN r b ON a.house_id = b.house_id AND a.phase <> b.phase AND a.s <= b.e + 600 AND b.s <= a.e + 600),
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY l_id, phase ORDER BY rs, r_id) AS n FROM p) WHERE n = 1), o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY r_id ORDER BY ls, l_id) AS k FROM f) WHERE k = 1)"""
+
+
+@query(OVERLAP_SQL + " SELECT l_id, phase, r_id FROM o")
+def first_overlaps(spark, sf_dir):
+    events = runs(spark, sf_dir)
+    return patterns.first_overlaps(events, events)
+
+
+@query(OVERLAP_SQL + """, g AS (SELECT l_id, count(*) + 1 AS n_phases, avg(least(rm, lm) / nullif(greatest(rm, lm), 0)) AS balance, max(abs(rs - ls)) AS late FROM o GROUP BY l_id)
+SELECT l_id, n_phases, round(balance, 4) AS balance, round(CASE WHEN late <= 60 THEN 1 WHEN late >= 600 THEN 0.5 ELSE 1 - 0.5 * (late - 60) / 540 END, 4) AS sync FROM g""")
+def multi_phase_sessions(spark, sf_dir):
+    return rounded(patterns.multi_phase(runs(spark, sf_dir)))
+
+
+@query(RUNS_SQL + """, k AS (SELECT DISTINCT s, phase FROM r WHERE iteration = 0 AND duration >= 30) SELECT r.id FROM r JOIN k ON k.s = r.s AND k.phase = r.phase""")
+def event_indices(spark, sf_dir):
+    """Rows that share start and phase with a chosen event."""
+    events = runs(spark, sf_dir)
+    return events.join(events.where("iteration = 0 and duration >= 30").select("start", "phase"), ["start", "phase"], "left_semi").select("id")
+
+
+SESSIONS_SQL = RUNS_SQL + """, q AS (SELECT *, sum(fresh) OVER (PARTITION BY house_id, phase ORDER BY s, id ROWS UNBOUNDED PRECEDING) AS session FROM (SELECT *, CASE WHEN s - lag(e) OVER (PARTITION BY house_id, phase ORDER BY s, id) <= 28800 THEN 0 ELSE 1 END AS fresh FROM r)),
+t AS (SELECT *, row_number() OVER w AS i, magnitude - lag(magnitude) OVER w AS step, s - lag(e) OVER w AS gap FROM q WINDOW w AS (PARTITION BY house_id, phase, session ORDER BY s, id)),
+m AS (SELECT house_id, phase, CAST(session AS BIGINT) AS session, count(*) AS n, min_by(duration, i) AS anchor, avg(magnitude) AS mean_size, CASE WHEN avg(magnitude) > 0 THEN stddev_pop(magnitude) / avg(magnitude) END AS size_cv,
+  CASE WHEN avg(duration) FILTER (WHERE i > 1) > 0 THEN stddev_pop(duration) FILTER (WHERE i > 1) / avg(duration) FILTER (WHERE i > 1) END AS length_cv, CASE WHEN avg(gap) FILTER (WHERE gap > 0) > 0 THEN stddev_pop(gap) FILTER (WHERE gap > 0) / avg(gap) FILTER (WHERE gap > 0) END AS gap_cv,
+  CASE WHEN count(step) > 0 THEN greatest(count(*) FILTER (WHERE step > 0), count(*) FILTER (WHERE step < 0)) / count(step) END AS one_way, max(duration) AS longest FROM t GROUP BY house_id, phase, session),
+a AS (SELECT *, CASE WHEN n - 1 <= 3 THEN 0.5 WHEN n - 1 >= 8 THEN 1 ELSE 0.5 + 0.5 * (n - 1 - 3) / 5 END AS cycle_score, CASE WHEN anchor <= 10 THEN 0.5 WHEN anchor >= 25 THEN 1 ELSE 0.5 + 0.5 * (anchor - 10) / 15 END AS anchor_score,
+  CASE WHEN coalesce(size_cv, 1) <= 0.05 THEN 1 WHEN coalesce(size_cv, 1) >= 0.2 THEN 0.5 ELSE 1 - 0.5 * (coalesce(size_cv, 1) - 0.05) / 0.15 END AS size_score, (2 - least(coalesce(length_cv, 1), 1) - least(coalesce(gap_cv, 1), 1)) / 2 AS regular_score FROM m),
+c AS (SELECT *, (cycle_score + anchor_score + size_score + regular_score) / 4 AS confidence FROM a),
+l AS (SELECT *, CASE WHEN n >= 4 AND mean_size >= 800 THEN confidence ELSE confidence * least(n / 4, 1) * least(mean_size / 800, 1) END AS ac_like FROM c)""".replace("/ 4 AS confidence", "/ 4.0 AS confidence")
+
+
+def sessioned(spark, sf_dir) -> DataFrame:
+    return sessions.sessionise(runs(spark, sf_dir), ["house_id", "phase"], "start", "end", 28_800, "id")
+
+
+KEYS = ["house_id", "phase", "session"]
+
+
+@query(SESSIONS_SQL + """ SELECT house_id, phase, session, n, round(anchor, 4) AS anchor, round(size_cv, 4) AS size_cv, round(length_cv, 4) AS length_cv, round(gap_cv, 4) AS gap_cv, round(one_way, 4) AS one_way, round(confidence, 4) AS confidence, round(ac_like, 4) AS ac_like FROM l""")
+def ac_confidence(spark, sf_dir):
+    found = patterns.ac_scores(patterns.cycling_measures(sessioned(spark, sf_dir), KEYS))
+    return rounded(found.select(*KEYS, "n", "anchor", "size_cv", "length_cv", "gap_cv", "one_way", "confidence", "ac_like"))
+
+
+@query(SESSIONS_SQL + """, x AS (SELECT *, least(longest / 15, 1) * least(mean_size / 1500, 1) AS boiler_like FROM l)
+SELECT house_id, phase, session, round(boiler_like, 4) AS boiler_like, round(1 - greatest(boiler_like, ac_like), 4) AS confidence,
+  concat_ws('; ', CASE WHEN longest < 15 THEN 'too short for a boiler' END, CASE WHEN mean_size < 1500 THEN 'too weak for a boiler' END, CASE WHEN n < 4 THEN 'too few cycles for an AC' END) AS reason FROM x""")
+def unknown_confidence(spark, sf_dir):
+    rows = sessioned(spark, sf_dir)
+    longest = rows.groupBy(*KEYS).agg(F.max("duration").alias("longest"))
+    found = patterns.unknown_scores(patterns.ac_scores(patterns.cycling_measures(rows, KEYS)).drop("confidence").join(longest, KEYS))
+    return rounded(found.select(*KEYS, "boiler_like", "confidence", "reason"))
+
+
+@query(SESSIONS_SQL + """ SELECT DISTINCT house_id, phase, CAST(session AS BIGINT) AS session FROM (SELECT house_id, phase, session, iteration FROM q GROUP BY ALL HAVING count(*) >= 2 AND avg(magnitude) >= 800 AND stddev_pop(magnitude) <= 0.5 * avg(magnitude))""")
+def dominant_rounds(spark, sf_dir):
+    return patterns.dominant_rounds(sessioned(spark, sf_dir), KEYS, 2, 0.5)
+
+
+@query(RUNS_SQL + """, d AS (SELECT house_id, CAST(floor(magnitude / 500) AS BIGINT) AS cluster, s, id, magnitude, duration, s - lag(s) OVER (PARTITION BY house_id, floor(magnitude / 500) ORDER BY s, id) AS gap FROM r WHERE duration BETWEEN 20 AND 26),
+k AS (SELECT house_id, cluster, count(*) AS n, stddev_pop(magnitude) / avg(magnitude) AS size_cv, stddev_pop(duration) / avg(duration) AS length_cv, CASE WHEN count(gap) >= 2 THEN CASE WHEN avg(gap) > 0 THEN stddev_pop(gap) / avg(gap) ELSE 0 END END AS gap_cv FROM d GROUP BY house_id, cluster)
+SELECT house_id, cluster, n, round((CASE WHEN n <= 3 THEN 0.5 WHEN n >= 10 THEN 1 ELSE 0.5 + 0.5 * (n - 3) / 7 END + CASE WHEN size_cv <= 0.05 THEN 1 WHEN size_cv >= 0.2 THEN 0.5 ELSE 1 - 0.5 * (size_cv - 0.05) / 0.15 END
+  + CASE WHEN length_cv <= 0.05 THEN 1 WHEN length_cv >= 0.2 THEN 0.5 ELSE 1 - 0.5 * (length_cv - 0.05) / 0.15 END + coalesce(CASE WHEN gap_cv <= 0.2 THEN 1 WHEN gap_cv >= 1 THEN 0.5 ELSE 1 - 0.5 * (gap_cv - 0.2) / 0.8 END, 0.5)) / 4.0, 4) AS confidence
+FROM k WHERE n >= 3 AND size_cv <= 0.20 AND length_cv <= 0.20""")
+def cluster_confidence(spark, sf_dir):
+    rows = runs(spark, sf_dir).where("duration between 20 and 26").withColumn("cluster", F.floor(F.col("magnitude") / 500))
+    return rounded(patterns.cluster_scores(rows, ["house_id", "cluster"]).drop("reason"))
+
+
+TYPED = """CASE event_type WHEN 'click' THEN 'regular_ac' WHEN 'view' THEN 'central_ac' WHEN 'purchase' THEN 'boiler' WHEN 'signup' THEN 'three_phase_device' ELSE 'unknown' END"""
+TAGGED = """CASE id % 5 WHEN 0 THEN 'EXACT-MEDIUM' WHEN 1 THEN 'NOISY-CLOSE-QUICK' WHEN 2 THEN 'PARTIAL-APPROX-EXTENDED-CORRECTED' WHEN 3 THEN 'LOOSE-SPIKE-TAIL' ELSE '' END"""
+
+
+def activations(spark, sf_dir) -> DataFrame:
+    return runs(spark, sf_dir).withColumns({"device_type": F.expr(TYPED), "tag": F.expr(TAGGED)})
+
+
+@query(RUNS_SQL + f""", t AS (SELECT *, {TYPED} AS device_type, {TAGGED} AS tag FROM r), md AS (SELECT device_type, quantile_cont(magnitude, 0.5) AS sm, quantile_cont(duration, 0.5) AS lm FROM t WHERE device_type <> 'unknown' GROUP BY device_type),
+ad AS (SELECT t.device_type, quantile_cont(abs(magnitude - sm), 0.5) AS sa, quantile_cont(abs(duration - lm), 0.5) AS la FROM t JOIN md ON md.device_type = t.device_type GROUP BY t.device_type),
+pc AS (SELECT device_type, phase, count(*) AS c FROM t WHERE device_type <> 'unknown' GROUP BY ALL), mp AS (SELECT device_type, phase AS main FROM (SELECT *, row_number() OVER (PARTITION BY device_type ORDER BY c DESC, phase DESC) AS n FROM pc) WHERE n = 1),
+j AS (SELECT t.*, sm, lm, sa, la, main FROM t LEFT JOIN md ON md.device_type = t.device_type LEFT JOIN ad ON ad.device_type = t.device_type LEFT JOIN mp ON mp.device_type = t.device_type),
+q AS (SELECT *, CASE WHEN tag = '' THEN 0.3 ELSE CASE WHEN tag LIKE '%EXACT%' THEN 1.0 WHEN tag LIKE '%CLOSE%' THEN 0.8 WHEN tag LIKE '%APPROX%' THEN 0.6 WHEN tag LIKE '%LOOSE%' THEN 0.4 ELSE 0.5 END * CASE WHEN tag LIKE '%PARTIAL%' THEN 0.5 WHEN tag LIKE '%NOISY%' THEN 0.7 ELSE 1.0 END * CASE WHEN tag LIKE '%CORRECTED%' THEN 0.9 ELSE 1.0 END END AS tq,
+  CASE iteration WHEN 0 THEN 1.0 WHEN 1 THEN 0.8 WHEN 2 THEN 0.6 WHEN 3 THEN 0.4 ELSE 0.3 END AS it, CASE WHEN sm IS NULL THEN 0.5 WHEN sa = 0 THEN CASE WHEN magnitude = sm THEN 1 ELSE 0.5 END ELSE greatest(1 - least(abs(magnitude - sm) / sa / 3, 1), 0) END AS mf,
+  CASE WHEN lm IS NULL THEN 0.5 WHEN la = 0 THEN CASE WHEN duration = lm THEN 1 ELSE 0.5 END ELSE greatest(1 - least(abs(duration - lm) / la / 3, 1), 0) END AS df,
+  CASE WHEN device_type IN ('regular_ac', 'central_ac') THEN CASE WHEN month BETWEEN 5 AND 10 THEN 1.0 WHEN month IN (4, 11) THEN 0.7 ELSE 0.3 END WHEN device_type IN ('boiler', 'three_phase_device') THEN 0.8 ELSE 0.5 END AS sf,
+  CASE WHEN device_type IN ('central_ac', 'three_phase_device') OR phase = main THEN 1.0 ELSE 0.5 END AS pf FROM j),
+z AS (SELECT id, device_type, least(0.25 * tq + 0.15 * it + 0.20 * mf + 0.15 * df + 0.10 * sf + 0.15 * pf + 0.05, 1) AS confidence FROM q)
+SELECT id, device_type, round(confidence, 4) AS confidence, CASE WHEN confidence >= 0.8 THEN 'high' WHEN confidence >= 0.4 THEN 'medium' ELSE 'low' END AS tier FROM z""")
+def activation_confidence(spark, sf_dir):
+    return rounded(patterns.activation_scores(activations(spark, sf_dir)).select("id", "device_type", "confidence", "tier"))
+
+
+@query(RUNS_SQL + f""", t AS (SELECT *, {TYPED} AS device_type, s // 86400 % 12 + 1 AS mon FROM r), o AS (SELECT *, coalesce(lead(s) OVER (PARTITION BY house_id, device_type ORDER BY s, id) < e, false) AS ov FROM t),
+p AS (SELECT device_type, max(c) / sum(c) AS main_share FROM (SELECT device_type, phase, count(*) AS c FROM t GROUP BY ALL) GROUP BY device_type),
+g AS (SELECT device_type, count(*) AS n, count(DISTINCT mon) / (SELECT count(DISTINCT mon) FROM t) AS temporal, stddev_pop(magnitude) / avg(magnitude) AS cv, quantile_cont(duration, 0.25) AS q1, quantile_cont(duration, 0.5) AS q2, quantile_cont(duration, 0.75) AS q3,
+  avg(CASE WHEN mon BETWEEN 5 AND 10 THEN 1.0 ELSE 0.0 END) AS warm, count(*) FILTER (WHERE ov) AS n_overlaps FROM o GROUP BY device_type),
+k AS (SELECT g.*, main_share, greatest(1 - cv, 0) AS stability, greatest(1 - CASE WHEN q2 > 0 THEN (q3 - q1) / q2 ELSE 0 END / 2, 0) AS plausible, 1 - n_overlaps / n AS apart FROM g JOIN p ON p.device_type = g.device_type),
+w AS (SELECT *, 0.3 * temporal + 0.3 * stability + 0.2 * plausible + 0.2 * apart AS score FROM k)
+SELECT device_type, n, round(temporal, 4) AS temporal, round(stability, 4) AS stability, round(plausible, 4) AS plausible, round(apart, 4) AS apart, round(main_share, 4) AS main_share, round(warm, 4) AS warm, n_overlaps, round(score, 4) AS score,
+  CASE WHEN score >= 0.75 THEN 'good' WHEN score >= 0.5 THEN 'fair' ELSE 'poor' END AS tier, concat_ws(',', CASE WHEN temporal < 0.5 THEN 'rare' END, CASE WHEN cv > 0.5 THEN 'unstable' END, CASE WHEN n_overlaps > 0 THEN 'overlaps' END) AS flags FROM w""")
+def type_quality(spark, sf_dir):
+    """Days of the year stand in for months, of which the table holds one."""
+    return rounded(patterns.type_quality(activations(spark, sf_dir).withColumn("month", F.floor(F.col("start") / 86_400) % 12 + 1)))
+
+
+@query(RUNS_SQL + """, h AS (SELECT house_id, avg(magnitude) AS a, avg(duration) AS b, CAST(count(*) AS DOUBLE) AS c, stddev_pop(magnitude) AS d FROM r GROUP BY house_id), v AS (UNPIVOT h ON a, b, c, d INTO NAME metric VALUE x),
+m AS (SELECT metric, quantile_cont(x, 0.5) AS md FROM v GROUP BY metric), k AS (SELECT v.metric, quantile_cont(abs(x - md), 0.5) AS mad FROM v JOIN m ON m.metric = v.metric GROUP BY v.metric),
+z AS (SELECT house_id, v.metric, (x - md) / CASE WHEN mad = 0 THEN 1 ELSE mad END AS z FROM v JOIN m ON m.metric = v.metric JOIN k ON k.metric = v.metric)
+SELECT house_id, round(max(abs(z)), 4) AS max_z, count(*) FILTER (WHERE abs(z) > 2) AS n_over_2, max(abs(z)) > 3 OR count(*) FILTER (WHERE abs(z) > 2) >= 3 AS outlier FROM z GROUP BY house_id""")
+def outlier_houses(spark, sf_dir):
+    houses = runs(spark, sf_dir).groupBy("house_id").agg(F.avg("magnitude").alias("a"), F.avg("duration").alias("b"), F.count("*").cast("double").alias("c"), F.stddev_pop("magnitude").alias("d"))
+    long = houses.unpivot("house_id", ["a", "b", "c", "d"], "metric", "x")
+    return rounded(patterns.outliers(sessions.robust_z(long, ["metric"], "x")))
+
+
+@query(RUNS_SQL + f""", t AS (SELECT *, {TAGGED} AS tag FROM r WHERE {TAGGED} <> '') SELECT part, count(*) AS n, round(quantile_cont(magnitude, 0.9), 4) AS p90 FROM (SELECT unnest(string_split(tag, '-')) AS part, magnitude FROM t) GROUP BY part""")
+def tag_parts(spark, sf_dir):
+    rows = activations(spark, sf_dir).where("tag <> ''").select(F.explode(F.split("tag", "-")).alias("part"), "magnitude")
+    return rounded(rows.groupBy("part").agg(F.count("*").alias("n"), F.percentile("magnitude", F.lit(0.9)).alias("p90")))
+
+
+@query(RUNS_SQL + f""", t AS (SELECT *, {TYPED} AS device_type FROM r), q AS (SELECT *, sum(f) OVER (PARTITION BY house_id, phase, device_type ORDER BY s, id ROWS UNBOUNDED PRECEDING) AS session FROM (SELECT *, CASE WHEN s - lag(e) OVER (PARTITION BY house_id, phase, device_type ORDER BY s, id) <= 86400 THEN 0 ELSE 1 END AS f FROM t)),
+g AS (SELECT device_type, house_id, phase, session, count(*) AS n, min_by(duration, s) AS first_minutes, stddev_pop(magnitude) / avg(magnitude) AS cv, min(s) AS st FROM q GROUP BY device_type, house_id, phase, session)
+SELECT device_type, count(*) AS n_sessions, count(*) FILTER (WHERE n >= 4 AND first_minutes >= 15 AND cv <= 0.5) AS n_valid, count(*) FILTER (WHERE (st // 3600) % 24 BETWEEN 6 AND 17) AS n_day, count(*) FILTER (WHERE NOT (st // 3600) % 24 BETWEEN 6 AND 17) AS n_night FROM g GROUP BY device_type""")
+def usage_patterns(spark, sf_dir):
+    """Sessions of activations by device type: how many are valid (a long first run, three more, alike), and
+    how many start by day and by night."""
+    keys = ["device_type", "house_id", "phase"]
+    rows = sessions.sessionise(activations(spark, sf_dir), keys, "start", "end", 86_400, "id")
+    found = rows.groupBy(*keys, "session").agg(F.count("*").alias("n"), F.min_by("duration", "start").alias("first_minutes"), (F.stddev_pop("magnitude") / F.avg("magnitude")).alias("cv"), F.min("start").alias("at"))
+    day = (F.floor(F.col("at") / 3600) % 24).between(6, 17)
+    return found.groupBy("device_type").agg(F.count("*").alias("n_sessions"), F.count_if((F.col("n") >= 4) & (F.col("first_minutes") >= 15) & (F.col("cv") <= 0.5)).alias("n_valid"), F.count_if(day).alias("n_day"), F.count_if(~day).alias("n_night"))
+
+
+@query(RUNS_SQL + """, q AS (SELECT *, sum(f) OVER (PARTITION BY house_id ORDER BY s, id ROWS UNBOUNDED PRECEDING) AS grp FROM (SELECT *, CASE WHEN s - lag(s) OVER (PARTITION BY house_id ORDER BY s, id) <= 600 THEN 0 ELSE 1 END AS f FROM r WHERE event_type = 'view'))
+SELECT house_id, min(s) AS "start", CASE WHEN bool_or(phase = 'w1') THEN 'V' ELSE 'X' END AS w1, CASE WHEN bool_or(phase = 'w2') THEN 'V' ELSE 'X' END AS w2, CASE WHEN bool_or(phase = 'w3') THEN 'V' ELSE 'X' END AS w3, round(avg(magnitude), 4) AS magnitude, round(max(duration), 4) AS longest FROM q GROUP BY house_id, grp""")
+def central_ac_rows(spark, sf_dir):
+    """Runs at most ten minutes apart as one row, with the phases that take part."""
+    rows = runs(spark, sf_dir).where("event_type = 'view'")
+    w = W.partitionBy("house_id").orderBy("start", "id")
+    rows = rows.withColumn("fresh", F.when(F.col("start") - F.lag("start").over(w) <= 600, 0).otherwise(1)).withColumn("grp", F.sum("fresh").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    seen = lambda p: F.when(F.bool_or(F.col("phase") == p), "V").otherwise("X").alias(p)
+    return rounded(rows.groupBy("house_id", "grp").agg(F.min("start").alias("start"), seen("w1"), seen("w2"), seen("w3"), F.avg("magnitude").alias("magnitude"), F.max("duration").alias("longest")).drop("grp"))
+
+
+@query(RUNS_SQL + f""", t AS (SELECT *, {TYPED} AS device_type FROM r), n AS (SELECT device_type, 'Device ' || chr(CAST(64 + row_number() OVER (ORDER BY device_type) AS INTEGER)) AS name FROM (SELECT DISTINCT device_type FROM t WHERE device_type <> 'unknown'))
+SELECT id, t.device_type, name, round(magnitude, 2) AS magnitude FROM t LEFT JOIN n ON n.device_type = t.device_type""".replace("round(magnitude, 2)", "CAST(floor(magnitude) AS BIGINT)"))
+def named_activations(spark, sf_dir):
+    """Flat activations with the names of a second table where it has one."""
+    rows = activations(spark, sf_dir)
+    names = rows.where("device_type <> 'unknown'").select("device_type").distinct()
+    names = names.withColumn("name", F.concat(F.lit("Device "), F.chr(64 + F.row_number().over(W.partitionBy(F.lit(0)).orderBy("device_type")))))  # a row per device type
+    return rows.join(F.broadcast(names), "device_type", "left").select("id", "device_type", "name", F.floor("magnitude").alias("magnitude"))
+
+
+# ---------------------------------------------------------------- order-dependent steps
+
+
+@query()
+def stacked_pairs(spark, sf_dir):
+    """Last-in-first-out pairs of the grid's edges."""
+    found = sharp_edges(dense_grid(spark, sf_dir), 800, order=("m",))
+    ids = F.concat_ws("-", "event", F.col("start").cast("string"))
+    return patterns.stack_pairs(found.select("house_id", "phase", "event", ids.alias("id"), F.col("start").alias("at"), "magnitude"), ["house_id", "phase"])
+
+
+@query()
+def recurring_runs(spark, sf_dir):
+    """Runs of 20 minutes and more that recur at a time of day, by power bucket, with their period."""
+    rows = runs(spark, sf_dir).where("duration >= 20").withColumn("bucket", F.floor(F.col("magnitude") / 1000))
+    return rounded(patterns.recurrences(rows, ["house_id", "phase", "bucket"], least=2))
+
+
+@query()
+def cross_house_devices(spark, sf_dir):
+    """Patterns of houses under complete linkage, named by power."""
+    found = runs(spark, sf_dir).groupBy("house_id", F.col("iteration").alias("pattern_id")).agg(F.avg("magnitude").alias("magnitude"), F.avg("duration").alias("duration"), F.count("*").alias("n")).where("n >= 2 and duration >= 10")
+    return rounded(patterns.named_groups(patterns.linked_signatures(found, 0.02, 0.05)))
+
+
+@query()
+def classified_runs(spark, sf_dir):
+    """The cascade: boilers of the main phase, devices on several phases, ACs on several, ACs, recurring ones."""
+    events = staged(runs(spark, sf_dir).where("duration >= 2"))
+    found = staged(patterns.cascade(events, classifiers()))
+    return found.groupBy("device_type").agg(F.count("*").alias("n"))
+
+
+def classifiers(apart: int = 3600) -> list:
+    keys = ["house_id", "phase"]
+
+    def large(left: DataFrame) -> DataFrame:
+        alone = devices.boiler_candidates(left)
+        return patterns.compressor_near(alone, left, apart)
+
+    def boilers(left: DataFrame) -> DataFrame:
+        alone = large(left)
+        several = devices.simultaneous(alone).select(F.explode(F.array("l_id", "r_id")).alias("id"))
+        return patterns.main_phase_only(alone.join(several, "id", "left_anti"))
+
+    def three_phase(left: DataFrame) -> DataFrame:
+        return devices.simultaneous(left.where("magnitude >= 1500")).select(F.explode(F.array("l_id", "r_id")).alias("id"))
+
+    def cycling(left: DataFrame) -> DataFrame:
+        minutes = left.withColumns({"start": F.col("start") / 60, "end": F.col("end") / 60}).select(*keys, "id", "start", "end", "magnitude")
+        return kernels.cycling(minutes).where("sequence >= 0")
+
+    def central(left: DataFrame) -> DataFrame:
+        marked = staged(cycling(left).join(left.select("id", F.col("start").alias("at"), F.col("end").alias("till")), "id"))
+        blocks = marked.groupBy(*keys, "sequence").agg(F.min("at").alias("start"), F.max("till").alias("end"), F.min("id").alias("id"))
+        linked = patterns.first_overlaps(blocks, blocks)
+        both = linked.select(F.explode(F.array("l_id", "r_id")).alias("id")).distinct()
+        return marked.join(blocks.join(both, "id", "left_semi").select(*keys, "sequence"), [*keys, "sequence"], "left_semi")
+
+    def recurring(left: DataFrame) -> DataFrame:
+        parts = staged(sessions.sessionise(left, keys, "start", "end", 1800, "id"))
+        stats = parts.withColumn("threshold", F.col("iteration")).groupBy(*keys, "session").agg(F.min("start").alias("start"), F.avg("magnitude").alias("avg_magnitude"), F.avg("duration").alias("avg_duration"), F.count("*").alias("n_events"), F.coalesce(F.stddev_pop("magnitude") / F.avg("magnitude"), F.lit(0.0)).alias("magnitude_cv"))
+        marked = kernels.recurring(stats, ("avg_magnitude", "avg_duration", "n_events", "magnitude_cv")).where("cluster >= 0")
+        shaped = marked.select(*keys, "cluster", "session", "start", F.col("session").alias("id"), F.col("avg_magnitude").alias("magnitude"), F.col("avg_duration").alias("duration"))
+        valid = patterns.cluster_scores(shaped, [*keys, "cluster"]).select(*keys, "cluster")
+        return parts.join(marked.join(valid, [*keys, "cluster"], "left_semi").select(*keys, "session"), [*keys, "session"], "left_semi")
+
+    return [("boiler", boilers), ("three_phase_device", three_phase), ("central_ac", central), ("regular_ac", cycling), ("recurring_pattern", recurring)]
+
+
+# ---------------------------------------------------------------- wave recovery
+
+
+@query()
+def recovered_waves(spark, sf_dir):
+    """Waves on all phases and what is left after they are taken out, by house and phase."""
+    grid = staged(dense_grid(spark, sf_dir).select("house_id", "phase", "m", "watts"))
+    found, left, checks = recovery.recover(grid)
+    kwh = lambda df, name: df.groupBy("house_id", "phase").agg((F.sum("watts") / 60_000).alias(name))
+    waves = found.groupBy("house_id", "phase").agg(F.count("*").alias("n_waves"), F.count_if("crossed").alias("n_crossed"), F.sum("energy").alias("energy"))
+    good = checks.groupBy("house_id", "phase").agg(F.bool_and("valid").alias("all_valid"))
+    return rounded(kwh(grid, "before_kwh").join(kwh(left, "left_kwh"), ["house_id", "phase"]).join(waves, ["house_id", "phase"], "left").join(good, ["house_id", "phase"], "left"))
+
+
+@query()
+def guided_cycles(spark, sf_dir):
+    """Cycles found again in real readings, in the sessions that lead there."""
+    grid = staged(reading_grid(spark, sf_dir).select("house_id", "phase", "m", "watts"))
+    leads = grid.groupBy("house_id", "phase").agg(F.min("m").alias("start"), F.max("m").alias("end"), F.lit(1500.0).alias("avg_magnitude"))
+    return rounded(recovery.guided(grid, leads))

@@ -49,16 +49,23 @@ def tokens(spark: SparkSession, primary: str, backup: str | None = None) -> Data
     return found.join(load(backup).withColumnRenamed("token", "other"), "house_id", "left").select("house_id", F.coalesce("other", "token").alias("token"))
 
 
-def parse_match_log(lines: DataFrame, per_reason: int = 100_000) -> DataFrame:
-    """Text lines (value) -> (reason, n, n_values, avg_value) over REJECTED, CORRECTABLE and Matched
-    lines; values are their first key=number, of at most ``per_reason`` lines by hash."""
+def parse_match_log(lines: DataFrame, bins: int = 10_000) -> DataFrame:
+    """Text lines (value) -> (reason, n, n_values, avg_value, p50, p90) over REJECTED, CORRECTABLE and Matched
+    lines, from the first key=number of every line. Percentiles are to one part in ``bins``; no line is
+    left out, and no reason's lines meet in one task."""
     kind = F.regexp_extract("value", r"\b(REJECTED|CORRECTABLE|Matched)\b(?::?\s*([A-Za-z_]+))?", 1)
     reason = F.regexp_extract("value", r"\bREJECTED:?\s*([A-Za-z_]+)", 1)
     number = F.expr(r"try_cast(regexp_extract(value, '=\\s*(-?[0-9.]+)', 1) AS double)")
-    rows = lines.select(F.when(reason != "", reason).otherwise(kind).alias("reason"), number.alias("number"), F.xxhash64("value").alias("h")).where("reason <> ''")
-    rows = rows.withColumn("nth", F.row_number().over(W.partitionBy("reason").orderBy("h")))
-    kept = F.when(F.col("nth") <= per_reason, F.col("number"))
-    return rows.groupBy("reason").agg(F.count("*").alias("n"), F.count(kept).alias("n_values"), F.avg(kept).alias("avg_value"))
+    rows = lines.select(F.when(reason != "", reason).otherwise(kind).alias("reason"), number.alias("number")).where("reason <> ''")
+    share = lambda p: F.percentile_approx("number", p, bins)
+    return rows.groupBy("reason").agg(F.count("*").alias("n"), F.count("number").alias("n_values"), F.avg("number").alias("avg_value"), share(0.5).alias("p50"), share(0.9).alias("p90"))
+
+
+def numbers_of(lines: DataFrame) -> DataFrame:
+    """(value, key, number): every ``key=number`` of text lines."""
+    pairs = F.explode(F.expr(r"regexp_extract_all(value, '([A-Za-z_]+)=\\s*-?[0-9.]+', 0)"))
+    found = lines.select("value", pairs.alias("pair"))
+    return found.select("value", F.substring_index("pair", "=", 1).alias("key"), F.expr("try_cast(trim(substring_index(pair, '=', -1)) AS double)").alias("number"))
 
 
 def negatives(wide: DataFrame, phases: list[str]) -> DataFrame:

@@ -6,9 +6,12 @@ import pytest
 from gridloom.llm import decontaminate, graph, html_text, lm_score, near_copies, simhash
 
 
+IDS = 16 * 16 + lm_score.BANDS
+
+
 def test_lm_lanes_hold_every_token_once():
     rng = np.random.default_rng(3)
-    docs = [rng.integers(1, lm_score.IDS, n) for n in (1, 2 * lm_score.STRETCH + 7, *rng.integers(1, 200, 60), lm_score.STRETCH)]
+    docs = [rng.integers(1, IDS, n) for n in (1, 2 * lm_score.STRETCH + 7, *rng.integers(1, 200, 60), lm_score.STRETCH)]
     seen = []
     for inputs, targets, mask, before in lm_score.lanes(docs, 8):
         assert inputs.shape == targets.shape == mask.shape and len(before) == inputs.shape[1] <= 8
@@ -18,11 +21,11 @@ def test_lm_lanes_hold_every_token_once():
 
 def test_lm_learns_from_the_shortest_document_of_a_long_batch(spark):
     rng = np.random.default_rng(4)
-    docs = [rng.integers(1, lm_score.IDS, 480) for _ in range(2700)]
-    start = lm_score.start_weights(np.ones(lm_score.IDS))
+    docs = [rng.integers(1, IDS, 480) for _ in range(2700)]
+    start = lm_score.start_weights(np.ones(IDS), 16)
     found = []
     for last in (np.arange(1, 41), np.arange(40, 0, -1)):
-        rows = [(d.astype("<u2").tobytes(),) for d in [*docs, last]]
+        rows = [(d.astype("<u4").tobytes(),) for d in [*docs, last]]
         found.append(lm_score._average(spark, spark.createDataFrame(rows, "ids binary").coalesce(1), start, 0.02))
     assert np.abs(found[0] - found[1]).max() > 0
 

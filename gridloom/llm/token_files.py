@@ -6,7 +6,7 @@ frame with the seek table of the public zstd seekable format: compressed size, u
 checksum (low 32 bits of XXH64 of the content) of every frame, number of frames, descriptor, magic.
 A reader takes the table from the end of the file and decompresses only the frames asked for.
 
-Files are numbered in ascending order of document id (nulls first, equal ids by text).
+Files are numbered in ascending order of document id (nulls first, equal ids by a hash of the text).
 """
 
 from __future__ import annotations
@@ -94,6 +94,8 @@ class Reader:
         return out
 
 
+#: Text that goes into a file.
+FILE_BYTES = 256_000_000
 MANIFEST = "part long, path string, n_docs long, n_ids long"
 
 
@@ -101,9 +103,12 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, root: str, i
     """Encode whole texts, append ``end_id`` to each, write files under ``root`` -> manifest
     (part, path, n_docs, n_ids), one row per file, as a written table.
 
-    A null text is empty. Repeated doc_ids and null doc_ids are written as rows of their own; other
+    ``files``: how many; else one for every FILE_BYTES of text, and as many as the session has shuffle
+    partitions at least. A null text is empty. Repeated doc_ids and null doc_ids are written as rows of
+    their own, in order of a hash of the text, so that no range of files has to hold all of them; other
     input columns are ignored. An empty table gives an empty manifest or files without documents.
-    A task that runs again writes a file of another name; only the names in the manifest count.
+    Texts are encoded whole. A task that runs again writes a file of another name; only the names in
+    the manifest count.
     """
     end = np.array([end_id], "<u4").tobytes()
 
@@ -125,8 +130,10 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, root: str, i
 
     rows = rows_of(docs, doc_id=id_col, text=text_col)
     rows = rows.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), "text")
-    files = files or partitions_for(docs.sparkSession)
-    order = [F.col("no_id").desc(), F.col("doc_id")]
+    if files is None:
+        size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
+        files = max(partitions_for(docs.sparkSession), -(-size // FILE_BYTES))
+    order = [F.col("no_id").desc(), F.col("doc_id"), F.xxhash64("text")]
     dealt = rows.repartitionByRange(files, *order).sortWithinPartitions(*order, "text")
     return work_table(dealt.mapInPandas(write, MANIFEST), "token-manifest")
 
@@ -142,29 +149,39 @@ def read_token_files(manifest: DataFrame, frames_a_row: int = 512) -> DataFrame:
     spark = manifest.sparkSession
     plan = spark.createDataFrame(plan, "part long, path string, n_docs long, before long")
     starts = F.sequence(F.lit(0).cast("long"), F.col("n_docs") - 1, F.lit(frames_a_row).cast("long"))
-    parts = plan.where("n_docs > 0").withColumn("first", F.explode(starts)).repartition(partitions_for(spark), "part", "first")
+    parts = plan.where("n_docs > 0").withColumn("first", F.explode(starts))
+    parts = parts.repartitionByRange(partitions_for(spark), "part", "first").sortWithinPartitions("part", "first")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for part, path, n_docs, before, first in batch.itertuples(index=False):
-                store, name = pafs.FileSystem.from_uri(path)
-                with store.open_input_file(name) as file:
-                    reader = Reader(file)
+        opened, reader, file, starts = None, None, None, None  # a task reads a file's table once: its rows stand together
+        try:
+            for batch in batches:
+                for part, path, n_docs, before, first in batch.itertuples(index=False):
+                    if path != opened:
+                        if file:
+                            file.close()
+                        store, name = pafs.FileSystem.from_uri(path)
+                        file = store.open_input_file(name)
+                        opened, reader = path, Reader(file)
+                        counts = reader.index["n_tokens"].astype(np.int64)
+                        starts = before + np.cumsum(counts) - counts
                     last = min(n_docs, first + frames_a_row)
-                    counts = reader.index["n_tokens"].astype(np.int64)
-                    starts = before + np.cumsum(counts) - counts
                     own = reader.index[first:last]
                     yield pd.DataFrame({
                         "part": part, "nth": np.arange(first, last),
                         "doc_id": pd.array(np.where(own["is_null"], None, own["doc_id"].astype(object)), "Int64"),
-                        "start": starts[first:last], "n_tokens": counts[first:last], "ids": reader.frames(first, last),
+                        "start": starts[first:last], "n_tokens": own["n_tokens"].astype(np.int64), "ids": reader.frames(first, last),
                     })
+        finally:
+            if file:
+                file.close()
 
     kind = T.StructType([T.StructField(n, T.BinaryType() if n == "ids" else T.LongType()) for n in ("part", "nth", "doc_id", "start", "n_tokens", "ids")])
     return parts.select("part", "path", "n_docs", "before", "first").mapInPandas(read, kind)
 
 
 def op2_token_output(spark, sf_dir: str) -> DataFrame:
+    """Every row of ``documents`` from the files that it was written to."""
     docs = table(spark, sf_dir, "documents")
     manifest = write_token_files(docs, public_path("word_bpe_49k.json"), 1, work_path(spark, "token-files"))
     return read_token_files(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

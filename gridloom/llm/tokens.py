@@ -24,6 +24,21 @@ BYTE_PIECES = re.compile(f"{SUFFIX}| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^\\s{LETTER}{
 WORD_PIECES = re.compile(f"{SUFFIX}|[{LETTER}]+|[{NUMBER}]|[^\\s{LETTER}{NUMBER}]+")
 
 
+# Normaliser and splitter of the two tokenizers (fixed values); any other tokenizer is left to the library. On
+# characters of PLAIN, NFC changes nothing and white space is not part of a piece.
+BYTE_SPEC = (None, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True})
+WORD_SPEC = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+)
+
+
 def public_path(name: str) -> str:
     import public_tokenizers
 
@@ -68,10 +83,11 @@ class Encoder:
             spec = json.load(f)
         self.special = [t["content"] for t in spec["added_tokens"]]
         pre, self.lower, self.pieces = spec["pre_tokenizer"], False, None
-        if spec["normalizer"] is None and pre["type"] == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"]:
-            self.pieces = BYTE_PIECES
-        elif spec["normalizer"] and pre["type"] == "Sequence" and pre["pretokenizers"][0]["pattern"]["Regex"] == "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+":
-            self.pieces, self.lower = WORD_PIECES, True
+        if spec["model"]["type"] == "BPE" and not spec["model"]["dropout"]:
+            if (spec["normalizer"], pre) == BYTE_SPEC:
+                self.pieces = BYTE_PIECES
+            elif (spec["normalizer"], pre) == WORD_SPEC:
+                self.pieces, self.lower = WORD_PIECES, True
         self.memo = _Memo(self.tokenizer, most)
 
     def encode(self, text: str | None) -> bytes:

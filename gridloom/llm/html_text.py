@@ -35,9 +35,12 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 #: Elements whose start ends an open paragraph.
 ENDS_P = frozenset("address article aside blockquote center details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SAME = {"li": "li", "dt": "dl", "dd": "dl", "tr": "tr", "td": "td", "th": "td", "option": "option"}
+ALIKE = {x: [t for t in SAME if SAME[t] == x] for x in SAME.values()}
 SCOPE = frozenset("ul ol dl table div article section body html main aside nav form".split())
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.S)
+# A quoted value holds no ``>`` or nothing that looks like a tag: a quote left open does not swallow the markup
+# behind it.
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^<>]*>|<(/?)([a-zA-Z][^\s/<>]*)((?:"(?:[^">]*|(?:[^"<]|<(?![a-zA-Z/!]))*)"|'(?:[^'>]*|(?:[^'<]|<(?![a-zA-Z/!]))*)'|[^<>"'])*+|[^<>]*+)>""", re.S)
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -54,6 +57,8 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
     nodes, blocks, stack = [Node("html", -1, ())], [], [("html", 0)]
     held: list[str] = []
     at, links, hollow = 0, 0, 0
+    inner = [0]  # depths of the open blocks, which are walked without the inline elements between them
+    count: dict[str, int] = {}  # open elements by tag
 
     def flush() -> None:
         if held:
@@ -61,7 +66,7 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
             held.clear()
 
     def stack_node() -> int:
-        return next(n for _, n in reversed(stack) if n >= 0)
+        return stack[inner[-1]][1]
 
     def add(text: str) -> None:
         if text and not hollow:
@@ -75,10 +80,19 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
     def pop_to(depth: int) -> None:
         nonlocal links, hollow
         while len(stack) > depth:
-            tag, _ = stack.pop()
+            tag, node = stack.pop()
+            count[tag] -= 1
+            if node >= 0:
+                inner.pop()
             links -= tag == "a"
             hollow -= tag in HOLLOW
 
+    def push(tag: str, node: int) -> None:
+        count[tag] = count.get(tag, 0) + 1
+        if node >= 0:
+            inner.append(len(stack))
+        stack.append((tag, node))
+
     def leave_for(tag: str) -> None:
         """A block's start closes an open svg (but not inside its foreignObject) and an option outside a select."""
         first = next(d for d, (t, _) in enumerate(stack) if t in HOLLOW)
@@ -93,20 +107,22 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
             continue
         tag = m[2].lower()
         if m[1]:
-            depth = next((d for d in range(len(stack) - 1, 0, -1) if stack[d][0] == tag), 0)
+            if not count.get(tag):
+                continue
+            if tag in INLINE:  # an inline end never closes a block
+                depth = next((d for d in range(len(stack) - 1, inner[-1], -1) if stack[d][0] == tag), 0)
+            else:
+                depth = next((d for d in range(len(stack) - 1, 0, -1) if stack[d][0] == tag), 0)
+                if depth and inner[-1] >= depth:
+                    flush()
             if depth:
-                if tag not in INLINE:
-                    if any(n >= 0 for _, n in stack[depth:]):
-                        flush()
-                    pop_to(depth)
-                elif all(n < 0 for _, n in stack[depth:]):  # an inline end never closes a block
-                    pop_to(depth)
+                pop_to(depth)
             continue
         if hollow:
             leave_for(tag)
         empty = m[3].endswith("/")
         if tag in RAW:
-            if empty and any(t == "svg" for t, _ in stack):
+            if empty and count.get("svg"):
                 continue
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
             at = end.end() if end else len(html)
@@ -115,7 +131,7 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
             if tag == "option" and (d := next((d for d in range(len(stack) - 1, 0, -1) if stack[d][0] in ("option", "select", "datalist")), 0)) and stack[d][0] == "option":
                 pop_to(d)
             if tag not in VOID and not empty:
-                stack.append((tag, -1))
+                push(tag, -1)
                 links += tag == "a"
                 hollow += tag in HOLLOW
             continue
@@ -125,14 +141,15 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
             elif tag == "hr":
                 flush()
             elif tag not in VOID and not empty:
-                stack.append((tag, -1))
+                push(tag, -1)
                 links += tag == "a"
             continue
         flush()
-        if tag in ("html", "body") and any(t == tag for t, _ in stack):
+        if tag == "html" or (tag == "body" and count.get("body")):
             continue
         closes = SAME.get(tag)
-        for d in range(len(stack) - 1, 0, -1):
+        may_end = (tag in ENDS_P and count.get("p")) or (closes and any(count.get(t) for t in ALIKE[closes])) or (tag == "body" and count.get("head"))
+        for d in (inner[i] for i in range(len(inner) - 1, 0, -1)) if may_end else ():
             open_tag = stack[d][0]
             if (open_tag == "p" and tag in ENDS_P) or (closes and SAME.get(open_tag) == closes) or (open_tag == "head" and tag == "body"):
                 pop_to(d)
@@ -142,7 +159,7 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
         names = tuple(dict.fromkeys(p.lower() for g in NAMES.findall(m[3]) for p in PART.findall("".join(g)))) if m[3] else ()
         nodes.append(Node(tag, stack_node(), names))
         if not empty:
-            stack.append((tag, len(nodes) - 1))
+            push(tag, len(nodes) - 1)
     add(html[at:])
     flush()
     return nodes, blocks
@@ -352,7 +369,8 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """(page_id, url, text, n_chars), one row per input row.
 
     A null or empty html, or one without content, gives an empty text. Repeated rows are judged each
-    by itself; other input columns are ignored.
+    by itself; other input columns are ignored; an empty table gives no rows. Pages of any length are
+    read whole, in time that grows with the length, however deep elements lie in each other.
     """
     model = pages.sparkSession.sparkContext.broadcast(trained())  # some hundred weights
 
@@ -367,4 +385,5 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
 
 def op8_html_text(spark, sf_dir: str) -> DataFrame:
+    """Main text of every row of ``pages``."""
     return main_text(table(spark, sf_dir, "pages"))

@@ -256,4 +256,5 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def op3_decontamination(spark, sf_dir: str) -> DataFrame:
+    """Items of ``benchmark`` in every row of ``documents``."""
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

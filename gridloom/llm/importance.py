@@ -161,4 +161,5 @@ def resample(docs: DataFrame, labels: DataFrame, label_rows: int = LABEL_ROWS, t
 
 
 def op6_quality_classifier(spark, sf_dir: str) -> DataFrame:
+    """Importance weight, key and verdict of every row of ``documents``."""
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

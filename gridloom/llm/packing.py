@@ -99,4 +99,5 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, room: int = 2048, id_
 
 
 def op5_packing(spark, sf_dir: str) -> DataFrame:
+    """Pieces of every row of ``documents`` in sequences of 2048."""
     return pack(table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"), end_id=1, room=2048)

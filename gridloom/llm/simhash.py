@@ -173,5 +173,6 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, id_col: st
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every row of ``documents``."""
     found = near_duplicates(table(spark, sf_dir, "documents"), width=3, radius=3)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

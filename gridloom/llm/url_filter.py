@@ -187,6 +187,7 @@ BLOCKED = tuple(f"{site}.example.{top}" for site in BLOCKED_SITES for top in ("c
 
 
 def op4_url_filter(spark, sf_dir: str) -> DataFrame:
+    """Rule and verdict of every row of ``pages``."""
     rules = UrlList(spark.createDataFrame(RULES, "key string, value string"), "url-rules")
     blocked = UrlList(spark.createDataFrame([(k, "block") for k in BLOCKED], "key string, value string"), "url-blocked")
     return judge(table(spark, sf_dir, "pages"), rules, blocked).select("page_id", "host", "path", "rule", "verdict")

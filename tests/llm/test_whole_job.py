@@ -1,9 +1,17 @@
 """Cases that an operator once cut short: long batches, odd pages, large buckets, benchmarks in parts."""
 
+import time
+import zlib
+from collections import Counter
+
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
 
-from gridloom.llm import decontaminate, graph, html_text, lm_score, near_copies, simhash
+from gridloom.llm import decontaminate, graph, html_text, importance, lm_score, near_copies, packing, simhash, tokens
 
 
 IDS = 16 * 16 + lm_score.BANDS
@@ -129,3 +137,129 @@ def test_every_grid_meets_every_pair_within_the_radius(shared):
         for bit in rng.choice(64, 3, replace=False):
             b ^= 1 << int(bit)
         assert any(code(a) & (m & (1 << 64) - 1) == code(b) & (m & (1 << 64) - 1) for m in masks)
+
+
+#: Written by hand, in the manner of real pages; what is to be kept stands beside each.
+PAGES = {
+    """<!doctype html><html><head><title>Tide tables</title><style>p{x:1}</style></head><body>
+<header id="masthead"><a href="/">Harbour Gazette</a><nav class="menu"><ul><li><a href="/n">News</a><li><a href="/s">Sport</a></ul></nav></header>
+<div class="cookie-notice"><p>We use cookies. <button>Accept</button></p></div>
+<article class="post"><h1>Tides run high this week</h1><p class=lead>The spring tide of Tuesday reached <b>5.2&nbsp;metres</b>, the harbour office says.
+<p>Boats were kept in port until noon; the ferry ran an hour late.<blockquote><p>We have not seen the like since 1998.</p></blockquote>
+<p>The next high water is due on Friday at 06:40.</article>
+<aside class="sidebar"><h3>Popular</h3><ul><li><a href=1>Ten walks by the sea</a></ul></aside>
+<section class="comments" id="comments"><h3>2 comments</h3><div class="comment"><p>Same in my street!</p></div></section>
+<footer>&copy; Harbour Gazette <a href="/legal">Legal</a></footer><script>var x = "<p>no</p>";</script></body></html>""":
+    "Tides run high this week\n\nThe spring tide of Tuesday reached 5.2 metres, the harbour office says.\n\nBoats were kept in port until noon; the ferry ran an hour late.\n\nWe have not seen the like since 1998.\n\nThe next high water is due on Friday at 06:40.",
+    """<html><body><div class="topbar"><a href=a>Home</a> <a href=b>Recipes</a></div><div class="content"><h2>Plain bread</h2>
+<p>Mix flour, water and salt.</p><ul><li>500 g flour</li><li>350 g water</li></ul><div class="ad"><p>Knives now half price</p></div><p>Bake for 40 minutes.</p></div>
+<form class="newsletter"><label>Your mail</label><input name=m><button>Subscribe</button></form><div class="footer"><p>Copyright 2020</p></div></body></html>""":
+    "Plain bread\n\nMix flour, water and salt.\n\n500 g flour\n\n350 g water\n\nBake for 40 minutes.",
+    """<body><nav><a href=/>Start</a></nav><main><article><h1>On moss</h1><p>Moss has no roots.<br>It drinks by its leaves.</p><p>It is old.</p></article></main><footer><ul><li><a href=x>Contact</a></ul></footer></body>""":
+    "On moss\n\nMoss has no roots. It drinks by its leaves.\n\nIt is old.",
+}
+
+
+def test_pages_labelled_by_hand():
+    for html, want in PAGES.items():
+        assert "\n\n".join(html_text.extract(html, html_text.trained())) == want
+
+
+@pytest.mark.parametrize("page", ["<b>x" * 16000, "<i>" * 8000 + "<p>y</p>" * 8000, "<a " * 50000, '<a href="x>' * 20000 + "<p>text</p>", "<div>" * 4000 + "</b>" * 4000, "<h1>" * 4000 + "<p></p>" * 4000])
+def test_odd_pages_take_time_in_proportion(page):
+    began = time.process_time()
+    html_text.parse(page)
+    assert time.process_time() - began < 3  # 0.1 s; tens of seconds if quadratic
+
+
+def test_a_quote_left_open_loses_no_paragraph():
+    assert [t for _, t in html_text.parse('<body><p><a href="x>link</a></p><p class="y">kept</p><p title="a<b">one<img alt="x > y"></p>')[1]] == ["link", "kept", "one"]
+
+
+def test_packing_against_the_library(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    tokenizer = tokens.encoder(tokens.public_path("byte_bpe_50k.json")).tokenizer
+    ids = {r.doc_id: np.array([*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 1], "<u4") for r in docs.collect()}
+    pieces, fill = Counter(), {}
+    rows = sorted(packing.op5_packing(spark, "/root/testdata/sf0.001").collect(), key=lambda r: (r.doc_id, r.start))
+    for r in rows:
+        own = ids[r.doc_id]
+        assert r.start == pieces[r.doc_id] and r.doc_tokens == len(own) and r.ids_crc32 == zlib.crc32(own[r.start : r.start + r.length].tobytes())
+        pieces[r.doc_id] += r.length
+        fill.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert pieces == {i: len(x) for i, x in ids.items()}
+    for parts in fill.values():
+        parts.sort()
+        assert [at for at, _ in parts] == [sum(n for _, n in parts[:k]) for k in range(len(parts))] and sum(n for _, n in parts) <= 2048
+    assert len(fill) <= -(-sum(pieces.values()) // 2048) + 1
+
+
+def test_importance_weights_and_sample_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    ids = docs.limit(120).toPandas().doc_id.tolist()
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in ids], "doc_id long, quality int")
+    got = {r.doc_id: r for r in importance.resample(docs, labels).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    fit = {r.doc_id for r in labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0).collect()}
+    raw, target = Counter(), Counter()
+    for i, t in texts.items():
+        words = (t or "").split()
+        grams = importance.features(t).tolist()
+        assert len(grams) == max(0, 2 * len(words) - 1)
+        raw.update(grams)
+        if i in fit and i % 3 > 0:
+            target.update(grams)
+    share = lambda c, k: (c[k] + 1) / (sum(c.values()) + importance.BUCKETS)
+    ratio = {k: np.log(share(target, k) / share(raw, k)) for k in raw}
+    for i, t in texts.items():
+        grams = importance.features(t).tolist()
+        assert got[i].log_weight == pytest.approx(256 * sum(ratio[k] for k in grams) / (len(grams) + 20))
+    judged = [got[i] for i in ids if i not in fit]
+    cuts = sorted({r.log_weight for r in judged})
+    loss = lambda cut: 50 * sum(r.log_weight < cut for r in judged if r.doc_id % 3) + sum(r.log_weight >= cut for r in judged if r.doc_id % 3 == 0)
+    best = min([cuts[0], *cuts], key=loss)
+    below = [c for c in cuts if c < best]
+    k = sum(r.log_weight >= ((best + max(below)) / 2 if below else -np.inf) for r in got.values())
+    least = sorted((r.gumbel_key for r in got.values()), reverse=True)[k - 1]
+    assert {i for i, r in got.items() if r.kept} == {i for i, r in got.items() if r.gumbel_key >= least}
+
+
+def test_near_copies_made_from_templates(spark):
+    rng = np.random.default_rng(12)
+    core = [f"c{x}" for x in range(400)]
+    texts = {}
+    for pair in range(40):
+        own = [f"o{pair}x{k}" for k in range(56)]
+        one = core[:200] + own + core[200:]
+        two = list(one)
+        for at in rng.choice(len(one), 9, replace=False):
+            two[at] = f"edit{pair}x{at}"
+        texts[2 * pair], texts[2 * pair + 1] = " ".join(one), " ".join(two)
+    root = {i: i for i in texts}
+    for i in texts:
+        for j in range(i):
+            if root[i] != root[j] and near_copies.jaccard(texts[i], texts[j]) >= 0.8:
+                low, high = sorted((root[i], root[j]))
+                root = {k: low if v == high else v for k, v in root.items()}
+    left = near_copies.one_of_each(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    assert {r.doc_id for r in left.select("doc_id").collect()} == set(root.values()) and len(set(root.values())) < 80
+
+
+def test_the_pipeline_is_its_stages_in_order(spark):
+    from test_llm_exact import fails_stage
+
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    kept = {r.doc_id for r in importance.resample(docs, labels).where("kept").collect()}
+    kept = {i for i in kept if not fails_stage(texts[i] or "")}
+    root = {i: i for i in kept}
+    for i in sorted(kept):
+        for j in sorted(kept):
+            if j < i and root[i] != root[j] and near_copies.jaccard(texts[i], texts[j]) >= 0.8:
+                low, high = sorted((root[i], root[j]))
+                root = {k: low if v == high else v for k, v in root.items()}
+    known = decontaminate.Items(sorted(pd.read_parquet(f"{sf}/benchmark.parquet")[["item_id", "text"]].itertuples(index=False, name=None)))
+    kept = {i for i in set(root.values()) if not known.search(decontaminate.words_of(texts[i]))}
+    out = corpus_pipeline.run(spark, sf).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("all")).collect()
+    assert {r.doc_id for r in out} == kept and all(r.n == r["all"] for r in out)

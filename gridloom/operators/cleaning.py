@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from gridloom.operators.profile import medians
 from gridloom.sources.tables import SERIES, by
 
 
@@ -30,9 +31,9 @@ def detrend(series: DataFrame, rows: int = 120, keys: tuple[str, ...] = SERIES)
 
 def balance_phases(series: DataFrame, month: str = "month") -> DataFrame:
     """Reading minus its phase's median in the month plus the mean of the phases' medians, at least 0."""
-    medians = series.groupBy(month, "phase").agg(F.median("watts").alias("phase_median"))
-    medians = medians.withColumn("common", F.avg("phase_median").over(W.partitionBy(month)))
-    return series.join(medians, [month, "phase"]).withColumn("balanced", F.greatest(F.col("watts") - F.col("phase_median") + F.col("common"), F.lit(0.0)))
+    found = medians(series, [month, "phase"], "watts", "phase_median")  # three a month
+    found = found.withColumn("common", F.avg("phase_median").over(W.partitionBy(month)))
+    return series.join(F.broadcast(found), [month, "phase"]).withColumn("balanced", F.greatest(F.col("watts") - F.col("phase_median") + F.col("common"), F.lit(0.0)))
 
 
 def hampel(series: DataFrame, rows: int = 240, k: float = 5.0, keys: tuple[str, ...] = SERIES) -> DataFrame:

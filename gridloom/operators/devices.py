@@ -94,8 +94,22 @@ def autocorrelation(grid: DataFrame, lags: range) -> DataFrame:
     return found.groupBy(*KEYS, F.col("x.lag").alias("lag")).agg(F.corr("d", "x.past").alias("correlation"))
 
 
+def _plain(df: DataFrame, c: str) -> F.Column:
+    """Doubles to two places, NaN and infinities as null."""
+    kind = dict(df.dtypes)[c]
+    ends = F.lit(float("inf"))
+    return F.when(~F.isnan(c) & (F.abs(c) < ends), F.round(c, 2)).alias(c) if kind == "double" else F.col(c)
+
+
 def session_documents(stats: DataFrame) -> DataFrame:
-    """A JSON document per house: its sessions in order of start, doubles to two places, NaN as null."""
-    plain = lambda n, t: F.when(~F.isnan(n), F.round(n, 2)).alias(n) if t == "double" else F.col(n)
-    body = F.struct("start", *[plain(n, t) for n, t in stats.dtypes if n not in ("house_id", "start")])
-    return stats.groupBy("house_id").agg(F.to_json(F.struct(F.sort_array(F.collect_list(body)).alias("sessions"))).alias("document"))
+    """A JSON document per house and month: its sessions in order of start."""
+    month = F.date_format(F.timestamp_seconds("start"), "yyyy-MM").alias("month")
+    body = F.struct("start", *[_plain(stats, n) for n in stats.columns if n not in ("house_id", "start")])
+    return stats.groupBy("house_id", month).agg(F.to_json(F.struct(F.sort_array(F.collect_list(body)).alias("sessions"))).alias("document"))
+
+
+def breakdown(events: DataFrame) -> DataFrame:
+    """A JSON document per house: counts, minutes and mean magnitude by device type."""
+    by_type = events.groupBy("house_id", "device_type").agg(F.count("*").alias("count"), F.sum("duration").alias("minutes"), F.round(F.avg(F.abs("magnitude")), 2).alias("avg_magnitude"))
+    entry = F.map_from_entries(F.sort_array(F.collect_list(F.struct("device_type", F.struct("count", "minutes", "avg_magnitude")))))  # an entry per type
+    return by_type.groupBy("house_id").agg(F.to_json(entry).alias("summary"), F.sum("count").alias("n_events"))

@@ -77,19 +77,32 @@ def piecewise(value: F.Column, knots: list[tuple[float, float]]) -> F.Column:
     return out.otherwise(knots[-1][1])
 
 
-def middle_of(values: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    """(keys, name): the element in the middle of the sorted values, the upper one of an even number.
+def _at_ranks(values: DataFrame, keys: list[str], value: str, ranks: list[str]) -> DataFrame:
+    """(keys, k, v): the values at the ranks (SQL over ``n``, from 0) among the key's known values.
 
-    By rank in two levels: values are counted by bucket of their range, the bucket that holds the middle is
-    found from the counts, and only its values are ranked, so no task holds all values of a key."""
+    In two levels: values are counted by bucket of their range, the buckets that hold the ranks are found from
+    the counts (at most 1024 a key), and only their values are ranked, by distinct value. So no task
+    holds all values of a key."""
     w = W.partitionBy(*keys)
     known = values.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("v"))
     ends = known.groupBy(*keys).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count("*").alias("n"))
     bucket = F.when(F.col("high") > F.col("low"), F.floor((F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * 1023)).otherwise(0)
     dealt = known.join(ends, keys).withColumn("bucket", bucket)
-    sizes = dealt.groupBy(*keys, "bucket").agg(F.count("*").alias("size"), F.first("n").alias("n"))  # at most 1024 a key
+    sizes = dealt.groupBy(*keys, "bucket").agg(F.count("*").alias("size"), F.first("n").alias("n"))
     before = F.coalesce(F.sum("size").over(w.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    chosen = sizes.withColumn("before", before).where("before <= n div 2 and n div 2 < before + size").select(*keys, "bucket", (F.expr("n div 2") - F.col("before")).alias("rank"))
-    inside = dealt.join(chosen, [*keys, "bucket"]).groupBy(*keys, "rank", "v").agg(F.count("*").alias("c"))
-    upto = F.sum("c").over(w.orderBy("v"))
-    return inside.withColumn("upto", upto).where("rank < upto").groupBy(*keys).agg(F.min("v").alias(name))
+    asked = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.expr(r).cast("long").alias("rank")) for k, r in enumerate(ranks)]))
+    chosen = sizes.withColumn("before", before).select(*keys, "bucket", "before", "size", asked.alias("a")).where("before <= a.rank and a.rank < before + size")
+    chosen = chosen.select(*keys, "bucket", "a.k", (F.col("a.rank") - F.col("before")).alias("rank"))
+    inside = dealt.join(chosen, [*keys, "bucket"]).groupBy(*keys, "k", "rank", "v").agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(W.partitionBy(*keys, "k").orderBy("v"))
+    return inside.withColumn("upto", upto).where("rank < upto").groupBy(*keys, "k").agg(F.min("v").alias("v"))
+
+
+def middle_of(values: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """(keys, name): the element in the middle of the sorted values, the upper one of an even number."""
+    return _at_ranks(values, keys, value, ["n div 2"]).select(*keys, F.col("v").alias(name))
+
+
+def medians(values: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """(keys, name): the exact median, the mean of both middle values of an even number."""
+    return _at_ranks(values, keys, value, ["(n - 1) div 2", "n div 2"]).groupBy(*keys).agg(F.avg("v").alias(name))

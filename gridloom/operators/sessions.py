@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from gridloom.operators.profile import medians
+
 
 def sessionise(events: DataFrame, keys: list[str], start: str, end: str, gap: float, tie: str) -> DataFrame:
     """Adds ``session``: a new one where the start lies over ``gap`` past the previous row's end (not
@@ -62,20 +64,23 @@ def match_tag(on, off, minutes, noisy=None, partial=None, corrected=None, tail=N
 
 def robust_z(values: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Adds median, mad (0 counts as 1) and z of ``value`` within keys."""
-    middle = values.groupBy(*keys).agg(F.median(value).alias("median"))
+    middle = medians(values, keys, value, "median")
     rows = values.join(middle, keys).withColumn("_d", F.abs(F.col(value) - F.col("median")))
-    spread = rows.groupBy(*keys).agg(F.median("_d").alias("mad"))
+    spread = medians(rows, keys, "_d", "mad")
     rows = rows.join(spread.withColumn("mad", F.when(F.col("mad") == 0, 1.0).otherwise(F.col("mad"))), keys)
     return rows.withColumn("z", (F.col(value) - F.col("median")) / F.col("mad")).drop("_d")
 
 
 def signature_pairs(signatures: DataFrame, magnitude: float = 0.15, duration: float = 0.20) -> DataFrame:
     """Pairs of signatures of different houses whose magnitudes and durations differ by at most the
-    given share of the larger one. Magnitudes lie in geometric buckets a tolerance wide, so a pair is
-    in equal or neighbouring buckets."""
-    step = -F.log(F.lit(1 - magnitude))
-    dealt = signatures.where("magnitude > 0").withColumn("_b", F.floor(F.log("magnitude") / step))
-    a = dealt.select(*[F.col(c).alias(f"{c}_a") for c in ("house_id", "pattern_id", "magnitude", "duration")], F.explode(F.array(F.col("_b") - 1, F.col("_b"), F.col("_b") + 1)).alias("_b"))
-    b = dealt.select(*[F.col(c).alias(f"{c}_b") for c in ("house_id", "pattern_id", "magnitude", "duration")], "_b")
+    given share of the larger one. Both lie in geometric buckets a tolerance wide, so a pair is in equal or
+    neighbouring buckets of each."""
+    cell = lambda c, share: F.floor(F.log(c) / -F.log(F.lit(1 - share)))
+    dealt = signatures.where("magnitude > 0 and duration > 0").withColumns({"_b": cell("magnitude", magnitude), "_c": cell("duration", duration)})
+    around = lambda c: F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1)).alias(c)
+    names = ("house_id", "pattern_id", "magnitude", "duration")
+    a = dealt.select(*[F.col(c).alias(f"{c}_a") for c in names], around("_b"), "_c")
+    a = a.select(*[f"{c}_a" for c in names], "_b", around("_c"))
+    b = dealt.select(*[F.col(c).alias(f"{c}_b") for c in names], "_b", "_c")
     near = lambda x, limit: F.abs(F.col(f"{x}_a") - F.col(f"{x}_b")) <= limit * F.greatest(f"{x}_a", f"{x}_b")
-    return a.join(b, "_b").where("house_id_a < house_id_b").where(near("magnitude", magnitude) & near("duration", duration)).drop("_b")
+    return a.join(b, ["_b", "_c"]).where("house_id_a < house_id_b").where(near("magnitude", magnitude) & near("duration", duration)).drop("_b", "_c")

@@ -234,6 +234,18 @@ def device_breakdown(spark, sf_dir):
     return rounded(found.join(buckets, "device_type"))
 
 
+@query(f"""WITH {SERIES_SQL}, d AS (SELECT month, phase, event_id % 7 AS part, watts AS o, greatest(watts - 900, 0) AS r, CASE WHEN event_id % 40 < 2 THEN least(watts, 900) ELSE 0 END AS short, CASE WHEN event_id % 40 BETWEEN 2 AND 23 THEN least(watts, 900) ELSE 0 END AS medium, CASE WHEN event_id % 40 > 23 THEN least(watts, 900) ELSE 0 END AS long FROM s)
+SELECT month, phase, count(*) AS minutes, round(sum(o), 4) AS total_power, round(sum(o - r) / sum(o), 4) AS segmentation_ratio, round(sum(short) / sum(o), 4) AS short_ratio, round(sum(medium) / sum(o), 4) AS medium_ratio, round(sum(long) / sum(o), 4) AS long_ratio, count(*) FILTER (WHERE r < 0) AS n_negative FROM d GROUP BY month, phase""")
+def segmentation_metrics(spark, sf_dir):
+    """Power before and after a run by month and phase, and the shares taken out by short, medium and long
+    pairs; sums are partial by file and then final, as Spark adds up anyway."""
+    rows = power_series(spark, sf_dir)
+    gone, turn = F.least("watts", F.lit(900.0)), F.col("event_id") % 40
+    rows = rows.withColumns({"r": F.greatest(F.col("watts") - 900, F.lit(0.0)), "bucket": reports.duration_bucket(turn + 1), "gone": gone})
+    share = lambda b: (F.sum(F.when(F.col("bucket") == b, F.col("gone")).otherwise(0.0)) / F.sum("watts")).alias(f"{b}_ratio")
+    return rounded(rows.groupBy("month", "phase").agg(F.count("*").alias("minutes"), F.sum("watts").alias("total_power"), (F.sum(F.col("watts") - F.col("r")) / F.sum("watts")).alias("segmentation_ratio"), share("short"), share("medium"), share("long"), F.count_if(F.col("r") < 0).alias("n_negative")))
+
+
 # ---------------------------------------------------------------- stored tables
 
 

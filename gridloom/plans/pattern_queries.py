@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from gridloom.operators import devices, kernels, patterns, recovery, sessions
+from gridloom.operators.detection import Features
 from gridloom.operators.edges import sharp_edges
+from gridloom.plans.disaggregate import THRESHOLDS
 from gridloom.plans.registry import EPOCH, SEC, query, rounded
 from gridloom.sources.tables import dense_grid, read, reading_grid
 from gridloom.sources.work import staged
@@ -214,6 +216,20 @@ def named_activations(spark, sf_dir):
     return rows.join(F.broadcast(names), "device_type", "left").select("id", "device_type", "name", F.floor("magnitude").alias("magnitude"))
 
 
+@query(RUNS_SQL + f""", t AS (SELECT *, {TYPED} AS device_type FROM r), b AS (SELECT house_id, device_type, count(*) AS c, sum(duration) AS m, floor(avg(magnitude) * 100 + 0.5) / 100 AS a FROM t GROUP BY ALL)
+SELECT house_id, '{{' || string_agg('"' || device_type || '":{{"count":' || c || ',"minutes":' || m || ',"avg_magnitude":' || a || '}}', ',' ORDER BY device_type) || '}}' AS summary, CAST(sum(c) AS BIGINT) AS n_events FROM b GROUP BY house_id""")
+def house_summaries(spark, sf_dir):
+    return devices.breakdown(activations(spark, sf_dir))
+
+
+@query("""SELECT '{"run":0,"thresholds":[2000,1500,1100,800],"features":{"gradual":true,"near_threshold":false,"tails":true,"split_offs":true,"settling":true}}' AS config""")
+def run_metadata(spark, sf_dir):
+    """The configuration of a run as one JSON row."""
+    flags = {k: F.lit(v).alias(k) for k, v in vars(Features()).items()}
+    config = F.struct(F.lit(0).alias("run"), F.array(*[F.lit(t) for t in THRESHOLDS]).alias("thresholds"), F.struct(*flags.values()).alias("features"))
+    return spark.range(1).select(F.to_json(config).alias("config"))
+
+
 # ---------------------------------------------------------------- order-dependent steps
 
 

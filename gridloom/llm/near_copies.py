@@ -9,11 +9,13 @@ the verified pairs.
 
 A band's bucket of up to ALL_PAIRS different texts gives all its pairs. In a larger bucket every text is
 held against two leaders: the most central one (whose buckets are the largest over all bands: for
-edited copies of one source that is the source) and one by hash. Then leaders are elected anew, MORE
-times as many a round, among the members that were none, and held against those that no verified
-link has joined to them, until every bucket's members are one group or each was held against all
-others. So rows grow with the members where copies are alike, and no pair of a bucket is left out that
-could join two groups; copies of a text are one node from the start.
+edited copies of one source that is the source) and one by hash. That joins most buckets to one group;
+where it does not, the members are dealt into blocks, and every pair of blocks is a small task row of its
+own, in which all pairs of members of different groups are held against each other and a spanning forest
+of their links returned. So no pair of a bucket is left out that could join two groups, no bucket is
+collected whole, and no row is made per pair. Copies of a text are one node from the start.
+
+Similarities are exact: the numbers of common and of all shingles, told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -27,12 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.graph import connected_components
-from gridloom.llm.simhash import SEED, fingerprint, links, shingles
+from gridloom.llm.simhash import SEED, fingerprint, links, shingles, spanning_forest
 from gridloom.llm.work import rows_of, work_table
 
 BANDS, ROWS = 16, 4
 ALL_PAIRS = 8
-MORE = 4
+#: Members of a block, and shingles in it, about.
+BLOCK, BLOCK_SHINGLES = 256, 1 << 20
+#: Cells of a matrix of members by shingles that is multiplied at once.
+CELLS = 1 << 23
 _rng = np.random.default_rng(5)
 MULTIPLY = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 ADD = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -65,7 +70,7 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 def _bucket_pairs(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(a, b): pairs of nodes to verify, from their bands; and (band, key, node): the members of large
-    buckets that were no leaders."""
+    buckets."""
     member = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     sizes = member.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
     member = work_table(member.join(sizes, ["band", "key"]), "members")
@@ -76,26 +81,83 @@ def _bucket_pairs(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     leaders = large.groupBy("band", "key").agg(F.max(F.struct("weight", "node")).alias("central"), F.min(F.struct(F.xxhash64("node", "band").alias("h"), "node")).alias("chosen"))
     leaders = leaders.select("band", "key", F.explode(F.array("central.node", "chosen.node")).alias("b"))
     led = large.select("band", "key", F.col("node").alias("a")).join(leaders, ["band", "key"]).where("a <> b")
-    left = large.select("band", "key", "node").join(leaders.withColumnRenamed("b", "node"), ["band", "key", "node"], "left_anti")
-    return pairs.unionAll(_ordered(led)).distinct(), work_table(left, "left-members")
+    return pairs.unionAll(_ordered(led)).distinct(), work_table(large.select("band", "key", "node"), "large-buckets")
 
 
 def _undecided(left: DataFrame, roots: DataFrame) -> DataFrame:
-    """(band, key, node, root, n): the members of buckets that still hold more than one group."""
+    """(band, key, node, root): the members of buckets that still hold more than one group."""
     member = left.join(roots, "node", "left").select("band", "key", "node", F.coalesce("root", "node").alias("root"))
-    several = member.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high")
-    return work_table(member.join(several.select("band", "key", "n"), ["band", "key"]), "undecided")
-
-
-def _next_pairs(member: DataFrame, leaders: int, turn: int) -> tuple[DataFrame, DataFrame]:
-    """As _bucket_pairs, for about ``leaders`` members of every bucket; all, if it has no more."""
-    drawn = F.xxhash64("node", "band", F.lit(turn))
-    member = member.withColumn("drawn", F.pmod(drawn, F.ceil(F.col("n") / leaders)) == 0)
-    least = member.groupBy("band", "key").agg(F.min(F.struct(drawn.alias("h"), "node")).alias("k")).select("band", "key", F.col("k.node").alias("node"), F.lit(True).alias("least"))
-    member = work_table(member.join(least, ["band", "key", "node"], "left").withColumn("leads", F.col("drawn") | F.coalesce("least", F.lit(False))), "elected")
-    leader = member.where("leads").select("band", "key", F.col("node").alias("b"), F.col("root").alias("b_root"))
-    held = member.select("band", "key", F.col("node").alias("a"), "root").join(leader, ["band", "key"]).where("root <> b_root")
-    return _ordered(held).distinct(), member.where("not leads").select("band", "key", "node")
+    several = member.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    return work_table(member.join(several.select("band", "key"), ["band", "key"]), "undecided")
+
+
+def _joined(roots: DataFrame, found: DataFrame) -> DataFrame:
+    """``roots`` with groups joined by the links ``found``: only the groups' roots are looked at, each once."""
+    at = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    between = found.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
+    tops = connected_components(between).select(F.col("node").alias("old"), F.col("root").alias("top"))
+    kept = roots.join(tops.withColumnRenamed("old", "root"), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    alone = tops.join(roots.select(F.col("root").alias("old")).distinct(), "old", "left_anti").select(F.col("old").alias("node"), F.col("top").alias("root"))
+    return work_table(kept.unionByName(alone), "roots")
+
+
+def shingle_hashes(text: str | None, width: int = 5) -> np.ndarray:
+    """The distinct shingles' hashes of a text, in order."""
+    return np.unique(np.array([xxhash.xxh64_intdigest(x, SEED) for x in shingles(words_of(text), width)], np.uint64))
+
+
+def likeness(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two ordered sets of hashes; of two empty ones 1."""
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    at = np.searchsorted(b, a)
+    both = int((b[np.minimum(at, len(b) - 1)] == a).sum())
+    return both / (len(a) + len(b) - both)
+
+
+def common(sets: list[np.ndarray]) -> np.ndarray:
+    """How many hashes every two of the sets share."""
+    sizes = np.array([len(x) for x in sets])
+    found, place, number = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    use = number > 1
+    column = np.cumsum(use) - 1
+    rows, columns = np.repeat(np.arange(len(sets)), sizes)[use[place]], column[place[use[place]]]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    step = max(1, CELLS // len(sets))
+    order = np.argsort(columns, kind="stable")
+    rows, columns = rows[order], columns[order]
+    for low in range(0, int(use.sum()), step):
+        at = slice(*np.searchsorted(columns, [low, low + step]))
+        part = np.zeros((len(sets), min(step, int(use.sum()) - low)), np.float32)
+        part[rows[at], columns[at] - low] = 1
+        out += part @ part.T
+    return out
+
+
+def block_links(sets: list[np.ndarray], roots: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest of the links at ``similarity`` or more between members of different roots."""
+    sizes = np.array([len(x) for x in sets], np.float64)
+    both = common(sets)
+    every = sizes[:, None] + sizes[None, :] - both
+    near = (both >= similarity * every - 1e-9) & (roots[:, None] != roots[None, :])
+    return spanning_forest(near)
+
+
+def _all_pairs(member: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links between members (band, key, node, root) of one bucket and different roots."""
+    rows = member.join(sets, "node").withColumn("size", F.octet_length("hashes") / 8)
+    total = rows.groupBy("band", "key").agg(F.count("*").alias("n"), F.sum("size").alias("m"))
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("m") / BLOCK_SHINGLES)).cast("int").alias("blocks")
+    dealt = rows.select("band", "key", "node", "root", "hashes").join(total.select("band", "key", blocks), ["band", "key"])
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "root", "hashes")
+
+    def judge(group: pd.DataFrame) -> pd.DataFrame:
+        nodes, roots = group.node.to_numpy(np.int64), group.root.to_numpy(np.int64)
+        found = block_links([np.frombuffer(x, "<u8") for x in group.hashes], roots, similarity)
+        return pd.DataFrame({"a": nodes[[i for i, _ in found]], "b": nodes[[j for _, j in found]]}, dtype="int64")
+
+    return dealt.groupBy("band", "key", "i", "j").applyInPandas(judge, "a long, b long")
 
 
 def _simhash_pairs(nodes: DataFrame) -> DataFrame:
@@ -134,27 +196,22 @@ def near_copy_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, i
     asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()  # all members of large buckets among them
     holder = sketched.join(asked, "node", "left_semi").groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("k")).select("node", "k.k1", "k.k2")
     texts = rows.select(*keys, "text").join(holder, ["k1", "k2"]).groupBy("node").agg(F.min("text").alias("text"))
-    texts = work_table(texts, "candidate-texts")
 
-    @F.pandas_udf("double")
+    @F.pandas_udf("binary")
+    def hashed(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingle_hashes(t, width).tobytes() for t in texts])
+
+    sets = work_table(texts.select("node", hashed("text").alias("hashes")), "candidate-shingles")
+
+    @F.pandas_udf("boolean")
     def similar(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([jaccard(x, y, width) for x, y in zip(a, b, strict=True)], dtype="float64")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
-        return work_table(both.where(similar("x", "y") >= similarity).select("a", "b"), "verified")
-
-    linked, turn = verified(pairs), 0
-    roots = connected_components(linked)
-    while not (open_members := _undecided(left, roots)).isEmpty():
-        turn += 1
-        more, left = _next_pairs(open_members, 2 * MORE**turn, turn)
-        more = work_table(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
-        pairs = pairs.unionAll(more)
-        found = verified(more)
-        if not found.isEmpty():
-            linked = linked.unionAll(found)
-            roots = connected_components(linked)
+        return pd.Series([likeness(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")) >= similarity - 1e-12 for x, y in zip(a, b, strict=True)])
+
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
+    roots = connected_components(work_table(both.where(similar("x", "y")).select("a", "b"), "verified"))
+    several = _undecided(left, roots)
+    if not several.isEmpty():
+        roots = _joined(roots, work_table(_all_pairs(several, sets, similarity), "verified"))
     return sketched.select("k1", "k2", "doc_id", "node").join(roots, "node", "left").select("k1", "k2", "doc_id", F.coalesce("root", "node").alias("group"))
 
 

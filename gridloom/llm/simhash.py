@@ -103,15 +103,10 @@ def grid_masks(radius: int, shared: int = 3) -> list[int]:
     return [signed(sum(groups[g] for g in some)) for some in combinations(range(radius + shared), shared)]
 
 
-def _forest(block: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among one block's distinct fingerprints."""
-    fp = block.view(np.uint64)
-    half = fp >> np.uint64(1)
-    code = ((fp | half) & np.uint64(LOW)) | ((fp & half & np.uint64(LOW)) << np.uint64(1))
-    near = np.bitwise_count(code[:, None] ^ code[None, :]) <= radius
-    near &= np.bitwise_count(fp[:, None] ^ fp[None, :]) <= radius
-    left, out = np.ones(len(fp), bool), []
-    for start in range(len(fp)):
+def spanning_forest(near: np.ndarray) -> list[tuple[int, int]]:
+    """Links (i, j) of a symmetric boolean matrix that join what all of its links join."""
+    left, out = np.ones(len(near), bool), []
+    for start in range(len(near)):
         if not left[start]:
             continue
         left[start], front = False, [start]
@@ -120,10 +115,20 @@ def _forest(block: np.ndarray, radius: int) -> list[tuple[int, int]]:
             fresh = np.flatnonzero(near[at] & left)
             left[fresh] = False
             front.extend(fresh.tolist())
-            out.extend((int(block[at]), int(block[x])) for x in fresh)
+            out.extend((at, int(x)) for x in fresh)
     return out
 
 
+def _forest(block: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links among one block's distinct fingerprints."""
+    fp = block.view(np.uint64)
+    half = fp >> np.uint64(1)
+    code = ((fp | half) & np.uint64(LOW)) | ((fp & half & np.uint64(LOW)) << np.uint64(1))
+    near = np.bitwise_count(code[:, None] ^ code[None, :]) <= radius
+    near &= np.bitwise_count(fp[:, None] ^ fp[None, :]) <= radius
+    return [(int(block[i]), int(block[j])) for i, j in spanning_forest(near)]
+
+
 def links(unique: DataFrame, radius: int = 3, shared_of: int | None = None) -> DataFrame:
     """``unique`` (fp, distinct) -> (a, b): links whose components are those of all pairs within
     ``radius``. Cells of at most HOT fingerprints give all their pairs, larger ones a forest.

@@ -126,7 +126,13 @@ def flat_runs(spark, sf_dir):
     return cleaning.flat_runs(power_series(spark, sf_dir), 500).withColumns({"start": SEC("start"), "end": SEC("end")}).drop("run")
 
 
-@query(None)
+@query(f"""WITH {HOLES_SQL},
+d AS (SELECT *, greatest(watts - avg(watts) OVER (PARTITION BY house_id, phase ORDER BY ts, event_id ROWS BETWEEN 60 PRECEDING AND 59 FOLLOWING) + avg(watts) OVER (PARTITION BY house_id, phase), 0) AS x FROM s),
+m AS (SELECT month, phase, quantile_cont(x, 0.5) AS md FROM d GROUP BY month, phase), c AS (SELECT *, avg(md) OVER (PARTITION BY month) AS common FROM m),
+b AS (SELECT d.house_id, d.phase, ts, event_id, greatest(x - md + common, 0) AS y FROM d JOIN c ON c.month = d.month AND c.phase = d.phase),
+h AS (SELECT *, quantile_cont(y, 0.5) OVER (PARTITION BY house_id, phase ORDER BY ts, event_id ROWS BETWEEN 120 PRECEDING AND 119 FOLLOWING) AS mid FROM b),
+k AS (SELECT *, quantile_cont(abs(y - mid), 0.5) OVER (PARTITION BY house_id, phase ORDER BY ts, event_id ROWS BETWEEN 120 PRECEDING AND 119 FOLLOWING) AS mad FROM h)
+SELECT house_id, event_id, round(CASE WHEN (mad > 0 AND abs(y - mid) > 5 * mad) OR (mad = 0 AND abs(y - mid) > 0) THEN mid ELSE y END, 4) AS normalised FROM k""")
 def normalised_combined(spark, sf_dir):
     return rounded(cleaning.normalise(power_series(spark, sf_dir, holes=True), "combined").select("house_id", "event_id", "normalised"))
 
@@ -480,7 +486,20 @@ def unmatched_on(spark, sf_dir):
     return on.join(edge_pairs(grid, 800), ["house_id", "phase", "on_id"], "left_anti").select("house_id", "on_id")
 
 
-@query()
+def _tail_sql(minutes: int = 10) -> str:
+    """The walk along falling minutes, a column a minute."""
+    at = ", ".join(f"lead(watts, {k} + 0) OVER w AS c{k}" for k in range(1, minutes + 1))
+    lives = "c0 AS (SELECT *, watts AS c0, true AS l0 FROM t)"
+    for k in range(1, minutes + 1):
+        lives += f", l{k} AS (SELECT *, l{k - 1} AND coalesce(c{k} <= c{k - 1} + 30, false)" + (f" AND c{k - 1} >= 100" if k > 1 else "") + f" AS l{k} FROM {'c0' if k == 1 else f'l{k - 1}'})"
+    reached = " ".join(f"WHEN l{k} THEN {{}}{k}" for k in range(minutes, 0, -1))
+    walked = f"CASE {reached.replace('{}', '')} ELSE 0 END AS far, CASE {reached.replace('{}', 'c')} ELSE c0 END AS low"
+    return GRID_EDGES + f""", t AS (SELECT *, {at} FROM g WINDOW w AS (PARTITION BY house_id, phase ORDER BY m)), {lives},
+ft AS (SELECT house_id, phase, m, c0, {walked} FROM l{minutes}), j AS (SELECT edges.*, c0, far, low, c0 >= 100 AND c0 >= 0.05 * abs(magnitude) AND c0 - low >= 100 AS taken FROM edges JOIN ft ON ft.house_id = edges.house_id AND ft.phase = edges.phase AND ft.m = "end" WHERE event = 'off')
+SELECT house_id, phase, CAST("start" AS BIGINT) AS "start", CAST(CASE WHEN taken THEN "end" + far ELSE "end" END AS BIGINT) AS "end", round(CASE WHEN taken THEN magnitude - (c0 - low) ELSE magnitude END, 4) AS magnitude, taken AS tail_extended, CAST(CASE WHEN taken THEN "end" END AS BIGINT) AS original_end FROM j"""
+
+
+@query(_tail_sql())
 def extended_tails(spark, sf_dir):
     grid = dense_grid(spark, sf_dir)
     return rounded(devices.extend_tails(edges.sharp_edges(grid, 800, order=("m",)).where("event = 'off'").drop("event", "n_rows"), grid))

@@ -119,29 +119,63 @@ def falling(value: Column, low: float, high: float) -> Column:
     return F.when(value <= low, 1.0).when(value >= high, 0.5).otherwise(1.0 - 0.5 * (value - low) / (high - low))
 
 
+# Limits of the classes (fixed values): minutes, watts, runs, variation.
+BOILER_MINUTES, BOILER_WATTS, ALONE_MINUTES = 15, 1500, 30
+AC_FIRST_MINUTES, AC_RUNS, AC_WATTS, AC_CV = 10, 4, 800, 0.20
+CYCLE_MINUTES = (3, 30)
+LIKE_CV, LIKE_LENGTH_CV, LIKE_GAP_CV = 0.30, 0.40, 0.50
+
+
 def cycling_measures(events: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, n, anchor, ...): of a session's runs in order of start: the first one's length; the share of
-    successive magnitude changes in the commoner direction; variation of the lengths but the first, and of
-    the gaps between runs; variation and mean of the magnitudes."""
+    """(keys, n, anchor, ...) of sessions. anchor: the length of the first run of ten minutes or more, else of
+    the longest; in_range: share of runs of cycle length; one_way: share of magnitude changes in the commoner
+    direction or none (under three runs 1); variation of the magnitudes, of the lengths but the first, and
+    of the positive gaps (0 where there are under two of them, or under three runs)."""
     w = W.partitionBy(*keys).orderBy("start", "id")
     rows = events.withColumns({"_i": F.row_number().over(w), "_step": _size() - F.lag(_size()).over(w), "_gap": F.col("start") - F.lag("end").over(w)})
-    cv = lambda c: F.when(F.avg(c) > 0, F.stddev_pop(c) / F.avg(c))
-    later, gap = F.when(F.col("_i") > 1, F.col("duration")), F.when(F.col("_gap") > 0, F.col("_gap"))
-    steps = F.count("_step")
+    cv = lambda c: F.when(F.avg(c) > 0, F.stddev_pop(c) / F.avg(c)).otherwise(0.0)
+    several = lambda c: F.when((F.count("*") >= 3) & (F.count(c) >= 2), cv(c)).otherwise(0.0)
+    later, gap, step = F.when((F.col("_i") > 1) & (F.col("duration") > 0), F.col("duration")), F.when(F.col("_gap") > 0, F.col("_gap")), F.col("_step")
+    long = F.when(F.col("duration") >= AC_FIRST_MINUTES, F.col("_i"))
+    one_way = (F.greatest(F.count_if(step > 0), F.count_if(step < 0)) + F.count_if(step == 0)) / F.nullif(F.count(step), F.lit(0))
     return rows.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.min_by("duration", "_i").alias("anchor"), F.avg(_size()).alias("mean_size"), cv(_size()).alias("size_cv"), cv(later).alias("length_cv"), cv(gap).alias("gap_cv"), F.avg(later).alias("mean_length"),
-        F.when(steps > 0, F.greatest(F.count_if(F.col("_step") > 0), F.count_if(F.col("_step") < 0)) / steps).alias("one_way"),
+        F.count("*").alias("n"), F.coalesce(F.min_by("duration", long), F.max("duration")).alias("anchor"), F.avg(_size()).alias("mean_size"), F.avg("duration").alias("mean_length"), cv(_size()).alias("size_cv"),
+        several(later).alias("length_cv"), several(gap).alias("gap_cv"), F.avg(F.col("duration").between(*CYCLE_MINUTES).cast("double")).alias("in_range"), F.when(F.count("*") >= 3, one_way).otherwise(1.0).alias("one_way"),
     )
 
 
+def _mean(*parts: Column) -> Column:
+    return sum(parts, F.lit(0.0)) / len(parts)
+
+
 def ac_scores(measures: DataFrame) -> DataFrame:
-    """Adds the parts of an AC's confidence and their mean; ``ac_like`` is how near it comes to one at all."""
-    regular = (1 - F.least(F.coalesce("length_cv", F.lit(1.0)), F.lit(1.0)) + 1 - F.least(F.coalesce("gap_cv", F.lit(1.0)), F.lit(1.0))) / 2
-    parts = {"cycle_score": rising(F.col("n") - 1, 3, 8), "anchor_score": rising(F.col("anchor"), 10, 25), "size_score": falling(F.coalesce("size_cv", F.lit(1.0)), 0.05, 0.20), "regular_score": regular}
-    scored = measures.withColumns(parts)
-    mean = sum((F.col(p) for p in parts), F.lit(0.0)) / len(parts)
-    like = F.when((F.col("n") >= 4) & (F.col("mean_size") >= 800), mean).otherwise(mean * F.least(F.col("n") / 4, F.lit(1.0)) * F.least(F.col("mean_size") / 800, F.lit(1.0)))
-    return scored.withColumns({"confidence": mean, "ac_like": like})
+    """Adds confidence that a session is a regular AC, and ac_like, how much it is like a part of a central one."""
+    c = F.col
+    confidence = _mean(rising(c("n"), AC_RUNS, 10), falling(c("size_cv"), 0.05, AC_CV), rising(c("anchor"), AC_FIRST_MINUTES, 2 * AC_FIRST_MINUTES), rising(c("mean_size"), AC_WATTS, 2 * AC_WATTS))
+    like = _mean(
+        rising(c("n"), AC_RUNS, 10), rising(c("mean_size"), AC_WATTS, 1500), falling(c("size_cv"), 0, LIKE_CV), F.greatest(c("in_range"), F.lit(0.5)),
+        rising(c("one_way"), 0.5, 0.85), falling(c("length_cv"), 0, LIKE_LENGTH_CV), falling(c("gap_cv"), 0, LIKE_GAP_CV),
+    )
+    return measures.withColumns({"confidence": confidence, "ac_like": like})
+
+
+def distances(events: DataFrame, keys: list[str], session: str) -> DataFrame:
+    """(keys, session, distance): minutes from a session's runs to the nearest run of cycle length that is in
+    another session of the series, by start; null if there is none. Sessions follow each other in time."""
+    medium = F.when(F.col("duration").between(*CYCLE_MINUTES), F.col("start"))
+    rows = events.groupBy(*keys, session).agg(F.min("start").alias("first"), F.max("start").alias("last"), F.min(medium).alias("m_first"), F.max(medium).alias("m_last"))
+    w = W.partitionBy(*keys).orderBy("first", session)
+    before = F.last("m_last", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1))
+    after = F.first("m_first", ignorenulls=True).over(w.rowsBetween(1, W.unboundedFollowing))
+    return rows.select(*keys, session, (F.least(F.col("first") - before, after - F.col("last")) / 60).alias("distance"))
+
+
+def boiler_scores(sessions: DataFrame) -> DataFrame:
+    """Adds confidence that a session (n, mean_length, mean_size, distance) is a boiler."""
+    c = F.col
+    alone = F.when(c("distance").isNull(), 1.0).otherwise(rising(c("distance"), 0, ALONE_MINUTES))
+    once = F.when(c("n") == 1, 1.0).otherwise(0.6)
+    return sessions.withColumn("confidence", _mean(rising(c("mean_length"), BOILER_MINUTES, 2 * BOILER_MINUTES), rising(c("mean_size"), BOILER_WATTS, 2 * BOILER_WATTS), once, alone))
 
 
 def dominant_rounds(events: DataFrame, keys: list[str], least: int = 4, most_cv: float = 0.20, watts: float = 800) -> DataFrame:
@@ -151,39 +185,56 @@ def dominant_rounds(events: DataFrame, keys: list[str], least: int = 4, most_cv:
 
 
 def multi_phase(sessions: DataFrame, slack: int = 600) -> DataFrame:
-    """Sessions of a house that overlap ones of other phases: (l_id, n_phases, balance, sync), with the
-    magnitudes' evenness over the phases and how close together they start."""
+    """Sessions of a house with those of other phases that overlap them: (l_id, n_phases, sync, balance,
+    three_phase). sync and balance are parts of a central AC's confidence; three_phase is the confidence in
+    one device on several phases, 1 where three phases draw alike."""
     links = first_overlaps(sessions, sessions, slack)
-    other = sessions.select(F.col("id").alias("r_id"), F.col("magnitude").alias("r_size"), F.col("start").alias("r_start"))
-    own = sessions.select(F.col("id").alias("l_id"), F.col("magnitude").alias("l_size"), F.col("start").alias("l_start"))
-    rows = links.join(other, "r_id").join(own, "l_id")
-    ratio = F.least(F.abs("r_size"), F.abs("l_size")) / F.nullif(F.greatest(F.abs("r_size"), F.abs("l_size")), F.lit(0.0))
-    late = F.abs(F.col("r_start") - F.col("l_start"))
-    return rows.groupBy("l_id").agg((F.count("*") + 1).alias("n_phases"), F.avg(ratio).alias("balance"), falling(F.max(late), 60, slack).alias("sync"))
+    of = lambda c: sessions.select(F.col("id").alias(c), F.abs("magnitude").alias("size"), "start", "duration")
+    own = links.select("l_id").distinct().join(of("l_id"), "l_id")
+    rows = links.join(of("r_id"), "r_id").select("l_id", "size", "start", "duration").unionByName(own)
+    cv = lambda c: F.when(F.avg(c) > 0, F.stddev_pop(c) / F.avg(c))
+    found = rows.groupBy("l_id").agg(F.count("*").alias("n_phases"), ((F.max("start") - F.min("start")) / 60).alias("late"), cv("size").alias("s_cv"), cv("duration").alias("d_cv"))
+    c = F.col
+    either = lambda score, x: F.when(x.isNull(), 0.5).otherwise(score)
+    count = F.when(c("n_phases") >= 3, 1.0).otherwise(0.7)
+    same = _mean(either(falling(c("s_cv"), 0, 0.3), c("s_cv")), count, falling(c("late"), 0, 15), either(falling(c("d_cv"), 0, 0.5), c("d_cv")))
+    three = F.when((c("n_phases") >= 3) & (c("s_cv") <= 0.10), 1.0).otherwise(same)
+    return found.select("l_id", "n_phases", falling(c("late"), 0, 10).alias("sync"), either(falling(c("s_cv"), 0, 0.5), c("s_cv")).alias("balance"), three.alias("three_phase"))
+
+
+def central_scores(phases: DataFrame, likeness: DataFrame) -> DataFrame:
+    """``phases`` of multi_phase() with the mean likeness (l_id, ac_like) of their sessions -> confidence."""
+    count = F.when(F.col("n_phases") >= 3, 1.0).otherwise(0.7)
+    return phases.join(likeness, "l_id").withColumn("confidence", _mean(count, F.col("sync"), F.col("balance"), F.col("ac_like")))
 
 
 def cluster_scores(sessions: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, n, confidence, reason): a cluster of recurring sessions is valid with three or more alike in
     magnitude and length (variation at most 0.20); its confidence is the mean of four scores: number, both
-    variations, and regularity of the gaps between starts."""
+    variations, and regularity of the gaps between starts (0.5 where there are under two)."""
     w = W.partitionBy(*keys).orderBy("start", "id")
-    rows = sessions.withColumn("_gap", F.col("start") - F.lag("start").over(w))
+    rows = sessions.withColumn("_gap", F.col("start") - F.lag("start").over(w)).withColumn("_gap", F.when(F.col("_gap") > 0, F.col("_gap")))
     cv = lambda c: F.when(F.avg(c) > 0, F.stddev_pop(c) / F.avg(c)).otherwise(0.0)
     found = rows.groupBy(*keys).agg(F.count("*").alias("n"), cv(_size()).alias("size_cv"), cv(F.col("duration")).alias("length_cv"), F.when(F.count("_gap") >= 2, cv(F.col("_gap"))).alias("gap_cv"), F.avg(_size()).alias("mean_size"), F.avg("duration").alias("mean_length"))
     found = found.where("n >= 3 and size_cv <= 0.20 and length_cv <= 0.20")
-    regular = F.coalesce(falling(F.col("gap_cv"), 0.2, 1.0), F.lit(0.5))
-    mean = (rising(F.col("n"), 3, 10) + falling(F.col("size_cv"), 0.05, 0.20) + falling(F.col("length_cv"), 0.05, 0.20) + regular) / 4
+    low = lambda x: F.greatest(x, F.lit(0.0))
+    regular = F.coalesce(F.least(low(1 - 0.5 * F.col("gap_cv")), F.lit(1.0)), F.lit(0.5))
+    mean = _mean(F.least(0.5 + 0.05 * (F.col("n") - 3), F.lit(1.0)), low(1 - 2 * F.col("size_cv")), low(1 - 2 * F.col("length_cv")), regular)
     reason = F.format_string("%d sessions of about %.0f W and %.0f min", "n", "mean_size", "mean_length")
     return found.withColumns({"confidence": mean, "reason": reason}).select(*keys, "n", "confidence", "reason")
 
 
 def unknown_scores(sessions: DataFrame) -> DataFrame:
-    """Adds confidence that a session (n, mean_size, longest, ac_like) is of no known kind: one less how near
-    it comes to a boiler (long and strong) or an AC, with the nearer one as reason."""
-    boiler = F.least(F.col("longest") / 15, F.lit(1.0)) * F.least(F.col("mean_size") / 1500, F.lit(1.0))
-    near = F.greatest(boiler, F.col("ac_like"))
-    reason = F.concat_ws("; ", F.when(F.col("longest") < 15, "too short for a boiler"), F.when(F.col("mean_size") < 1500, "too weak for a boiler"), F.when(F.col("n") < 4, "too few cycles for an AC"))
-    return sessions.withColumns({"boiler_like": boiler, "confidence": 1 - near, "reason": reason})
+    """Adds not_boiler and not_ac, how far a session (n, mean_length, mean_size, anchor, size_cv, distance) is from
+    either, and confidence, the lesser of both; the nearer one is the reason."""
+    c = F.col
+    runs = F.when(c("n") <= 2, 1.0).when(c("n") <= 4, 0.5).otherwise(F.greatest(1 - 0.1 * c("n"), F.lit(0.0)))
+    alone = F.when(c("distance").isNull(), 1.0).otherwise(rising(c("distance"), 0, ALONE_MINUTES))
+    boiler = _mean(rising(c("mean_length"), 0, BOILER_MINUTES), rising(c("mean_size"), 0, BOILER_WATTS), runs, alone)
+    ac = _mean(rising(c("n"), 1, AC_RUNS), rising(c("mean_size"), 0, AC_WATTS), rising(c("anchor"), 0, AC_FIRST_MINUTES), falling(c("size_cv"), 0, 2 * AC_CV))
+    found = sessions.withColumns({"not_boiler": 1 - boiler, "not_ac": 1 - ac})
+    nearer = F.when(F.col("not_boiler") <= F.col("not_ac"), "closest to a boiler").otherwise("closest to an AC")
+    return found.withColumns({"confidence": F.least("not_boiler", "not_ac"), "reason": nearer})
 
 
 def activation_scores(activations: DataFrame) -> DataFrame:

@@ -68,8 +68,18 @@ def first_overlaps(spark, sf_dir):
     return patterns.first_overlaps(events, events)
 
 
-@query(OVERLAP_SQL + """, g AS (SELECT l_id, count(*) + 1 AS n_phases, avg(least(rm, lm) / nullif(greatest(rm, lm), 0)) AS balance, max(abs(rs - ls)) AS late FROM o GROUP BY l_id)
-SELECT l_id, n_phases, round(balance, 4) AS balance, round(CASE WHEN late <= 60 THEN 1 WHEN late >= 600 THEN 0.5 ELSE 1 - 0.5 * (late - 60) / 540 END, 4) AS sync FROM g""")
+def _up(x: str, low: float, high: float) -> str:
+    return f"CASE WHEN {x} <= {low} THEN 0.5 WHEN {x} >= {high} THEN 1.0 ELSE 0.5 + 0.5 * ({x} - {low}) / ({high} - {low}) END"
+
+
+def _down(x: str, low: float, high: float) -> str:
+    return f"CASE WHEN {x} <= {low} THEN 1.0 WHEN {x} >= {high} THEN 0.5 ELSE 1.0 - 0.5 * ({x} - {low}) / ({high} - {low}) END"
+
+
+@query(OVERLAP_SQL + f""", w AS (SELECT l_id, rm AS size, rs AS st, r.duration FROM o JOIN r ON r.id = o.r_id UNION ALL SELECT DISTINCT l_id, r.magnitude, r.s, r.duration FROM o JOIN r ON r.id = o.l_id),
+g AS (SELECT l_id, count(*) AS n_phases, (max(st) - min(st)) / 60 AS late, CASE WHEN avg(size) > 0 THEN stddev_pop(size) / avg(size) END AS s_cv, CASE WHEN avg(duration) > 0 THEN stddev_pop(duration) / avg(duration) END AS d_cv FROM w GROUP BY l_id)
+SELECT l_id, n_phases, round({_down("late", 0, 10)}, 4) AS sync, round({_down("s_cv", 0, 0.5)}, 4) AS balance,
+  round(CASE WHEN n_phases >= 3 AND s_cv <= 0.10 THEN 1.0 ELSE ({_down("s_cv", 0, 0.3)} + CASE WHEN n_phases >= 3 THEN 1.0 ELSE 0.7 END + {_down("late", 0, 15)} + {_down("d_cv", 0, 0.5)}) / 4.0 END, 4) AS three_phase FROM g""")
 def multi_phase_sessions(spark, sf_dir):
     return rounded(patterns.multi_phase(runs(spark, sf_dir)))
 
@@ -82,14 +92,12 @@ def event_indices(spark, sf_dir):
 
 
 SESSIONS_SQL = RUNS_SQL + """, q AS (SELECT *, sum(fresh) OVER (PARTITION BY house_id, phase ORDER BY s, id ROWS UNBOUNDED PRECEDING) AS session FROM (SELECT *, CASE WHEN s - lag(e) OVER (PARTITION BY house_id, phase ORDER BY s, id) <= 28800 THEN 0 ELSE 1 END AS fresh FROM r)),
-t AS (SELECT *, row_number() OVER w AS i, magnitude - lag(magnitude) OVER w AS step, s - lag(e) OVER w AS gap FROM q WINDOW w AS (PARTITION BY house_id, phase, session ORDER BY s, id)),
-m AS (SELECT house_id, phase, CAST(session AS BIGINT) AS session, count(*) AS n, min_by(duration, i) AS anchor, avg(magnitude) AS mean_size, CASE WHEN avg(magnitude) > 0 THEN stddev_pop(magnitude) / avg(magnitude) END AS size_cv,
-  CASE WHEN avg(duration) FILTER (WHERE i > 1) > 0 THEN stddev_pop(duration) FILTER (WHERE i > 1) / avg(duration) FILTER (WHERE i > 1) END AS length_cv, CASE WHEN avg(gap) FILTER (WHERE gap > 0) > 0 THEN stddev_pop(gap) FILTER (WHERE gap > 0) / avg(gap) FILTER (WHERE gap > 0) END AS gap_cv,
-  CASE WHEN count(step) > 0 THEN greatest(count(*) FILTER (WHERE step > 0), count(*) FILTER (WHERE step < 0)) / count(step) END AS one_way, max(duration) AS longest FROM t GROUP BY house_id, phase, session),
-a AS (SELECT *, CASE WHEN n - 1 <= 3 THEN 0.5 WHEN n - 1 >= 8 THEN 1 ELSE 0.5 + 0.5 * (n - 1 - 3) / 5 END AS cycle_score, CASE WHEN anchor <= 10 THEN 0.5 WHEN anchor >= 25 THEN 1 ELSE 0.5 + 0.5 * (anchor - 10) / 15 END AS anchor_score,
-  CASE WHEN coalesce(size_cv, 1) <= 0.05 THEN 1 WHEN coalesce(size_cv, 1) >= 0.2 THEN 0.5 ELSE 1 - 0.5 * (coalesce(size_cv, 1) - 0.05) / 0.15 END AS size_score, (2 - least(coalesce(length_cv, 1), 1) - least(coalesce(gap_cv, 1), 1)) / 2 AS regular_score FROM m),
-c AS (SELECT *, (cycle_score + anchor_score + size_score + regular_score) / 4 AS confidence FROM a),
-l AS (SELECT *, CASE WHEN n >= 4 AND mean_size >= 800 THEN confidence ELSE confidence * least(n / 4, 1) * least(mean_size / 800, 1) END AS ac_like FROM c)""".replace("/ 4 AS confidence", "/ 4.0 AS confidence")
+t AS (SELECT *, row_number() OVER w AS i, magnitude - lag(magnitude) OVER w AS step, CASE WHEN s - lag(e) OVER w > 0 THEN s - lag(e) OVER w END AS gap FROM q WINDOW w AS (PARTITION BY house_id, phase, session ORDER BY s, id)),
+m AS (SELECT house_id, phase, CAST(session AS BIGINT) AS session, count(*) AS n, coalesce(min_by(duration, i) FILTER (WHERE duration >= 10), max(duration)) AS anchor, avg(magnitude) AS mean_size, avg(duration) AS mean_length, CASE WHEN avg(magnitude) > 0 THEN stddev_pop(magnitude) / avg(magnitude) ELSE 0 END AS size_cv,
+  CASE WHEN count(*) >= 3 THEN stddev_pop(duration) FILTER (WHERE i > 1) / avg(duration) FILTER (WHERE i > 1) ELSE 0 END AS length_cv, CASE WHEN count(*) >= 3 AND count(gap) >= 2 THEN stddev_pop(gap) / avg(gap) ELSE 0 END AS gap_cv,
+  avg(CASE WHEN duration BETWEEN 3 AND 30 THEN 1.0 ELSE 0.0 END) AS in_range, CASE WHEN count(*) >= 3 THEN (greatest(count(*) FILTER (WHERE step > 0), count(*) FILTER (WHERE step < 0)) + count(*) FILTER (WHERE step = 0)) / count(step) ELSE 1 END AS one_way,
+  min(s) AS first, max(s) AS last, min(s) FILTER (WHERE duration BETWEEN 3 AND 30) AS mf, max(s) FILTER (WHERE duration BETWEEN 3 AND 30) AS ml FROM t GROUP BY house_id, phase, session),
+l AS (SELECT *, least(first - last_value(ml IGNORE NULLS) OVER (PARTITION BY house_id, phase ORDER BY first, session ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), first_value(mf IGNORE NULLS) OVER (PARTITION BY house_id, phase ORDER BY first, session ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) - last) / 60 AS distance FROM m)"""
 
 
 def sessioned(spark, sf_dir) -> DataFrame:
@@ -99,20 +107,32 @@ def sessioned(spark, sf_dir) -> DataFrame:
 KEYS = ["house_id", "phase", "session"]
 
 
-@query(SESSIONS_SQL + """ SELECT house_id, phase, session, n, round(anchor, 4) AS anchor, round(size_cv, 4) AS size_cv, round(length_cv, 4) AS length_cv, round(gap_cv, 4) AS gap_cv, round(one_way, 4) AS one_way, round(confidence, 4) AS confidence, round(ac_like, 4) AS ac_like FROM l""")
+@query(SESSIONS_SQL + f""" SELECT house_id, phase, session, n, round(anchor, 4) AS anchor, round(size_cv, 4) AS size_cv, round(length_cv, 4) AS length_cv, round(gap_cv, 4) AS gap_cv, round(one_way, 4) AS one_way,
+  round(({_up("n", 4.0, 10)} + {_down("size_cv", 0.05, 0.2)} + {_up("anchor", 10, 20)} + {_up("mean_size", 800, 1600)}) / 4.0, 4) AS confidence,
+  round(({_up("n", 4.0, 10)} + {_up("mean_size", 800, 1500)} + {_down("size_cv", 0, 0.3)} + greatest(in_range, 0.5) + {_up("one_way", 0.5, 0.85)} + {_down("length_cv", 0, 0.4)} + {_down("gap_cv", 0, 0.5)}) / 7, 4) AS ac_like FROM l""")
 def ac_confidence(spark, sf_dir):
     found = patterns.ac_scores(patterns.cycling_measures(sessioned(spark, sf_dir), KEYS))
     return rounded(found.select(*KEYS, "n", "anchor", "size_cv", "length_cv", "gap_cv", "one_way", "confidence", "ac_like"))
 
 
-@query(SESSIONS_SQL + """, x AS (SELECT *, least(longest / 15, 1) * least(mean_size / 1500, 1) AS boiler_like FROM l)
-SELECT house_id, phase, session, round(boiler_like, 4) AS boiler_like, round(1 - greatest(boiler_like, ac_like), 4) AS confidence,
-  concat_ws('; ', CASE WHEN longest < 15 THEN 'too short for a boiler' END, CASE WHEN mean_size < 1500 THEN 'too weak for a boiler' END, CASE WHEN n < 4 THEN 'too few cycles for an AC' END) AS reason FROM x""")
-def unknown_confidence(spark, sf_dir):
+ALONE = f"CASE WHEN distance IS NULL THEN 1.0 ELSE {_up('distance', 0, 30)} END"
+
+
+def _measured(spark, sf_dir) -> DataFrame:
     rows = sessioned(spark, sf_dir)
-    longest = rows.groupBy(*KEYS).agg(F.max("duration").alias("longest"))
-    found = patterns.unknown_scores(patterns.ac_scores(patterns.cycling_measures(rows, KEYS)).drop("confidence").join(longest, KEYS))
-    return rounded(found.select(*KEYS, "boiler_like", "confidence", "reason"))
+    return patterns.cycling_measures(rows, KEYS).join(patterns.distances(rows, KEYS[:2], "session"), KEYS)
+
+
+@query(SESSIONS_SQL + f""" SELECT house_id, phase, session, round(distance, 4) AS distance, round(({_up("mean_length", 15, 30)} + {_up("mean_size", 1500, 3000)} + CASE WHEN n = 1 THEN 1.0 ELSE 0.6 END + {ALONE}) / 4.0, 4) AS confidence FROM l""")
+def boiler_confidence(spark, sf_dir):
+    return rounded(patterns.boiler_scores(_measured(spark, sf_dir)).select(*KEYS, "distance", "confidence"))
+
+
+@query(SESSIONS_SQL + f""", x AS (SELECT *, 1 - ({_up("mean_length", 0, 15)} + {_up("mean_size", 0, 1500)} + CASE WHEN n <= 2 THEN 1.0 WHEN n <= 4 THEN 0.5 ELSE greatest(1 - 0.1 * n, 0) END + {ALONE}) / 4.0 AS not_boiler,
+  1 - ({_up("n", 1, 4.0)} + {_up("mean_size", 0, 800)} + {_up("anchor", 0, 10)} + {_down("size_cv", 0, 0.4)}) / 4.0 AS not_ac FROM l)
+SELECT house_id, phase, session, round(not_boiler, 4) AS not_boiler, round(not_ac, 4) AS not_ac, round(least(not_boiler, not_ac), 4) AS confidence, CASE WHEN not_boiler <= not_ac THEN 'closest to a boiler' ELSE 'closest to an AC' END AS reason FROM x""")
+def unknown_confidence(spark, sf_dir):
+    return rounded(patterns.unknown_scores(_measured(spark, sf_dir)).select(*KEYS, "not_boiler", "not_ac", "confidence", "reason"))
 
 
 @query(SESSIONS_SQL + """ SELECT DISTINCT house_id, phase, CAST(session AS BIGINT) AS session FROM (SELECT house_id, phase, session, iteration FROM q GROUP BY ALL HAVING count(*) >= 2 AND avg(magnitude) >= 800 AND stddev_pop(magnitude) <= 0.5 * avg(magnitude))""")
@@ -120,10 +140,10 @@ def dominant_rounds(spark, sf_dir):
     return patterns.dominant_rounds(sessioned(spark, sf_dir), KEYS, 2, 0.5)
 
 
-@query(RUNS_SQL + """, d AS (SELECT house_id, CAST(floor(magnitude / 500) AS BIGINT) AS cluster, s, id, magnitude, duration, s - lag(s) OVER (PARTITION BY house_id, floor(magnitude / 500) ORDER BY s, id) AS gap FROM r WHERE duration BETWEEN 20 AND 26),
-k AS (SELECT house_id, cluster, count(*) AS n, stddev_pop(magnitude) / avg(magnitude) AS size_cv, stddev_pop(duration) / avg(duration) AS length_cv, CASE WHEN count(gap) >= 2 THEN CASE WHEN avg(gap) > 0 THEN stddev_pop(gap) / avg(gap) ELSE 0 END END AS gap_cv FROM d GROUP BY house_id, cluster)
-SELECT house_id, cluster, n, round((CASE WHEN n <= 3 THEN 0.5 WHEN n >= 10 THEN 1 ELSE 0.5 + 0.5 * (n - 3) / 7 END + CASE WHEN size_cv <= 0.05 THEN 1 WHEN size_cv >= 0.2 THEN 0.5 ELSE 1 - 0.5 * (size_cv - 0.05) / 0.15 END
-  + CASE WHEN length_cv <= 0.05 THEN 1 WHEN length_cv >= 0.2 THEN 0.5 ELSE 1 - 0.5 * (length_cv - 0.05) / 0.15 END + coalesce(CASE WHEN gap_cv <= 0.2 THEN 1 WHEN gap_cv >= 1 THEN 0.5 ELSE 1 - 0.5 * (gap_cv - 0.2) / 0.8 END, 0.5)) / 4.0, 4) AS confidence
+@query(RUNS_SQL + """, d AS (SELECT house_id, CAST(floor(magnitude / 500) AS BIGINT) AS cluster, s, id, magnitude, duration, s - lag(s) OVER (PARTITION BY house_id, floor(magnitude / 500) ORDER BY s, id) AS gap0 FROM r WHERE duration BETWEEN 20 AND 26),
+d2 AS (SELECT *, CASE WHEN gap0 > 0 THEN gap0 END AS gap FROM d),
+k AS (SELECT house_id, cluster, count(*) AS n, stddev_pop(magnitude) / avg(magnitude) AS size_cv, stddev_pop(duration) / avg(duration) AS length_cv, CASE WHEN count(gap) >= 2 THEN CASE WHEN avg(gap) > 0 THEN stddev_pop(gap) / avg(gap) ELSE 0 END END AS gap_cv FROM d2 GROUP BY house_id, cluster)
+SELECT house_id, cluster, n, round((least(0.5 + 0.05 * (n - 3), 1) + greatest(1 - 2 * size_cv, 0) + greatest(1 - 2 * length_cv, 0) + coalesce(least(greatest(1 - 0.5 * gap_cv, 0), 1), 0.5)) / 4.0, 4) AS confidence
 FROM k WHERE n >= 3 AND size_cv <= 0.20 AND length_cv <= 0.20""")
 def cluster_confidence(spark, sf_dir):
     rows = runs(spark, sf_dir).where("duration between 20 and 26").withColumn("cluster", F.floor(F.col("magnitude") / 500))

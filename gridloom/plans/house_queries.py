@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from gridloom.operators import profile, quality, reports
 from gridloom.plans.registry import EPOCH, SEC, query, rounded
-from gridloom.sources.tables import HOLES_SQL, SERIES_SQL, power_series, read
+from gridloom.sources.tables import HOLES_SQL, SERIES_SQL, as_raw, power_series, read
 
 
 def phase_series(spark, sf_dir, holes: bool = True) -> DataFrame:
@@ -249,6 +249,15 @@ def segmentation_metrics(spark, sf_dir):
 # ---------------------------------------------------------------- stored tables
 
 
+@query(f"""WITH {SERIES_SQL} SELECT house_id // 3 AS house_id, {EPOCH.format("ts")} // 3600 AS m, round(max(watts) FILTER (WHERE phase = 'w1') / 2, 4) AS w1, round(max(watts) FILTER (WHERE phase = 'w2') / 2, 4) AS w2, round(max(watts) FILTER (WHERE phase = 'w3') / 2, 4) AS w3 FROM s GROUP BY ALL""")
+def raw_again(spark, sf_dir):
+    """A run's summarised table as the raw readings of the next run."""
+    rows = phase_series(spark, sf_dir, holes=False).withColumn("m", F.floor(SEC("ts") / 3600))
+    wide = rows.groupBy("house_id", "m").pivot("phase", ["w1", "w2", "w3"]).agg(F.max("watts"))
+    done = wide.select("house_id", "m", *[F.col(p).alias(f"original_{p}") for p in ("w1", "w2", "w3")], *[(F.col(p) / 2).alias(f"remaining_{p}") for p in ("w1", "w2", "w3")])
+    return rounded(as_raw(done))
+
+
 @query("""WITH n AS (SELECT DISTINCT user_id || '_' || strftime(ts, '%m_%Y') || CASE WHEN user_id % 11 = 0 THEN '.tmp.x1' ELSE '.pkl' END AS name, user_id AS h, CAST(month(ts) AS BIGINT) AS month, CAST(year(ts) AS BIGINT) AS year FROM events)
 SELECT CAST(h AS VARCHAR) AS house, year, month, CAST(row_number() OVER (PARTITION BY h ORDER BY year, month) AS BIGINT) AS place FROM n WHERE h % 11 <> 0""")
 def month_files(spark, sf_dir):

@@ -85,5 +85,16 @@ READING_SQL = SERIES_SQL + """,
 g AS (SELECT house_id, month, phase, CAST(row_number() OVER (PARTITION BY house_id, month ORDER BY ts, event_id) - 1 AS INTEGER) AS m, watts FROM s)"""
 
 
+def as_raw(wide: DataFrame) -> DataFrame:
+    """A wide table as raw readings: of a summarised one the remaining phases, under the phases' names, and
+    nothing else of it; phases named 1 to 3 become w1 to w3; a ``sum`` goes. NaN becomes NULL."""
+    phases = ("w1", "w2", "w3")
+    if set(f"remaining_{p}" for p in phases) & set(wide.columns):
+        keys = [c for c in wide.columns if c in ("house_id", "month", "ts", "m")]
+        return wide.select(*keys, *[clean_watts(f"remaining_{p}").alias(p) for p in phases if f"remaining_{p}" in wide.columns])
+    named = wide.withColumnsRenamed({str(n): f"w{n}" for n in (1, 2, 3)}).drop("sum")
+    return named.withColumns({p: clean_watts(p) for p in phases if p in named.columns})
+
+
 def by(*keys: str, order: tuple[str, ...] = ORDER) -> W:
     return W.partitionBy(*keys).orderBy(*order)

@@ -6,8 +6,10 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from gridloom.operators.devices import session_documents
 from gridloom.operators.edges import sharp_edges
 from gridloom.sources import ingest
+from gridloom.sources.tables import as_raw
 from gridloom.streaming.edges import streaming_edges
 
 
@@ -67,3 +69,18 @@ def test_stream_finds_the_edges_of_the_batch(spark, tmp_path, files):
     got = {(r.event, r.ts.minute) for r in spark.table(name).collect()}
     runs = sharp_edges(frame, 1500).collect()
     assert got == {("on" if d > 0 else "off", i) for i, d in ((1, 1), (3, -1), (5, 1), (6, -1), (7, 1), (8, -1))} and len(runs) == 6
+
+
+def test_tables_of_any_form_are_raw_again(spark):
+    raw = spark.createDataFrame([(1, 0, 1.0, float("nan"), 3.0, 4.0)], "house_id long, m int, `1` double, `2` double, `3` double, sum double")
+    assert [tuple(r) for r in as_raw(raw).collect()] == [(1, 0, 1.0, None, 3.0)] and as_raw(raw).columns == ["house_id", "m", "w1", "w2", "w3"]
+    done = spark.createDataFrame([(1, 0, 9.0, 5.0, 8.0)], "house_id long, m int, original_w1 double, remaining_w1 double, short_duration_w1 double")
+    assert [tuple(r) for r in as_raw(done).collect()] == [(1, 0, 5.0)]
+
+
+def test_session_documents_hold_the_sessions(spark):
+    rows = [(1, 5, 2, 1.005, float("nan")), (1, 2, 3, float("inf"), 2.0), (2, 40 * 86400, 1, 1.0, 1.0)]
+    stats = spark.createDataFrame(rows, "house_id long, start long, n long, size double, cv double")
+    got = {(r.house_id, r.month): json.loads(r.document)["sessions"] for r in session_documents(stats).collect()}
+    assert [s["start"] for s in got[1, "1970-01"]] == [2, 5] and got[2, "1970-02"][0]["n"] == 1
+    assert "size" not in got[1, "1970-01"][0] and "cv" not in got[1, "1970-01"][1] and got[1, "1970-01"][0]["cv"] == 2.0

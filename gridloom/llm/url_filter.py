@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from gridloom.llm.work import rows_of, table, work_path, work_table
 
 SEED = 42  # that of Spark's xxhash64, so that Spark can sort by the digest
+#: Of an index file, about: what a task that writes one holds.
+FILE_BYTES = 64_000_000
 MANIFEST = "path string, n long, low long"
 
 
@@ -134,11 +136,15 @@ def probes(host: str, path: str, lengths: list[int]) -> list[str]:
 
 
 class UrlList:
-    """An indexed list: manifest rows and the path lengths that occur, both small whatever the list."""
+    """An indexed list: manifest rows and the path lengths that occur, both small whatever the list.
+    ``keys`` is a table (key, value) of any length; ``files``: how many, else one for every FILE_BYTES."""
 
-    def __init__(self, keys: DataFrame, name: str, files: int = 1):
+    def __init__(self, keys: DataFrame, name: str, files: int | None = None):
         spark = keys.sparkSession
         keys = work_table(keys.select("key", "value"), name)
+        if files is None:
+            size = keys.agg(F.coalesce(F.sum(F.octet_length("key") + F.octet_length("value") + 24), F.lit(0)).alias("n")).first().n
+            files = max(1, -(-size // FILE_BYTES))
         self.manifest = build_index(keys, work_path(spark, name), files)
         length = F.when(F.instr("key", "/") > 0, F.length("key") - F.instr("key", "/") + 1).otherwise(0)
         self.lengths = sorted(r.n for r in keys.where("key is not null").select(length.alias("n")).distinct().collect())  # at most the longest path

@@ -542,7 +542,35 @@ def merged_split_offs(spark, sf_dir):
     return rounded(detection.merge_split_offs(found.where("event = 'off'"), found.where("event = 'on'"), grid, ("house_id", "phase")))
 
 
-@query()
+def _settle_sql(edges_: str, kind: str, out: str) -> str:
+    """One step of settling: ``edges_`` with the edges of a kind moved, as ``out``."""
+    on = kind == "on"
+    at, d, first = ("w.e + w.k + 1", "d.diff", "e") if on else ("w.s - w.k - 1", "-d.diff", "s")
+    stop = f"(d.m IS NULL OR d.busy OR d.diff IS NULL OR {d} > 0.1 * abs(w.magnitude))"
+    power = lambda name, m: f"LEFT JOIN g {name} ON {name}.house_id = x.house_id AND {name}.phase = x.phase AND {name}.m = {m}"
+    joins = [power("f0", "x.e"), power("t0", "x.last"), power("b0", "x.s - 1")] if on else [power("f0", "x.s - 1"), power("t0", "x.last - 1"), power("b0", "x.e + 1"), power("z0", "x.e")]
+    size = "t0.watts - coalesce(b0.watts, 0)" if on else "coalesce(b0.watts, z0.watts, 0) - t0.watts"
+    good = f"coalesce({size} {'>' if on else '<'} 0 AND f0.watts - t0.watts >= 0.25 * abs(x.magnitude), false)"
+    return f""", busy_{kind} AS (SELECT DISTINCT d.house_id, d.phase, d.m FROM d JOIN {edges_} q ON q.house_id = d.house_id AND q.phase = d.phase AND d.m BETWEEN q.s AND q.e),
+d_{kind} AS MATERIALIZED (SELECT d.house_id, d.phase, d.m, d.diff, b.m IS NOT NULL AS busy FROM d LEFT JOIN busy_{kind} b ON b.house_id = d.house_id AND b.phase = d.phase AND b.m = d.m),
+w_{kind} AS (SELECT house_id, phase, event, s, e, magnitude, 0 AS k, CAST(NULL AS INTEGER) AS last, 0 AS steady, true AS live FROM {edges_} WHERE event = '{kind}'
+  UNION ALL SELECT w.house_id, w.phase, w.event, w.s, w.e, w.magnitude, w.k + 1, CASE WHEN NOT {stop} AND {d} < 0 THEN d.m ELSE w.last END, CASE WHEN {stop} THEN w.steady WHEN {d} < 0 THEN 0 ELSE w.steady + 1 END,
+    CASE WHEN {stop} THEN false WHEN {d} < 0 THEN true ELSE w.last IS NOT NULL AND w.steady < 1 END FROM w_{kind} w LEFT JOIN d_{kind} d ON d.house_id = w.house_id AND d.phase = w.phase AND d.m = {at} WHERE w.live AND w.k < 5),
+x_{kind} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY house_id, phase, s, e ORDER BY k DESC) AS nth FROM w_{kind}) WHERE nth = 1),
+y_{kind} AS (SELECT x.*, {good} AS good, {size} AS size FROM x_{kind} x {" ".join(joins)}),
+{out} AS (SELECT house_id, phase, event, {"s, CASE WHEN good THEN last ELSE e END AS e" if on else "CASE WHEN good THEN last ELSE s END AS s, e"}, CASE WHEN good THEN size ELSE magnitude END AS magnitude, CASE WHEN good THEN magnitude END AS original FROM y_{kind}
+  UNION ALL SELECT house_id, phase, event, s, e, magnitude, original FROM {edges_} WHERE event <> '{kind}')"""
+
+
+SETTLED_SQL = (
+    GRID_EDGES.replace("diff >= 800", "diff >= 600").replace("diff <= -640", "diff <= -480").replace("WITH ", "WITH RECURSIVE ", 1)
+    + """, e0 AS (SELECT house_id, phase, event, "start" AS s, "end" AS e, magnitude, CAST(NULL AS DOUBLE) AS original FROM edges)"""
+    + _settle_sql("e0", "on", "e1") + _settle_sql("e1", "off", "e2")
+    + """ SELECT house_id, phase, event, CAST(s AS BIGINT) AS "start", CAST(e AS BIGINT) AS "end", round(magnitude, 4) AS magnitude, round(original, 4) AS original_magnitude FROM e2"""
+)
+
+
+@query(SETTLED_SQL)
 def settled_edges(spark, sf_dir):
     grid, found = _edges(spark, sf_dir, 600)
     for kind in ("on", "off"):

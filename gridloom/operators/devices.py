@@ -110,6 +110,6 @@ def session_documents(stats: DataFrame) -> DataFrame:
 
 def breakdown(events: DataFrame) -> DataFrame:
     """A JSON document per house: counts, minutes and mean magnitude by device type."""
-    by_type = events.groupBy("house_id", "device_type").agg(F.count("*").alias("count"), F.sum("duration").alias("minutes"), F.round(F.avg(F.abs("magnitude")), 2).alias("avg_magnitude"))
+    by_type = events.groupBy("house_id", "device_type").agg(F.count("*").alias("count"), F.sum("duration").alias("minutes"), (F.floor(F.avg(F.abs("magnitude")) * 100 + 0.50001) / 100).alias("avg_magnitude"))
     entry = F.map_from_entries(F.sort_array(F.collect_list(F.struct("device_type", F.struct("count", "minutes", "avg_magnitude")))))  # an entry per type
     return by_type.groupBy("house_id").agg(F.to_json(entry).alias("summary"), F.sum("count").alias("n_events"))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from gridloom.operators.joins import band_join, overlaps
+from gridloom.sources.work import staged
 
 def _size() -> Column:
     return F.abs("magnitude")
@@ -398,9 +399,9 @@ def cascade(events: DataFrame, steps: list[tuple[str, callable]]) -> DataFrame:
     takes; what no step takes is unknown."""
     left, taken = events, []
     for name, step in steps:
-        ids = step(left).select("id").distinct()
+        ids = staged(step(left).select("id").distinct())
         taken.append(ids.withColumn("device_type", F.lit(name)))
-        left = left.join(ids, "id", "left_anti")
+        left = staged(left.join(ids, "id", "left_anti"))
     return reduce(DataFrame.unionByName, [*taken, left.select("id", F.lit("unknown").alias("device_type"))])
 
 

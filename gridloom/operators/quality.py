@@ -22,6 +22,7 @@ COMPRESSOR_KNOTS = [(0.0, 0.0), (2.0, 1.0), (6.0, 3.0), (15.0, 5.0), (35.0, 7.0)
 VARIATION_KNOTS = [(0.0, 0.0), (0.8, 4.0), (1.1, 8.0), (1.4, 12.0), (2.0, 17.0), (3.0, 20.0)]
 DAYS_KNOTS = [(0.0, 0.0), (30.0, 3.0), (180.0, 7.0), (365.0, 10.0)]
 TOP_SHARP = 20.0  # from a rate of 0.5
+NEAR = 1e-9  # a mean of rates may miss one half by its last bit
 DEAD_SHARE, FAULTY_MISSING = 0.02, 0.10
 
 
@@ -127,7 +128,7 @@ def scores(series: DataFrame, cycles: DataFrame | None = None, least: int = 100)
     lost = (1 - c("coverage")) * 100 + c("most_missing") * 100 * c("coverage")
     missing = c("missing") * 100
     points = {
-        "sharp_points": F.when(c("n_crossing") == 0, 0.0).when(c("sharp_rate") >= 0.5, TOP_SHARP).otherwise(piecewise(c("sharp_rate"), SHARP_KNOTS)),
+        "sharp_points": F.when(c("n_crossing") == 0, 0.0).when(c("sharp_rate") >= 0.5 - NEAR, TOP_SHARP).otherwise(piecewise(c("sharp_rate"), SHARP_KNOTS)),
         "device_points": piecewise(c("sustained"), SUSTAINED_KNOTS) + piecewise(c("cycles"), COMPRESSOR_KNOTS),
         "profile_points": 20 - _taken((c("mid_share") - 0.10) / 0.25 * 15, 15) - _taken((0.15 - c("low_share")) / 0.15 * 5, 5),
         "variation_points": piecewise(c("variation"), VARIATION_KNOTS),

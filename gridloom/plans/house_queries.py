@@ -58,7 +58,7 @@ mo AS (SELECT house_id, date_trunc('month', ts) AS o, count(*) AS n, avg(total)
 mm AS (SELECT house_id, count(*) AS n_months, stddev_pop(least(n / (day(last_day(o)) * 1440), 1)) AS unevenness, count(*) FILTER (WHERE mean < 1 AND n > 100) AS n_dark FROM mo GROUP BY house_id),
 al AS (SELECT f.*, hm.* EXCLUDE (house_id), mm.* EXCLUDE (house_id), (1 - coverage) * 100 + most_missing * 100 * coverage AS lost, missing * 100 AS pct FROM f JOIN hm ON hm.house_id = f.house_id JOIN mm ON mm.house_id = f.house_id),
 pt AS (SELECT house_id, n_dead, n_faulty, lost,
-  CASE WHEN n_crossing = 0 THEN 0 WHEN sharp_rate >= 0.5 THEN 20 ELSE {_knots("sharp_rate", quality.SHARP_KNOTS)} END AS sharp_points, {_knots("sustained", quality.SUSTAINED_KNOTS)} AS device_points,
+  CASE WHEN n_crossing = 0 THEN 0 WHEN sharp_rate >= 0.5 - 1e-9 THEN 20 ELSE {_knots("sharp_rate", quality.SHARP_KNOTS)} END AS sharp_points, {_knots("sustained", quality.SUSTAINED_KNOTS)} AS device_points,
   20 - greatest(least((mid_share - 0.10) / 0.25 * 15, 15), 0) - greatest(least((0.15 - low_share) / 0.15 * 5, 5), 0) AS profile_points, {_knots("variation", quality.VARIATION_KNOTS)} AS variation_points,
   least({_knots("days", quality.DAYS_KNOTS)} + CASE WHEN n_months > 1 THEN greatest(5 * (1 - 2 * unevenness), 0) ELSE 5 END, 15) AS volume_points,
   greatest(10 - greatest(least(4, pct - 1), 0) - greatest(least((coalesce(long_gaps, 0) - 5) / 10 * 3, 3), 0) - greatest(least((n_negative - 100) / 500 * 3, 3), 0) - greatest(least(n_extreme / 50 * 2, 2), 0) - greatest(least(n_dark / n_months * 10, 3), 0), 0) AS integrity_points,

@@ -236,7 +236,7 @@ def named_activations(spark, sf_dir):
     return rows.join(F.broadcast(names), "device_type", "left").select("id", "device_type", "name", F.floor("magnitude").alias("magnitude"))
 
 
-@query(RUNS_SQL + f""", t AS (SELECT *, {TYPED} AS device_type FROM r), b AS (SELECT house_id, device_type, count(*) AS c, sum(duration) AS m, floor(avg(magnitude) * 100 + 0.5) / 100 AS a FROM t GROUP BY ALL)
+@query(RUNS_SQL + f""", t AS (SELECT *, {TYPED} AS device_type FROM r), b AS (SELECT house_id, device_type, count(*) AS c, sum(duration) AS m, floor(avg(magnitude) * 100 + 0.50001) / 100 AS a FROM t GROUP BY ALL)
 SELECT house_id, '{{' || string_agg('"' || device_type || '":{{"count":' || c || ',"minutes":' || m || ',"avg_magnitude":' || a || '}}', ',' ORDER BY device_type) || '}}' AS summary, CAST(sum(c) AS BIGINT) AS n_events FROM b GROUP BY house_id""")
 def house_summaries(spark, sf_dir):
     return devices.breakdown(activations(spark, sf_dir))

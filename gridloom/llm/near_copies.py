@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.graph import connected_components
 from gridloom.llm.simhash import SEED, fingerprint, links, shingles, spanning_forest
-from gridloom.llm.work import rows_of, work_table
+from gridloom.llm.work import join_hot, rows_of, work_table
 
 BANDS, ROWS = 16, 4
 ALL_PAIRS = 8
@@ -188,13 +188,13 @@ def near_copy_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, i
 
     kind = "doc_id long, k1 long, k2 long, node long, fp long, bands array<long>"
     sketched = work_table(rows.select(F.col("doc_id").cast("long"), *keys, "text").mapInPandas(sketch, kind), "sketches")
-    nodes = sketched.groupBy("node").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands"))
+    nodes = sketched.groupBy("node").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.min(F.struct("k1", "k2")).alias("k"), F.count("*").alias("n"))
     nodes = work_table(nodes, "nodes")
     pairs, left = _bucket_pairs(nodes)
     pairs = work_table(pairs.unionAll(_simhash_pairs(nodes)).distinct(), "pairs")
 
     asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()  # all members of large buckets among them
-    holder = sketched.join(asked, "node", "left_semi").groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("k")).select("node", "k.k1", "k.k2")
+    holder = nodes.join(asked, "node", "left_semi").select("node", "k.k1", "k.k2")
     texts = rows.select(*keys, "text").join(holder, ["k1", "k2"]).groupBy("node").agg(F.min("text").alias("text"))
 
     @F.pandas_udf("binary")
@@ -212,7 +212,8 @@ def near_copy_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, i
     several = _undecided(left, roots)
     if not several.isEmpty():
         roots = _joined(roots, work_table(_all_pairs(several, sets, similarity), "verified"))
-    return sketched.select("k1", "k2", "doc_id", "node").join(roots, "node", "left").select("k1", "k2", "doc_id", F.coalesce("root", "node").alias("group"))
+    named = work_table(nodes.select("node", "n").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("group"), "n"), "groups")
+    return join_hot(sketched.select("k1", "k2", "doc_id", "node"), named, ["node"], sketched.count()).select("k1", "k2", "doc_id", "group")
 
 
 def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:

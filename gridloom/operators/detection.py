@@ -91,13 +91,14 @@ def settle(edges_: DataFrame, grid: DataFrame, kind: str, keys: tuple[str, ...]
 
 @dataclass(frozen=True)
 class Features:
-    """Optional steps of the detection."""
+    """Optional steps of the detection; ``imputation`` fills short gaps before each round."""
 
     gradual: bool = True
     near_threshold: bool = False
     tails: bool = True
     split_offs: bool = True
     settling: bool = True
+    imputation: bool = False
 
 
 def detect(grid: DataFrame, threshold: float, features: Features = Features(), off_factor: float = 0.8, keys: tuple[str, ...] = MONTHLY) -> DataFrame:
@@ -142,6 +143,7 @@ def numbered(found: DataFrame, grid: DataFrame, run: int, keys: tuple[str, ...]
 
 
 def filled(readings: DataFrame, limit: int = 5, keys: tuple[str, ...] = MONTHLY) -> DataFrame:
-    """Minutes ready for detection: short gaps filled from before, what is still missing left out."""
+    """Readings whose gaps of up to ``limit`` minutes are filled from before. Longer gaps stay missing as a whole after
+    ``limit`` minutes, so that no edge spans them."""
     rows = readings.withColumns({"ts": F.col("m"), "event_id": F.col("m")})
-    return forward_fill(rows, limit, keys).where("filled is not null").select(*keys, "m", F.col("filled").alias("watts"))
+    return forward_fill(rows, limit, keys).select(*keys, "m", F.col("filled").alias("watts"))

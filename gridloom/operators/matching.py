@@ -62,7 +62,7 @@ def correction_of(signal: Signal, pair: tuple[int, int, int, int], magnitude: fl
         return None
     drawn = signal.watts[run]
     drawn = drawn[~np.isnan(drawn)]
-    if len(drawn) and drawn.min() < signal.before(rise.start) + 0.5 * magnitude:
+    if len(drawn) >= 3 and drawn.min() < signal.before(rise.start) + 0.5 * magnitude:
         return None
     device = np.concatenate([up, middle, down])
     values = np.concatenate([device, signal.watts[rise.start : rise.start + len(device)] - device])
@@ -211,10 +211,11 @@ def device_power(signal: Signal, remaining: np.ndarray, pair: tuple[int, int, in
     return slice(rise.start, fall.stop), np.concatenate([up, middle, down])
 
 
-def extract_series(signal: Signal, pairs: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, list[str]]:
+def extract_series(signal: Signal, pairs: pd.DataFrame, profiles: list[tuple] | None = None) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """(remaining, power by duration bucket (3, n), on_ids of skipped pairs). Short pairs come first, then
     by start; a pair that would leave a negative anywhere is skipped whole. Row differences are those of
-    the signal that came in."""
+    the signal that came in. ``profiles`` gathers (on_id, minutes, watts) of every pair that was taken out: what each of its
+    minutes, the OFF's last included, gave to it."""
     remaining = np.nan_to_num(signal.watts)
     by_bucket, skipped = np.zeros((3, len(remaining))), []
     for p in pairs.sort_values(["minutes", "on_start", "on_id"]).itertuples():
@@ -226,27 +227,51 @@ def extract_series(signal: Signal, pairs: pd.DataFrame) -> tuple[np.ndarray, np.
             continue
         remaining[rows] = left
         by_bucket[_bucket(p.minutes), rows] += device
+        if profiles is not None:
+            whole = slice(rows.start, max(rows.stop, int(np.searchsorted(signal.m, p.off_end, "right"))))
+            watts = np.zeros(whole.stop - whole.start)
+            watts[: len(device)] = device
+            profiles.append((p.on_id, signal.m[whole].tolist(), watts.tolist()))
     return remaining, by_bucket, skipped
 
 
-def extract(grid: DataFrame, matches: DataFrame, keys: tuple[str, ...] = MONTHLY) -> DataFrame:
+PROFILE = "on_id string, at array<int>, power array<double>"
+
+
+def extract(grid: DataFrame, matches: DataFrame, keys: tuple[str, ...] = MONTHLY, profiles: bool = False) -> DataFrame:
     """(keys, EXTRACTED): a row per minute with the signal before and after, and the power taken out by the
     pairs' duration; besides, a row per skipped pair with its on_id in ``skipped`` and no minute.
-    Months without pairs pass through."""
+    Months without pairs pass through. With ``profiles`` there are also the columns of PROFILE, and a row without a
+    minute for every pair that was taken out: see minutes_of() and profiles_of()."""
 
     def run(grid: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
         grid = grid.sort_values("m")
         signal = Signal(grid.m.to_numpy(np.int64), grid.watts.to_numpy(float))
-        remaining, taken, skipped = extract_series(signal, pairs)
+        held: list[tuple] | None = [] if profiles else None
+        remaining, taken, skipped = extract_series(signal, pairs, held)
         out = pd.DataFrame({"m": grid.m.to_numpy(np.int64), "original": signal.watts, "remaining": remaining, "short_duration": taken[0], "medium_duration": taken[1], "long_duration": taken[2]}).astype({"m": "Int64"})
-        out = pd.concat([out.assign(skipped=None), pd.DataFrame({"skipped": skipped}, dtype=object)], ignore_index=True)
+        parts = [out.assign(skipped=None), pd.DataFrame({"skipped": skipped}, dtype=object)]
+        if profiles:
+            parts = [p.assign(on_id=None, at=None, power=None) for p in parts] + [pd.DataFrame(held, columns=["on_id", "at", "power"], dtype=object)]
+        out = pd.concat(parts, ignore_index=True)
         some = grid if len(grid) else pairs
         for at, key in enumerate(keys):
             out.insert(at, key, some[key].iloc[0] if len(some) else None)
         return out
 
     pairs = matches.where("status = 'matched'").select(*keys, "stage", "on_id", "on_start", "on_end", "off_start", "off_end", "on_magnitude", "minutes")
-    return grid.select(*keys, "m", "watts").groupBy(*keys).cogroup(pairs.groupBy(*keys)).applyInPandas(run, f"{_kinds(grid, keys)}, {EXTRACTED}")
+    schema = f"{_kinds(grid, keys)}, {EXTRACTED}" + (f", {PROFILE}" if profiles else "")
+    return grid.select(*keys, "m", "watts").groupBy(*keys).cogroup(pairs.groupBy(*keys)).applyInPandas(run, schema)
+
+
+def minutes_of(extracted: DataFrame) -> DataFrame:
+    """The minutes of extract()'s rows."""
+    return extracted.where("m is not null").drop("skipped", "on_id", "at", "power")
+
+
+def profiles_of(extracted: DataFrame, keys: tuple[str, ...] = MONTHLY) -> DataFrame:
+    """(keys, on_id, at, power): of every pair taken out, its minutes and what each gave to it."""
+    return extracted.where("on_id is not null").select(*keys, "on_id", "at", "power")
 
 
 def restored(matches: DataFrame, extracted: DataFrame, keys: tuple[str, ...] = MONTHLY) -> tuple[DataFrame, DataFrame]:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from gridloom.operators.joins import band_join, overlaps
+from gridloom.operators.stretches import dealt, over_stretches
 from gridloom.sources.work import staged
 
 def _size() -> Column:
@@ -67,14 +68,84 @@ def compressor_near(candidates: DataFrame, events: DataFrame, apart: int = 3600,
     return candidates.join(busy, "id", "left_anti")
 
 
-def first_overlaps(reference: DataFrame, others: DataFrame, slack: int = 600) -> DataFrame:
-    """(l_id, phase, r_id): per reference and other phase of its house the first run that overlaps it within
-    ``slack`` seconds; a run serves the earliest reference only."""
-    side = lambda df, p: df.select("house_id", *[F.col(c).alias(f"{p}_{c}") for c in ("id", "phase", "start", "end")])
-    pairs = overlaps(side(reference, "l"), side(others, "r"), ["house_id"], slack, 86_400).where("l_phase <> r_phase")
-    pairs = pairs.withColumn("n", F.row_number().over(W.partitionBy("l_id", "r_phase").orderBy("r_start", "r_id"))).where("n = 1")
-    pairs = pairs.withColumn("n", F.row_number().over(W.partitionBy("r_id").orderBy("l_start", "l_id"))).where("n = 1")
-    return pairs.select("l_id", F.col("r_phase").alias("phase"), "r_id")
+def _taken(ids: np.ndarray, phase: np.ndarray, start: np.ndarray, end: np.ndarray, slack: float) -> list[tuple]:
+    """(reference, phase, session) rows of one island, sessions in order of start and id."""
+    phases = np.unique(phase)
+    own = {p: np.flatnonzero(phase == p) for p in phases}
+    free, out = np.ones(len(ids), bool), []
+    for k, p in enumerate(phases):
+        for ref in own[p]:
+            if not free[ref]:
+                continue
+            found = []
+            for other in phases[k + 1 :]:
+                upto = np.searchsorted(start[own[other]], end[ref] + slack, "right")
+                near = own[other][:upto]
+                near = near[free[near] & (end[near] >= start[ref] - slack)]
+                if len(near):
+                    found.append((other, near[0]))
+            if found:
+                free[[ref, *(r for _, r in found)]] = False
+                out += [(ids[ref], other, ids[r]) for other, r in found]
+    return out
+
+
+def synced(sessions: DataFrame, slack: int = 600) -> DataFrame:
+    """(house_id, l_id, phase, r_id): sessions of several phases that run together, each in one group at most.
+
+    References go by phase, then start, then id. One that is free takes from every later phase the first free session
+    that overlaps it within ``slack`` seconds; with any, it and they are used up, else it stays as it is. Sessions that
+    no overlap connects can't take from one another, so a house is cut where nothing has run for
+    over ``slack``, and each island is walked in order."""
+    w = W.partitionBy("house_id").orderBy("start", "id")
+    reach = F.max("end").over(w.rowsBetween(W.unboundedPreceding, -1))
+    rows = dealt(sessions.select("house_id", "id", "phase", "start", "end"), ["house_id"])
+    rows = rows.withColumn("fresh", F.when(F.col("start") - slack <= reach, 0).otherwise(1)).withColumn("island", F.sum("fresh").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("fresh")
+    kind = dict(sessions.dtypes)["id"]
+    walk = lambda part: _taken(part["id"], part["phase"], part["start"], part["end"], slack)
+    return over_stretches(rows, ["house_id", "island"], ["start", "id"], walk, f"l_id {kind}, phase string, r_id {kind}").drop("island")
+
+
+def long_partners(candidates: DataFrame, events: DataFrame, minutes: float = 15, ratio: float = 2.0, share: float = 0.5) -> DataFrame:
+    """(l_id, phase, r_id): for every candidate and other phase of its house the first run, by start and id, of any power that is
+    ``minutes`` long, at most ``ratio`` times as long or short, and overlaps it by ``share`` of the shorter."""
+    side = lambda df, p: df.select("house_id", *[F.col(c).alias(f"{p}_{c}") for c in ("id", "phase", "start", "end", "duration")])
+    pairs = overlaps(side(candidates, "l"), side(events.where(F.col("duration") >= minutes), "r"), ["house_id"], 0, 86_400).where("l_phase <> r_phase")
+    shared = F.least("l_end", "r_end") - F.greatest("l_start", "r_start")
+    shorter, longer = F.least("l_duration", "r_duration"), F.greatest("l_duration", "r_duration")
+    pairs = pairs.where((longer <= ratio * shorter) & (shared >= share * shorter * 60))
+    return pairs.groupBy("l_id", F.col("r_phase").alias("phase")).agg(F.min(F.struct("r_start", "r_id"))["r_id"].alias("r_id"))
+
+
+def three_phase_groups(candidates: DataFrame, events: DataFrame) -> DataFrame:
+    """(l_id, r_id): isolated long strong runs (``candidates``) with the long runs of other phases beside them. Candidates are
+    asked by start and id; one that an earlier one has taken is not asked.
+
+    Only candidates that took one another decide for each other, so a house is cut where neither a candidate nor what
+    it takes reaches over, and each island is walked in order."""
+    picks = staged(long_partners(candidates, events))
+    at = events.select(F.col("id").alias("r_id"), F.col("end").alias("r_end"))
+    rows = candidates.select("house_id", F.col("id").alias("l_id"), "start", "end").join(picks, "l_id").join(at, "r_id")
+    reach = F.greatest("end", "r_end")
+    w = W.partitionBy("house_id").orderBy("start", "l_id", "phase")
+    before = F.max(reach).over(w.rowsBetween(W.unboundedPreceding, -1))
+    rows = dealt(rows, ["house_id"]).withColumn("fresh", F.when(F.col("start") <= before, 0).otherwise(1))
+    rows = rows.withColumn("island", F.sum("fresh").over(w.rowsBetween(W.unboundedPreceding, 0)))
+
+    def walk(part: dict) -> list[tuple]:
+        taken, out = set(), []
+        asked = None
+        for l_id, r_id in zip(part["l_id"], part["r_id"], strict=True):
+            if l_id != asked and l_id in taken:
+                continue
+            asked = l_id
+            taken.add(r_id)
+            out.append((l_id, r_id))
+        return out
+
+    kind = dict(events.dtypes)["id"]
+    kept = rows.select("house_id", "island", "start", "l_id", "phase", "r_id")
+    return over_stretches(kept, ["house_id", "island"], ["start", "l_id", "phase"], walk, f"l_id {kind}, r_id {kind}").select("l_id", "r_id")
 
 
 def last_in_first_out(at: np.ndarray, kind: np.ndarray, size: np.ndarray, most: float, difference: float = 500.0) -> list[tuple[int, int]]:
@@ -189,7 +260,11 @@ def multi_phase(sessions: DataFrame, slack: int = 600) -> DataFrame:
     """Sessions of a house with those of other phases that overlap them: (l_id, n_phases, sync, balance,
     three_phase). sync and balance are parts of a central AC's confidence; three_phase is the confidence in
     one device on several phases, 1 where three phases draw alike."""
-    links = first_overlaps(sessions, sessions, slack)
+    return multi_phase_of(synced(sessions, slack), sessions)
+
+
+def multi_phase_of(links: DataFrame, sessions: DataFrame) -> DataFrame:
+    """multi_phase() of the given groups (l_id, r_id)."""
     of = lambda c: sessions.select(F.col("id").alias(c), F.abs("magnitude").alias("size"), "start", "duration")
     own = links.select("l_id").distinct().join(of("l_id"), "l_id")
     rows = links.join(of("r_id"), "r_id").select("l_id", "size", "start", "duration").unionByName(own)
@@ -267,25 +342,68 @@ def activation_scores(activations: DataFrame) -> DataFrame:
     return rows.withColumn("tier", F.when(F.col("confidence") >= 0.8, "high").when(F.col("confidence") >= 0.4, "medium").otherwise("low"))
 
 
-def type_quality(events: DataFrame) -> DataFrame:
-    """One row per device type (device_type, house_id, phase, month, start, end, magnitude, duration): share of
-    months it is seen in, stability of magnitude, share of its main phase, spread of durations, how much
-    commoner it is in warm months, overlapping neighbours, a weighted score and tier."""
-    n_months = events.agg(F.count_distinct("month")).first()[0]
-    w = W.partitionBy("house_id", "device_type").orderBy("start", "id")
-    rows = events.withColumn("overlaps", F.coalesce(F.lead("start").over(w) < F.col("end"), F.lit(False)))
-    main = events.groupBy("device_type", "phase").agg(F.count("*").alias("c")).groupBy("device_type").agg((F.max("c") / F.sum("c")).alias("main_share"))
-    found = rows.groupBy("device_type").agg(
-        F.count("*").alias("n"), F.count_distinct("month").alias("seen"), (F.stddev_pop(_size()) / F.avg(_size())).alias("cv"), F.percentile("duration", F.lit([0.25, 0.5, 0.75])).alias("q"),
-        F.avg(F.col("month").between(5, 10).cast("double")).alias("warm"), F.count_if("overlaps").alias("n_overlaps"),
+# Device types that are classified, warm months, and limits of each flag (fixed values).
+CLASSIFIED = ("boiler", "three_phase_device", "central_ac", "regular_ac", "recurring_pattern")
+WARM = (5, 10)
+CRITICAL = "ANOMALY|SWITCHING|INVERTED"
+QUALITY_WEIGHTS = {"temporal": 0.25, "magnitude": 0.30, "duration": 0.20, "seasonal": 0.15, "energy": 0.10}
+
+
+def type_quality(sessions: DataFrame) -> DataFrame:
+    """(house_id, device_type, n, measures, a flag or null for each of four kinds) of sessions (house_id, device_type,
+    phase, start, end, year_month yyyymm, magnitude, duration).
+
+    temporal: share of the house's months with a session of the type; cv and switching: spread of magnitudes and share of
+    sessions off the main phase, for two known magnitudes or more; median: of positive durations; ratio: warm
+    sessions over cool ones (one at least), for houses with data in both. Months are those with any session."""
+    c = F.col
+    warm = (c("year_month") % 100).between(*WARM)
+    houses = sessions.groupBy("house_id").agg(F.count_distinct("year_month").alias("months_total"), (F.bool_or(warm) & F.bool_or(~warm)).alias("both_seasons"))
+    own = sessions.where(c("device_type").isin(*CLASSIFIED))
+    size = F.when(_size() > 0, _size())
+    main = own.groupBy("house_id", "device_type", "phase").agg(F.count("*").alias("k")).groupBy("house_id", "device_type").agg((1 - F.max("k") / F.sum("k")).alias("switching"))
+    found = own.groupBy("house_id", "device_type").agg(
+        F.count("*").alias("n"), F.count_distinct("year_month").alias("months_with"), F.count(size).alias("n_sizes"), F.avg(size).alias("mean"), F.stddev_pop(size).alias("spread"),
+        F.percentile(F.when(c("duration") > 0, c("duration")), F.lit(0.5)).alias("median"), F.count_if(warm).alias("warm"), F.count_if(~warm).alias("cool"),
     )
-    found = found.join(main, "device_type")
-    spread = F.when(F.col("q")[1] > 0, (F.col("q")[2] - F.col("q")[0]) / F.col("q")[1]).otherwise(0.0)
-    parts = {"temporal": F.col("seen") / F.lit(float(max(n_months, 1))), "stability": F.greatest(1 - F.col("cv"), F.lit(0.0)), "plausible": F.greatest(1 - spread / 2, F.lit(0.0)), "apart": 1 - F.col("n_overlaps") / F.col("n")}
-    found = found.withColumns(parts).withColumn("score", 0.3 * F.col("temporal") + 0.3 * F.col("stability") + 0.2 * F.col("plausible") + 0.2 * F.col("apart"))
-    tier = F.when(F.col("score") >= 0.75, "good").when(F.col("score") >= 0.5, "fair").otherwise("poor")
-    flags = F.concat_ws(",", F.when(F.col("temporal") < 0.5, "rare"), F.when(F.col("cv") > 0.5, "unstable"), F.when(F.col("n_overlaps") > 0, "overlaps"))
-    return found.select("device_type", "n", *parts, "main_share", "warm", "n_overlaps", "score", tier.alias("tier"), flags.alias("flags"))
+    found = found.join(main, ["house_id", "device_type"]).join(houses, "house_id")
+    several = c("n_sizes") >= 2
+    found = found.withColumns({
+        "temporal": c("months_with") / c("months_total"), "cv": F.when(several, c("spread") / c("mean")).otherwise(0.0),
+        "switching": F.when(several, c("switching")).otherwise(0.0), "ratio": F.when(c("both_seasons"), c("warm") / F.greatest(c("cool"), F.lit(1))),
+    })
+    boiler, ac = c("device_type") == "boiler", c("device_type").isin("regular_ac", "central_ac")
+    flags = {
+        "temporal_flag": F.when((boiler & (c("temporal") < 0.50)) | (ac & (c("temporal") > 0.90)), "TEMPORAL_ANOMALY").when((c("temporal") < 0.20) & (c("n") > 5), "TEMPORAL_SPARSE"),
+        "magnitude_flag": F.when(several, F.when(boiler & (c("cv") > 0.30), "MAGNITUDE_UNSTABLE").when(boiler & (c("switching") > 0.10), "PHASE_SWITCHING").when(boiler & ~c("mean").between(1500, 5000), "MAGNITUDE_SUSPICIOUS").when((c("device_type") == "regular_ac") & (c("cv") > 0.40), "MAGNITUDE_UNSTABLE")),
+        "duration_flag": F.when(boiler & (c("median") > 240), "DURATION_ANOMALY").when(boiler & (c("median") < 15) | ac & (c("median") < 5), "DURATION_TOO_SHORT"),
+        "seasonal_flag": F.when(ac & (c("ratio") < 1.0) | boiler & (c("ratio") > 3.0), "SEASONAL_INVERTED").when(ac & c("ratio").between(0.8, 1.2) & (c("months_total") >= 6), "SEASONAL_FLAT"),
+    }
+    return found.withColumns(flags).select("house_id", "device_type", "n", "months_total", "both_seasons", "temporal", "cv", "switching", "median", "ratio", *flags)
+
+
+def class_quality(sessions: DataFrame) -> DataFrame:
+    """(house_id, n_sessions, data_months, n_overlaps, score, tier, flags): a weighted score of five kinds. A kind is
+    worth 1 without flags, 0.5 with some or without data, 0 with a critical one; energy 0.5 where sessions of a phase
+    overlap. ``flags`` are type:FLAG, in order of the alphabet."""
+    types = type_quality(sessions)
+    w = W.partitionBy("house_id", "phase").orderBy("start", "end", "id")
+    lap = sessions.withColumn("over", F.col("end") > F.lead("start").over(w))
+    houses = lap.groupBy("house_id").agg(F.count("*").alias("n_sessions"), F.count_distinct("year_month").alias("data_months"), F.count_if("over").alias("n_overlaps"))
+    names = [f"{k}_flag" for k in ("temporal", "magnitude", "duration", "seasonal")]
+    has = {"temporal_flag": F.lit(True), "magnitude_flag": F.lit(True), "duration_flag": F.col("median").isNotNull(), "seasonal_flag": F.col("both_seasons")}
+
+    def worth(name: str) -> Column:
+        flag = F.col(name)
+        return F.when(F.coalesce(F.bool_or(flag.rlike(CRITICAL)), F.lit(False)), 0.0).when(F.count(flag) > 0, 0.5).when(F.coalesce(F.bool_or(has[name]), F.lit(False)), 1.0).otherwise(0.5).alias(name)
+
+    listed = F.array_sort(F.flatten(F.collect_list(F.filter(F.array(*[F.concat("device_type", F.lit(":"), n) for n in names]), lambda x: x.isNotNull()))))  # four a type at most
+    scored = types.groupBy("house_id").agg(*[worth(n) for n in names], F.concat_ws(",", listed).alias("flags"))
+    found = houses.join(scored, "house_id", "left").na.fill(0.5, names).na.fill("", ["flags"])
+    energy = F.when(F.col("n_overlaps") > 0, 0.5).otherwise(1.0)
+    score = sum((QUALITY_WEIGHTS[n.removesuffix("_flag")] * F.col(n) for n in names), QUALITY_WEIGHTS["energy"] * energy)
+    tier = F.when(score >= 0.85 - 1e-9, "excellent").when(score >= 0.65 - 1e-9, "good").when(score >= 0.45 - 1e-9, "fair").otherwise("poor")
+    return found.select("house_id", "n_sessions", "data_months", "n_overlaps", score.alias("score"), tier.alias("tier"), "flags")
 
 
 def outliers(scores: DataFrame) -> DataFrame:
@@ -334,45 +452,74 @@ def recurrences(events: DataFrame, keys: list[str], least: int = 3) -> DataFrame
 # ---------------------------------------------------------------- across houses
 
 
-def complete_groups(house: np.ndarray, size: np.ndarray, length: np.ndarray, like_size: float = 0.15, like_length: float = 0.20) -> np.ndarray:
-    """Group number by signature: pairs of groups merge while every two members are alike and no house occurs
-    twice, the pair with most houses first (ties: the first)."""
-    near = (np.abs(size[:, None] - size) <= like_size * np.maximum(size[:, None], size)) & (np.abs(length[:, None] - length) <= like_length * np.maximum(length[:, None], length)) & (house[:, None] != house)
-    groups = [[i] for i in range(len(house))]
-    while True:
-        best, pair = 0, None
-        for a in range(len(groups)):
-            for b in range(a + 1, len(groups)):
-                n = len(groups[a]) + len(groups[b])
-                if n > best and near[np.ix_(groups[a], groups[b])].all():
-                    best, pair = n, (a, b)
-        if pair is None:
-            break
-        groups[pair[0]] += groups.pop(pair[1])
-    out = np.zeros(len(house), int)
-    for k, members in enumerate(groups):
-        out[members] = k
-    return out
+class Linkage:
+    """Groups of signatures in which every two are alike and no house occurs twice, by first fit.
+
+    Merging the pair of groups that covers most houses first, and the earliest of equals, always feeds one group until nothing
+    fits it, in order of the signatures, before another begins. So a signature belongs to the first group, by
+    its first member, that has room for it. "Every two are alike" asks a group's extremes only: value v joins
+    if it is alike to the least and to the largest. Groups are found by cells of both values' logarithms, as
+    wide as the tolerance: v fits only groups whose first member lies in the cell of v or one next to it."""
+
+    def __init__(self, like_size: float, like_length: float):
+        self.like = (like_size, like_length)
+        self.step = tuple(-np.log1p(-x) * (1 + 1e-9) for x in self.like)
+        self.cells: dict[tuple[int, int], list[int]] = {}
+        self.least: list[list[float]] = []
+        self.most: list[list[float]] = []
+        self.houses: list[set] = []
+
+    def _fits(self, k: int, house, values: tuple[float, float]) -> bool:
+        if house in self.houses[k]:
+            return False
+        return all(abs(v - edge) <= like * max(v, edge) for v, like, lo, hi in zip(values, self.like, self.least[k], self.most[k], strict=True) for edge in (lo, hi))
+
+    def add(self, house, size: float, length: float) -> int:
+        values = (size, length)
+        cell = [int(np.floor(np.log(v) / w)) for v, w in zip(values, self.step, strict=True)]
+        near = [k for a in (-1, 0, 1) for b in (-1, 0, 1) for k in self.cells.get((cell[0] + a, cell[1] + b), ())]
+        for k in sorted(near):
+            if self._fits(k, house, values):
+                self.houses[k].add(house)
+                self.least[k] = list(map(min, self.least[k], values))
+                self.most[k] = list(map(max, self.most[k], values))
+                return k
+        k = len(self.houses)
+        self.houses.append({house})
+        self.least.append(list(values))
+        self.most.append(list(values))
+        self.cells.setdefault((cell[0], cell[1]), []).append(k)
+        return k
 
 
 def linked_signatures(signatures: DataFrame, like_size: float = 0.15, like_length: float = 0.20) -> DataFrame:
     """``signatures`` (house_id, pattern_id, magnitude, duration) with ``band`` and ``group`` (unique in a band).
 
-    Signatures whose magnitudes no chain of likeness joins can't be in one group: occupied cells of the
-    magnitude's logarithm, a tenth of the tolerance wide, are cut where a gap of over the tolerance
-    lies between them (at most some thousand cells in all), and each band is grouped by itself."""
-    step = -np.log(1 - like_size) / 10
-    rows = signatures.where("magnitude > 0 and duration > 0").withColumn("cell", F.floor(F.log("magnitude") / step))
-    cells = rows.select("cell").distinct()
-    w = W.partitionBy(F.lit(0)).orderBy("cell")  # cells, not rows
-    cells = cells.withColumn("fresh", F.when(F.col("cell") - F.lag("cell").over(w) <= 11, 0).otherwise(1)).withColumn("band", F.sum("fresh").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    rows = rows.join(F.broadcast(cells.select("cell", "band")), "cell").drop("cell")
-
-    def mark(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["house_id", "pattern_id"])
-        return group.assign(group=complete_groups(group.house_id.to_numpy(), group.magnitude.to_numpy(float), group.duration.to_numpy(float), like_size, like_length))
-
-    return rows.groupBy("band").applyInPandas(mark, _fields(rows, "group long"))
+    Signatures whose magnitudes, or whose durations, no chain of likeness joins can't be in one group: occupied
+    cells of the magnitude's and then of the duration's logarithm, a tenth of the tolerance wide, are cut where
+    a gap of over the tolerance lies between them (some thousand cells at most). A band streams through
+    one task in order; its memory is a group's extremes and houses. Where houses are so many that
+    no gap is left, a band holds every signature: a few numbers per device of a house."""
+    steps = {c: -np.log(1 - like) / 10 for c, like in (("magnitude", like_size), ("duration", like_length))}
+    rows = signatures.where("magnitude > 0 and duration > 0").withColumns({f"_{c}": F.floor(F.log(c) / step) for c, step in steps.items()})
+    keys = []
+    for c in steps:
+        cells = rows.select(*keys, f"_{c}").distinct()
+        w = W.partitionBy(*(keys or [F.lit(0)])).orderBy(f"_{c}")  # cells, not rows
+        cells = cells.withColumn("fresh", F.when(F.col(f"_{c}") - F.lag(f"_{c}").over(w) <= 11, 0).otherwise(1)).withColumn(f"_band_{c}", F.sum("fresh").over(w.rowsBetween(W.unboundedPreceding, 0)))
+        rows = rows.join(F.broadcast(cells.drop("fresh")), [*keys, f"_{c}"])
+        keys.append(f"_band_{c}")
+    rows = rows.withColumn("band", F.format_string("%d-%d", *keys)).select("band", *signatures.columns)
+    kinds = dict(signatures.dtypes)
+    columns = signatures.columns
+    schema = ", ".join(f"{c} {kinds[c]}" for c in columns) + ", group long"
+
+    def mark(part: dict) -> list[tuple]:
+        linkage = Linkage(like_size, like_length)
+        group = [linkage.add(h, float(m), float(d)) for h, m, d in zip(part["house_id"], part["magnitude"], part["duration"], strict=True)]
+        return list(zip(*[part[c] for c in columns], group, strict=True))
+
+    return over_stretches(dealt(rows, ["band"]), ["band"], ["house_id", "pattern_id"], mark, schema)
 
 
 def named_groups(linked: DataFrame, least: int = 2) -> DataFrame:

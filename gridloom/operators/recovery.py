@@ -6,13 +6,17 @@ joins over minutes. Tables are (house_id, phase, m, watts).
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from gridloom.operators import kernels
+from gridloom.operators.holes import repair_holes, wave_tag
+from gridloom.operators.stretches import dealt, over_stretches
+from gridloom.sources.versions import without
 from gridloom.sources.work import staged
 
 KEYS = ["house_id", "phase"]
@@ -66,57 +70,42 @@ def check_waves(waves: DataFrame, before: DataFrame, after: DataFrame, tolerance
 
 
 def wave_records(waves: DataFrame) -> DataFrame:
-    """Waves in the form of matches: the OFF is half the ON, the tag ends by length (25 minutes and less are
-    medium here), the id is a hash of what tells the wave apart."""
+    """Waves in the form of matches: the OFF is half the ON and a minute long, the tag ends by length, the id is a
+    hash of what tells the wave apart."""
     minutes = F.col("end") - F.col("start")
-    length = F.when(minutes <= 2, "SPIKE").when(minutes < 5, "QUICK").when(minutes <= 25, "MEDIUM").otherwise("EXTENDED")
+    length = wave_tag(minutes)
     key = F.concat_ws("|", *[F.col(c).cast("string") for c in ("house_id", "phase", "start")])
     return waves.select(
-        *KEYS, F.concat(F.lit("wave_"), F.substring(F.sha2(key, 256), 1, 8)).alias("on_id"), F.col("start").alias("on_start"), F.col("peak").alias("on_end"), F.col("peak").alias("off_start"), F.col("end").alias("off_end"),
+        *KEYS, F.concat(F.lit("wave_"), F.substring(F.sha2(key, 256), 1, 8)).alias("on_id"), F.col("start").alias("on_start"), F.col("peak").alias("on_end"), (F.col("end") - 1).alias("off_start"), F.col("end").alias("off_end"),
         minutes.alias("minutes"), (F.col("peak_watts") - F.col("baseline")).alias("on_magnitude"), (-0.5 * (F.col("peak_watts") - F.col("baseline"))).alias("off_magnitude"), F.concat(F.lit("WAVE-"), length).alias("tag"),
     )
 
 
-def holes(matches: DataFrame, grid: DataFrame, edge: int = 5, least: float = 100) -> DataFrame:
-    """Loose and long matches that have torn a hole: the remaining signal's median inside is under half of the
-    median in the ``edge`` minutes on either side, which is ``least`` watts or more and at least 15 % of
-    the magnitude. Adds inside, before and after."""
-    loose = matches.where(F.col("tag").rlike("(APPROX|LOOSE).*EXTENDED"))
-    minutes = loose.select(*KEYS, "on_id", "on_start", "off_end", F.explode(F.sequence(F.col("on_start") - edge, F.col("off_end") + edge)).alias("m"))
-    rows = minutes.join(grid.select(*KEYS, "m", "watts"), [*KEYS, "m"])
-    part = F.when(F.col("m") < F.col("on_start"), "before").when(F.col("m") > F.col("off_end"), "after").otherwise("inside")
-    middle = lambda p: F.percentile(F.when(part == p, F.col("watts")), F.lit(0.5)).alias(p)
-    found = rows.groupBy(*KEYS, "on_id").agg(middle("inside"), middle("before"), middle("after"))
-    found = found.withColumn("edge", (F.coalesce("before", "after") + F.coalesce("after", "before")) / 2)
-    rows = loose.join(found, [*KEYS, "on_id"])
-    return rows.where((F.col("edge") >= least) & (F.col("inside") < 0.5 * F.col("edge")) & (F.col("edge") >= 0.15 * F.abs("on_magnitude")))
-
-
-def repair(torn: DataFrame, grid: DataFrame) -> DataFrame:
-    """The signal with the power of torn matches given back and taken again as a line from the ON's to the
-    OFF's magnitude over the edges' level; of matches that meet in a minute the largest gift counts."""
-    span = F.greatest(F.col("off_end") - F.col("on_start"), F.lit(1))
-    minutes = torn.withColumn("m", F.explode(F.sequence("on_start", "off_end")))
-    line = F.abs("on_magnitude") + (F.abs("off_magnitude") - F.abs("on_magnitude")) * (F.col("m") - F.col("on_start")) / span
-    gift = minutes.groupBy(*KEYS, "m").agg(F.max(F.greatest(F.abs("on_magnitude") - line, F.lit(0.0))).alias("gift"), F.max(F.coalesce("edge", F.lit(0.0))).alias("edge"))
-    rows = grid.join(gift, [*KEYS, "m"], "left")
-    better = F.greatest("watts", F.least(F.col("watts") + F.col("gift"), F.greatest("edge", "watts")))
-    return rows.select(*KEYS, "m", F.when(F.col("gift").isNotNull(), better).otherwise(F.col("watts")).alias("watts"))
-
-
-def recover(grid: DataFrame, matches: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(waves with ``crossed``, remaining signal, waves with ``valid``): detection, other phases, extraction,
-    checks, and the repair of holes that ``matches`` have torn. Without any wave nothing changes."""
+class Recovered(NamedTuple):
+    """``waves`` with ``crossed``; what remains; ``checks`` are waves with ``valid``; ``records`` of valid waves and of
+    repairs in the form of matches; ``matches`` without the replaced ones."""
+
+    waves: DataFrame
+    remaining: DataFrame
+    checks: DataFrame
+    records: DataFrame
+    matches: DataFrame | None
+
+
+def recover(grid: DataFrame, matches: DataFrame | None = None) -> Recovered:
+    """Waves found, on other phases too, taken out and checked; then the holes that ``matches`` have torn are
+    repaired, waves or not. Without waves and holes nothing changes."""
     own = staged(kernels.find_waves(grid).withColumn("crossed", F.lit(False)))
     waves = staged(own.unionByName(crossed_waves(own.drop("crossed"), grid).withColumn("crossed", F.lit(True))))
     after = staged(remaining_after(grid, wave_power(waves, grid)))
-    checks = check_waves(waves, grid, after)
-    if matches is not None and not waves.isEmpty():
-        after = staged(repair(holes(matches, after), after))
-    return waves, after, checks
-
-
-GUIDED = "house_id long, phase string, on_start int, off_start int, magnitude double"
+    checks = staged(check_waves(waves, grid, after))
+    records = wave_records(checks.where("valid"))
+    if matches is not None:
+        left, repairs, gone = repair_holes(matches, after, tuple(KEYS))
+        after = staged(left)
+        records = records.unionByName(repairs.select(*records.columns))
+        matches = without(matches, gone, [*KEYS, "iteration", "on_id"])
+    return Recovered(waves, after, checks, records, matches)
 
 
 def leads(sessions: DataFrame, factor: float = 0.6) -> DataFrame:
@@ -142,20 +131,22 @@ def cycles_over(m: np.ndarray, watts: np.ndarray, threshold: float, difference:
     return out
 
 
+#: Minutes of a bucket in which sessions and readings meet.
+BUCKET = 240
+
+
 def guided(grid: DataFrame, leads: DataFrame, margin: int = 10, factor: float = 0.6) -> DataFrame:
-    """GUIDED rows: cycles over ``factor`` of a lead's mean magnitude in its session and ``margin`` minutes
-    around. ``leads`` (KEYS, start, end, avg_magnitude). Off in the pipeline of old, so a query of its own."""
-    asked = leads.select(*KEYS, F.monotonically_increasing_id().alias("lead"), (F.col("avg_magnitude") * factor).alias("threshold"), (F.col("start") - margin).alias("lo"), (F.col("end") + margin).alias("hi"))
-    near = grid.join(asked, KEYS).where("m between lo and hi")
-
-    def find(group: pd.DataFrame) -> pd.DataFrame:
-        group = group[group.watts.notna()].sort_values("m")
-        rows = cycles_over(group.m.to_numpy(np.int64), group.watts.to_numpy(float), float(group.threshold.iloc[0])) if len(group) else []
-        out = pd.DataFrame(rows, columns=["on_start", "off_start", "magnitude"])
-        for at, key in enumerate(KEYS):
-            out.insert(at, key, group[key].iloc[0] if len(group) else None)
-        return out
-
-    found = near.groupBy("lead", *KEYS).applyInPandas(find, GUIDED)
+    """(house_id, phase, on_start, off_start, magnitude): cycles over ``factor`` of a lead's mean magnitude in its session and ``margin`` minutes
+    around. ``leads`` (KEYS, start, end, avg_magnitude) in minutes. Off in the pipeline of old, so a query of its own.
+
+    A session meets the minutes of the buckets that it touches, so a minute meets the sessions around it and
+    no other; sessions that overlap each get the minutes that they share. Cycles that two of them find count once."""
+    asked = leads.select(*KEYS, (F.col("avg_magnitude") * factor).alias("threshold"), (F.col("start") - margin).alias("lo"), (F.col("end") + margin).alias("hi"))
+    asked = staged(asked.distinct().withColumn("lead", F.xxhash64(*KEYS, "lo", "hi", "threshold")))
+    dealt_out = asked.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("lo") / BUCKET), F.floor(F.col("hi") / BUCKET))))
+    minutes = grid.where(F.col("watts").isNotNull() & ~F.isnan("watts")).select(*KEYS, "m", "watts", F.floor(F.col("m") / BUCKET).alias("bucket"))
+    near = dealt_out.join(minutes, [*KEYS, "bucket"]).where("m between lo and hi").select(*KEYS, "lead", "threshold", "m", "watts")
+    find = lambda part: cycles_over(part["m"].astype(np.int64), part["watts"].astype(float), float(part["threshold"][0]))
+    found = over_stretches(dealt(near, [*KEYS, "lead"]), [*KEYS, "lead"], ["m"], find, "on_start int, off_start int, magnitude double").drop("lead")
     first = W.partitionBy(*KEYS, "on_start").orderBy("off_start")
     return found.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n")

@@ -588,4 +588,4 @@ def detected_edges(spark, sf_dir):
 
 FLAGSHIP = session_stats
 
-from gridloom.plans import house_queries, pattern_queries  # noqa: E402, F401
+from gridloom.plans import house_queries, pattern_queries, run_queries  # noqa: E402, F401

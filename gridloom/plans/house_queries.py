@@ -47,7 +47,20 @@ def quality_phases(spark, sf_dir):
     return rounded(quality.phase_measures(phase_series(spark, sf_dir), least=30))
 
 
-@query(QUALITY_SQL + f""",
+#: Compressor cycles in recursive SQL: a series' rises one after the other, each takes the first fall that fits and is not in ``taken``.
+CYCLES_SQL = """dd AS (SELECT house_id, month, phase, row_number() OVER w AS i, watts - lag(watts) OVER w AS d FROM s WHERE watts IS NOT NULL WINDOW w AS (PARTITION BY house_id, month, phase ORDER BY ts, event_id)),
+cf AS (SELECT a.house_id, a.month, a.phase, a.i, list(b.i ORDER BY b.i) AS falls FROM dd a JOIN dd b ON a.house_id = b.house_id AND a.month = b.month AND a.phase = b.phase AND b.i BETWEEN a.i + 3 AND a.i + 30
+  WHERE a.d BETWEEN 1300 AND 3000 AND -b.d >= 1300 AND abs(-b.d / a.d - 1) <= 0.30 GROUP BY ALL),
+cn AS (SELECT *, row_number() OVER (PARTITION BY house_id, month, phase ORDER BY i) AS k FROM cf),
+cw AS (SELECT DISTINCT house_id, month, phase, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS taken FROM s
+  UNION ALL SELECT cw.house_id, cw.month, cw.phase, cn.k, CASE WHEN len(list_filter(cn.falls, lambda x: NOT list_contains(cw.taken, x))) > 0 THEN list_append(cw.taken, list_filter(cn.falls, lambda x: NOT list_contains(cw.taken, x))[1]) ELSE cw.taken END
+  FROM cw JOIN cn ON cn.house_id = cw.house_id AND cn.month = cw.month AND cn.phase = cw.phase AND cn.k = cw.k + 1),
+cc AS (SELECT house_id, month, phase, max(len(taken)) AS n FROM cw GROUP BY ALL),
+cy AS (SELECT c.house_id, c.month, c.phase, CASE WHEN count(watts) >= 30 THEN max(c.n) END AS cycles, count(watts) AS n FROM cc c JOIN s ON s.house_id = c.house_id AND s.month = c.month AND s.phase = c.phase GROUP BY ALL)"""
+
+
+@query("WITH RECURSIVE" + QUALITY_SQL.removeprefix("WITH") + ", " + CYCLES_SQL + f""",
+cd AS (SELECT house_id, avg(d) AS density FROM (SELECT house_id, phase, sum(cycles) / (sum(n) / 10000) AS d FROM cy GROUP BY house_id, phase) GROUP BY house_id),
 f AS (SELECT house_id, coalesce(avg(sharp_rate), 0) AS sharp_rate, coalesce(avg(sustained), 0) AS sustained, coalesce(avg(mid_share), 0) AS mid_share, coalesce(avg(low_share), 0) AS low_share, coalesce(avg(high_share), 0) AS high_share,
   sum(coalesce(n_negative, 0)) AS n_negative, sum(coalesce(n_extreme, 0)) AS n_extreme, count(*) FILTER (WHERE dead) AS n_dead, count(*) FILTER (WHERE faulty) AS n_faulty, avg(missing_share) AS missing, max(missing_share) AS most_missing, count(sharp_rate) AS n_crossing FROM ph GROUP BY house_id),
 mi AS (SELECT house_id, ts, sum(watts) AS total FROM s GROUP BY house_id, ts),
@@ -56,9 +69,9 @@ hm AS (SELECT house_id, CAST(date_diff('day', min(ts), max(ts)) AS DOUBLE) AS da
   avg(CASE WHEN gap > 2 THEN 1.0 ELSE 0.0 END) FILTER (WHERE gap IS NOT NULL) * 100 AS long_gaps, CASE WHEN avg(total) > 0 THEN stddev_samp(total) / avg(total) ELSE 0 END AS variation FROM hg GROUP BY house_id),
 mo AS (SELECT house_id, date_trunc('month', ts) AS o, count(*) AS n, avg(total) AS mean FROM mi GROUP BY house_id, date_trunc('month', ts)),
 mm AS (SELECT house_id, count(*) AS n_months, stddev_pop(least(n / (day(last_day(o)) * 1440), 1)) AS unevenness, count(*) FILTER (WHERE mean < 1 AND n > 100) AS n_dark FROM mo GROUP BY house_id),
-al AS (SELECT f.*, hm.* EXCLUDE (house_id), mm.* EXCLUDE (house_id), (1 - coverage) * 100 + most_missing * 100 * coverage AS lost, missing * 100 AS pct FROM f JOIN hm ON hm.house_id = f.house_id JOIN mm ON mm.house_id = f.house_id),
+al AS (SELECT f.*, hm.* EXCLUDE (house_id), mm.* EXCLUDE (house_id), (1 - coverage) * 100 + most_missing * 100 * coverage AS lost, missing * 100 AS pct, coalesce(density, 0) AS density FROM f LEFT JOIN cd ON cd.house_id = f.house_id JOIN hm ON hm.house_id = f.house_id JOIN mm ON mm.house_id = f.house_id),
 pt AS (SELECT house_id, n_dead, n_faulty, lost,
-  CASE WHEN n_crossing = 0 THEN 0 WHEN sharp_rate >= 0.5 - 1e-9 THEN 20 ELSE {_knots("sharp_rate", quality.SHARP_KNOTS)} END AS sharp_points, {_knots("sustained", quality.SUSTAINED_KNOTS)} AS device_points,
+  CASE WHEN n_crossing = 0 THEN 0 WHEN sharp_rate >= 0.5 - 1e-9 THEN 20 ELSE {_knots("sharp_rate", quality.SHARP_KNOTS)} END AS sharp_points, {_knots("sustained", quality.SUSTAINED_KNOTS)} + {_knots("density", quality.COMPRESSOR_KNOTS)} AS device_points,
   20 - greatest(least((mid_share - 0.10) / 0.25 * 15, 15), 0) - greatest(least((0.15 - low_share) / 0.15 * 5, 5), 0) AS profile_points, {_knots("variation", quality.VARIATION_KNOTS)} AS variation_points,
   least({_knots("days", quality.DAYS_KNOTS)} + CASE WHEN n_months > 1 THEN greatest(5 * (1 - 2 * unevenness), 0) ELSE 5 END, 15) AS volume_points,
   greatest(10 - greatest(least(4, pct - 1), 0) - greatest(least((coalesce(long_gaps, 0) - 5) / 10 * 3, 3), 0) - greatest(least((n_negative - 100) / 500 * 3, 3), 0) - greatest(least(n_extreme / 50 * 2, 2), 0) - greatest(least(n_dark / n_months * 10, 3), 0), 0) AS integrity_points,
@@ -72,10 +85,11 @@ SELECT house_id, round(sharp_points, 4) AS sharp_points, round(device_points, 4)
   CASE WHEN n_dead > 0 AND n_faulty > 0 THEN 'faulty_both' WHEN n_dead > 0 THEN 'faulty_dead_phase' WHEN n_faulty > 0 THEN 'faulty_high_nan' END AS label,
   CASE WHEN lost < 5 THEN 'continuous' WHEN lost < 15 THEN 'minor_gaps' WHEN lost < 40 THEN 'discontinuous' ELSE 'fragmented' END AS continuity FROM sc""")
 def quality_scores(spark, sf_dir):
-    return rounded(quality.scores(phase_series(spark, sf_dir), least=30))
+    series = phase_series(spark, sf_dir)
+    return rounded(quality.scores(series, quality.compressors(series, least=30), least=30))
 
 
-@query()
+@query("WITH RECURSIVE " + PHASES_SQL + ", " + CYCLES_SQL + " SELECT house_id, month, phase, cycles, n FROM cy")
 def compressor_cycles(spark, sf_dir):
     """Greedy pairs of rises and falls by house, month and phase."""
     return rounded(quality.compressors(phase_series(spark, sf_dir), least=30))

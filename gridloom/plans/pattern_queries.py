@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from gridloom.operators import devices, kernels, patterns, recovery, sessions
+from gridloom.operators import devices, kernels, patterns, sessions
 from gridloom.operators.detection import Features
 from gridloom.operators.edges import sharp_edges
 from gridloom.plans.disaggregate import THRESHOLDS
 from gridloom.plans.registry import EPOCH, SEC, query, rounded
-from gridloom.sources.tables import dense_grid, read, reading_grid
+from gridloom.sources.tables import dense_grid, power_series, read
 from gridloom.sources.work import staged
 
 #: Every event as a run: three users are a house, a user a phase; minutes follow the id, watts the value.
@@ -58,14 +58,21 @@ def compressor_free(spark, sf_dir):
     return patterns.compressor_near(large, events, 21_600).select("id")
 
 
-OVERLAP_SQL = RUNS_SQL + """, p AS (SELECT a.id AS l_id, a.s AS ls, a.magnitude AS lm, b.phase, b.id AS r_id, b.s AS rs, b.magnitude AS rm FROM r a JOIN r b ON a.house_id = b.house_id AND a.phase <> b.phase AND a.s <= b.e + 600 AND b.s <= a.e + 600),
-f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY l_id, phase ORDER BY rs, r_id) AS n FROM p) WHERE n = 1), o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY r_id ORDER BY ls, l_id) AS k FROM f) WHERE k = 1)"""
+#: Greedy groups in recursive SQL: a house's sessions are asked one after the other, ``used`` are those taken so far.
+OVERLAP_SQL = "WITH RECURSIVE" + RUNS_SQL.removeprefix("WITH") + """, c AS (SELECT a.id, list(b.id ORDER BY b.s, b.id) FILTER (WHERE b.phase = 'w2' AND a.phase = 'w1') AS c2, list(b.id ORDER BY b.s, b.id) FILTER (WHERE b.phase = 'w3' AND a.phase <> 'w3') AS c3
+  FROM r a JOIN r b ON a.house_id = b.house_id AND a.phase < b.phase AND a.s <= b.e + 600 AND b.s <= a.e + 600 GROUP BY a.id),
+n AS (SELECT r.house_id, r.id, c2, c3, row_number() OVER (PARTITION BY house_id ORDER BY phase, s, r.id) AS k FROM r JOIN c ON c.id = r.id),
+walk AS (SELECT DISTINCT house_id, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS l_id, CAST(NULL AS BIGINT) AS r2, CAST(NULL AS BIGINT) AS r3 FROM n
+  UNION ALL SELECT house_id, k, CASE WHEN coalesce(r2, r3) IS NULL THEN used ELSE list_concat(used, list_filter([l_id, r2, r3], lambda x: x IS NOT NULL)) END, l_id, r2, r3
+  FROM (SELECT w.house_id, n.k, w.used, n.id AS l_id, CASE WHEN list_contains(w.used, n.id) THEN NULL ELSE list_filter(n.c2, lambda x: NOT list_contains(w.used, x))[1] END AS r2, CASE WHEN list_contains(w.used, n.id) THEN NULL ELSE list_filter(n.c3, lambda x: NOT list_contains(w.used, x))[1] END AS r3
+    FROM walk w JOIN n ON n.house_id = w.house_id AND n.k = w.k + 1)),
+o AS (SELECT house_id, l_id, 'w2' AS phase, r2 AS r_id FROM walk WHERE r2 IS NOT NULL UNION ALL SELECT house_id, l_id, 'w3', r3 FROM walk WHERE r3 IS NOT NULL)"""
 
 
-@query(OVERLAP_SQL + " SELECT l_id, phase, r_id FROM o")
+@query(OVERLAP_SQL + " SELECT house_id, l_id, phase, r_id FROM o")
 def first_overlaps(spark, sf_dir):
-    events = runs(spark, sf_dir)
-    return patterns.first_overlaps(events, events)
+    """Sessions of several phases that run together, each used once."""
+    return patterns.synced(runs(spark, sf_dir))
 
 
 def _up(x: str, low: float, high: float) -> str:
@@ -76,7 +83,7 @@ def _down(x: str, low: float, high: float) -> str:
     return f"CASE WHEN {x} <= {low} THEN 1.0 WHEN {x} >= {high} THEN 0.5 ELSE 1.0 - 0.5 * ({x} - {low}) / ({high} - {low}) END"
 
 
-@query(OVERLAP_SQL + f""", w AS (SELECT l_id, rm AS size, rs AS st, r.duration FROM o JOIN r ON r.id = o.r_id UNION ALL SELECT DISTINCT l_id, r.magnitude, r.s, r.duration FROM o JOIN r ON r.id = o.l_id),
+@query(OVERLAP_SQL + f""", w AS (SELECT l_id, r.magnitude AS size, r.s AS st, r.duration FROM o JOIN r ON r.id = o.r_id UNION ALL SELECT DISTINCT l_id, r.magnitude, r.s, r.duration FROM o JOIN r ON r.id = o.l_id),
 g AS (SELECT l_id, count(*) AS n_phases, (max(st) - min(st)) / 60 AS late, CASE WHEN avg(size) > 0 THEN stddev_pop(size) / avg(size) END AS s_cv, CASE WHEN avg(duration) > 0 THEN stddev_pop(duration) / avg(duration) END AS d_cv FROM w GROUP BY l_id)
 SELECT l_id, n_phases, round({_down("late", 0, 10)}, 4) AS sync, round({_down("s_cv", 0, 0.5)}, 4) AS balance,
   round(CASE WHEN n_phases >= 3 AND s_cv <= 0.10 THEN 1.0 ELSE ({_down("s_cv", 0, 0.3)} + CASE WHEN n_phases >= 3 THEN 1.0 ELSE 0.7 END + {_down("late", 0, 15)} + {_down("d_cv", 0, 0.5)}) / 4.0 END, 4) AS three_phase FROM g""")
@@ -84,11 +91,11 @@ def multi_phase_sessions(spark, sf_dir):
     return rounded(patterns.multi_phase(runs(spark, sf_dir)))
 
 
-@query(RUNS_SQL + """, k AS (SELECT DISTINCT s, phase FROM r WHERE iteration = 0 AND duration >= 30) SELECT r.id FROM r JOIN k ON k.s = r.s AND k.phase = r.phase""")
+@query(RUNS_SQL + """, k AS (SELECT DISTINCT house_id, s, phase FROM r WHERE iteration = 0 AND duration >= 30) SELECT r.id FROM r JOIN k ON k.house_id = r.house_id AND k.s = r.s AND k.phase = r.phase""")
 def event_indices(spark, sf_dir):
-    """Rows that share start and phase with a chosen event."""
+    """Rows of a house that share start and phase with a chosen event."""
     events = runs(spark, sf_dir)
-    return events.join(events.where("iteration = 0 and duration >= 30").select("start", "phase"), ["start", "phase"], "left_semi").select("id")
+    return events.join(events.where("iteration = 0 and duration >= 30").select("house_id", "start", "phase"), ["house_id", "start", "phase"], "left_semi").select("id")
 
 
 SESSIONS_SQL = RUNS_SQL + """, q AS (SELECT *, sum(fresh) OVER (PARTITION BY house_id, phase ORDER BY s, id ROWS UNBOUNDED PRECEDING) AS session FROM (SELECT *, CASE WHEN s - lag(e) OVER (PARTITION BY house_id, phase ORDER BY s, id) <= 28800 THEN 0 ELSE 1 END AS fresh FROM r)),
@@ -173,17 +180,41 @@ def activation_confidence(spark, sf_dir):
     return rounded(patterns.activation_scores(activations(spark, sf_dir)).select("id", "device_type", "confidence", "tier"))
 
 
-@query(RUNS_SQL + f""", t AS (SELECT *, {TYPED} AS device_type, s // 86400 % 12 + 1 AS mon FROM r), o AS (SELECT *, coalesce(lead(s) OVER (PARTITION BY house_id, device_type ORDER BY s, id) < e, false) AS ov FROM t),
-p AS (SELECT device_type, max(c) / sum(c) AS main_share FROM (SELECT device_type, phase, count(*) AS c FROM t GROUP BY ALL) GROUP BY device_type),
-g AS (SELECT device_type, count(*) AS n, count(DISTINCT mon) / (SELECT count(DISTINCT mon) FROM t) AS temporal, stddev_pop(magnitude) / avg(magnitude) AS cv, quantile_cont(duration, 0.25) AS q1, quantile_cont(duration, 0.5) AS q2, quantile_cont(duration, 0.75) AS q3,
-  avg(CASE WHEN mon BETWEEN 5 AND 10 THEN 1.0 ELSE 0.0 END) AS warm, count(*) FILTER (WHERE ov) AS n_overlaps FROM o GROUP BY device_type),
-k AS (SELECT g.*, main_share, greatest(1 - cv, 0) AS stability, greatest(1 - CASE WHEN q2 > 0 THEN (q3 - q1) / q2 ELSE 0 END / 2, 0) AS plausible, 1 - n_overlaps / n AS apart FROM g JOIN p ON p.device_type = g.device_type),
-w AS (SELECT *, 0.3 * temporal + 0.3 * stability + 0.2 * plausible + 0.2 * apart AS score FROM k)
-SELECT device_type, n, round(temporal, 4) AS temporal, round(stability, 4) AS stability, round(plausible, 4) AS plausible, round(apart, 4) AS apart, round(main_share, 4) AS main_share, round(warm, 4) AS warm, n_overlaps, round(score, 4) AS score,
-  CASE WHEN score >= 0.75 THEN 'good' WHEN score >= 0.5 THEN 'fair' ELSE 'poor' END AS tier, concat_ws(',', CASE WHEN temporal < 0.5 THEN 'rare' END, CASE WHEN cv > 0.5 THEN 'unstable' END, CASE WHEN n_overlaps > 0 THEN 'overlaps' END) AS flags FROM w""")
+#: Days of the year stand in for months, of which the table holds one: twelve of them, as months of one year.
+CLASS_SQL = RUNS_SQL + f""", t AS (SELECT *, {TYPED} AS device_type, 202400 + s // 86400 % 12 + 1 AS ym FROM r),
+h AS (SELECT house_id, count(DISTINCT ym) AS months_total, bool_or(ym % 100 BETWEEN 5 AND 10) AND bool_or(NOT ym % 100 BETWEEN 5 AND 10) AS both_seasons FROM t GROUP BY house_id),
+p AS (SELECT house_id, device_type, 1 - max(k) / sum(k) AS switching FROM (SELECT house_id, device_type, phase, count(*) AS k FROM t GROUP BY ALL) GROUP BY ALL),
+g AS (SELECT house_id, device_type, count(*) AS n, count(DISTINCT ym) AS months_with, count(*) FILTER (WHERE magnitude > 0) AS ns, avg(magnitude) FILTER (WHERE magnitude > 0) AS mean, stddev_pop(magnitude) FILTER (WHERE magnitude > 0) AS spread,
+  median(duration) FILTER (WHERE duration > 0) AS med, count(*) FILTER (WHERE ym % 100 BETWEEN 5 AND 10) AS warm, count(*) FILTER (WHERE NOT ym % 100 BETWEEN 5 AND 10) AS cool FROM t WHERE device_type <> 'unknown' GROUP BY ALL),
+q AS (SELECT house_id, device_type, n, months_total, both_seasons, months_with / months_total AS temporal, CASE WHEN ns >= 2 THEN spread / mean ELSE 0.0 END AS cv, CASE WHEN ns >= 2 THEN switching ELSE 0.0 END AS sw, med, CASE WHEN both_seasons THEN warm / greatest(cool, 1) END AS ratio, ns, mean
+  FROM g JOIN p USING (house_id, device_type) JOIN h USING (house_id)),
+f AS (SELECT *, CASE WHEN device_type = 'boiler' AND temporal < 0.5 OR device_type IN ('regular_ac', 'central_ac') AND temporal > 0.9 THEN 'TEMPORAL_ANOMALY' WHEN temporal < 0.2 AND n > 5 THEN 'TEMPORAL_SPARSE' END AS temporal_flag,
+  CASE WHEN ns < 2 THEN NULL WHEN device_type = 'boiler' AND cv > 0.3 THEN 'MAGNITUDE_UNSTABLE' WHEN device_type = 'boiler' AND sw > 0.1 THEN 'PHASE_SWITCHING' WHEN device_type = 'boiler' AND NOT mean BETWEEN 1500 AND 5000 THEN 'MAGNITUDE_SUSPICIOUS' WHEN device_type = 'regular_ac' AND cv > 0.4 THEN 'MAGNITUDE_UNSTABLE' END AS magnitude_flag,
+  CASE WHEN device_type = 'boiler' AND med > 240 THEN 'DURATION_ANOMALY' WHEN device_type = 'boiler' AND med < 15 OR device_type IN ('regular_ac', 'central_ac') AND med < 5 THEN 'DURATION_TOO_SHORT' END AS duration_flag,
+  CASE WHEN device_type IN ('regular_ac', 'central_ac') AND ratio < 1 OR device_type = 'boiler' AND ratio > 3 THEN 'SEASONAL_INVERTED' WHEN device_type IN ('regular_ac', 'central_ac') AND ratio BETWEEN 0.8 AND 1.2 AND months_total >= 6 THEN 'SEASONAL_FLAT' END AS seasonal_flag FROM q)"""
+
+
+def seasoned(spark, sf_dir) -> DataFrame:
+    return activations(spark, sf_dir).withColumn("year_month", 202400 + F.floor(F.col("start") / 86_400) % 12 + 1)
+
+
+@query(CLASS_SQL + """ SELECT house_id, device_type, n, months_total, both_seasons, round(temporal, 4) AS temporal, round(cv, 4) AS cv, round(sw, 4) AS switching, round(med, 4) AS median, round(ratio, 4) AS ratio, temporal_flag, magnitude_flag, duration_flag, seasonal_flag FROM f""")
 def type_quality(spark, sf_dir):
-    """Days of the year stand in for months, of which the table holds one."""
-    return rounded(patterns.type_quality(activations(spark, sf_dir).withColumn("month", F.floor(F.col("start") / 86_400) % 12 + 1)))
+    """Measures and flags of every device type of a house."""
+    return rounded(patterns.type_quality(seasoned(spark, sf_dir)))
+
+
+@query(CLASS_SQL + f""", l AS (SELECT house_id, ym, coalesce(e > lead(s) OVER (PARTITION BY house_id, phase ORDER BY s, e, id), false) AS over_next FROM t),
+hs AS (SELECT house_id, count(*) AS n_sessions, count(DISTINCT ym) AS data_months, count(*) FILTER (WHERE over_next) AS n_overlaps FROM l GROUP BY house_id),
+u AS (SELECT house_id, device_type, x.k AS kind, x.v AS flag, x.has AS has FROM (SELECT house_id, device_type, unnest([{{'k': 'temporal', 'v': temporal_flag, 'has': true}}, {{'k': 'magnitude', 'v': magnitude_flag, 'has': true}}, {{'k': 'duration', 'v': duration_flag, 'has': med IS NOT NULL}}, {{'k': 'seasonal', 'v': seasonal_flag, 'has': both_seasons}}]) AS x FROM f)),
+v AS (SELECT house_id, kind, CASE WHEN bool_or(regexp_matches(coalesce(flag, ''), 'ANOMALY|SWITCHING|INVERTED')) THEN 0.0 WHEN count(flag) > 0 THEN 0.5 WHEN bool_or(has) THEN 1.0 ELSE 0.5 END AS worth FROM u GROUP BY ALL),
+w AS (SELECT house_id, sum(worth * CASE kind WHEN 'temporal' THEN 0.25 WHEN 'magnitude' THEN 0.3 WHEN 'duration' THEN 0.2 ELSE 0.15 END) AS part FROM v GROUP BY house_id),
+n AS (SELECT house_id, string_agg(device_type || ':' || flag, ',' ORDER BY device_type || ':' || flag) AS flags FROM u WHERE flag IS NOT NULL GROUP BY house_id),
+z AS (SELECT hs.*, coalesce(part, 0.45) + 0.1 * CASE WHEN n_overlaps > 0 THEN 0.5 ELSE 1 END AS score, coalesce(flags, '') AS flags FROM hs LEFT JOIN w USING (house_id) LEFT JOIN n USING (house_id))
+SELECT house_id, n_sessions, data_months, n_overlaps, round(CAST(score AS DOUBLE), 4) AS score, CASE WHEN score >= 0.85 THEN 'excellent' WHEN score >= 0.65 THEN 'good' WHEN score >= 0.45 THEN 'fair' ELSE 'poor' END AS tier, flags FROM z""")
+def class_quality(spark, sf_dir):
+    """How far a house's classes can be trusted: five kinds of measures, one score."""
+    return rounded(patterns.class_quality(seasoned(spark, sf_dir)))
 
 
 @query(RUNS_SQL + """, h AS (SELECT house_id, avg(magnitude) AS a, avg(duration) AS b, CAST(count(*) AS DOUBLE) AS c, stddev_pop(magnitude) AS d FROM r GROUP BY house_id), v AS (UNPIVOT h ON a, b, c, d INTO NAME metric VALUE x),
@@ -242,12 +273,16 @@ def house_summaries(spark, sf_dir):
     return devices.breakdown(activations(spark, sf_dir))
 
 
-@query("""SELECT '{"run":0,"thresholds":[2000,1500,1100,800],"features":{"gradual":true,"near_threshold":false,"tails":true,"split_offs":true,"settling":true}}' AS config""")
+RUN_CONFIG = '{"thresholds":[2000,1500,1100,800],"features":{"gradual":true,"near_threshold":false,"tails":true,"split_offs":true,"settling":true,"imputation":false}}'
+
+
+@query(f"""SELECT user_id AS house_id, count(DISTINCT strftime(ts, '%Y-%m')) AS n_months, {EPOCH.format("min(ts)")} AS first_reading, {EPOCH.format("max(ts)")} AS last_reading, count(*) AS n_readings, '{RUN_CONFIG}' AS config FROM events GROUP BY user_id""")
 def run_metadata(spark, sf_dir):
-    """The configuration of a run as one JSON row."""
-    flags = {k: F.lit(v).alias(k) for k, v in vars(Features()).items()}
-    config = F.struct(F.lit(0).alias("run"), F.array(*[F.lit(t) for t in THRESHOLDS]).alias("thresholds"), F.struct(*flags.values()).alias("features"))
-    return spark.range(1).select(F.to_json(config).alias("config"))
+    """What a run over a house's stored readings covers, with the run's configuration as JSON."""
+    flags = F.struct(*[F.lit(v).alias(k) for k, v in vars(Features()).items()])
+    config = F.to_json(F.struct(F.array(*[F.lit(t) for t in THRESHOLDS]).alias("thresholds"), flags.alias("features")))
+    seconds = SEC("ts")
+    return power_series(spark, sf_dir).groupBy("house_id").agg(F.count_distinct("month").alias("n_months"), F.min(seconds).alias("first_reading"), F.max(seconds).alias("last_reading"), F.count("*").alias("n_readings")).withColumn("config", config)
 
 
 # ---------------------------------------------------------------- order-dependent steps
@@ -277,36 +312,33 @@ def cross_house_devices(spark, sf_dir):
 
 @query()
 def classified_runs(spark, sf_dir):
-    """The cascade: boilers of the main phase, devices on several phases, ACs on several, ACs, recurring ones."""
+    """The cascade, run by run: boilers of the main phase, devices on several phases, ACs on several, ACs, recurring ones."""
     events = staged(runs(spark, sf_dir).where("duration >= 2"))
-    found = staged(patterns.cascade(events, classifiers()))
-    return found.groupBy("device_type").agg(F.count("*").alias("n"))
+    found = patterns.cascade(events, classifiers(events))
+    return rounded(found.join(events, "id").select("id", "house_id", "phase", "device_type", "duration", "magnitude"))
 
 
-def classifiers(apart: int = 3600) -> list:
+def classifiers(events: DataFrame, apart: int = 3600) -> list:
+    """Steps of the cascade over ``events``. Boilers are looked for among all of them: isolated long strong runs. Those with
+    long runs beside them on other phases are devices on several phases, with these; of the rest the main phase's are boilers."""
     keys = ["house_id", "phase"]
+    alone = staged(patterns.compressor_near(devices.boiler_candidates(events), events, apart))
+    several = staged(patterns.three_phase_groups(alone, events).select(F.explode(F.array("l_id", "r_id")).alias("id")).distinct())
 
-    def large(left: DataFrame) -> DataFrame:
-        alone = devices.boiler_candidates(left)
-        return patterns.compressor_near(alone, left, apart)
+    def three_phase(left: DataFrame) -> DataFrame:
+        return several
 
     def boilers(left: DataFrame) -> DataFrame:
-        alone = large(left)
-        several = devices.simultaneous(alone).select(F.explode(F.array("l_id", "r_id")).alias("id"))
         return patterns.main_phase_only(alone.join(several, "id", "left_anti"))
 
-    def three_phase(left: DataFrame) -> DataFrame:
-        return devices.simultaneous(left.where("magnitude >= 1500")).select(F.explode(F.array("l_id", "r_id")).alias("id"))
-
     def cycling(left: DataFrame) -> DataFrame:
-        minutes = left.withColumns({"start": F.col("start") / 60, "end": F.col("end") / 60}).select(*keys, "id", "start", "end", "magnitude")
+        minutes = left.withColumns({"start": F.col("start") / 60, "end": F.col("end") / 60}).select(*keys, "id", "start", "end", "magnitude", "iteration")
         return kernels.cycling(minutes).where("sequence >= 0")
 
     def central(left: DataFrame) -> DataFrame:
         marked = staged(cycling(left).join(left.select("id", F.col("start").alias("at"), F.col("end").alias("till")), "id"))
         blocks = marked.groupBy(*keys, "sequence").agg(F.min("at").alias("start"), F.max("till").alias("end"), F.min("id").alias("id"))
-        linked = patterns.first_overlaps(blocks, blocks)
-        both = linked.select(F.explode(F.array("l_id", "r_id")).alias("id")).distinct()
+        both = patterns.synced(blocks).select(F.explode(F.array("l_id", "r_id")).alias("id")).distinct()
         return marked.join(blocks.join(both, "id", "left_semi").select(*keys, "sequence"), [*keys, "sequence"], "left_semi")
 
     def recurring(left: DataFrame) -> DataFrame:
@@ -317,26 +349,4 @@ def classifiers(apart: int = 3600) -> list:
         valid = patterns.cluster_scores(shaped, [*keys, "cluster"]).select(*keys, "cluster")
         return parts.join(marked.join(valid, [*keys, "cluster"], "left_semi").select(*keys, "session"), [*keys, "session"], "left_semi")
 
-    return [("boiler", boilers), ("three_phase_device", three_phase), ("central_ac", central), ("regular_ac", cycling), ("recurring_pattern", recurring)]
-
-
-# ---------------------------------------------------------------- wave recovery
-
-
-@query()
-def recovered_waves(spark, sf_dir):
-    """Waves on all phases and what is left after they are taken out, by house and phase."""
-    grid = staged(dense_grid(spark, sf_dir).select("house_id", "phase", "m", "watts"))
-    found, left, checks = recovery.recover(grid)
-    kwh = lambda df, name: df.groupBy("house_id", "phase").agg((F.sum("watts") / 60_000).alias(name))
-    waves = found.groupBy("house_id", "phase").agg(F.count("*").alias("n_waves"), F.count_if("crossed").alias("n_crossed"), F.sum("energy").alias("energy"))
-    good = checks.groupBy("house_id", "phase").agg(F.bool_and("valid").alias("all_valid"))
-    return rounded(kwh(grid, "before_kwh").join(kwh(left, "left_kwh"), ["house_id", "phase"]).join(waves, ["house_id", "phase"], "left").join(good, ["house_id", "phase"], "left"))
-
-
-@query()
-def guided_cycles(spark, sf_dir):
-    """Cycles found again in real readings, in the sessions that lead there."""
-    grid = staged(reading_grid(spark, sf_dir).select("house_id", "phase", "m", "watts"))
-    leads = grid.groupBy("house_id", "phase").agg(F.min("m").alias("start"), F.max("m").alias("end"), F.lit(1500.0).alias("avg_magnitude"))
-    return rounded(recovery.guided(grid, leads))
+    return [("three_phase_device", three_phase), ("boiler", boilers), ("central_ac", central), ("regular_ac", cycling), ("recurring_pattern", recurring)]

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from gridloom.operators.profile import medians
+from gridloom.sources.work import staged
+
 RESPONSE = "sums struct<`1`: map<string, string>, `2`: map<string, string>, `3`: map<string, string>>"
 
 
@@ -53,12 +58,50 @@ def parse_match_log(lines: DataFrame, bins: int = 10_000) -> DataFrame:
     """Text lines (value) -> (reason, n, n_values, avg_value, p50, p90) over REJECTED, CORRECTABLE and Matched
     lines, from the first key=number of every line. Percentiles are to one part in ``bins``; no line is
     left out, and no reason's lines meet in one task."""
+    rows = log_values(lines)
+    share = lambda p: F.percentile_approx("number", p, bins)
+    return rows.groupBy("reason").agg(F.count("*").alias("n"), F.count("number").alias("n_values"), F.avg("number").alias("avg_value"), share(0.5).alias("p50"), share(0.9).alias("p90"))
+
+
+#: Parts into which a sample's random order is cut; only one part of a group is ever ranked.
+ORDER_PARTS = 4096
+
+
+def bottom_sample(rows: DataFrame, by: list[str], most: int = 100_000, seed: int = 0) -> DataFrame:
+    """A uniform sample without replacement of ``most`` rows of every group, or the whole group if it has no more.
+
+    Every row gets a place in a random order by hash; a group's sample is its first ``most`` places, so samples of
+    parts of a group merge to one of the whole. Counts by part of the order tell, for every part, whether it is in as
+    a whole, out, or the one where the sample ends; only that one is ranked. So no task holds a group, and a
+    group of a third of all rows costs what others cost. Null groups are groups."""
+    place = F.xxhash64(F.lit(seed), F.monotonically_increasing_id(), *[F.col(c) for c in rows.columns])
+    dealt = rows.select(*rows.columns, place.alias("_place")).withColumn("_part", F.pmod("_place", F.lit(ORDER_PARTS)))
+    dealt = staged(dealt)  # places depend on how rows lie in files: fixed from here on
+    sizes = dealt.groupBy(*by, "_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.withColumn("_before", before).where(F.col("_before") < most)
+    sizes = sizes.select(*[F.col(c).alias(f"_of_{c}") for c in by], F.col("_part").alias("_of__part"), "_n", "_before")
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in [*by, "_part"]])
+    near = dealt.join(sizes, same).select(*dealt.columns, "_n", "_before")
+    whole = near.where(F.col("_before") + F.col("_n") <= most)
+    nth = F.row_number().over(W.partitionBy(*by, "_part").orderBy("_place", *rows.columns))
+    cut = near.where(F.col("_before") + F.col("_n") > most).withColumn("_nth", nth).where(F.col("_before") + F.col("_nth") <= most)
+    return whole.select(*rows.columns).unionByName(cut.select(*rows.columns))
+
+
+def log_values(lines: DataFrame) -> DataFrame:
+    """(reason, number): the first key=number of every REJECTED, CORRECTABLE and Matched line, null where it has none."""
     kind = F.regexp_extract("value", r"\b(REJECTED|CORRECTABLE|Matched)\b(?::?\s*([A-Za-z_]+))?", 1)
     reason = F.regexp_extract("value", r"\bREJECTED:?\s*([A-Za-z_]+)", 1)
     number = F.expr(r"try_cast(regexp_extract(value, '=\\s*(-?[0-9.]+)', 1) AS double)")
-    rows = lines.select(F.when(reason != "", reason).otherwise(kind).alias("reason"), number.alias("number")).where("reason <> ''")
-    share = lambda p: F.percentile_approx("number", p, bins)
-    return rows.groupBy("reason").agg(F.count("*").alias("n"), F.count("number").alias("n_values"), F.avg("number").alias("avg_value"), share(0.5).alias("p50"), share(0.9).alias("p90"))
+    return lines.select(F.when(reason != "", reason).otherwise(kind).alias("reason"), number.alias("number")).where("reason <> ''")
+
+
+def sampled_log(lines: DataFrame, most: int = 100_000) -> DataFrame:
+    """(reason, n_sampled, avg_value, least, most, p50) over a sample of at most ``most`` values a reason: exact up to that many."""
+    sample = bottom_sample(log_values(lines).where("number is not null"), ["reason"], most)
+    middle = medians(sample, ["reason"], "number", "p50")
+    return sample.groupBy("reason").agg(F.count("*").alias("n_sampled"), F.avg("number").alias("avg_value"), F.min("number").alias("least"), F.max("number").alias("most")).join(middle, "reason")
 
 
 def numbers_of(lines: DataFrame) -> DataFrame:

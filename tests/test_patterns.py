@@ -62,7 +62,8 @@ def run(i, phase, start, minutes, watts, turn=0):
 
 
 def classes(spark, *rows):
-    return {r.id: r.device_type for r in patterns.cascade(spark.createDataFrame(rows, RUN), classifiers()).collect()}
+    events = spark.createDataFrame(rows, RUN)
+    return {r.id: r.device_type for r in patterns.cascade(events, classifiers(events)).collect()}
 
 
 def test_boilers(spark):
@@ -97,8 +98,8 @@ def test_recurring_times_follow_the_mean():
 
 
 def test_complete_linkage_needs_every_pair_and_one_pattern_a_house(spark):
-    house, size, length = np.array([1, 2, 3, 1]), np.array([1000.0, 1100, 1220, 1010]), np.full(4, 20.0)
-    got = patterns.complete_groups(house, size, length)
+    linkage = patterns.Linkage(0.15, 0.20)
+    got = [linkage.add(h, s, 20.0) for h, s in ((1, 1000.0), (2, 1100.0), (3, 1220.0), (1, 1010.0))]
     assert got[0] == got[1] != got[2] and got[3] not in (got[0],)
     rows = [(1, 0, 1000.0, 20.0), (2, 0, 1010.0, 20.0), (3, 0, 3000.0, 30.0), (4, 0, 3010.0, 30.0), (5, 0, 90.0, 30.0)]
     linked = patterns.linked_signatures(spark.createDataFrame(rows, "house_id long, pattern_id int, magnitude double, duration double"))
@@ -128,25 +129,15 @@ WAVE = [200.0] * 5 + FADE.tolist() + [200.0] * 30
 def test_waves_are_taken_out_and_checked(spark):
     weak = [100.0] * 5 + (100 + 300 * np.exp(np.log(0.05) / 20 * np.arange(21))).tolist() + [100.0] * 30
     grid = grid_of(spark, w1=WAVE, w2=weak, w3=[50.0] * 56)
-    waves, left, checks = recovery.recover(grid)
+    waves, left, checks, records, _ = recovery.recover(grid)
     assert {(r.phase, r.crossed) for r in waves.collect()} == {("w1", False), ("w2", True)}
     assert all(r.valid for r in checks.collect())
     rest = {(r.phase, r.m): r.watts for r in left.collect()}
     assert min(rest.values()) >= 0 and rest["w1", 5] == pytest.approx(200) and rest["w3", 10] == 50 and len(rest) == 168
-    record = {r.phase: r for r in recovery.wave_records(waves).collect()}["w1"]
+    record = {r.phase: r for r in records.collect()}["w1"]
     assert record.tag == "WAVE-MEDIUM" and record.off_magnitude == -0.5 * record.on_magnitude
 
 
-def test_a_torn_hole_is_found_and_filled(spark):
-    grid = grid_of(spark, w1=[900.0] * 10 + [100.0] * 40 + [900.0] * 10)
-    rows = [(1, "w1", "a", 10, 49, 1500.0, -1000.0, "LOOSE-EXTENDED"), (1, "w1", "b", 10, 49, 1500.0, -1000.0, "EXACT-EXTENDED"), (1, "w1", "c", 10, 49, 9000.0, -1000.0, "APPROX-EXTENDED")]
-    matches = spark.createDataFrame(rows, "house_id long, phase string, on_id string, on_start int, off_end int, on_magnitude double, off_magnitude double, tag string")
-    torn = recovery.holes(matches, grid)
-    assert [r.on_id for r in torn.collect()] == ["a"]
-    fixed = [r.watts for r in recovery.repair(torn, grid).orderBy("m").collect()]
-    assert fixed[:10] == [900.0] * 10 and fixed[49] > fixed[11] >= 100 and max(fixed) <= 900
-
-
 def test_guided_recovery_finds_the_cycle_that_was_missed(spark):
     sessions = spark.createDataFrame([(1, "w1", 5, 1200.0, 10.0, 0.1, 0, 60), (1, "w1", 2, 1200.0, 10.0, 0.1, 0, 60)], "house_id long, phase string, cycles int, avg_magnitude double, avg_duration double, magnitude_cv double, start int, end int")
     lead = recovery.leads(sessions)

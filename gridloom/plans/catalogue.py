@@ -41,10 +41,12 @@ def edge_counts_by_hour(spark, sf_dir):
     return rounded(found.groupBy("phase", "event", F.hour("start").alias("hour")).agg(F.count("*").alias("n_edges"), F.sum("magnitude").alias("magnitude")))
 
 
-@query(GRID_EDGES + """,
-nb AS MATERIALIZED (SELECT house_id, phase, m, watts, lag(watts) OVER w AS w_1, lag(watts, 2) OVER w AS w_2, lead(watts) OVER w AS w1, lag(diff) OVER w AS d_1, lead(diff) OVER w AS d1 FROM d WINDOW w AS (PARTITION BY house_id, phase ORDER BY m)),
-x AS (SELECT edges.*, b.watts AS p_end, a.w_1 AS p_pre, a.d_1 AS d_pre, b.d1 AS d_post, b.w1 AS p_post, a.w_2 AS p_pre2
-  FROM edges LEFT JOIN nb a ON a.house_id = edges.house_id AND a.phase = edges.phase AND a.m = "start" LEFT JOIN nb b ON b.house_id = edges.house_id AND b.phase = edges.phase AND b.m = "end"),
+@query(f"""WITH {GRID_SQL}, k AS (SELECT *, watts - lag(watts) OVER w AS diff, lag(watts) OVER w AS w_1, lag(watts, 2) OVER w AS w_2, lead(watts) OVER w AS w1 FROM g WINDOW w AS (PARTITION BY house_id, phase ORDER BY m)),
+e AS (SELECT *, lag(diff) OVER w AS d_1, lead(diff) OVER w AS d1, CASE WHEN diff >= 800 THEN 'on' WHEN diff <= -640 THEN 'off' END AS event FROM k WINDOW w AS (PARTITION BY house_id, phase ORDER BY m)),
+f AS (SELECT *, CASE WHEN event IS NOT DISTINCT FROM lag(event) OVER (PARTITION BY house_id, phase ORDER BY m) THEN 0 ELSE 1 END AS fresh FROM e),
+n AS (SELECT *, sum(fresh) OVER (PARTITION BY house_id, phase ORDER BY m ROWS UNBOUNDED PRECEDING) AS run FROM f),
+x AS (SELECT house_id, phase, event, min(m) AS "start", max(m) AS "end", first(w_1 ORDER BY m) AS p_pre, first(w_2 ORDER BY m) AS p_pre2, first(d_1 ORDER BY m) AS d_pre, last(watts ORDER BY m) AS p_end, last(w1 ORDER BY m) AS p_post, last(d1 ORDER BY m) AS d_post
+  FROM n WHERE event IS NOT NULL GROUP BY house_id, phase, event, run),
 y AS (SELECT *, coalesce(p_end, 0) - coalesce(p_pre, 0) AS size, CASE WHEN event = 'on' THEN 1 ELSE -1 END AS sgn FROM x),
 z AS (SELECT *, sgn * coalesce(d_pre, 0) > 0.05 * abs(size) AS early, sgn * coalesce(d_post, 0) > 0.05 * abs(size) AS late FROM y)
 SELECT house_id, phase, event, CAST(CASE WHEN early THEN "start" - 1 ELSE "start" END AS BIGINT) AS "start", CAST(CASE WHEN late THEN "end" + 1 ELSE "end" END AS BIGINT) AS "end",

@@ -46,32 +46,16 @@ SERIES_SQL = """
 s AS (SELECT user_id AS house_id, strftime(ts, '%Y-%m') AS month, 'w' || CAST(user_id % 3 + 1 AS VARCHAR) AS phase, ts, event_id, event_type, value * 10 AS watts FROM events)"""
 HOLES_SQL = SERIES_SQL.replace("value * 10 AS watts", "CASE WHEN event_id % 7 <> 0 THEN value * 10 END AS watts")
 
-#: Watts of house u at minute m of a day, in arithmetic that Spark and DuckDB share: a base load, two
-#: devices with their own cycles, a slow one and short spikes.
-GRID_WATTS = """
-CAST(200 + (u % 7) * 20
- + CASE WHEN (m + u * 13) % 90 < 20 + (u % 5) * 3 THEN 1500 + (u % 4) * 250 ELSE 0 END
- + CASE WHEN (m + u * 29) % 240 < 60 THEN 900 ELSE 0 END
- + CASE WHEN (m + u * 7) % 131 = 0 THEN 700 WHEN (m + u * 7) % 131 = 1 THEN 300 ELSE 0 END AS DOUBLE)"""
-
-
-def dense_grid(spark: SparkSession, sf_dir: str, minutes: int = 1440) -> DataFrame:
-    """(house_id, phase, m, ts, watts): a day by the minute for every house of ``events``."""
-    houses = read(spark, sf_dir, "events").select(F.col("user_id").alias("u")).distinct()
-    grid = houses.withColumn("m", F.explode(F.sequence(F.lit(0), F.lit(minutes - 1))))
-    return grid.select(
-        F.col("u").alias("house_id"),
-        F.concat(F.lit("w"), (F.col("u") % 3 + 1).cast("string")).alias("phase"),
-        "m",
-        F.timestamp_seconds(F.lit(1704067200) + F.col("m") * 60).alias("ts"),
-        F.expr(GRID_WATTS).alias("watts"),
-        F.lit("2024-01").alias("month"),
-    )
+def dense_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(house_id, phase, m, ts, watts, month): the readings of ``events`` as they are, without gaps: a house's n-th reading
+    is minute n of its series, and stands in its own month."""
+    w = W.partitionBy("house_id").orderBy("ts", "event_id")
+    rows = power_series(spark, sf_dir).withColumn("m", F.row_number().over(w) - 1)
+    return rows.select("house_id", "phase", "m", F.timestamp_seconds(F.lit(1704067200) + F.col("m") * 60).alias("ts"), "watts", "month")
 
 
-GRID_SQL = f"""
-g AS (SELECT u AS house_id, 'w' || CAST(u % 3 + 1 AS VARCHAR) AS phase, m, {GRID_WATTS} AS watts
-      FROM (SELECT DISTINCT user_id AS u FROM events), (SELECT CAST(range AS INTEGER) AS m FROM range(1440)))"""
+GRID_SQL = SERIES_SQL + """,
+g AS (SELECT house_id, phase, CAST(row_number() OVER (PARTITION BY house_id ORDER BY ts, event_id) - 1 AS INTEGER) AS m, watts FROM s)"""
 
 
 def reading_grid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,51 +21,56 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import islice
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from gridloom.llm.work import rows_of, table, work_table
 
-TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
-LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+#: Of UTF-8 bytes, where every byte of a character beyond ASCII is 0x80 or more; bytes.lower() lowers A-Z alone.
+TERM = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 SCALE, DOCUMENTS, TOP = 1_000_000_000, 3, 200
-#: Terms that a task holds before it hands them on.
-HELD = 400_000
+#: Terms that a task holds before it hands them on, and rows of a batch that it hands on.
+HELD, ROWS = 300_000, 1 << 16
 #: Parts into which a language's groups are dealt where they meet one another.
 SALTS = 16
 COUNTS = "lang string, source string, term string, n long, docs long"
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
-    """COUNTS rows of (lang, source, text), several for a term; one with a null term says that the group occurs."""
+    """COUNTS rows of (lang, source, text), several for a term: a task adds up what it holds before it hands it on."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[str, str], tuple[Counter, Counter]] = defaultdict(lambda: (Counter(), Counter()))
 
-        def given() -> pd.DataFrame:
-            rows = [(*group, term, k, found[1][term]) for group, found in held.items() for term, k in found[0].items()]
-            rows += [(*group, None, 0, 0) for group in held]
+        def given() -> Iterator[pa.RecordBatch]:
+            for (lang, source), (times, inside) in held.items():
+                found = iter(times.items())
+                while some := list(islice(found, ROWS)):
+                    terms, n = zip(*some, strict=True)
+                    docs = pa.array(map(inside.__getitem__, terms), pa.int64(), size=len(terms))
+                    yield pa.record_batch([pa.repeat(lang, len(terms)), pa.repeat(source, len(terms)), pa.array(terms, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), docs], names=["lang", "source", "term", "n", "docs"])
             held.clear()
-            return pd.DataFrame(rows, columns=["lang", "source", "term", "n", "docs"])
 
         size = 0
         for batch in batches:
-            for lang, source, text in zip(batch.lang, batch.source, batch.text, strict=True):
-                own = Counter(TERM.findall(text.translate(LOWER)))
-                n, d = held[lang, source]
-                size -= len(n)
-                n.update(own)
-                d.update(own.keys())
-                size += len(n)
+            texts = batch.column("text").cast(pa.binary()).to_pylist()
+            for lang, source, text in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), texts, strict=True):
+                terms = TERM.findall(text.lower())
+                times, inside = held[lang, source]
+                size -= len(times)
+                times.update(terms)
+                inside.update(set(terms))
+                size += len(times)
                 if size > HELD:
-                    yield given()
+                    yield from given()
                     size = 0
-        yield given()
+        yield from given()
 
-    return docs.mapInPandas(count, COUNTS)
+    return docs.mapInArrow(count, COUNTS)
 
 
 def _p(n: str, total: str, v: str = "v") -> Column:
@@ -94,14 +99,14 @@ def divergence(docs: DataFrame, lang_col: str = "lang", source_col: str = "sourc
     Equal values rank by the item's UTF-8 bytes."""
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     rows = rows_of(docs, lang=lang_col, source=source_col, text=text_col).select(empty("lang"), empty("source"), empty("text"))
-    counts = work_table(term_counts(rows).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "terms")
-    terms = counts.where("term is not null")
-    postings = terms.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs"), F.collect_list(F.struct("source", "n")).alias("held"))  # at most a struct per source
+    # Dealt by term as they come: few rows of a task share one, so adding up before the shuffle would save nothing.
+    counts = term_counts(rows).repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    postings = counts.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs"), F.collect_list(F.struct("source", "n")).alias("held"))  # at most a struct per source
     postings = work_table(postings.where(F.col("docs") >= documents).drop("docs"), "postings")
 
     langs = postings.groupBy("lang").agg(F.count("*").alias("v"), F.sum("lang_n").alias("lang_total"))
     totals = postings.select("lang", F.inline("held")).groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    groups = counts.where("term is null").select("lang", "source").join(totals, ["lang", "source"], "left").join(langs, "lang", "left")
+    groups = rows.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(langs, "lang", "left")
     groups = groups.select("lang", "source", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("v", F.lit(0)).alias("v"), "lang_total")
     groups = work_table(groups.withColumn("p0", F.when(F.col("v") > 0, _p("0", "total")).otherwise(1)), "groups")
 

@@ -32,20 +32,34 @@ def _fields(df: DataFrame, more: str) -> str:
 
 def chained_nearest(events: DataFrame, phases: list[str], tolerance: int = 600) -> DataFrame:
     """(house_id, id_<phase>...): runs of the first phase with the nearest run of each further phase within
-    the tolerance of the first one's start. Only chains with every phase count, and a run belongs to the
-    first chain that takes it (by start, then id)."""
+    the tolerance of the first one's start. Only chains with every phase count; they are taken by start, then
+    id, and one that holds a run which an earlier one has taken is not.
+
+    Chains that share a run start within twice the tolerance, so a house is cut where none starts for longer, and
+    each island is walked in order."""
     side = lambda p: events.where(F.col("phase") == p).select("house_id", F.col("id").alias(f"id_{p}"), F.col("start").alias(f"start_{p}"))
-    head = f"id_{phases[0]}"
+    head, at = f"id_{phases[0]}", f"start_{phases[0]}"
     found = side(phases[0])
     for p in phases[1:]:
-        near = band_join(found.select("house_id", head, f"start_{phases[0]}"), side(p), ["house_id"], f"start_{phases[0]}", f"start_{p}", tolerance, tolerance)
-        order = F.struct(F.abs(F.col(f"start_{p}") - F.col(f"start_{phases[0]}")).alias("d"), F.col(f"start_{p}"), F.col(f"id_{p}"))
+        near = band_join(found.select("house_id", head, at), side(p), ["house_id"], at, f"start_{p}", tolerance, tolerance)
+        order = F.struct(F.abs(F.col(f"start_{p}") - F.col(at)).alias("d"), F.col(f"start_{p}"), F.col(f"id_{p}"))
         best = near.groupBy(head).agg(F.min(order).alias("b")).select(head, F.col(f"b.id_{p}").alias(f"id_{p}"))
         found = found.join(best, head)
-    for p in phases[1:]:  # one chain per run
-        first = F.row_number().over(W.partitionBy(f"id_{p}").orderBy(f"start_{phases[0]}", head))
-        found = found.withColumn("_n", first).where("_n = 1").drop("_n")
-    return found.select("house_id", *[f"id_{p}" for p in phases])
+    ids = [f"id_{p}" for p in phases]
+    w = W.partitionBy("house_id").orderBy(at, head)
+    rows = dealt(found.select("house_id", at, *ids), ["house_id"]).withColumn("fresh", F.when(F.col(at) - F.lag(at).over(w) <= 2 * tolerance, 0).otherwise(1))
+    rows = rows.withColumn("island", F.sum("fresh").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("fresh")
+
+    def walk(part: dict) -> list[tuple]:
+        taken, out = set(), []
+        for chain in zip(*[part[i] for i in ids], strict=True):
+            if not taken.intersection(chain):
+                taken.update(chain)
+                out.append(chain)
+        return out
+
+    kind = dict(events.dtypes)["id"]
+    return over_stretches(rows, ["house_id", "island"], [at, head], walk, ", ".join(f"{i} {kind}" for i in ids)).select("house_id", *ids)
 
 
 def nearby_cycles(candidates: DataFrame, events: DataFrame, apart: int = 3600, shortest: float = 3, longest: float = 24, least: float = 800) -> DataFrame:
@@ -431,22 +445,95 @@ def recurring_times(minute: np.ndarray, length: np.ndarray, tolerance: float = 6
     return np.where(sizes[label] >= least, label, -1) if len(label) else label
 
 
+WEEKDAYS = ("Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun")
+
+
 def recurrences(events: DataFrame, keys: list[str], least: int = 3) -> DataFrame:
-    """(keys, cluster, n, minute, days, period): runs that recur at a time of day with a like length, and how
-    often: the mean gap between their days as daily, weekly, bi-weekly, monthly or irregular.
+    """(keys, cluster, n, minute, days, period, weekday): runs that recur at a time of day with a like length, how
+    often (the mean gap between their days), and the weekday of most of them (ties: the earliest in the day's order).
 
     ``keys`` hold the house, phase and power bucket, so a group is the runs of one device at most."""
 
-    def mark(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["minute", "start", "id"])
-        return group.assign(cluster=recurring_times(group.minute.to_numpy(float), group.duration.to_numpy(float), least=least))
+    def mark(part: dict) -> list[tuple]:
+        found = recurring_times(part["minute"].astype(float), part["duration"].astype(float), least=least)
+        return list(zip(part["id"], part["minute"], part["day"], range(len(found)), found, strict=True))
 
+    kind = dict(events.dtypes)["id"]
     rows = events.withColumns({"minute": F.floor(F.col("start") / 60) % 1440, "day": F.floor(F.col("start") / 86_400)}).select(*keys, "id", "start", "minute", "day", "duration")
-    marked = rows.groupBy(*keys).applyInPandas(mark, _fields(rows, "cluster long")).where("cluster >= 0")
+    marked = over_stretches(dealt(rows, keys), keys, ["minute", "start", "id"], mark, f"id {kind}, minute long, day long, nth long, cluster long").where("cluster >= 0")
+    w = W.partitionBy(*keys, "cluster")
+    marked = marked.withColumn("weekday", (F.col("day") + 3) % 7)
+    named = marked.groupBy(*keys, "cluster", "weekday").agg(F.count("*").alias("c"), F.min("nth").alias("nth")).withColumn("k", F.row_number().over(w.orderBy(F.desc("c"), "nth"))).where("k = 1")
     found = marked.groupBy(*keys, "cluster").agg(F.count("*").alias("n"), F.avg("minute").alias("minute"), F.count_distinct("day").alias("days"), (F.max("day") - F.min("day")).alias("span"))
     gap = F.when(F.col("days") > 1, F.col("span") / (F.col("days") - 1))
-    period = F.when(gap <= 1.5, "daily").when(gap.between(6, 8), "weekly").when(gap.between(13, 15), "bi-weekly").when(gap.between(28, 31), "monthly").otherwise("irregular")
-    return found.withColumn("period", period).drop("span")
+    period = F.when(gap.isNull(), "unknown").when(gap.between(0.8, 1.2), "daily").when(gap.between(6, 8), "weekly").when(gap.between(13, 15), "bi-weekly").when(gap.between(28, 32), "monthly").otherwise(F.format_string("every ~%.0f days", gap))
+    weekday = F.array(*[F.lit(d) for d in WEEKDAYS])[F.col("weekday").cast("int")]
+    return found.join(named.select(*keys, "cluster", weekday.alias("weekday")), [*keys, "cluster"]).withColumn("period", period).drop("span")
+
+
+# Limits of an AC's sessions (fixed values): watts, minutes.
+AC_GAP_MINUTES, AC_INITIAL_MINUTES = 60, 15
+SEASONS = {"winter": (12, 1, 2), "spring": (3, 4, 5), "summer": (6, 7, 8), "fall": (9, 10, 11)}
+
+
+def central_runs(events: DataFrame, chains: DataFrame, phases: list[str]) -> DataFrame:
+    """Chains of chained_nearest() as runs (house_id, id, start, end, magnitude, duration): from the first phase's start to the
+    last end, with the sum of magnitudes and the mean of lengths."""
+    members = chains.select("house_id", F.col(f"id_{phases[0]}").alias("chain"), F.explode(F.array(*[f"id_{p}" for p in phases])).alias("id"))
+    rows = members.join(events.drop("house_id"), "id")
+    first = F.max(F.when(F.col("id") == F.col("chain"), F.col("start"))).alias("start")
+    return rows.groupBy("house_id", F.col("chain").alias("id")).agg(first, F.max("end").alias("end"), F.sum(_size()).alias("magnitude"), F.avg("duration").alias("duration"))
+
+
+def ac_patterns(events: DataFrame, phases: list[str], tolerance: int = 600) -> DataFrame:
+    """(house_id, kind, phase, session, ...) of ac_sessions(): central ACs are sessions of runs on every phase at once (phase
+    null); regular ones those of a phase's other runs that look like an AC's."""
+    chains = staged(chained_nearest(events, phases, tolerance))
+    central = ac_sessions(central_runs(events, chains, phases), ["house_id"], valid=False, strong=False)
+    used = chains.select(F.explode(F.array(*[f"id_{p}" for p in phases])).alias("id"))
+    regular = ac_sessions(events.join(used, "id", "left_anti"), ["house_id", "phase"])
+    both = central.withColumns({"kind": F.lit("central_ac"), "phase": F.lit(None).cast("string")}).unionByName(regular.withColumn("kind", F.lit("regular_ac")))
+    return both.select("house_id", "kind", "phase", "session", "start", "end", "cycles", "magnitude", "most")
+
+
+def ac_sessions(runs: DataFrame, keys: list[str], valid: bool = True, strong: bool = True) -> DataFrame:
+    """(keys, session, start, end, cycles, magnitude, ...): compressor runs (start, end, magnitude, duration, id) at most an hour
+    apart as sessions. With ``valid`` only those of a first run of 15 minutes or more and three more, alike (20 %).
+    Without ``strong`` all runs count.
+
+    Runs are strong and of cycle length, or long enough to be the first. Ends are times of the day of the start, to the
+    minute, as they are stored: a run past midnight ends, for the next one's gap, on the day it began."""
+    kept = runs.where((_size() >= AC_WATTS) & (F.col("duration").between(*CYCLE_MINUTES) | (F.col("duration") >= AC_INITIAL_MINUTES))) if strong else runs
+    day = F.floor(F.col("start") / 86_400) * 86_400
+    minute = lambda c: F.floor(F.col(c) / 60) * 60
+    rows = kept.withColumns({"_at": minute("start"), "_till": day + F.floor((F.col("end") % 86_400) / 60) * 60})
+    w = W.partitionBy(*keys).orderBy("_at", "start", "id")
+    fresh = F.when(F.col("_at") - F.lag("_till").over(w) <= AC_GAP_MINUTES * 60, 0).otherwise(1)
+    rows = rows.withColumn("_fresh", fresh).withColumn("session", F.sum("_fresh").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    whole = F.floor(_size())
+    found = rows.groupBy(*keys, "session").agg(
+        F.min("_at").alias("start"), F.max_by("_till", F.struct("_at", "start", "id")).alias("end"), F.count("*").alias("cycles"), F.avg(whole).alias("magnitude"), F.max(whole).alias("most"),
+        F.min_by("duration", F.struct("_at", "start", "id")).alias("first_minutes"), F.when(F.avg(whole) > 0, F.stddev_pop(whole) / F.avg(whole)).otherwise(0.0).alias("cv"),
+    )
+    good = (F.col("cycles") >= AC_RUNS) & (F.round("first_minutes") >= AC_INITIAL_MINUTES) & (F.col("cv") <= AC_CV)
+    return found.where(good) if valid else found
+
+
+def usage(sessions: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n_sessions, a count of each season, day, night) of sessions by their start; day is from 6 to 18."""
+    at = F.timestamp_seconds("start")
+    day = (F.floor(F.col("start") / 3600) % 24).between(6, 17)
+    seasons = [F.count_if(F.month(at).isin(*months)).alias(name) for name, months in SEASONS.items()]
+    return sessions.groupBy(*keys).agg(F.count("*").alias("n_sessions"), *seasons, F.count_if(day).alias("day"), F.count_if(~day).alias("night"))
+
+
+def time_distribution(events: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n, a count of each six hours, peak_hour, quiet_hour): of hours with any event the fullest and the emptiest,
+    the earlier of equals. ``events`` (keys, start)."""
+    hours = events.groupBy(*keys, (F.floor(F.col("start") / 3600) % 24).alias("hour")).agg(F.count("*").alias("c"))
+    parts = [F.coalesce(F.sum(F.when(F.floor(F.col("hour") / 6) == k, F.col("c"))), F.lit(0)).alias(name) for k, name in enumerate(("night", "morning", "afternoon", "evening"))]
+    peak = F.min(F.struct((-F.col("c")).alias("c"), "hour"))["hour"].alias("peak_hour")
+    return hours.groupBy(*keys).agg(F.sum("c").alias("n"), *parts, peak, F.min(F.struct("c", "hour"))["hour"].alias("quiet_hour"))
 
 
 # ---------------------------------------------------------------- across houses

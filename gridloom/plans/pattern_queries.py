@@ -27,13 +27,34 @@ def runs(spark, sf_dir) -> DataFrame:
     )
 
 
-@query(RUNS_SQL + """,
+#: Chains in recursive SQL: a house's chains are asked one after the other, ``used`` are the runs of those taken.
+CHAIN_SQL = "WITH RECURSIVE" + RUNS_SQL.removeprefix("WITH") + """,
 b2 AS (SELECT * FROM (SELECT a.id AS i1, a.house_id, a.s AS s1, b.id AS i2, b.s AS s2, row_number() OVER (PARTITION BY a.id ORDER BY abs(b.s - a.s), b.s, b.id) AS n FROM r a JOIN r b ON a.house_id = b.house_id AND a.phase = 'w1' AND b.phase = 'w2' AND abs(b.s - a.s) <= 14400) WHERE n = 1),
 b3 AS (SELECT * FROM (SELECT b2.*, c.id AS i3, c.s AS s3, row_number() OVER (PARTITION BY i1 ORDER BY abs(c.s - s1), c.s, c.id) AS m FROM b2 JOIN r c ON b2.house_id = c.house_id AND c.phase = 'w3' AND abs(c.s - s1) <= 14400) WHERE m = 1),
-u2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY i2 ORDER BY s1, i1) AS k FROM b3) WHERE k = 1), u3 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY i3 ORDER BY s1, i1) AS j FROM u2) WHERE j = 1)
-SELECT house_id, i1 AS id_w1, i2 AS id_w2, i3 AS id_w3 FROM u3""")
+n AS (SELECT house_id, i1, i2, i3, row_number() OVER (PARTITION BY house_id ORDER BY s1, i1) AS k FROM b3),
+walk AS (SELECT DISTINCT house_id, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS used, false AS good, CAST(NULL AS BIGINT) AS i1, CAST(NULL AS BIGINT) AS i2, CAST(NULL AS BIGINT) AS i3 FROM n
+  UNION ALL SELECT house_id, k, CASE WHEN good THEN list_concat(used, [i1, i2, i3]) ELSE used END, good, i1, i2, i3
+  FROM (SELECT w.house_id, n.k, w.used, n.i1, n.i2, n.i3, NOT list_has_any(w.used, [n.i1, n.i2, n.i3]) AS good FROM walk w JOIN n ON n.house_id = w.house_id AND n.k = w.k + 1)),
+u3 AS (SELECT house_id, i1, i2, i3 FROM walk WHERE good)"""
+PHASES = ["w1", "w2", "w3"]
+
+
+@query(CHAIN_SQL + " SELECT house_id, i1 AS id_w1, i2 AS id_w2, i3 AS id_w3 FROM u3")
 def chained_asof(spark, sf_dir):
-    return patterns.chained_nearest(runs(spark, sf_dir), ["w1", "w2", "w3"], 14_400)
+    return patterns.chained_nearest(runs(spark, sf_dir), PHASES, 14_400)
+
+
+@query(CHAIN_SQL + """, a AS (SELECT u3.house_id, i1 AS id, max(r.s) FILTER (WHERE r.id = i1) AS s, max(r.e) AS e, sum(magnitude) AS magnitude, avg(duration) AS duration FROM u3 JOIN r ON r.id IN (i1, i2, i3) GROUP BY u3.house_id, i1),
+t AS (SELECT house_id, 'central_ac' AS kind, CAST(NULL AS VARCHAR) AS phase, id, s, e, magnitude, duration FROM a
+  UNION ALL SELECT house_id, 'regular_ac', phase, id, s, e, magnitude, duration FROM r WHERE magnitude >= 800 AND (duration BETWEEN 3 AND 30 OR duration >= 15) AND NOT EXISTS (SELECT 1 FROM u3 WHERE r.id IN (i1, i2, i3))),
+m AS (SELECT *, s // 60 * 60 AS mn, s // 86400 * 86400 + e % 86400 // 60 * 60 AS till FROM t),
+q AS (SELECT *, sum(f) OVER (PARTITION BY house_id, kind, phase ORDER BY mn, s, id ROWS UNBOUNDED PRECEDING) AS session FROM (SELECT *, CASE WHEN mn - lag(till) OVER (PARTITION BY house_id, kind, phase ORDER BY mn, s, id) <= 3600 THEN 0 ELSE 1 END AS f FROM m)),
+g AS (SELECT house_id, kind, phase, CAST(session AS BIGINT) AS session, min(mn) AS "start", last(till ORDER BY mn, s, id) AS "end", count(*) AS cycles, avg(floor(magnitude)) AS magnitude, CAST(max(floor(magnitude)) AS BIGINT) AS most, first(duration ORDER BY mn, s, id) AS first_minutes,
+  coalesce(stddev_pop(floor(magnitude)) / nullif(avg(floor(magnitude)), 0), 0) AS cv FROM q GROUP BY house_id, kind, phase, session)
+SELECT house_id, kind, phase, session, "start", "end", cycles, round(magnitude, 4) AS magnitude, most FROM g WHERE kind = 'central_ac' OR cycles >= 4 AND first_minutes >= 15 AND cv <= 0.2""")
+def ac_patterns(spark, sf_dir):
+    """Central ACs as sessions of chains over all phases, regular ACs as sessions of what chains leave."""
+    return rounded(patterns.ac_patterns(runs(spark, sf_dir), PHASES, 14_400))
 
 
 NEAR_SQL = RUNS_SQL + """, b AS (SELECT * FROM r WHERE duration >= 15 AND magnitude >= 1500)"""
@@ -233,17 +254,36 @@ def tag_parts(spark, sf_dir):
     return rounded(rows.groupBy("part").agg(F.count("*").alias("n"), F.percentile("magnitude", F.lit(0.9)).alias("p90")))
 
 
-@query(RUNS_SQL + f""", t AS (SELECT *, {TYPED} AS device_type FROM r), q AS (SELECT *, sum(f) OVER (PARTITION BY house_id, phase, device_type ORDER BY s, id ROWS UNBOUNDED PRECEDING) AS session FROM (SELECT *, CASE WHEN s - lag(e) OVER (PARTITION BY house_id, phase, device_type ORDER BY s, id) <= 86400 THEN 0 ELSE 1 END AS f FROM t)),
-g AS (SELECT device_type, house_id, phase, session, count(*) AS n, min_by(duration, s) AS first_minutes, stddev_pop(magnitude) / avg(magnitude) AS cv, min(s) AS st FROM q GROUP BY device_type, house_id, phase, session)
-SELECT device_type, count(*) AS n_sessions, count(*) FILTER (WHERE n >= 4 AND first_minutes >= 15 AND cv <= 0.5) AS n_valid, count(*) FILTER (WHERE (st // 3600) % 24 BETWEEN 6 AND 17) AS n_day, count(*) FILTER (WHERE NOT (st // 3600) % 24 BETWEEN 6 AND 17) AS n_night FROM g GROUP BY device_type""")
+AC_SQL = RUNS_SQL + f""", t AS (SELECT *, {TYPED} AS device_type, s // 60 * 60 AS mn, s // 86400 * 86400 + e % 86400 // 60 * 60 AS till FROM r WHERE magnitude >= 800 AND (duration BETWEEN 3 AND 30 OR duration >= 15)),
+q AS (SELECT *, sum(f) OVER (PARTITION BY house_id, phase, device_type ORDER BY mn, s, id ROWS UNBOUNDED PRECEDING) AS session FROM (SELECT *, CASE WHEN mn - lag(till) OVER (PARTITION BY house_id, phase, device_type ORDER BY mn, s, id) <= 3600 THEN 0 ELSE 1 END AS f FROM t)),
+g AS (SELECT house_id, phase, device_type, CAST(session AS BIGINT) AS session, min(mn) AS "start", last(till ORDER BY mn, s, id) AS "end", count(*) AS cycles, avg(floor(magnitude)) AS magnitude, CAST(max(floor(magnitude)) AS BIGINT) AS most, first(duration ORDER BY mn, s, id) AS first_minutes,
+  coalesce(stddev_pop(floor(magnitude)) / nullif(avg(floor(magnitude)), 0), 0) AS cv FROM q GROUP BY house_id, phase, device_type, session)"""
+
+
+@query(AC_SQL + """ SELECT device_type, count(*) AS n_sessions, count(*) FILTER (WHERE month(make_timestamp("start" * 1000000)) IN (12, 1, 2)) AS winter, count(*) FILTER (WHERE month(make_timestamp("start" * 1000000)) IN (3, 4, 5)) AS spring,
+  count(*) FILTER (WHERE month(make_timestamp("start" * 1000000)) IN (6, 7, 8)) AS summer, count(*) FILTER (WHERE month(make_timestamp("start" * 1000000)) IN (9, 10, 11)) AS fall, count(*) FILTER (WHERE ("start" // 3600) % 24 BETWEEN 6 AND 17) AS day, count(*) FILTER (WHERE NOT ("start" // 3600) % 24 BETWEEN 6 AND 17) AS night
+FROM g GROUP BY device_type""")
 def usage_patterns(spark, sf_dir):
-    """Sessions of activations by device type: how many are valid (a long first run, three more, alike), and
-    how many start by day and by night."""
-    keys = ["device_type", "house_id", "phase"]
-    rows = sessions.sessionise(activations(spark, sf_dir), keys, "start", "end", 86_400, "id")
-    found = rows.groupBy(*keys, "session").agg(F.count("*").alias("n"), F.min_by("duration", "start").alias("first_minutes"), (F.stddev_pop("magnitude") / F.avg("magnitude")).alias("cv"), F.min("start").alias("at"))
-    day = (F.floor(F.col("at") / 3600) % 24).between(6, 17)
-    return found.groupBy("device_type").agg(F.count("*").alias("n_sessions"), F.count_if((F.col("n") >= 4) & (F.col("first_minutes") >= 15) & (F.col("cv") <= 0.5)).alias("n_valid"), F.count_if(day).alias("n_day"), F.count_if(~day).alias("n_night"))
+    """Sessions of compressor runs by device type, season and time of day."""
+    found = patterns.ac_sessions(activations(spark, sf_dir), ["house_id", "phase", "device_type"], valid=False)
+    return patterns.usage(found, ["device_type"])
+
+
+@query(AC_SQL + """ SELECT house_id, phase, device_type, session, "start", "end", cycles, round(magnitude, 4) AS magnitude, most, round(first_minutes, 4) AS first_minutes, round(cv, 4) AS cv, cycles >= 4 AND first_minutes >= 15 AND cv <= 0.2 AS valid FROM g""")
+def ac_sessions(spark, sf_dir):
+    """Compressor runs at most an hour apart as sessions, and which of them look like an AC's."""
+    keys = ["house_id", "phase", "device_type"]
+    rows = staged(activations(spark, sf_dir))
+    good = patterns.ac_sessions(rows, keys).select(*keys, "session", F.lit(True).alias("valid"))
+    return rounded(patterns.ac_sessions(rows, keys, valid=False).join(good, [*keys, "session"], "left").na.fill(False, ["valid"]))
+
+
+@query(RUNS_SQL + """, h AS (SELECT house_id, (s // 3600) % 24 AS hour, count(*) AS c FROM r GROUP BY ALL)
+SELECT house_id, CAST(sum(c) AS BIGINT) AS n, CAST(coalesce(sum(c) FILTER (WHERE hour < 6), 0) AS BIGINT) AS night, CAST(coalesce(sum(c) FILTER (WHERE hour BETWEEN 6 AND 11), 0) AS BIGINT) AS morning, CAST(coalesce(sum(c) FILTER (WHERE hour BETWEEN 12 AND 17), 0) AS BIGINT) AS afternoon,
+  CAST(coalesce(sum(c) FILTER (WHERE hour >= 18), 0) AS BIGINT) AS evening, CAST(first(hour ORDER BY c DESC, hour) AS BIGINT) AS peak_hour, CAST(first(hour ORDER BY c, hour) AS BIGINT) AS quiet_hour FROM h GROUP BY house_id""")
+def time_distribution(spark, sf_dir):
+    """When a house's runs begin: by six hours, and the fullest and emptiest hour."""
+    return rounded(patterns.time_distribution(runs(spark, sf_dir), ["house_id"]))
 
 
 @query(RUNS_SQL + """, q AS (SELECT *, sum(f) OVER (PARTITION BY house_id ORDER BY s, id ROWS UNBOUNDED PRECEDING) AS grp FROM (SELECT *, CASE WHEN s - lag(s) OVER (PARTITION BY house_id ORDER BY s, id) <= 600 THEN 0 ELSE 1 END AS f FROM r WHERE event_type = 'view'))

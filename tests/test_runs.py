@@ -57,6 +57,12 @@ def test_a_taken_overlap_is_passed_over_for_the_next(spark):
     assert patterns.synced(spark.createDataFrame([], RUN)).count() == 0
 
 
+def test_a_chain_that_is_passed_over_frees_its_runs(spark):
+    rows = [(1, 1, "w1", 0, 60), (1, 2, "w1", 100, 160), (1, 3, "w1", 230, 300), (1, 11, "w2", 10, 60), (1, 12, "w2", 160, 200), (1, 21, "w3", 45, 60), (1, 22, "w3", 300, 360)]
+    found = patterns.chained_nearest(spark.createDataFrame(rows, RUN), ["w1", "w2", "w3"], 600)
+    assert sorted(map(tuple, found.collect())) == [(1, 1, 11, 21), (1, 3, 12, 22)]  # (2, 12, 21) is not taken, so 12 is free for 3
+
+
 # ---------------------------------------------------------------- linkage
 
 

@@ -7,12 +7,12 @@ rows greedily. Readings are long: (house_id, phase, ts, event_id, watts), missin
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from gridloom.operators.profile import piecewise
+from gridloom.operators.stretches import dealt, over_stretches
 from gridloom.sources.tables import SERIES, by
 
 # Knots of the points (fixed values): x -> points, linear between.
@@ -73,13 +73,13 @@ def compressors(series: DataFrame, least: int = 100) -> DataFrame:
     """(house_id, month, phase, cycles, n): compressor cycles of every month, in order of (ts, event_id)."""
     keys = ["house_id", "month", "phase"]
 
-    def count(group: pd.DataFrame) -> pd.DataFrame:
-        watts = group[group.watts.notna()].sort_values(["ts", "event_id"]).watts.to_numpy(float)
-        out = group[keys].head(1).copy()
-        return out.assign(cycles=compressor_cycles(np.diff(watts)) if len(watts) >= least else None, n=len(watts)).astype({"cycles": "Int64"})
+    def count(part: dict) -> list[tuple]:
+        watts = part["watts"].astype(float)
+        watts = watts[~np.isnan(watts)]
+        return [(compressor_cycles(np.diff(watts)) if len(watts) >= least else None, len(watts))]
 
-    kinds = dict(series.dtypes)
-    return series.select(*keys, "ts", "event_id", "watts").groupBy(*keys).applyInPandas(count, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", cycles long, n long")
+    rows = series.select(*keys, "ts", "event_id", "watts")
+    return over_stretches(dealt(rows, keys), keys, ["ts", "event_id"], count, "cycles long, n long")
 
 
 def month_measures(series: DataFrame) -> DataFrame:

@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from gridloom.operators import holes, kernels, matching, patterns, recovery, sessions
+from gridloom.operators import holes, matching, patterns, recovery, sessions
 from gridloom.operators.detection import MONTHLY
-from gridloom.plans.disaggregate import Result, disaggregate
-from gridloom.plans.pattern_queries import runs
+from gridloom.operators.sessions import match_tag
+from gridloom.plans.disaggregate import Result, disaggregate, edge_pairs
+from gridloom.plans.pattern_queries import sessioned
 from gridloom.plans.registry import query, rounded
 from gridloom.sources import ingest, versions
-from gridloom.sources.tables import read, reading_grid
+from gridloom.sources.tables import dense_grid, read, reading_grid
 from gridloom.sources.work import staged
 
 KEYS = list(MONTHLY)
@@ -77,9 +78,12 @@ def profile_documents(spark, sf_dir):
 
 @query()
 def repaired_holes(spark, sf_dir):
-    """Waves that replace rectangles which have torn holes into what remains of the stored run."""
-    matches = run_matches(spark, sf_dir)
-    _, records, _ = holes.repair_holes(matches, run_remaining(spark, sf_dir), tuple(SERIES))
+    """Waves in place of rectangles that would tear holes into the readings: every ON edge with its longest possible OFF."""
+    grid = staged(dense_grid(spark, sf_dir).select(*SERIES, "m", "watts"))
+    longest = W.partitionBy(*SERIES, "on_id").orderBy(F.desc("minutes"), "difference", "off_id")
+    pairs = edge_pairs(grid, 800).withColumn("nth", F.row_number().over(longest)).where("nth = 1")
+    matches = pairs.withColumns({"tag": match_tag(F.col("on_magnitude"), F.col("off_magnitude"), F.col("minutes")), "iteration": F.lit(0)})
+    _, records, _ = holes.repair_holes(matches, grid, tuple(SERIES))
     return rounded(records)
 
 
@@ -109,13 +113,11 @@ def guided_cycles(spark, sf_dir):
 
 @query()
 def central_acs(spark, sf_dir):
-    """Central ACs: cycling sequences of several phases that run together, each in one of them; regular ACs are the rest."""
-    events = runs(spark, sf_dir)
-    minutes = events.withColumns({"start": F.col("start") / 60, "end": F.col("end") / 60}).select(*SERIES, "id", "start", "end", "magnitude", "iteration")
-    marked = kernels.cycling(minutes).where("sequence >= 0").select("id", "sequence")
-    rows = staged(events.join(marked, "id"))
-    keys = [*SERIES, "sequence"]
-    blocks = staged(rows.groupBy(*keys).agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("id").alias("id"), F.avg(F.abs("magnitude")).alias("magnitude"), F.avg("duration").alias("duration")))
+    """Central ACs: sessions of several runs that run together on several phases, each in one of them; regular ACs are the rest."""
+    keys = [*SERIES, "session"]
+    rows = staged(sessioned(spark, sf_dir))
+    blocks = rows.groupBy(*keys).agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("id").alias("id"), F.avg(F.abs("magnitude")).alias("magnitude"), F.avg("duration").alias("duration"), F.count("*").alias("n"))
+    blocks = staged(blocks.where("n >= 2").drop("n"))
     like = patterns.ac_scores(patterns.cycling_measures(rows, keys)).join(blocks.select(*keys, "id"), keys).select("id", "ac_like", "confidence")
     links = staged(patterns.synced(blocks))
     members = links.select("l_id", F.col("r_id").alias("id")).unionByName(links.select("l_id", F.col("l_id").alias("id")).distinct())

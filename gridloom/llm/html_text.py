@@ -57,8 +57,10 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
     nodes, blocks, stack = [Node("html", -1, ())], [], [("html", 0)]
     held: list[str] = []
     at, links, hollow = 0, 0, 0
-    inner = [0]  # depths of the open blocks, which are walked without the inline elements between them
-    count: dict[str, int] = {}  # open elements by tag
+    inner = [0]  # depths of the open blocks
+    scopes = [0]  # depths of the open blocks that optional end tags don't look behind
+    open_at: dict[str, list[int]] = {}  # depths of the open elements by tag, so that no tag makes the stack be walked
+    outer = 0  # depth of the outermost hollow element
 
     def flush() -> None:
         if held:
@@ -81,24 +83,31 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
         nonlocal links, hollow
         while len(stack) > depth:
             tag, node = stack.pop()
-            count[tag] -= 1
+            open_at[tag].pop()
             if node >= 0:
                 inner.pop()
+                if tag in SCOPE:
+                    scopes.pop()
             links -= tag == "a"
             hollow -= tag in HOLLOW
 
     def push(tag: str, node: int) -> None:
-        count[tag] = count.get(tag, 0) + 1
+        open_at.setdefault(tag, []).append(len(stack))
         if node >= 0:
             inner.append(len(stack))
+            if tag in SCOPE:
+                scopes.append(len(stack))
         stack.append((tag, node))
 
+    def last(*tags: str) -> int:
+        """Depth of the innermost open element of these tags, 0 if none is open."""
+        return max((open_at[t][-1] for t in tags if open_at.get(t)), default=0)
+
     def leave_for(tag: str) -> None:
         """A block's start closes an open svg (but not inside its foreignObject) and an option outside a select."""
-        first = next(d for d, (t, _) in enumerate(stack) if t in HOLLOW)
-        inside = [t for t, _ in stack[first:]]
-        if tag in ENDS_P and (inside[0] == "option" or (inside[0] == "svg" and "foreignobject" not in inside)):
-            pop_to(first)
+        kind = stack[outer][0]
+        if tag in ENDS_P and (kind == "option" or (kind == "svg" and last("foreignobject") < outer)):
+            pop_to(outer)
 
     while m := TAG.search(html, at):
         add(html[at : m.start()])
@@ -107,14 +116,11 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
             continue
         tag = m[2].lower()
         if m[1]:
-            if not count.get(tag):
-                continue
-            if tag in INLINE:  # an inline end never closes a block
-                depth = next((d for d in range(len(stack) - 1, inner[-1], -1) if stack[d][0] == tag), 0)
-            else:
-                depth = next((d for d in range(len(stack) - 1, 0, -1) if stack[d][0] == tag), 0)
-                if depth and inner[-1] >= depth:
-                    flush()
+            depth = last(tag)
+            if depth and tag in INLINE:  # an inline end never closes a block
+                depth = depth if depth > inner[-1] else 0
+            elif depth and inner[-1] >= depth:
+                flush()
             if depth:
                 pop_to(depth)
             continue
@@ -122,15 +128,16 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
             leave_for(tag)
         empty = m[3].endswith("/")
         if tag in RAW:
-            if empty and count.get("svg"):
+            if empty and last("svg"):
                 continue
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
             at = end.end() if end else len(html)
             continue
         if hollow or tag in HOLLOW:
-            if tag == "option" and (d := next((d for d in range(len(stack) - 1, 0, -1) if stack[d][0] in ("option", "select", "datalist")), 0)) and stack[d][0] == "option":
+            if tag == "option" and (d := last("option", "select", "datalist")) and stack[d][0] == "option":
                 pop_to(d)
             if tag not in VOID and not empty:
+                outer = outer if hollow else len(stack)
                 push(tag, -1)
                 links += tag == "a"
                 hollow += tag in HOLLOW
@@ -145,17 +152,11 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 links += tag == "a"
             continue
         flush()
-        if tag == "html" or (tag == "body" and count.get("body")):
+        if tag == "html" or (tag == "body" and last("body")):
             continue
-        closes = SAME.get(tag)
-        may_end = (tag in ENDS_P and count.get("p")) or (closes and any(count.get(t) for t in ALIKE[closes])) or (tag == "body" and count.get("head"))
-        for d in (inner[i] for i in range(len(inner) - 1, 0, -1)) if may_end else ():
-            open_tag = stack[d][0]
-            if (open_tag == "p" and tag in ENDS_P) or (closes and SAME.get(open_tag) == closes) or (open_tag == "head" and tag == "body"):
-                pop_to(d)
-                break
-            if open_tag in SCOPE:
-                break
+        ends = (("p",) if tag in ENDS_P else ()) + tuple(ALIKE.get(SAME.get(tag), ())) + (("head",) if tag == "body" else ())
+        if (d := last(*ends)) > scopes[-1]:
+            pop_to(d)
         names = tuple(dict.fromkeys(p.lower() for g in NAMES.findall(m[3]) for p in PART.findall("".join(g)))) if m[3] else ()
         nodes.append(Node(tag, stack_node(), names))
         if not empty:
@@ -268,7 +269,7 @@ OTHER_NAMES = {
 }
 
 
-def labelled_pages(n: int = 400, seed: int = 11) -> list[tuple[str, set[str]]]:
+def labelled_pages(n: int = 900, seed: int = 11) -> list[tuple[str, set[str]]]:
     """(html, words of the article): pages with layouts, names and lengths drawn at random."""
     rng = random.Random(seed)
     word = lambda: "".join(rng.choice(("ba", "re", "ti", "on", "el", "ma", "su", "ke")) for _ in range(rng.randint(1, 4)))
@@ -284,7 +285,7 @@ def labelled_pages(n: int = 400, seed: int = 11) -> list[tuple[str, set[str]]]:
 
         def named(kind: str, tag: str) -> str:
             names = OTHER_NAMES[kind]
-            return f' class="{rng.choice(names)}"' if tag == "div" or rng.random() < 0.3 else ""
+            return f' class="{rng.choice(names)}"' if tag in ("div", "section") or rng.random() < 0.3 else ""
 
         def linked() -> str:
             items = "".join(f"<li><a href='#'>{say(1, 2)}</a></li>" for _ in range(rng.randint(2, 8)))
@@ -316,31 +317,64 @@ def labelled_pages(n: int = 400, seed: int = 11) -> list[tuple[str, set[str]]]:
                 return f'<{tag} class="{rng.choice(OTHER_NAMES[kind])}">{body}</{tag}>'
             return f"<{tag}{named(kind, tag)}>{body}</{tag}>"
 
+        def heading() -> str:
+            k = rng.choice((2, 2, 3, 3, 4, 5, 6))
+            return f"<h{k}>{say(1, 6, True)}</h{k}>"
+
         def paragraph() -> str:
-            text = say(1, rng.choice((3, 20, 120)), True)
+            mine = lambda lo, hi: say(lo, hi, True)
+            text = mine(1, rng.choice((3, 20, 120)))
             kind = rng.random()
-            if kind < 0.7:
+            if kind < 0.52:
                 return f"<p>{text}</p>" if rng.random() < 0.8 else f"<p><b>{text}<br>"
-            if kind < 0.8:
-                return f"<h2>{say(1, 6, True)}</h2>"
-            if kind < 0.86:
-                return "<ul>" + "".join(f"<li>{say(1, 12, True)}</li>" for _ in range(rng.randint(1, 4))) + "</ul>"
-            if kind < 0.9:
+            if kind < 0.62:
+                return heading()
+            if kind < 0.68:
+                tag = rng.choice(("ul", "ul", "ol"))
+                return f"<{tag}>" + "".join(f"<li>{mine(1, 12)}</li>" for _ in range(rng.randint(1, 4))) + f"</{tag}>"
+            if kind < 0.72:
                 return f"<blockquote><p>{text}</p></blockquote>"
-            if kind < 0.93:
+            if kind < 0.75:
                 return f"<pre>{text}</pre>"
+            if kind < 0.80:
+                caption = f"<caption>{mine(1, 6)}</caption>" if rng.random() < 0.6 else ""
+                head = f"<tr><th>{mine(1, 3)}</th><th>{mine(1, 3)}</th></tr>" if rng.random() < 0.6 else ""
+                return f"<table>{caption}{head}<tr><td>{mine(1, 5)}</td><td>{mine(1, 5)}</td></tr></table>"
+            if kind < 0.84:
+                return f"<figure><img src='x'><figcaption>{mine(1, 12)}</figcaption></figure>"
+            if kind < 0.88:
+                return "<dl>" + "".join(f"<dt>{mine(1, 3)}</dt><dd>{mine(1, 12)}</dd>" for _ in range(rng.randint(1, 3))) + "</dl>"
+            if kind < 0.90:
+                return f"<address>{mine(1, 8)}</address>"
+            if kind < 0.92:
+                return f"<details><summary>{mine(1, 5)}</summary><p>{text}</p></details>"
             if kind < 0.96:
-                return f"<table><tr><td>{say(1, 5, True)}</td><td>{say(1, 5, True)}</td></tr></table>"
-            return f"<p>{text} <a href='#'>{say(1, 3, True)}</a></p>"
-
+                return f"<div>{text}</div>" if rng.random() < 0.5 else f"<div><p>{text}</p><p>{mine(1, 20)}</p></div>"
+            return f"<p>{text} <a href='#'>{mine(1, 3)}</a></p>"
+
+        def sectioned(parts: list[str]) -> str:
+            """Paragraphs in sections or bare divs, which are content as the article is."""
+            tag, out, at = rng.choice(("section", "section", "div")), "", 0
+            while at < len(parts):
+                k = rng.randint(1, 4)
+                out += f"<{tag}>{heading() if rng.random() < 0.8 else ''}{''.join(parts[at : at + k])}</{tag}>"
+                at += k
+            return out
+
+        if rng.random() < 0.06:  # text without blocks around it
+            lines = "<br>".join(say(1, 60, True) for _ in range(rng.randint(1, 4)))
+            out.append((lines if rng.random() < 0.5 else f"<html><head><title>{say(1, 5)}</title></head><body>{lines}</body></html>", article))
+            continue
         inner = f"<h1>{say(1, 9, True)}</h1>" if rng.random() < 0.8 else ""
+        if inner and rng.random() < 0.25:
+            inner = f"<header>{inner}</header>"
         parts = [paragraph() for _ in range(rng.choice((1, 1, 2, 3, 5, 8, 12)))]
         for _ in range(rng.randint(0, 2)):
             parts.insert(rng.randint(0, len(parts)), other(rng.choice(("ad", "share", "aside", "notice", "form"))))
-        inner += "".join(parts)
-        tag = rng.choice(("article", "article", "main", "div", "div", "section"))
-        name = f' {rng.choice(("class", "id"))}="{rng.choice(ARTICLE_NAMES)}"' if tag in ("div", "section") or rng.random() < 0.3 else ""
-        main = f"<{tag}{name}>{inner}</{tag}>"
+        inner += sectioned(parts) if rng.random() < 0.35 else "".join(parts)
+        tag = rng.choice(("article", "article", "article", "main", "main", "div", "div", "section"))
+        name = f' {rng.choice(("class", "id"))}="{rng.choice(ARTICLE_NAMES)}"' if rng.random() < (0.7 if tag in ("div", "section") else 0.3) else ""
+        main = f"<{tag}{name}>{inner}</{tag}>" if rng.random() < 0.92 else inner  # now and then the page itself holds the article
         if rng.random() < 0.3:
             main = f"<main>{main}{other('comments') if rng.random() < 0.5 else ''}</main>"
         before = "".join(other(k) for k in ("notice", "header", "nav", "form", "ad") if rng.random() < 0.5)

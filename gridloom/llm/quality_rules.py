@@ -1,7 +1,7 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions only.
 
 A rule is a predicate over measures of a text; a measure is SQL over the text and its words. On a random
-sample the cascade times every rule on raw texts and counts what it rejects, orders the rules by
+sample the cascade adds up the work of every rule and counts what it rejects, orders the rules by
 rejection per cost, and evaluates them as one CASE. A measure is written into the branches that ask
 for it and nowhere else, so a rejected text never pays for the rules behind: the repeated 8-word
 windows, by far the dearest measure, are only looked for in texts that every cheaper rule passed.
@@ -10,11 +10,9 @@ The order changes what is computed, never which rows are kept.
 
 from __future__ import annotations
 
-import math
-import time
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.work import table, work_table
@@ -56,6 +54,23 @@ MEASURES = {
 #: What op7's contract returns of every text, rejected or not.
 REPORTED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
+#: Work of a measure: characters and array elements that it touches, those that a pattern or a hash looks at
+#: REGEX-fold. It depends on the text alone, so that costs, and the order with them, are the same on any machine.
+REGEX = 4
+_chars, _word = "char_length({t})", "size({w})"
+_by_line = f"({REGEX} * {_chars} + size(split({{t}}, '\\n')))"
+WORK = {
+    "n_words": "1",
+    "word_chars": f"({_chars} + {_word})",
+    "n_symbols": f"{REGEX} * {_chars}",
+    "n_lines": _by_line,
+    "n_dup_lines": f"(2 * {_by_line})",
+    "n_repeat_words": f"({WINDOW * REGEX} * {_word} + {_chars})",
+    "n_exclamations": f"{REGEX} * {_chars}",
+    "n_upper": f"{REGEX} * {_chars}",
+    "n_letters": f"{REGEX} * {_chars}",
+}
+
 
 def measure(name: str, text: str, words: str) -> str:
     return MEASURES[name].replace("{t}", text).replace("{w}", words)
@@ -75,6 +90,11 @@ class Rule:
             out = out.replace(f"<{name}>", name if name in known else f"({measure(name, text, words)})")
         return out
 
+    def work(self, text: str, words: str) -> str:
+        """SQL: the work of the predicate on one text, every use of a measure counted."""
+        parts = [f"{self.rejects.count(f'<{m}>')} * {w}" for m, w in WORK.items() if f"<{m}>" in self.rejects]
+        return " + ".join(parts or ["1"]).replace("{t}", text).replace("{w}", words)
+
 
 #: Production rules of the method. Shares are of words, lines or letters of the whole text.
 RULES = (
@@ -101,31 +121,15 @@ def first_failed(rules: list[Rule], text: str = "text") -> str:
     return f"element_at(transform(array({WORDS.replace('{t}', text)}), words -> {_cased(rules, text, 'words')}), 1)"
 
 
-def _seconds(sample: DataFrame, predicate: Column) -> float:
-    """The least of three runs over the sample."""
-    best = math.inf
-    for _ in range(3):
-        began = time.perf_counter()
-        sample.agg(F.count_if(predicate)).collect()
-        best = min(best, time.perf_counter() - began)
-    return best
-
-
 def ordered(rules: tuple[Rule, ...], sample: DataFrame) -> list[Rule]:
-    """Rules by share rejected per cost on ``sample`` (text), best first.
-
-    The cost is the time of the whole rule from raw texts, less that of a rule that does nothing, to
-    the nearest power of two and not under 1/64 s, below which a job's time tells nothing: so the order
-    is the same from run to run unless costs are close to a power's edge. Ties go by cost, then name.
-    """
-    rejected = sample.agg(*[F.avg(F.expr(f"CASE WHEN {first_failed([r])} IS NULL THEN 0 ELSE 1 END")).alias(f"r{i}") for i, r in enumerate(rules)]).first()
-    idle = _seconds(sample, F.expr("char_length(text) < 0"))
-    rank = []
-    for i, rule in enumerate(rules):
-        seconds = max(_seconds(sample, F.expr(f"{first_failed([rule])} IS NOT NULL")) - idle, 1 / 64)
-        cost = 2.0 ** round(math.log2(seconds))
-        rank.append((-(rejected[i] or 0.0) / cost, cost, rule.name, rule))
-    return [rule for *_, rule in sorted(rank, key=lambda x: x[:3])]
+    """Rules by share rejected per cost on ``sample`` (text), best first; ties go by cost, then name. Cost is
+    the mean work of a text. One pass over the sample; the same sample gives the same order."""
+    rows = sample.select("text", F.expr(WORDS.replace("{t}", "text")).alias("words"))
+    rejected = [F.coalesce(F.avg(F.expr(f"CASE WHEN {r.sql('text', 'words')} THEN 1 ELSE 0 END")), F.lit(0.0)).alias(f"r{i}") for i, r in enumerate(rules)]
+    work = [F.coalesce(F.avg(F.expr(r.work("text", "words"))), F.lit(0.0)).alias(f"w{i}") for i, r in enumerate(rules)]
+    found = rows.agg(*rejected, *work).first()
+    cost = [max(found[f"w{i}"], 1.0) for i in range(len(rules))]
+    return [rules[i] for i in sorted(range(len(rules)), key=lambda i: (-found[f"r{i}"] / cost[i], cost[i], rules[i].name))]
 
 
 def order_for(docs: DataFrame, rules: tuple[Rule, ...], text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[Rule]:

@@ -219,8 +219,10 @@ def near_copy_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, i
 def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` (doc_id, text and any others) without near copies: of every group the row of
     the smallest doc_id stays (null ids last, then by hash), once."""
+    taken = {c.lower() for c in docs.columns}
+    names = [next(n for k in range(len(taken) + 1) if (n := f"_{kind}{'_' * k}") not in taken) for kind in ("k1", "k2")]
     groups = near_copy_groups(docs, width, similarity)
     first = groups.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")).alias("k"))
-    kept = first.select(F.col("k.k1").alias("_k1"), F.col("k.k2").alias("_k2"))
-    keyed = docs.withColumn("_k1", F.xxhash64("doc_id", "text")).withColumn("_k2", F.xxhash64(F.lit("again"), "doc_id", "text"))
-    return keyed.join(kept, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"]).select(*docs.columns)
+    kept = first.select(F.col("k.k1").alias(names[0]), F.col("k.k2").alias(names[1]))
+    keyed = docs.withColumns({names[0]: F.xxhash64("doc_id", "text"), names[1]: F.xxhash64(F.lit("again"), "doc_id", "text")})
+    return keyed.join(kept, names, "left_semi").dropDuplicates(names).select(*docs.columns)

@@ -15,6 +15,7 @@ def signal(*watts):
 HOLE = float("nan")
 
 
+# Signals and verdicts of the specified cases (fixed values); the last four are our own.
 @pytest.mark.parametrize(
     ("watts", "pair", "magnitude", "taken"),
     [
@@ -23,6 +24,10 @@ HOLE = float("nan")
         ([500, 500, 2070, 2070, 1400, 2700, 1400, 2700, 2070, 500, 500], (2, 2, 9, 9), 1570, False),
         ([500, 500, *[2000] * 6, 500, 500], (2, 2, 8, 8), 1500, True),
         ([200, 200, 2600, 2600, HOLE, HOLE, 200, 2600, 2600, 2600, 200, 200, 2600, 200, 200], (2, 2, 13, 13), 2400, False),
+        ([500, 500, 2000, 1200, 2000, 500, 500], (2, 2, 5, 5), 1500, True),  # a dip among two readings is no verdict
+        ([500, 500, 2000, 600, 2000, 2000, 500, 500], (2, 2, 6, 6), 1500, False),  # among three it is
+        ([500, 500, 2000, HOLE, 600, 2000, 500, 500], (2, 2, 6, 6), 1500, True),  # two of them known
+        ([500, 500, 2000, 2000, 2000, 2000, 500, 500], (2, 2, 6, 6), 1500, True),
     ],
 )
 def test_trial_subtraction(watts, pair, magnitude, taken):

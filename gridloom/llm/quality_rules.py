@@ -65,7 +65,7 @@ WORK = {
     "n_symbols": f"{REGEX} * {_chars}",
     "n_lines": _by_line,
     "n_dup_lines": f"(2 * {_by_line})",
-    "n_repeat_words": f"({WINDOW * REGEX} * {_word} + {_chars})",
+    "n_repeat_words": f"({WINDOW * REGEX} * {_chars} + {_word})",  # a hash looks at every character once for each window that holds it
     "n_exclamations": f"{REGEX} * {_chars}",
     "n_upper": f"{REGEX} * {_chars}",
     "n_letters": f"{REGEX} * {_chars}",

@@ -186,7 +186,8 @@ def stack_pairs(edges: DataFrame, keys: list[str], most: float = 360, difference
         group = group.sort_values(["at", "event", "id"]).reset_index(drop=True)
         pairs = last_in_first_out(group["at"].to_numpy(float), group.event.to_numpy(), group.magnitude.abs().to_numpy(float), most, difference)
         out = group.loc[[i for i, _ in pairs], keys].reset_index(drop=True)
-        return out.assign(on_id=[group.id[i] for i, _ in pairs], off_id=[group.id[j] for _, j in pairs])
+        ids = lambda rows: group.id.reindex(rows).to_numpy()  # noqa: E731 (of the ids' type, also where there are none)
+        return out.assign(on_id=ids([i for i, _ in pairs]), off_id=ids([j for _, j in pairs]))
 
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + f", on_id {kinds['id']}, off_id {kinds['id']}"
     return edges.select(*keys, "event", "id", "at", "magnitude").groupBy(*keys).applyInPandas(run, schema)

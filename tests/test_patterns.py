@@ -149,3 +149,10 @@ def test_guided_recovery_finds_the_cycle_that_was_missed(spark):
 def test_every_number_of_a_log_line(spark):
     lines = spark.createDataFrame([("REJECTED: negative min=-12.5 max= 7",), ("none",)], "value string")
     assert {(r.key, r.number) for r in ingest.numbers_of(lines).collect()} == {("min", -12.5), ("max", 7.0)}
+
+
+def test_stacks_of_series_without_pairs(spark):
+    edges_ = spark.createDataFrame([(1, "w1", "on", "a", 0, 900.0), (1, "w1", "off", "b", 5, -900.0), (2, "w1", "on", "c", 0, 900.0)], "house_id long, phase string, event string, id string, at long, magnitude double")
+    for some in (edges_, edges_.where("house_id = 2")):
+        got = patterns.stack_pairs(some, ["house_id", "phase"]).collect()
+        assert [(r.house_id, r.on_id, r.off_id) for r in got] == ([(1, "a", "b")] if some is edges_ else [])

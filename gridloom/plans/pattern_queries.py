@@ -383,7 +383,7 @@ def classifiers(events: DataFrame, apart: int = 3600) -> list:
 
     def recurring(left: DataFrame) -> DataFrame:
         parts = staged(sessions.sessionise(left, keys, "start", "end", 1800, "id"))
-        stats = parts.withColumn("threshold", F.col("iteration")).groupBy(*keys, "session").agg(F.min("start").alias("start"), F.avg("magnitude").alias("avg_magnitude"), F.avg("duration").alias("avg_duration"), F.count("*").alias("n_events"), F.coalesce(F.stddev_pop("magnitude") / F.avg("magnitude"), F.lit(0.0)).alias("magnitude_cv"))
+        stats = parts.withColumn("threshold", F.col("iteration")).groupBy(*keys, "session").agg(F.min("start").alias("start"), F.avg("magnitude").alias("avg_magnitude"), F.avg("duration").alias("avg_duration"), F.count("*").alias("n_events"), F.coalesce(F.try_divide(F.stddev_pop("magnitude"), F.avg("magnitude")), F.lit(0.0)).alias("magnitude_cv"))
         marked = kernels.recurring(stats, ("avg_magnitude", "avg_duration", "n_events", "magnitude_cv")).where("cluster >= 0")
         shaped = marked.select(*keys, "cluster", "session", "start", F.col("session").alias("id"), F.col("avg_magnitude").alias("magnitude"), F.col("avg_duration").alias("duration"))
         valid = patterns.cluster_scores(shaped, [*keys, "cluster"]).select(*keys, "cluster")

@@ -156,3 +156,10 @@ def test_stacks_of_series_without_pairs(spark):
     for some in (edges_, edges_.where("house_id = 2")):
         got = patterns.stack_pairs(some, ["house_id", "phase"]).collect()
         assert [(r.house_id, r.on_id, r.off_id) for r in got] == ([(1, "a", "b")] if some is edges_ else [])
+
+
+def test_recurring_step_of_the_cascade_with_runs_of_no_power(spark):
+    events = spark.createDataFrame([(1, "w1", n, n * 86_400, n * 86_400 + 600, 0.0 if n % 2 else 900.0, 10.0, 0) for n in range(12)], RUN)
+    name, step = classifiers(events)[-1]
+    assert name == "recurring_pattern"
+    assert {r.id for r in step(events).collect()} <= set(range(12))

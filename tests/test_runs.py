@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from gridloom.operators import holes, kernels, matching, patterns, recovery, sessions
 from gridloom.plans import catalogue, disaggregate, run_queries
 from gridloom.sources import files, ingest, responses, versions
+from gridloom.sources.work import staged
 from gridloom.streaming.sessions import streaming_sessions
 
 SF = "/root/testdata/sf0.001"
@@ -363,3 +364,14 @@ def test_live_sessions_are_those_of_the_batch(spark, tmp_path, n_files):
 def test_new_queries_run(spark):
     for name in ("repaired_holes", "recovered_waves", "guided_cycles", "central_acs"):
         assert catalogue.QUERIES[name](spark, SF).columns
+
+
+def test_large_stored_tables_are_not_broadcast(spark, capsys):
+    """Ids in order take few bytes in a file, so that the files' size lets the planner broadcast them."""
+    def plan(rows):
+        table = staged(spark.range(rows).withColumn("x", F.lit(1.0)))
+        table.join(spark.range(3_000_000), "id").explain()
+        return capsys.readouterr().out
+
+    assert "Broadcast" in plan(100)
+    assert "Broadcast" not in plan(400_000)

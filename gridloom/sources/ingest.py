@@ -97,9 +97,11 @@ def log_values(lines: DataFrame) -> DataFrame:
     return lines.select(F.when(reason != "", reason).otherwise(kind).alias("reason"), number.alias("number")).where("reason <> ''")
 
 
-def sampled_log(lines: DataFrame, most: int = 100_000) -> DataFrame:
-    """(reason, n_sampled, avg_value, least, most, p50) over a sample of at most ``most`` values a reason: exact up to that many."""
-    sample = bottom_sample(log_values(lines).where("number is not null"), ["reason"], most)
+def sampled_log(lines: DataFrame, most: int | None = 100_000) -> DataFrame:
+    """(reason, n_sampled, avg_value, least, most, p50) over a sample of at most ``most`` values a reason: exact up to that many.
+    With None over all values."""
+    values = log_values(lines).where("number is not null")
+    sample = values if most is None else bottom_sample(values, ["reason"], most)
     middle = medians(sample, ["reason"], "number", "p50")
     return sample.groupBy("reason").agg(F.count("*").alias("n_sampled"), F.avg("number").alias("avg_value"), F.min("number").alias("least"), F.max("number").alias("most")).join(middle, "reason")
 

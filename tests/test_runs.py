@@ -375,3 +375,10 @@ def test_large_stored_tables_are_not_broadcast(spark, capsys):
 
     assert "Broadcast" in plan(100)
     assert "Broadcast" not in plan(400_000)
+
+
+def test_every_value_of_a_log_counts_without_a_bound(spark):
+    lines = spark.range(100_500).select(F.concat(F.lit("07:00 REJECTED: low value="), F.col("id").cast("string")).alias("value"))
+    got = ingest.sampled_log(lines, most=None).collect()
+    assert [tuple(r) for r in got] == [("low", 100_500, 50_249.5, 0.0, 100_499.0, 50_249.5)]
+    assert ingest.sampled_log(lines).collect()[0].n_sampled == 100_000

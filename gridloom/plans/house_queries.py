@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from gridloom.operators import profile, quality, reports
 from gridloom.plans.registry import EPOCH, SEC, query, rounded
-from gridloom.sources.tables import HOLES_SQL, SERIES_SQL, as_raw, power_series, read
+from gridloom.sources.tables import HOLES_SQL, SERIES_SQL, as_raw, ordered_sum, power_series, read
 
 
 def phase_series(spark, sf_dir, holes: bool = True) -> DataFrame:
@@ -312,7 +312,7 @@ def flattened_reports(spark, sf_dir):
 SELECT house_id, coalesce(label, CAST(CAST(floor(score) AS BIGINT) AS VARCHAR)) AS pre_analysis, CASE WHEN label IS NULL THEN 'score' ELSE 'label' END AS kind FROM j""")
 def pre_analysis(spark, sf_dir):
     """Label of a faulty house or else its score, read from JSON reports."""
-    e = read(spark, sf_dir, "events").groupBy(F.col("user_id").alias("house_id")).agg(F.floor(F.avg("value")).alias("score"))
+    e = read(spark, sf_dir, "events").groupBy(F.col("user_id").alias("house_id")).agg(F.floor(ordered_sum(F.col("value"), "event_id") / F.count("value")).alias("score"))
     body = F.to_json(F.struct(F.struct(F.when(F.col("house_id") % 5 == 0, "faulty_dead_phase").alias("quality_label"), F.col("score").alias("quality_score")).alias("data_quality")))
     parsed = e.select("house_id", F.from_json(body, "data_quality struct<quality_label: string, quality_score: bigint>").alias("r"))
     label = F.col("r.data_quality.quality_label")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from gridloom.operators import holes, kernels, matching, patterns, recovery, sessions
 from gridloom.plans import catalogue, disaggregate, run_queries
 from gridloom.sources import files, ingest, responses, versions
+from gridloom.sources.tables import ordered_sum
 from gridloom.sources.work import staged
 from gridloom.streaming.sessions import streaming_sessions
 
@@ -382,3 +383,19 @@ def test_every_value_of_a_log_counts_without_a_bound(spark):
     got = ingest.sampled_log(lines, most=None).collect()
     assert [tuple(r) for r in got] == [("low", 100_500, 50_249.5, 0.0, 100_499.0, 50_249.5)]
     assert ingest.sampled_log(lines).collect()[0].n_sampled == 100_000
+
+
+def test_sums_in_order_do_not_hang_on_the_deal(spark):
+    values = [0.1, 0.2, 0.3, 1e16, 0.7, -1e16, 0.11]
+    rows = spark.createDataFrame([(n, x) for n, x in enumerate([*values, None])], "n int, x double")
+    for parts in (1, 3, 7):
+        got = rows.repartition(parts).agg(ordered_sum(F.col("x"), "n").alias("s")).collect()[0].s
+        assert got == sum_in_order(values)
+    assert rows.where("x is null").agg(ordered_sum(F.col("x"), "n").alias("s")).collect()[0].s is None
+
+
+def sum_in_order(values):
+    total = 0.0
+    for x in values:
+        total += x
+    return total

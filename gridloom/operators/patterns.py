@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 
 from gridloom.operators.joins import band_join, overlaps
 from gridloom.operators.stretches import dealt, over_stretches
+from gridloom.sources.tables import ordered_sum
 from gridloom.sources.work import staged
 
 def _size() -> Column:
@@ -483,7 +484,7 @@ def central_runs(events: DataFrame, chains: DataFrame, phases: list[str]) -> Dat
     members = chains.select("house_id", F.col(f"id_{phases[0]}").alias("chain"), F.explode(F.array(*[f"id_{p}" for p in phases])).alias("id"))
     rows = members.join(events.drop("house_id"), "id")
     first = F.max(F.when(F.col("id") == F.col("chain"), F.col("start"))).alias("start")
-    return rows.groupBy("house_id", F.col("chain").alias("id")).agg(first, F.max("end").alias("end"), F.sum(_size()).alias("magnitude"), F.avg("duration").alias("duration"))
+    return rows.groupBy("house_id", F.col("chain").alias("id")).agg(first, F.max("end").alias("end"), ordered_sum(_size(), "id").alias("magnitude"), F.avg("duration").alias("duration"))
 
 
 def ac_patterns(events: DataFrame, phases: list[str], tolerance: int = 600) -> DataFrame:

@@ -23,7 +23,7 @@ def dealt(rows: DataFrame, series: list[str]) -> DataFrame:
 
 def over_stretches(rows: DataFrame, keys: list[str], order: list[str], work: Callable[[Columns], list[tuple]], schema: str) -> DataFrame:
     """``work``'s rows of every stretch behind its keys. ``rows`` have all of a key in one partition (dealt());
-    ``work`` gets a stretch's columns as arrays, in order, and returns rows of ``schema`` less the keys. Keys aren't null."""
+    ``work`` gets a stretch's columns as arrays, in order, and returns rows of ``schema`` less the keys. Null keys are one key."""
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(part: pd.DataFrame, bounds: np.ndarray) -> pd.DataFrame:
@@ -41,8 +41,8 @@ def over_stretches(rows: DataFrame, keys: list[str], order: list[str], work: Cal
             new = np.zeros(len(batch), bool)
             new[0] = True
             for k in keys:
-                column = batch[k].to_numpy()
-                new[1:] |= column[1:] != column[:-1]
+                column, none = batch[k].to_numpy(), batch[k].isna().to_numpy()
+                new[1:] |= (column[1:] != column[:-1]) & ~(none[1:] & none[:-1])
             starts = np.flatnonzero(new)
             if len(starts) > 1:
                 yield run(batch, starts)

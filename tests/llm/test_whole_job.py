@@ -263,3 +263,14 @@ def test_the_pipeline_is_its_stages_in_order(spark):
     kept = {i for i in set(root.values()) if not known.search(decontaminate.words_of(texts[i]))}
     out = corpus_pipeline.run(spark, sf).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("all")).collect()
     assert {r.doc_id for r in out} == kept and all(r.n == r["all"] for r in out)
+
+
+def test_word_counts_move_once(spark, monkeypatch):
+    stored, keep = [], lm_score.work_table
+    monkeypatch.setattr(lm_score, "work_table", lambda df, name: (stored.append(name), keep(df, name))[1])
+    texts = ["a b a", "b c", None, "a d"]
+    got = {r.doc_id: r for r in lm_score.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert stored == ["lm-counts", "lm-encoded"]  # the words' lists were stored once more before they were counted
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in range(4)}
+    known = {w for i, t in enumerate(texts) if not held[i] for w in (t or "").split()}
+    assert {i: r.n_known for i, r in got.items()} == {i: 1 + sum(w in known for w in (t or "").split()) for i, t in enumerate(texts)}

@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 
 from gridloom.operators import devices, edges, kernels
 from gridloom.operators.cleaning import forward_fill
-from gridloom.sources.work import staged
+from gridloom.sources.work import merged, staged
 
 MONTHLY = ("house_id", "month", "phase")
 
@@ -68,7 +68,7 @@ def settle(edges_: DataFrame, grid: DataFrame, kind: str, keys: tuple[str, ...]
     minutes = edges.with_diff(grid, keys, ("m",)).join(busy, [*keys, "m"], "left")
     frame = W.partitionBy(*keys).orderBy("m").rangeBetween(1, most) if kind == "on" else W.partitionBy(*keys).orderBy("m").rangeBetween(-most, -1)
     body = F.collect_list(F.struct("m", F.col("diff").alias("d"), F.coalesce("busy", F.lit(False)).alias("busy"))).over(frame)
-    near = minutes.select(*keys, F.col("m").alias("edge"), (body if kind == "on" else F.reverse(body)).alias("near"))
+    near = merged(minutes.select(*keys, F.col("m").alias("edge"), (body if kind == "on" else F.reverse(body)).alias("near")))
     own = edges_.where(F.col("event") == kind).withColumn("edge", F.col("end" if kind == "on" else "start"))
     own = own.join(near, [*keys, "edge"], "left").withColumn("walk", _walk(kind, "near", share)).withColumn("last", F.col("walk.last")).drop("near", "walk")
     power = lambda df, name, of: df.drop("edge").withColumn("edge", of).join(at(name, 0), [*keys, "edge"], "left")

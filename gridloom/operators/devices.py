@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from gridloom.operators.joins import band_join, overlaps
+from gridloom.sources.work import merged
 
 KEYS = ["house_id", "phase"]
 
@@ -35,7 +36,7 @@ def extend_tails(edges: DataFrame, grid: DataFrame, minutes: int = 10, noise: fl
     ``least_gain``, starting from a residual of at least ``residual`` and ``share`` of the magnitude.
     A fold over the next minutes of every edge, collected by a frame of fixed length."""
     ahead = W.partitionBy(*keys).orderBy("m").rangeBetween(1, minutes)
-    near = grid.select(*keys, F.col("m").alias("end"), F.col("watts").alias("at_end"), F.collect_list(F.struct("m", "watts")).over(ahead).alias("next"))
+    near = merged(grid.select(*keys, F.col("m").alias("end"), F.col("watts").alias("at_end"), F.collect_list(F.struct("m", "watts")).over(ahead).alias("next")))
     walk = F.expr(
         f"""aggregate(next, named_struct('m', `end`, 'watts', at_end, 'live', true),
         (s, x) -> CASE WHEN s.live AND x.m = s.m + 1 AND x.watts <= s.watts + {float(noise)}D

@@ -24,6 +24,12 @@ def work_root(spark: SparkSession) -> str:
 FEW_ROWS = 50_000
 
 
+def merged(minutes: DataFrame) -> DataFrame:
+    """A row per minute, or readings around every minute, never broadcast: joins merge sorted rows. Where such a table comes
+    from a join or a union, the hint of staged() no longer reaches it, and plans take lists for one element each."""
+    return minutes.hint("merge")
+
+
 def staged(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet and read back: its lineage is cut, a lost executor costs a reread, and the
     plans behind see a table of known size.

@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.operators import holes, kernels, matching, patterns, recovery, sessions
+from gridloom.operators import detection, devices, holes, kernels, matching, patterns, recovery, sessions
 from gridloom.plans import catalogue, disaggregate, run_queries
 from gridloom.sources import files, ingest, responses, versions
 from gridloom.sources.tables import ordered_sum
@@ -399,3 +399,14 @@ def sum_in_order(values):
     for x in values:
         total += x
     return total
+
+
+def test_readings_around_a_minute_are_not_broadcast_to_few_edges(spark, capsys):
+    """Few edges in a long grid: what lies around every minute comes from a join, which no hint on the grid passes."""
+    keys = ("house_id", "phase")
+    grid = staged(spark.range(200_000).select(F.lit(1).cast("long").alias("house_id"), F.lit("w1").alias("phase"), F.col("id").cast("int").alias("m"), F.lit(1.0).alias("watts")))
+    found = staged(spark.createDataFrame([(1, "w1", "on", 5, 5, 900.0), (1, "w1", "off", 9, 9, -900.0)], "house_id long, phase string, event string, start int, end int, magnitude double"))
+    for kind in ("on", "off"):
+        detection.settle(found, grid, kind, keys).explain()
+    devices.extend_tails(found.where("event = 'off'"), grid, keys=keys).explain()
+    assert "Broadcast" not in capsys.readouterr().out

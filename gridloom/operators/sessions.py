@@ -73,10 +73,10 @@ def robust_z(values: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 def signature_pairs(signatures: DataFrame, magnitude: float = 0.15, duration: float = 0.20) -> DataFrame:
     """Pairs of signatures of different houses whose magnitudes and durations differ by at most the
-    given share of the larger one. Both lie in geometric buckets a tolerance wide, so a pair is in equal or
-    neighbouring buckets of each."""
-    cell = lambda c, share: F.floor(F.log(c) / -F.log(F.lit(1 - share)))
-    dealt = signatures.where("magnitude > 0 and duration > 0").withColumns({"_b": cell("magnitude", magnitude), "_c": cell("duration", duration)})
+    given share of the larger one. Both lie in geometric buckets just over a tolerance wide, so a pair is in equal or
+    neighbouring buckets of each, one exactly a tolerance apart too; zeros only pair with zeros and have their own."""
+    cell = lambda c, share: F.when(F.col(c) > 0, F.floor(F.log(c) / (-F.log(F.lit(1 - share)) * (1 + 1e-9)))).otherwise(-1_000_000)
+    dealt = signatures.where("magnitude >= 0 and duration >= 0").withColumns({"_b": cell("magnitude", magnitude), "_c": cell("duration", duration)})
     around = lambda c: F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1)).alias(c)
     names = ("house_id", "pattern_id", "magnitude", "duration")
     a = dealt.select(*[F.col(c).alias(f"{c}_a") for c in names], around("_b"), "_c")

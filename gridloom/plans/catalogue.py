@@ -14,7 +14,7 @@ from gridloom.operators import cleaning, detection, devices, edges, joins, kerne
 from gridloom.plans.disaggregate import THRESHOLDS, disaggregate, edge_pairs
 from gridloom.plans.registry import EPOCH, NUDGE, ORACLE_SQL, QUERIES, SEC, query, rounded  # noqa: F401
 from gridloom.sources import ingest
-from gridloom.sources.tables import GRID_SQL, HOLES_SQL, SERIES_SQL, dense_grid, power_series, read, reading_grid
+from gridloom.sources.tables import GRID_SQL, HOLES_SQL, SERIES_SQL, dense_grid, ordered_sum, power_series, read, reading_grid
 from gridloom.sources.work import staged
 
 # ---------------------------------------------------------------- edges
@@ -307,7 +307,8 @@ SIGNATURE_SQL = USAGE_SQL + """, g AS (SELECT house_id, iteration AS pattern_id,
 
 
 def signatures(spark, sf_dir) -> DataFrame:
-    found = usage(spark, sf_dir).groupBy("house_id", F.col("iteration").alias("pattern_id")).agg(F.avg("magnitude").alias("magnitude"), F.avg("duration").alias("duration"), F.count("*").alias("n"))
+    magnitude = ordered_sum(F.col("magnitude"), "id") / F.count("magnitude")  # pairs exactly a tolerance apart hang on the last digit
+    found = usage(spark, sf_dir).groupBy("house_id", F.col("iteration").alias("pattern_id")).agg(magnitude.alias("magnitude"), F.avg("duration").alias("duration"), F.count("*").alias("n"))
     return found.where("n >= 2 and duration >= 10")
 
 

@@ -410,3 +410,18 @@ def test_readings_around_a_minute_are_not_broadcast_to_few_edges(spark, capsys):
         detection.settle(found, grid, kind, keys).explain()
     devices.extend_tails(found.where("event = 'off'"), grid, keys=keys).explain()
     assert "Broadcast" not in capsys.readouterr().out
+
+
+def test_signatures_do_not_hang_on_the_order_of_rows(spark, tmp_path):
+    """Sums of three in another order end in another digit, which decides pairs exactly a tolerance apart."""
+    rows = [(19 + 40 * k, dt.datetime(2024, 1, 1, k), 1, "view", v) for k, v in enumerate((40.31, 254.23, 229.13, 76.52, 148.63))]
+    found = set()
+    for name, order in (("a", rows), ("b", rows[::-1]), ("c", rows[2:] + rows[:2])):
+        spark.createDataFrame(order, "event_id long, ts timestamp, user_id long, event_type string, value double").coalesce(1).write.parquet(f"{tmp_path}/{name}/events.parquet")
+        found.add(catalogue.signatures(spark, f"{tmp_path}/{name}").first().magnitude)
+    assert len(found) == 1
+
+
+def test_signatures_of_zero_pair_as_in_the_sql(spark):
+    rows = spark.createDataFrame([(1, 0, 0.0, 20.0), (2, 0, 0.0, 20.0), (3, 0, 5.0, 20.0)], "house_id long, pattern_id long, magnitude double, duration double")
+    assert [(r.house_id_a, r.house_id_b) for r in sessions.signature_pairs(rows, 0.02, 0.05).collect()] == [(1, 2)]

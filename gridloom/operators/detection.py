@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 
 from gridloom.operators import devices, edges, kernels
 from gridloom.operators.cleaning import forward_fill
+from gridloom.sources.tables import ordered_mean
 from gridloom.sources.work import merged, staged
 
 MONTHLY = ("house_id", "month", "phase")
@@ -29,7 +30,7 @@ def merge_split_offs(off: DataFrame, on: DataFrame, grid: DataFrame, keys: tuple
     starts = on.select(*keys, F.col("start").alias("m"), F.lit(1).alias("starts")).distinct()
     seen = close.join(grid.select(*keys, "m", "watts"), [*keys, "m"], "left").join(starts, [*keys, "m"], "left")
     between = (F.col("m") > F.col("last")) & (F.col("m") < F.col("start"))
-    joined = seen.groupBy(*keys, "start", "end").agg(F.avg("watts").alias("power"), F.first("magnitude").alias("size"), F.coalesce(F.max(F.when(between, F.col("starts"))), F.lit(0)).alias("blocked"))
+    joined = seen.groupBy(*keys, "start", "end").agg(ordered_mean(F.col("watts"), "m").alias("power"), F.first("magnitude").alias("size"), F.coalesce(F.max(F.when(between, F.col("starts"))), F.lit(0)).alias("blocked"))
     joined = joined.where("blocked = 0 and (power is null or power >= 0.5 * abs(size))").select(*keys, "start", "end", F.lit(0).alias("fresh"))
     rows = rows.join(joined, [*keys, "start", "end"], "left").withColumn("fresh", F.coalesce("fresh", F.lit(1)))
     rows = rows.withColumn("island", F.sum("fresh").over(w.rowsBetween(W.unboundedPreceding, 0)))

@@ -89,3 +89,8 @@ def ordered_sum(value: F.Column, *order: str) -> F.Column:
     count, no value gives null. For groups of few rows: a group's values meet in one task."""
     held = F.array_sort(F.collect_list(F.when(value.isNotNull(), F.struct(*order, value.alias("_value")))))
     return F.when(F.size(held) > 0, F.aggregate(held, F.lit(0.0), lambda a, x: a + x["_value"]))
+
+
+def ordered_mean(value: F.Column, *order: str) -> F.Column:
+    """The mean of doubles by their ordered_sum()."""
+    return ordered_sum(value, *order) / F.count(value)

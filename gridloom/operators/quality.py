@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 
 from gridloom.operators.profile import piecewise
 from gridloom.operators.stretches import dealt, over_stretches
-from gridloom.sources.tables import SERIES, by
+from gridloom.sources.tables import SERIES, by, ordered_mean
 
 # Knots of the points (fixed values): x -> points, linear between.
 SHARP_KNOTS = [(0.0, 0.0), (0.15, 3.0), (0.25, 8.0), (0.35, 13.0), (0.5, 18.0)]
@@ -32,7 +32,7 @@ def phase_measures(series: DataFrame, threshold: float = 1300, sustained: tuple[
     rows per 10,000 readings (null under ``least`` readings), and shares of low and middling power."""
     w = by(*SERIES)
     known = series.where("watts is not null").withColumn("prev", F.lag("watts").over(w))
-    stats = W.partitionBy(*SERIES)
+    stats = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)  # in order, as sums end in other digits else
     spread = F.stddev_samp("watts").over(stats)
     rows = known.withColumn("outlier", F.when(spread > 0, F.abs(F.col("watts") - F.avg("watts").over(stats)) > 3 * spread).otherwise(False))
     before = F.coalesce("prev", F.lit(0.0))
@@ -50,7 +50,7 @@ def phase_measures(series: DataFrame, threshold: float = 1300, sustained: tuple[
     found = sizes.join(found, list(SERIES), "left").join(runs, list(SERIES), "left")
     density = F.when(F.col("n_known") >= least, F.coalesce("runs", F.lit(0)) / (F.col("n_known") / 10_000))
     found = found.withColumns({"missing_share": 1 - F.coalesce("n_known", F.lit(0)) / F.col("n"), "sustained": density, "power": F.coalesce("power", F.lit(0.0))}).drop("runs")
-    house = W.partitionBy("house_id")
+    house = W.partitionBy("house_id").orderBy("phase").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     sisters = (F.sum("power").over(house) - F.col("power")) / F.nullif(F.count("*").over(house) - 1, F.lit(0))
     dead = F.coalesce((sisters > 0) & (F.col("power") < DEAD_SHARE * sisters), F.lit(False))
     return found.withColumn("dead", dead).withColumn("faulty", ~F.col("dead") & (F.col("missing_share") >= FAULTY_MISSING))
@@ -112,16 +112,17 @@ def scores(series: DataFrame, cycles: DataFrame | None = None, least: int = 100)
     faulty phases. ``cycles``: compressors() of the series; without it that kind gives no points."""
     phases = phase_measures(series, least=least)
     zero = lambda c: F.coalesce(c, F.lit(0.0))
+    mean = lambda c: ordered_mean(F.col(c), "phase")
     found = phases.groupBy("house_id").agg(
-        zero(F.avg("sharp_rate")).alias("sharp_rate"), zero(F.avg("sustained")).alias("sustained"), zero(F.avg("mid_share")).alias("mid_share"), zero(F.avg("low_share")).alias("low_share"),
-        zero(F.avg("high_share")).alias("high_share"), F.sum(zero(F.col("n_negative"))).alias("n_negative"), F.sum(zero(F.col("n_extreme"))).alias("n_extreme"), F.count_if("dead").alias("n_dead"), F.count_if("faulty").alias("n_faulty"),
-        F.avg("missing_share").alias("missing"), F.max("missing_share").alias("most_missing"), F.count("sharp_rate").alias("n_crossing"),
+        zero(mean("sharp_rate")).alias("sharp_rate"), zero(mean("sustained")).alias("sustained"), zero(mean("mid_share")).alias("mid_share"), zero(mean("low_share")).alias("low_share"),
+        zero(mean("high_share")).alias("high_share"), F.sum(zero(F.col("n_negative"))).alias("n_negative"), F.sum(zero(F.col("n_extreme"))).alias("n_extreme"), F.count_if("dead").alias("n_dead"), F.count_if("faulty").alias("n_faulty"),
+        mean("missing_share").alias("missing"), F.max("missing_share").alias("most_missing"), F.count("sharp_rate").alias("n_crossing"),
     )
     found = found.join(house_measures(series), "house_id").join(month_measures(series), "house_id")
     if cycles is None:
         found = found.withColumn("cycles", F.lit(0.0))
     else:
-        dense = cycles.groupBy("house_id", "phase").agg((F.sum("cycles") / (F.sum("n") / 10_000)).alias("d")).groupBy("house_id").agg(F.avg("d").alias("cycles"))
+        dense = cycles.groupBy("house_id", "phase").agg((F.sum("cycles") / (F.sum("n") / 10_000)).alias("d")).groupBy("house_id").agg(mean("d").alias("cycles"))
         found = found.join(dense, "house_id", "left").withColumn("cycles", zero(F.col("cycles")))
     c = F.col
     balance = F.when(c("n_months") > 1, F.greatest(5 * (1 - 2 * c("unevenness")), F.lit(0.0))).otherwise(5.0)

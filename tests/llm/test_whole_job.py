@@ -1,5 +1,6 @@
 """Cases that an operator once cut short: long batches, odd pages, large buckets, benchmarks in parts."""
 
+import resource
 import time
 import zlib
 from collections import Counter
@@ -27,6 +28,21 @@ def test_lm_lanes_hold_every_token_once():
     assert sorted(seen) == sorted((a, b) for d in docs for a, b in zip([0, *d[:-1].tolist()], d.tolist(), strict=True))
 
 
+
+def test_network_reads_no_padding_and_keeps_its_memory(monkeypatch):
+    """Scoring computes no logits past a document's end, and training doesn't have every window's arrays faulted in again."""
+    rng = np.random.default_rng(4)
+    docs = [rng.integers(0, IDS, n) for n in rng.integers(1, 400, 300)]
+    start, read, plain = lm_score.start_weights(np.ones(IDS), 16), [], lm_score._log_probs
+    monkeypatch.setattr(lm_score, "_log_probs", lambda w, states, targets: (read.append(len(targets)), plain(w, states, targets))[1])
+    lm_score.score_docs(start, docs)
+    assert sum(read) == sum(map(len, docs))
+    lm_score.train(start, docs, 0.02)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+    lm_score.train(start, docs, 0.02)
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_minflt - before < 2000
+
+
 def test_lm_learns_from_the_shortest_document_of_a_long_batch(spark):
     rng = np.random.default_rng(4)
     docs = [rng.integers(1, IDS, 480) for _ in range(2700)]

@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from gridloom.operators import devices, edges, kernels
 from gridloom.operators.cleaning import forward_fill
 from gridloom.sources.tables import ordered_mean
-from gridloom.sources.work import merged, staged
+from gridloom.sources.work import merged, staged, stored
 
 MONTHLY = ("house_id", "month", "phase")
 
@@ -28,16 +28,15 @@ def merge_split_offs(off: DataFrame, on: DataFrame, grid: DataFrame, keys: tuple
     rows = off.withColumn("last", F.max("end").over(w.rowsBetween(W.unboundedPreceding, -1)))
     close = rows.where((F.col("start") - F.col("last")).between(0, gap)).select(*keys, "start", "end", "last", "magnitude", F.explode(F.sequence("last", "start")).alias("m"))
     starts = on.select(*keys, F.col("start").alias("m"), F.lit(1).alias("starts")).distinct()
-    seen = close.join(grid.select(*keys, "m", "watts"), [*keys, "m"], "left").join(starts, [*keys, "m"], "left")
+    seen = close.hint("shuffle_hash").join(grid.select(*keys, "m", "watts"), [*keys, "m"], "left").join(starts, [*keys, "m"], "left")
     between = (F.col("m") > F.col("last")) & (F.col("m") < F.col("start"))
     joined = seen.groupBy(*keys, "start", "end").agg(ordered_mean(F.col("watts"), "m").alias("power"), F.first("magnitude").alias("size"), F.coalesce(F.max(F.when(between, F.col("starts"))), F.lit(0)).alias("blocked"))
     joined = joined.where("blocked = 0 and (power is null or power >= 0.5 * abs(size))").select(*keys, "start", "end", F.lit(0).alias("fresh"))
     rows = rows.join(joined, [*keys, "start", "end"], "left").withColumn("fresh", F.coalesce("fresh", F.lit(1)))
     rows = rows.withColumn("island", F.sum("fresh").over(w.rowsBetween(W.unboundedPreceding, 0)))
     found = rows.groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("magnitude").alias("total"), F.count("*").alias("n_merged"))
-    power = grid.select(*keys, "m", "watts")
-    found = found.join(power.select(*keys, F.col("m").alias("end"), F.col("watts").alias("at_end")), [*keys, "end"], "left")
-    found = found.join(power.select(*keys, (F.col("m") + 1).alias("start"), F.col("watts").alias("before")), [*keys, "start"], "left")
+    found = edges.near_edges(found, edges.differences(grid, keys), keys, F.array(F.col("end"), F.col("start") - 1))
+    found = found.withColumns({"at_end": edges.at_minute(F.col("end")), "before": edges.at_minute(F.col("start") - 1)})
     size = F.when(F.col("n_merged") > 1, F.coalesce(F.col("at_end") - F.col("before"), F.col("total"))).otherwise(F.col("total"))
     return found.select(*keys, "start", "end", size.alias("magnitude"), "n_merged")
 
@@ -64,21 +63,24 @@ def settle(edges_: DataFrame, grid: DataFrame, kind: str, keys: tuple[str, ...]
     if it moves by at least 1 - share of the magnitude and leaves the magnitude its sign. Adds
     original_start, original_end and original_magnitude where an edge moved. Edges of the other kind
     return as they are."""
-    at = lambda name, shift: grid.select(*keys, (F.col("m") + shift).alias("edge"), F.col("watts").alias(name))
-    busy = edges_.select(*keys, F.explode(F.sequence("start", "end")).alias("m")).distinct().withColumn("busy", F.lit(True))
-    minutes = edges.with_diff(grid, keys, ("m",)).join(busy, [*keys, "m"], "left")
-    frame = W.partitionBy(*keys).orderBy("m").rangeBetween(1, most) if kind == "on" else W.partitionBy(*keys).orderBy("m").rangeBetween(-most, -1)
-    body = F.collect_list(F.struct("m", F.col("diff").alias("d"), F.coalesce("busy", F.lit(False)).alias("busy"))).over(frame)
-    near = merged(minutes.select(*keys, F.col("m").alias("edge"), (body if kind == "on" else F.reverse(body)).alias("near")))
-    own = edges_.where(F.col("event") == kind).withColumn("edge", F.col("end" if kind == "on" else "start"))
-    own = own.join(near, [*keys, "edge"], "left").withColumn("walk", _walk(kind, "near", share)).withColumn("last", F.col("walk.last")).drop("near", "walk")
-    power = lambda df, name, of: df.drop("edge").withColumn("edge", of).join(at(name, 0), [*keys, "edge"], "left")
+    start, end, last = F.col("start"), F.col("end"), F.col("last")
+    busy = edges_.select(*keys, F.explode(F.sequence("start", "end")).alias("m")).distinct()
+    edge, asked = (end, F.array_append(F.sequence(end, end + most), start - 1)) if kind == "on" else (start, F.array_append(F.array_append(F.sequence(start - most - 1, start), end), end + 1))
+    own = edges_.where(F.col("event") == kind)
+    spans = own.select(*keys, "start", "end").distinct().select(*keys, "start", "end", F.explode(asked).alias("m"))
+    taken = spans.join(merged(busy), [*keys, "m"]).groupBy(*keys, "start", "end").agg(F.collect_set("m").alias("taken"))
+    own = edges.near_edges(own, edges.differences(grid, keys), keys, asked).join(merged(taken), [*keys, "start", "end"], "left")
+    beside = (lambda x: x["m"].between(end + 1, end + most)) if kind == "on" else (lambda x: x["m"].between(start - most, start - 1))
+    steps = F.transform(F.filter("near", beside), lambda x: F.struct(x["m"].alias("m"), x["diff"].alias("d"), F.coalesce(F.array_contains("taken", x["m"]), F.lit(False)).alias("busy")))
+    own = own.withColumns({"edge": edge, "steps": F.when(edges.was_read(edge), steps if kind == "on" else F.reverse(steps))})
+    own = own.withColumn("last", _walk(kind, "steps", share)["last"])
+    at = edges.at_minute
     if kind == "on":  # the fall after the end, and the level before the start
-        own = power(power(power(own, "from_", F.col("end")), "to_", F.col("last")), "base", F.col("start") - 1)
+        own = own.withColumns({"from_": at(end), "to_": at(last), "base": at(start - 1)})
         size, moved = F.col("to_") - F.coalesce("base", F.lit(0.0)), F.col("from_") - F.col("to_")
         good = (size > 0) & (moved >= (1 - share) * F.abs("magnitude"))
     else:  # the rise before the start, and the level after the end
-        own = power(power(power(power(own, "from_", F.col("start") - 1), "to_", F.col("last") - 1), "after", F.col("end") + 1), "at_end", F.col("end"))
+        own = own.withColumns({"from_": at(start - 1), "to_": at(last - 1), "after": at(end + 1), "at_end": at(end)})
         size, moved = F.coalesce("after", "at_end", F.lit(0.0)) - F.col("to_"), F.col("from_") - F.col("to_")
         good = (size < 0) & (moved >= (1 - share) * F.abs("magnitude"))
     good = F.coalesce(good, F.lit(False))
@@ -107,12 +109,13 @@ def detect(grid: DataFrame, threshold: float, features: Features = Features(), o
     two; ramps; overlapping ones as one; near-threshold rises; tails; split OFFs; settling. What stays is
     at least the threshold in size, before or after settling. OFF edges need ``off_factor`` of it to be
     found, the final rule is the same for both."""
+    grid = stored(edges.with_diff(grid, keys, ("m",)).select(*keys, "m", "watts", "diff"))
     found = staged(edges.expand(edges.sharp_edges(grid, threshold, off_factor, keys, ("m",)), grid, keys=keys))
     instant = found.where("start = end").select(*keys, F.col("event").alias("kind"), F.col("start").alias("at"), F.concat_ws("-", "event", F.col("start").cast("string")).alias("id"), "magnitude")
     pairs = edges.merge_pairs(instant, keys).select(*keys, F.col("kind").alias("event"), "start", "end", "magnitude")
     found = pairs.unionByName(found.where("start < end"))
     if features.gradual:
-        found = found.unionByName(kernels.gradual(edges.with_diff(grid, keys, ("m",)), threshold, keys))
+        found = found.unionByName(kernels.gradual(grid, threshold, keys))
     ids = F.concat_ws("-", F.col("start").cast("string"), F.col("magnitude").cast("string"))
     found = staged(edges.coalesce_intervals(found.distinct().withColumn("id", ids), (*keys, "event"), 0).drop("island", "n_merged"))
     if features.near_threshold:
@@ -140,7 +143,7 @@ def numbered(found: DataFrame, grid: DataFrame, run: int, keys: tuple[str, ...]
     ids = F.format_string(f"%s_it{run}_%s_%d", F.col("event"), F.col("phase"), F.row_number().over(order))
     beside = F.when(F.col("event") == "on", F.col("start") - 1).otherwise(F.col("end") + 1)
     power = grid.select(*keys, F.col("m").alias("beside"), F.col("watts").alias("nearby_value"))
-    return found.withColumn("event_id", ids).withColumn("beside", beside).join(power, [*keys, "beside"], "left").drop("beside")
+    return found.withColumn("event_id", ids).withColumn("beside", beside).hint("shuffle_hash").join(power, [*keys, "beside"], "left").drop("beside")
 
 
 def filled(readings: DataFrame, limit: int = 5, keys: tuple[str, ...] = MONTHLY) -> DataFrame:

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from gridloom.operators.edges import at_minute, differences, near_edges, was_read
 from gridloom.operators.joins import band_join, overlaps
-from gridloom.sources.work import merged
 
 KEYS = ["house_id", "phase"]
 
@@ -34,15 +34,16 @@ def extend_tails(edges: DataFrame, grid: DataFrame, minutes: int = 10, noise: fl
     """Moves the end of OFF edges (keys, start, end, magnitude) along falling minutes: each may exceed the
     one before by ``noise``; the walk ends at a gap or under ``residual`` watts. Kept if it gains
     ``least_gain``, starting from a residual of at least ``residual`` and ``share`` of the magnitude.
-    A fold over the next minutes of every edge, collected by a frame of fixed length."""
-    ahead = W.partitionBy(*keys).orderBy("m").rangeBetween(1, minutes)
-    near = merged(grid.select(*keys, F.col("m").alias("end"), F.col("watts").alias("at_end"), F.collect_list(F.struct("m", "watts")).over(ahead).alias("next")))
+    A fold over the next minutes of every edge."""
+    end = F.col("end")
+    rows = near_edges(edges, differences(grid, keys), keys, F.sequence(end, end + minutes))
+    rows = rows.withColumns({"at_end": at_minute(end), "next": F.when(was_read(end), F.filter("near", lambda x: x["m"] > end))})
     walk = F.expr(
         f"""aggregate(next, named_struct('m', `end`, 'watts', at_end, 'live', true),
         (s, x) -> CASE WHEN s.live AND x.m = s.m + 1 AND x.watts <= s.watts + {float(noise)}D
           THEN named_struct('m', x.m, 'watts', x.watts, 'live', x.watts >= {float(residual)}D) ELSE named_struct('m', s.m, 'watts', s.watts, 'live', false) END)"""
     )
-    rows = edges.join(near, [*keys, "end"], "left").withColumn("walk", walk)
+    rows = rows.withColumn("walk", walk)
     gain = F.col("at_end") - F.col("walk.watts")
     taken = F.coalesce((F.col("at_end") >= residual) & (F.col("at_end") >= share * F.abs("magnitude")) & (gain >= least_gain), F.lit(False))
     return rows.select(

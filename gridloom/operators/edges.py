@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from gridloom.sources.tables import SERIES, by
+from gridloom.sources.work import merged
 
 
 def with_diff(series: DataFrame, keys: tuple[str, ...] = SERIES, order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
@@ -28,24 +29,41 @@ def sharp_edges(series: DataFrame, threshold: float, off_factor: float = 0.8, ke
     return rows.where("event is not null").groupBy(*keys, "run", "event").agg(F.min(at).alias("start"), F.max(at).alias("end"), F.count("*").alias("n_rows"), F.sum("diff").alias("magnitude")).drop("run")
 
 
-def neighbours(series: DataFrame, keys: tuple[str, ...] = SERIES) -> DataFrame:
-    """(keys, m, watts, w_1, w_2, w1, d_1, d1): power one and two minutes before and one after, and the row
-    diffs of those neighbours; null where the minute itself is absent. One window, no self-join."""
-    w = by(*keys, order=("m",))
-    rows = with_diff(series, keys, ("m",))
-    at = lambda value, k: F.when((F.lag("m", k) if k > 0 else F.lead("m", -k)).over(w) == F.col("m") - k, (F.lag(value, k) if k > 0 else F.lead(value, -k)).over(w))
-    second = F.coalesce(at("watts", 2), F.when(F.lag("m", 1).over(w) == F.col("m") - 2, F.lag("watts", 1).over(w)))
-    return rows.select(*keys, "m", "watts", at("watts", 1).alias("w_1"), second.alias("w_2"), at("watts", -1).alias("w1"), at("diff", 1).alias("d_1"), at("diff", -1).alias("d1"))
+def near_edges(edges: DataFrame, grid: DataFrame, keys: tuple[str, ...], minutes: F.Column) -> DataFrame:
+    """Adds ``near`` to edges: (m, watts, diff) of those of its ``minutes`` (an array by start and end) that were read, in order.
+
+    ``grid`` has m, watts and diff. An edge's minutes are asked for by hash, so the grid's many rows move once and are
+    neither sorted nor gathered around every minute; whatever a step reads around an edge is one such join."""
+    spans = edges.select(*keys, "start", "end").distinct()
+    asked = spans.select(*keys, "start", "end", F.explode(F.array_distinct(minutes)).alias("m")).hint("shuffle_hash")
+    found = asked.join(grid.select(*keys, "m", "watts", "diff"), [*keys, "m"])
+    lists = found.groupBy(*keys, "start", "end").agg(F.array_sort(F.collect_list(F.struct("m", "watts", "diff"))).alias("near"))
+    return edges.join(merged(lists), [*keys, "start", "end"], "left")
+
+
+def at_minute(minute: F.Column, value: str = "watts") -> F.Column:
+    """``value`` at a minute of ``near``, null where none was read."""
+    return F.get(F.filter("near", lambda x: x["m"] == minute), 0)[value]
+
+
+def was_read(minute: F.Column) -> F.Column:
+    return F.coalesce(F.exists("near", lambda x: x["m"] == minute), F.lit(False))
+
+
+def differences(grid: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """The grid with its row differences; one that has them stays as it is."""
+    return grid if "diff" in grid.columns else with_diff(grid, keys, ("m",))
 
 
 def expand(edges: DataFrame, series: DataFrame, share: float = 0.05, keys: tuple[str, ...] = SERIES) -> DataFrame:
     """Moves start or end by a minute where the neighbouring diff has the edge's sign and exceeds the
     share of its magnitude; magnitude becomes power at the end minus power before the start.
     Both tables by whole minutes ``m`` (start, end are minutes)."""
-    near = neighbours(series, keys)
-    first = near.select(*keys, F.col("m").alias("start"), F.col("w_1").alias("p_pre"), F.col("w_2").alias("p_pre2"), F.col("d_1").alias("d_pre"))
-    last = near.select(*keys, F.col("m").alias("end"), F.col("watts").alias("p_end"), F.col("w1").alias("p_post"), F.col("d1").alias("d_post"))
-    found = edges.join(first, [*keys, "start"], "left").join(last, [*keys, "end"], "left")
+    start, end = F.col("start"), F.col("end")
+    found = near_edges(edges, differences(series, keys), keys, F.array(start - 2, start - 1, start, end, end + 1))
+    first = lambda k, value="watts": F.when(was_read(start), at_minute(start - k, value))
+    last = lambda k, value="watts": F.when(was_read(end), at_minute(end + k, value))
+    found = found.withColumns({"p_pre": first(1), "p_pre2": first(2), "d_pre": first(1, "diff"), "p_end": last(0), "p_post": last(1), "d_post": last(1, "diff")})
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     size = zero("p_end") - zero("p_pre")
     sign = F.when(F.col("event") == "on", 1).otherwise(-1)

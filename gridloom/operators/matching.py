@@ -1,20 +1,25 @@
 """Pairing ON with OFF edges, and taking the pairs out of the signal.
 
-Both walk a series in order and read what earlier pairs have used up, so they are grouped kernels over
-one (house, month, phase): at most a month of minutes and its edges, whatever the size of the corpus.
+Both walk a series in order and read what earlier pairs have used up, so they are kernels over one (house,
+month, phase): at most a month of minutes and its edges, whatever the size of the corpus. Series stream
+past in order, many in a Python call.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.operators.detection import MONTHLY
 from gridloom.operators.sessions import match_tag
+from gridloom.operators.stretches import over_series
 
 # Limits of the matching (fixed values), in watts and minutes.
 DIFFERENCE = 350.0
@@ -76,9 +81,18 @@ class Edges:
 
     def __init__(self, rows: pd.DataFrame):
         rows = rows.sort_values(["start", "end", "event_id"])
-        self.ids, self.start, self.end = rows.event_id.tolist(), rows.start.to_numpy(np.int64), rows.end.to_numpy(np.int64)
-        self.size = rows.magnitude.abs().to_numpy(float)
-        self.open = np.ones(len(rows), bool)
+        self._set(rows.event_id.tolist(), rows.start.to_numpy(np.int64), rows.end.to_numpy(np.int64), rows.magnitude.to_numpy(float))
+
+    def _set(self, ids: list[str], start: np.ndarray, end: np.ndarray, magnitude: np.ndarray) -> None:
+        self.ids, self.start, self.end, self.size = ids, start, end, np.abs(magnitude)
+        self.open = np.ones(len(ids), bool)
+
+    @classmethod
+    def ordered(cls, ids: list[str], start: np.ndarray, end: np.ndarray, magnitude: np.ndarray) -> Edges:
+        """Of columns that are in order of start, end and id."""
+        out = cls.__new__(cls)
+        out._set(ids, start, end, magnitude)
+        return out
 
 
 def _between(signal: Signal, on_end: int, off_start: int) -> np.ndarray:
@@ -93,6 +107,8 @@ def _stage(signal: Signal, on: Edges, off: Edges, i: int, stage: int) -> tuple[i
     apart = np.abs(off.size - on.size[i])
     possible = off.open & (wait > 0) & (wait <= WINDOWS[-1]) & ((apart <= DIFFERENCE) if stage < 3 else (apart > DIFFERENCE))
     rows = np.flatnonzero(possible)
+    if not len(rows):
+        return None
     window = np.searchsorted(WINDOWS, wait[rows])
     order = np.lexsort((rows, wait[rows], apart[rows], window)) if stage < 3 else np.lexsort((rows, apart[rows], wait[rows]))
     for j in rows[order]:
@@ -148,11 +164,25 @@ def _kinds(df: DataFrame, keys: tuple[str, ...]) -> str:
     return ", ".join(f"{k} {kinds[k]}" for k in keys)
 
 
-def _frame(rows: list[tuple], schema: str, group: pd.DataFrame, keys: tuple[str, ...]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")], dtype=object)
-    for at, key in enumerate(keys):
-        out.insert(at, key, group[key].iloc[0] if len(group) else None)
-    return out
+#: Arrow's types of the schemas' columns.
+TYPES = {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "array<int>": pa.list_(pa.int32()), "array<double>": pa.list_(pa.float64())}
+
+
+def _batch(part: pa.Table, keys: tuple[str, ...], at: np.ndarray, schema: str, columns: dict) -> pa.RecordBatch:
+    """The keys of the rows ``at`` and ``columns`` of ``schema``, null where one is not given; NaN is null."""
+    n = len(at)
+    arrays = [part[k].combine_chunks().take(pa.array(at)) for k in keys]
+    names = list(keys)
+    for name, kind in (c.split() for c in schema.split(", ")):
+        given = columns.get(name)
+        arrays.append(pa.nulls(n, TYPES[kind]) if given is None else pa.array(given, TYPES[kind], from_pandas=True))
+        names.append(name)
+    return pa.RecordBatch.from_arrays(arrays, names)
+
+
+def _numbers(part: pa.Table, column: str, kind: type) -> np.ndarray:
+    """A column as an array; nulls of doubles are NaN."""
+    return part[column].to_numpy().astype(kind, copy=False)
 
 
 def match(grid: DataFrame, events: DataFrame, keys: tuple[str, ...] = MONTHLY) -> DataFrame:
@@ -161,14 +191,24 @@ def match(grid: DataFrame, events: DataFrame, keys: tuple[str, ...] = MONTHLY) -
     ``grid`` (keys, m, watts); ``events`` (keys, event, event_id, start, end, magnitude). A series with
     edges but no readings matches nothing. ``status`` tells the kinds of rows apart."""
 
-    def run(grid: pd.DataFrame, events: pd.DataFrame) -> pd.DataFrame:
-        grid = grid.sort_values("m")
-        signal = Signal(grid.m.to_numpy(np.int64), grid.watts.to_numpy(float))
-        rows = match_series(signal, Edges(events[events.event == "on"]), Edges(events[events.event == "off"]))
-        return _frame(rows, MATCHED, events, keys)
-
-    columns = [*keys, "event", "event_id", "start", "end", "magnitude"]
-    found = grid.select(*keys, "m", "watts").groupBy(*keys).cogroup(events.select(*columns).groupBy(*keys)).applyInPandas(run, f"{_kinds(events, keys)}, {MATCHED}")
+    def run(part: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        kind, start, end, size = (_numbers(part, c, t) for c, t in (("kind", np.int64), ("start", np.int64), ("end", np.int64), ("magnitude", float)))
+        series, out, at = np.append(starts, len(kind)), [], []
+        for i in np.flatnonzero(np.maximum.reduceat(kind, starts)).tolist():
+            lo, hi = int(series[i]), int(series[i + 1])
+            on, off = (lo + np.searchsorted(kind[lo:hi], [1, 2])).tolist()
+            edges = lambda a, b: Edges.ordered(part["event_id"].slice(a, b - a).to_pylist(), start[a:b], end[a:b], size[a:b])
+            rows = match_series(Signal(start[lo:on], size[lo:on]), edges(on, off), edges(off, hi))
+            out += rows
+            at += [lo] * len(rows)
+        if out:
+            names = [c.split()[0] for c in MATCHED.split(", ")]
+            yield _batch(part, keys, np.array(at), MATCHED, dict(zip(names, zip(*out, strict=True), strict=True)))
+
+    kind = F.when(F.col("event") == "on", 1).when(F.col("event") == "off", 2).alias("kind")
+    minutes = grid.select(*keys, F.lit(0).alias("kind"), F.lit(None).cast("string").alias("event_id"), F.col("m").alias("start"), F.col("m").alias("end"), F.col("watts").alias("magnitude"))
+    rows = minutes.unionByName(events.where("event in ('on', 'off')").select(*keys, kind, "event_id", "start", "end", "magnitude"))
+    found = over_series(rows, list(keys), ["kind", "start", "end", "event_id"], run, f"{_kinds(events, keys)}, {MATCHED}")
     minutes = F.col("off_end") - F.col("on_start")
     corrected = F.col("correction") > 0
     tag = match_tag(F.col("on_magnitude") , F.col("off_magnitude"), minutes, F.col("stage") == 2, F.col("stage") == 3, corrected)
@@ -211,14 +251,32 @@ def device_power(signal: Signal, remaining: np.ndarray, pair: tuple[int, int, in
     return slice(rise.start, fall.stop), np.concatenate([up, middle, down])
 
 
+class Pair(NamedTuple):
+    """What a pair's extraction reads."""
+
+    stage: int
+    on_id: str
+    on_start: int
+    on_end: int
+    off_start: int
+    off_end: int
+    on_magnitude: float
+    minutes: int
+
+
 def extract_series(signal: Signal, pairs: pd.DataFrame, profiles: list[tuple] | None = None) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """(remaining, power by duration bucket (3, n), on_ids of skipped pairs). Short pairs come first, then
+    """take_out() of pairs in any order."""
+    return take_out(signal, pairs.sort_values(["minutes", "on_start", "on_id"]).itertuples(), profiles)
+
+
+def take_out(signal: Signal, pairs: Iterable[Pair], profiles: list[tuple] | None = None) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """(remaining, power by duration bucket (3, n), on_ids of skipped pairs). ``pairs`` come short ones first, then
     by start; a pair that would leave a negative anywhere is skipped whole. Row differences are those of
     the signal that came in. ``profiles`` gathers (on_id, minutes, watts) of every pair that was taken out: what each of its
     minutes, the OFF's last included, gave to it."""
     remaining = np.nan_to_num(signal.watts)
     by_bucket, skipped = np.zeros((3, len(remaining))), []
-    for p in pairs.sort_values(["minutes", "on_start", "on_id"]).itertuples():
+    for p in pairs:
         kind = {2: "noisy", 3: "partial"}.get(p.stage, "standard")
         rows, device = device_power(signal, remaining, (p.on_start, p.on_end, p.off_start, p.off_end), abs(p.on_magnitude), kind)
         left = remaining[rows] - device
@@ -244,24 +302,35 @@ def extract(grid: DataFrame, matches: DataFrame, keys: tuple[str, ...] = MONTHLY
     Months without pairs pass through. With ``profiles`` there are also the columns of PROFILE, and a row without a
     minute for every pair that was taken out: see minutes_of() and profiles_of()."""
 
-    def run(grid: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
-        grid = grid.sort_values("m")
-        signal = Signal(grid.m.to_numpy(np.int64), grid.watts.to_numpy(float))
-        held: list[tuple] | None = [] if profiles else None
-        remaining, taken, skipped = extract_series(signal, pairs, held)
-        out = pd.DataFrame({"m": grid.m.to_numpy(np.int64), "original": signal.watts, "remaining": remaining, "short_duration": taken[0], "medium_duration": taken[1], "long_duration": taken[2]}).astype({"m": "Int64"})
-        parts = [out.assign(skipped=None), pd.DataFrame({"skipped": skipped}, dtype=object)]
-        if profiles:
-            parts = [p.assign(on_id=None, at=None, power=None) for p in parts] + [pd.DataFrame(held, columns=["on_id", "at", "power"], dtype=object)]
-        out = pd.concat(parts, ignore_index=True)
-        some = grid if len(grid) else pairs
-        for at, key in enumerate(keys):
-            out.insert(at, key, some[key].iloc[0] if len(some) else None)
-        return out
-
-    pairs = matches.where("status = 'matched'").select(*keys, "stage", "on_id", "on_start", "on_end", "off_start", "off_end", "on_magnitude", "minutes")
-    schema = f"{_kinds(grid, keys)}, {EXTRACTED}" + (f", {PROFILE}" if profiles else "")
-    return grid.select(*keys, "m", "watts").groupBy(*keys).cogroup(pairs.groupBy(*keys)).applyInPandas(run, schema)
+    def run(part: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        own = _numbers(part, "kind", np.int64) == 0
+        series = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(own))))
+        at, m, watts = np.flatnonzero(own), _numbers(part, "on_start", np.int64)[own], _numbers(part, "on_magnitude", float)[own]
+        remaining, taken, skipped, held = np.nan_to_num(watts), np.zeros((3, len(m))), [], []
+        asked = part.filter(pa.array(~own))
+        columns = [asked[c].to_pylist() if c in ("on_start", "on_magnitude") else asked["pair"].combine_chunks().field(c).to_pylist() for c in Pair._fields]
+        found, bounds = np.unique(series[~own], return_index=True)
+        bounds = np.append(bounds, asked.num_rows).tolist()
+        spans = np.searchsorted(series[own], [found, found + 1]).T.tolist()
+        for i, span, lo, hi in zip(found.tolist(), spans, bounds[:-1], bounds[1:], strict=True):
+            rows = slice(*span)
+            profile: list[tuple] | None = [] if profiles else None
+            pairs = map(Pair._make, zip(*[c[lo:hi] for c in columns], strict=True))
+            remaining[rows], taken[:, rows], lost = take_out(Signal(m[rows], watts[rows]), pairs, profile)
+            skipped += [(starts[i], on_id) for on_id in lost]
+            held += [(starts[i], *p) for p in profile or ()]
+        if len(at):
+            yield _batch(part, keys, at, schema, {"m": m, "original": watts, "remaining": remaining, "short_duration": taken[0], "medium_duration": taken[1], "long_duration": taken[2]})
+        for names, rows in (("skipped",), skipped), (("on_id", "at", "power"), held):
+            if rows:
+                first, *values = zip(*rows, strict=True)
+                yield _batch(part, keys, np.array(first), schema, dict(zip(names, values, strict=True)))
+
+    schema = EXTRACTED + (f", {PROFILE}" if profiles else "")
+    pair = [c for c in Pair._fields if c not in ("on_start", "on_magnitude")]
+    pairs = matches.where("status = 'matched'").select(*keys, F.lit(1).alias("kind"), "on_start", "on_magnitude", F.struct(*pair).alias("pair"))
+    minutes = grid.select(*keys, F.lit(0).alias("kind"), F.col("m").alias("on_start"), F.col("watts").alias("on_magnitude"), F.lit(None).cast(dict(pairs.dtypes)["pair"]).alias("pair"))
+    return over_series(minutes.unionByName(pairs), list(keys), ["kind", "pair.minutes", "on_start", "pair.on_id"], run, f"{_kinds(grid, keys)}, {schema}")
 
 
 def minutes_of(extracted: DataFrame) -> DataFrame:

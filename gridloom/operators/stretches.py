@@ -11,7 +11,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 
 Columns = dict[str, np.ndarray]
 
@@ -53,3 +54,38 @@ def over_stretches(rows: DataFrame, keys: list[str], order: list[str], work: Cal
     kinds = dict(rows.dtypes)
     typed = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
     return rows.sortWithinPartitions(*keys, *order).mapInPandas(stream, f"{typed}, {schema}")
+
+
+def _starts(part: pa.Table, keys: list[str]) -> np.ndarray:
+    """Rows at which another key begins. Null keys are one key."""
+    new = np.zeros(part.num_rows, bool)
+    new[:1] = True
+    for k in keys:
+        codes = part[k].combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        new[1:] |= codes[1:] != codes[:-1]
+    return np.flatnonzero(new)
+
+
+def over_series(rows: DataFrame, keys: list[str], order: list[Column], work: Callable[[pa.Table, np.ndarray], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``work``'s batches (of ``schema``) over whole series, as many in a call as a batch of rows holds: it gets their rows in
+    order and the row at which each series begins. For steps whose columns are worked on as arrays, without a frame per series."""
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # rows of the series that the next batch may go on with
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            before = held[-1:] and [held[-1].slice(held[-1].num_rows - 1)]
+            starts = _starts(pa.Table.from_batches([*before, batch]), keys)
+            cut = int(starts[-1]) - len(before)  # where the batch's last series begins, under 0 if it is the one before
+            if cut < 0:
+                held.append(batch)
+                continue
+            whole = pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks()
+            if whole.num_rows:
+                yield from work(whole, _starts(whole, keys))
+            held = [batch.slice(cut)]
+        if held:
+            yield from work(pa.Table.from_batches(held).combine_chunks(), np.zeros(1, np.int64))
+
+    return dealt(rows, keys).sortWithinPartitions(*keys, *order).mapInArrow(stream, schema)

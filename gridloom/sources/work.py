@@ -30,14 +30,20 @@ def merged(minutes: DataFrame) -> DataFrame:
     return minutes.hint("merge")
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet and read back, without a word on how it is joined: for a table of many rows whose every
+    join says so itself."""
+    path = f"{work_root(df.sparkSession)}/gridloom/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def staged(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet and read back: its lineage is cut, a lost executor costs a reread, and the
     plans behind see a table of known size.
 
     Plans take the files' size for the table's, but minutes and edges are many times larger in memory than in compressed
     files. So joins of a table of many rows, or of rows with arrays, merge sorted rows; none broadcasts it."""
-    path = f"{work_root(df.sparkSession)}/gridloom/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table = stored(df)
     few = 0 if any(kind.startswith("array") for _, kind in df.dtypes) else FEW_ROWS
     return table if few and table.count() <= few else table.hint("merge")
